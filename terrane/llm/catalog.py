@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm._spark import shared_folder, table
 from terrane.llm.compression_bands import compression_bands
+from terrane.llm.longest_match import token_counts
 from terrane.llm.main_text import main_text
+from terrane.llm.piece_matching import round_trip
 from terrane.llm.simhash_pivots import simhash_components
 from terrane.llm.warc import digest_of_archives, read_warc, write_warc
 from terrane.llm.winnowing import contamination
@@ -31,6 +33,14 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_piece_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -38,7 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op2_main_text, op5_simhash_pivots, op6_winnowing, op10_warc)
+    f.__name__: f for f in (op1_compression_bands, op2_main_text, op5_simhash_pivots, op6_winnowing, op8_longest_match, op9_piece_matching, op10_warc)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
