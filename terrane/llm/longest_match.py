@@ -104,7 +104,7 @@ class Automaton:
         for k in range(int(size[0]) + 1 if len(size) else 0):
             running = np.searchsorted(-size, -k, "right")
             todo = np.arange(running)
-            symbol = np.where(size[:running] > k, data[np.minimum(start[order[:running]] + k, len(data) - 1)], _END).astype(np.int64)
+            symbol = np.where(size[:running] > k, data[np.minimum(start[order[:running]] + k, len(data) - 1)].astype(np.int64), _END)
             while len(todo):
                 to = self._step(state[todo], symbol[todo])
                 state[todo[to >= 0]] = to[to >= 0]
