@@ -88,7 +88,9 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     n = len(h)
     if n < w:
         return np.zeros(0, np.int64)
-    assert n < 1 << 24
+    if n >= 1 << 24:
+        step = 1 << 23
+        return np.concatenate([a + sliding_argmin(h[a : a + step + w - 1], w) for a in range(0, n - w + 1, step)])
     key = (h & U(_MASK ^ 0xFFFFFF)) | np.arange(n, dtype=np.uint64)
     return (sliding_min(key, w) & U(0xFFFFFF)).astype(np.int64)
 

@@ -12,7 +12,9 @@ from terrane.llm.compression_bands import compression_bands
 from terrane.llm.longest_match import token_counts
 from terrane.llm.main_text import main_text
 from terrane.llm.piece_matching import round_trip
+from terrane.llm.recompression import repeated_words
 from terrane.llm.simhash_pivots import simhash_components
+from terrane.llm.suffix_dedup import repeated_bytes
 from terrane.llm.warc import digest_of_archives, read_warc, write_warc
 from terrane.llm.winnowing import contamination
 
@@ -25,6 +27,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op2_main_text, op5_simhash_pivots, op6_winnowing, op8_longest_match, op9_piece_matching, op10_warc)
+    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,4 +83,32 @@ q as (select page_id, cast(octet_length(encode(h)) as bigint) as payload_bytes,
 select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> f then 'revisit' else 'response' end as record_type, case when payload_bytes >= 100 and page_id <> f then f end as refers_to from q
 """
 
-ORACLE: dict[str, str] = {"op6_winnowing": _WINDOWS, "op10_warc": _WARC}
+_REPEATED_WORDS = """
+with d as (select row_number() over () as k, doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') as w from documents),
+x as (select k, doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from d),
+win as (select k, doc_id, i, sha256(string_agg(x, ' ') over v) as h, count(*) over v as n from x window v as (partition by k order by i rows between current row and 49 following)),
+firsts as (select h, min(doc_id) as least from win where n = 50 group by h),
+hit as (select distinct k, unnest(range(i, i + 50)) as i from win join firsts using (h) where n = 50 and doc_id > least),
+kept as (select x.k, count(hit.i) as n_removed, string_agg(x.x, ' ' order by x.i) filter (hit.i is null) as t from x left join hit on x.k = hit.k and x.i = hit.i group by x.k)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (k)
+"""
+
+_REPEATED_BYTES = """
+with d as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as t, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+x as (select k, t, n, unnest(range(1, n - 398)) as i from d where n >= 400),
+win as (select k, i, md5_number(substr(t, 2 * i - 1, 800)) as h from x),
+often as (select h from win group by h having count(*) > 1),
+edge as (select k, i, 1 as e from win semi join often using (h) union all select k, i + 400, -1 from win semi join often using (h)),
+level as (select k, i, sum(e) as e from edge group by k, i),
+run as (select k, i, sum(e) over (partition by k order by i) as s, lag(i) over (partition by k order by i) as p from level),
+depth as (select k, i, s, coalesce(lag(s) over (partition by k order by i), 0) as b from run),
+opens as (select k, i as a, row_number() over (partition by k order by i) as r from depth where b = 0 and s > 0),
+closes as (select k, i as z, row_number() over (partition by k order by i) as r from depth where b > 0 and s = 0),
+span as (select k, r, a, z from opens join closes using (k, r)),
+gap as (select k, r, coalesce(lag(z) over (partition by k order by r), 1) as f, a as u from span union all select k, max(r) + 1, max(z), 9223372036854775807 from span group by k),
+kept as (select k, string_agg(substr(t, 2 * f - 1, 2 * (least(u, n + 1) - f)), '' order by r) as t from gap join d using (k) group by k),
+total as (select k, sum(z - a) as n_removed, count(*) as n_spans from span group by k)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.t, d.t))) as kept_sha256 from d left join total using (k) left join kept using (k)
+"""
+
+ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC}
