@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm._spark import shared_folder, table
 from terrane.llm.compression_bands import compression_bands
+from terrane.llm.language_model import score_texts
 from terrane.llm.longest_match import token_counts
 from terrane.llm.main_text import main_text
 from terrane.llm.piece_matching import round_trip
@@ -31,6 +32,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc)
+    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op4_elias_fano, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
