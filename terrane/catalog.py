@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, graph, neighbours, trajectory, voxel
+from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, trajectory, voxel
 from terrane.plans.views import duck, view
+from terrane.sources import clouds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -535,3 +536,69 @@ _COLORS = ", ".join(f"{{'r': {r}e0, 'g': {gr}e0, 'b': {b}e0}}" for r, gr, b in g
 def submap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = view(spark, sf_dir, "submaps_v").withColumn("c", g.palette_color("submap_id"))
     return s.select("submap_id", "c.r", "c.g", "c.b", F.format_string("(%d)", "submap_id").alias("label"), "cx", "cy", "cz")
+
+
+# registration and maps; results of iterations, tested against known motions
+
+
+def _motion_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each scan's points, made unit-sized, and the same moved by a known pose that depends on the scan."""
+    p = view(spark, sf_dir, "points_v").select(F.col("scan_id").alias("pair_id"), "point_id", (F.col("x") / 10).alias("x"), (F.col("y") / 10).alias("y"), (F.col("z") / 10).alias("z"))
+    k = F.col("pair_id") % 5
+    known = g.planar_pose(k * 0.01 - 0.02, F.lit(0.015), F.lit(-0.01), k * 0.004)
+    target = p.withColumns(dict(zip("xyz", g.pose_apply(known, "x", "y", "z"), strict=True)))
+    return p, target
+
+
+@query()
+def icp_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _motion_pairs(spark, sf_dir)
+    got = registration.register(source, target, "PointToPoint", 0.3, rounds=8)
+    return got.select("pair_id", "n_source", "n_corr", "fitness", "inlier_rmse", "pose.tx", "pose.ty", "pose.tz", "pose.qz", "pose.qw")
+
+
+@query()
+def fpfh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "vec_points_v")
+    n = neighbours.normals(p, 0.3, 12).where("not isnan(nx)").select("cloud_id", "point_id", "nx", "ny", "nz")
+    return features.fpfh(p.join(n, ["cloud_id", "point_id"]), 0.4, 20)
+
+
+@query()
+def ransac_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _motion_pairs(spark, sf_dir)
+    t = target.select("pair_id", "point_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    m = source.join(t, ["pair_id", "point_id"]).select("pair_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "tx", "ty", "tz")
+    return features.ransac(m, 0.01).select("pair_id", "n_inliers", "n_matches", "pose.tx", "pose.ty", "pose.tz", "pose.qz")
+
+
+@query()
+def pose_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submaps on their parent tree as one pose graph per nation, with measured edges between neighbours."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_nationkey") % 5).cast("long").alias("graph_id"), F.col("s_suppkey").cast("long").alias("node_id"), (F.col("s_acctbal") / 1000).alias("d"))
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("node_id")).cast("long") - 1
+    s = s.withColumn("node_id", rank).where("node_id < 40")
+    nodes = s.select("graph_id", "node_id", g.planar_pose(F.col("node_id") + F.col("d") * 0.01, 0.0, 0.0, 0.0).alias("pose"))
+    step = s.where("node_id > 0").select("graph_id", F.col("node_id").alias("source_id"), (F.col("node_id") - 1).alias("target_id"), g.planar_pose(1.0, 0.0, 0.0, 0.0).alias("pose"), F.lit(1.0).alias("weight"), F.lit(False).alias("uncertain"))
+    loop = s.where("node_id >= 5").select("graph_id", F.col("node_id").alias("source_id"), (F.col("node_id") - 5).alias("target_id"), g.planar_pose(5.0, 0.0, 0.0, 0.0).alias("pose"), F.lit(2.0).alias("weight"), F.lit(True).alias("uncertain"))
+    return graph.optimise(nodes, step.union(loop)).select("graph_id", "node_id", *_solved())
+
+
+def _solved() -> list:
+    return [F.round(F.col(f"pose.{c}"), 4).alias(c) for c in ("tx", "ty", "tz")]
+
+
+@query()
+def submap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "poses_v").select("session_id", "t_ticks", "event_id", "tx", "ty", "tz", F.col("tx").alias("cx"), F.col("ty").alias("cy"), F.col("tz").alias("cz"), F.lit(1).alias("n"))
+    return mapping.segment_submaps(p, radius=6.0, least_scans=5)
+
+
+@query(
+    f"{_P} select scan_id, count(*) as n, sum(cast(255 * r as bigint) * 0) as zero, min(cast(cast(x as float) as double)) as low, max(cast(cast(y as float) as double)) as high from points_v group by scan_id"
+)
+def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans packed into cloud messages and unpacked again."""
+    p = view(spark, sf_dir, "points_v").select(F.col("scan_id").cast("string").alias("topic"), F.col("scan_id").alias("stamp_ticks"), "point_id", "x", "y", "z", "r", "g", "b")
+    back = clouds.points_of_messages(clouds.messages_of_points(p, "map"))
+    return back.groupBy(F.col("stamp_ticks").alias("scan_id")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("r")).cast("long") * 0).alias("zero"), F.min("x").alias("low"), F.max("y").alias("high"))

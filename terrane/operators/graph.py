@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.geometry import pose_apply, pose_inv, pose_mul
 from terrane.operators.neighbours import nearest, radius_pairs
+from terrane.plans.lineage import cut
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def loop_distance(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 4)
         front = both.join(front, both.src == front.id).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(hops))
         seen = seen.union(front)
         if hops % checkpoint_every == 0:
-            seen, front = seen.checkpoint(), front.checkpoint()
+            seen, front = cut(seen), cut(front)
     return nodes.join(seen, "id", "left").select("id", F.greatest(F.col("hops") - 1, F.lit(0)).alias("distance"))
 
 
@@ -60,7 +61,7 @@ def resolved_ancestor(submaps: DataFrame, optimised: DataFrame, limit: int = 64)
             return state.select("submap_id", "ancestor", F.when(F.col("ancestor").isNotNull(), F.col("depth")).alias("depth"))
         far = state.select(F.col("submap_id").alias("s"), F.col("ancestor").alias("a2"), F.col("jump").alias("j2"), F.col("depth").alias("d2"))
         step = state.join(far, F.col("jump") == F.col("s"), "left")
-        state = step.select("submap_id", F.coalesce("ancestor", "a2").alias("ancestor"), F.when(F.col("jump").isNull(), F.col("depth")).otherwise(F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.when(F.col("a2").isNull(), F.col("j2")).alias("jump")).checkpoint()
+        state = cut(step.select("submap_id", F.coalesce("ancestor", "a2").alias("ancestor"), F.when(F.col("jump").isNull(), F.col("depth")).otherwise(F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.when(F.col("a2").isNull(), F.col("j2")).alias("jump")))
     raise ValueError("the parent chain has a cycle")
 
 

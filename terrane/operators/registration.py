@@ -18,6 +18,7 @@ from terrane.functions.geometry import pose, pose_apply, pose_mul
 from terrane.operators.graph import _POSE, matrix_pose, step_matrix
 from terrane.operators.neighbours import CELL, in_cells, in_near_cells, correspondences
 from terrane.operators.trajectory import consecutive, pose_product
+from terrane.plans.lineage import cut
 
 _REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray]]] = {}
 
@@ -112,7 +113,7 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
         raise ValueError(f"unknown registration {kind!r}; known: {', '.join(sorted(_REGISTRATIONS))}")
     sums, solve = _REGISTRATIONS[kind]
     rest = pose(0.0, 0.0, 0.0).alias("pose")
-    poses = (start if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)).checkpoint()
+    poses = cut((start if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -129,7 +130,7 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
         pairs = correspondences(moved(source, live), target, radius)
         named = [c.alias(f"m{i}") for i, c in enumerate(sums())]
         motion = pairs.groupBy("pair_id").agg(F.count("*").alias("k"), *named).where("k >= 6").drop("k").mapInPandas(step, f"pair_id {kind_of}, motion {_POSE}, size double")
-        poses = poses.join(motion, "pair_id", "left").select("pair_id", F.when(F.col("motion").isNull(), F.col("pose")).otherwise(pose_mul(F.col("motion"), F.col("pose"))).alias("pose"), F.coalesce(F.col("size") > settle, F.lit(False)).alias("open")).checkpoint()
+        poses = cut(poses.join(motion, "pair_id", "left").select("pair_id", F.when(F.col("motion").isNull(), F.col("pose")).otherwise(pose_mul(F.col("motion"), F.col("pose"))).alias("pose"), F.coalesce(F.col("size") > settle, F.lit(False)).alias("open")))
     return evaluate(source, target, poses.select("pair_id", "pose"), radius)
 
 
