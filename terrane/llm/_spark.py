@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='terrane-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    return (where or _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='terrane-')}")).rstrip("/")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
