@@ -27,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._spark import keep, partitions
+from terrane.llm._text import as_bytes
 
 ANCHORS = "key long, ctx long, doc long, at int, lo int, hi int"
 
 
+def _as_they_are(texts: list[bytes]) -> list[bytes]:
+    return texts
+
+
 @dataclass(frozen=True)
 class Shape:
     window: int
@@ -38,6 +43,8 @@ class Shape:
     most: int
     width: int  # bytes of a symbol
     earlier: bool
+    #: Turns stretches of text into the bytes of their symbols.
+    symbols: Callable[[list[bytes]], list[bytes]] = _as_they_are
     #: Contexts of one key that a single task compares.
     task_contexts: int = 50_000
 
@@ -120,11 +127,11 @@ def _window_hashes(shape: Shape, left: bytes, right: bytes) -> Iterator[tuple[in
             yield d, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: Callable[[bytes | None, list[tuple[int, int, int]]], list[tuple[bytes, bytes]]]) -> DataFrame:
+def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: Callable[[bytes, list[tuple[int, int, int]]], list[tuple[bytes, bytes]]]) -> DataFrame:
     """(doc, lo, hi): stretches of symbols that repeated windows cover; they may overlap.
 
-    ``docs`` is (id, text) and ``context`` cuts the symbols before and after anchors
-    (at, lo, hi) out of a text.
+    ``docs`` is (id, text) and ``context`` cuts what stands before and after
+    anchors (at, lo, hi) out of a text.
     """
     anchors = keep(anchors, "anchors")
     place = [F.min("doc").alias("doc0"), F.max("doc").alias("doc1")]
@@ -141,20 +148,23 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
         settled, open_ = F.col("first") != F.col("last"), (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
     sure = known.where(settled & (F.col("hi") - F.col("lo") >= shape.window)).select("doc", "lo", "hi")
     ask = known.where(F.col("multi") & open_).select("key", "doc", "at", "lo", "hi", settled.alias("sure"))
-    wide = ask.groupBy("key").count().where(F.col("count") > shape.task_contexts).select("key", F.lit(True).alias("wide"))
+    wide = keep(ask.groupBy("key").count().where(F.col("count") > shape.task_contexts).select("key", F.lit(True).alias("wide")), "wide")
+    none_wide = wide.isEmpty()
     ask = ask.join(wide, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "sure", "wide")).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, out = b.column(0).to_pylist(), []
-            for i, (text, want) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                found = context(None if text is None else text.encode(), [(x["at"], x["lo"], x["hi"]) for x in want])
+            for i, (text, want) in enumerate(zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)):
+                found = context(text or b"", [(x["at"], x["lo"], x["hi"]) for x in want])
                 out += [(x["key"], doc[i], x["at"], x["sure"], bool(x["wide"]), *y) for x, y in zip(want, found, strict=True)]
             for k in range(0, len(out), 20_000):
                 columns = list(zip(*out[k : k + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["key", "doc", "at", "sure", "wide", "l", "r"])
 
-    fetched = keep(docs.join(ask.hint("shuffle_hash"), F.col("id") == F.col("doc")).select("doc", "text", "want").mapInArrow(cut, "key long, doc long, at int, sure boolean, wide boolean, l binary, r binary"), "contexts")
+    fetched = docs.join(ask.hint("shuffle_hash"), F.col("id") == F.col("doc")).select("doc", "text", "want").mapInArrow(cut, "key long, doc long, at int, sure boolean, wide boolean, l binary, r binary")
+    if not none_wide:
+        fetched = keep(fetched, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -163,16 +173,19 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
         key, doc, at, sure = (np.concatenate([p[i] for p in parts]) for i in range(4))
         left, right = ([x for p in parts for x in p[i]] for i in (4, 5))
         for i in _shares(key, shape.task_contexts):
-            low, high = extend(shape, key[i], doc[i], [left[k] for k in i], [right[k] for k in i])
+            low, high = extend(shape, key[i], doc[i], shape.symbols([left[k] for k in i]), shape.symbols([right[k] for k in i]))
             yes = (high >= 0) & ~sure[i].astype(bool)
             lo = at[i][yes] - high[yes]
             yield pa.RecordBatch.from_arrays([pa.array(doc[i][yes]), pa.array(lo.astype(np.int32)), pa.array((at[i][yes] - low[yes] + shape.window).astype(np.int32))], ["doc", "lo", "hi"])
 
     near = fetched.where("not wide").select("key", "doc", "at", "sure", "l", "r").repartition(partitions(docs.sparkSession) * 2, "key").mapInArrow(compare, "doc long, lo int, hi int")
+    if none_wide:
+        return sure.union(near)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(h1, h2, doc, at - d, sure) for doc, at, sure, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True) for d, h1, h2 in _window_hashes(shape, left, right)]
+            doc, at, sure, left, right = (c.to_pylist() for c in b.columns)
+            out = [(h1, h2, i, j - d, k) for i, j, k, x, y in zip(doc, at, sure, shape.symbols(left), shape.symbols(right), strict=True) for d, h1, h2 in _window_hashes(shape, x, y)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["h1", "h2", "doc", "at", "sure"])
 

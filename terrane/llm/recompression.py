@@ -47,7 +47,7 @@ class Recompression:
 
     @property
     def shape(self) -> Shape:
-        return Shape(self.window, self.edge, self.edge + self.inner - 1, 8, earlier=True)
+        return Shape(self.window, self.edge, self.edge + self.inner - 1, 8, earlier=True, symbols=_hashes_of)
 
 
 def name_symbols(h: np.ndarray, text: np.ndarray, how: Recompression) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +95,20 @@ def anchors(texts: list[bytes | None], how: Recompression) -> Iterator[tuple[np.
         at = at[name[at] != _NONE]
         a, b = words.first[words.text[at]], words.first[words.text[at] + 1]
         lo, hi = np.maximum(a, at - shape.most), np.minimum(b, at + shape.right)
-        ctx = mix(spans(prefix(mix(h)), lo, hi) + (at - lo).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        yield first + words.text[at], name[at].view(np.int64), ctx.view(np.int64), at - a, lo - a, hi - a
+        sums = prefix(mix(h))
+        ctx = mix(spans(sums, lo, hi) + (at - lo).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        # all windows around a symbol hold these words, so they belong to its key
+        core = spans(sums, at - shape.least, at - shape.most + how.window)
+        yield first + words.text[at], mix(name[at] + core).view(np.int64), ctx.view(np.int64), at - a, lo - a, hi - a
+
+
+def _hashes_of(texts: list[bytes]) -> list[bytes]:
+    out = []
+    for _, run in pieces(texts):
+        words = Piece(run).words()
+        h, at = words.hashes(), words.first.tolist()
+        out += [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
 
 
 def _anchors(docs: DataFrame, how: Recompression) -> DataFrame:
@@ -108,9 +120,10 @@ def _anchors(docs: DataFrame, how: Recompression) -> DataFrame:
     return docs.where("id is not null").mapInArrow(run, ANCHORS)
 
 
-def _contexts(text: bytes | None, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
-    h = Piece([text or b""]).words().hashes()
-    return [(h[lo:at].tobytes(), h[at:hi].tobytes()) for at, lo, hi in want]
+def _contexts(text: bytes, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
+    words = Piece([text]).words()
+    a, b = words.start.tolist(), words.stop.tolist()
+    return [(text[a[lo] : b[at - 1]], text[a[at] : b[hi - 1]]) for at, lo, hi in want]
 
 
 def repeated_words(docs: DataFrame, how: Recompression | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -67,8 +67,7 @@ def _anchors(docs: DataFrame, how: Suffixes) -> DataFrame:
     return docs.where("id is not null").mapInArrow(run, ANCHORS)
 
 
-def _contexts(text: bytes | None, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
-    text = text or b""
+def _contexts(text: bytes, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
     return [(text[lo:at], text[at:hi]) for at, lo, hi in want]
 
 
