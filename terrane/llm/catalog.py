@@ -59,7 +59,7 @@ def op9_piece_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest_of_archives(read_warc(spark, path))
+    return digest_of_archives(read_warc(spark, path, payload=False))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,6 +11,7 @@ boundaries: each round doubles the length of the known jumps and passes the mark
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ _END = "\r\n\r\n"
 HEADERS = {"record_type": "WARC-Type", "page_id": "WARC-Record-ID", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100, records_per_file: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100, records_per_file: int = 1000, small_rows: int = 200_000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write ``pages`` as WARC 1.1 files under ``path``, ``records_per_file`` records in each at most.
 
     Null html is an empty payload and a null url leaves its header out.  A null id is written
@@ -36,7 +37,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
     first = p.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    p = p.join(first, F.col("digest") == F.col("d"), "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull() & F.col("id").isNull()))
+    first = keep(first, "repeated")
+    few = first.limit(small_rows + 1).count() <= small_rows
+    p = p.join(F.broadcast(first) if few else first.hint("shuffle_hash"), F.col("digest") == F.col("d"), "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull() & F.col("id").isNull()))
     clean = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
 
     def header(name: str, value: F.Column, when: F.Column | None = None) -> F.Column:
@@ -73,26 +76,25 @@ def candidates(data: bytes) -> Iterator[tuple[int, int, int]]:
         at = data.find(_MAGIC, at + 1)
 
 
-def _scan(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+def _scan(spark: SparkSession, path: str, payload: bool) -> DataFrame:
+    """Every candidate with its headers and what its payload measures, and the payload itself if asked for."""
+    fields = [("path", pa.string()), ("at", pa.int64()), ("after", pa.int64()), *((k, pa.string()) for k in HEADERS), ("size", pa.int64()), ("sha256", pa.string())]
+    kinds = f"path string, at long, after long, {', '.join(f'{k} string' for k in HEADERS)}, size long, sha256 string"
+    if payload:
+        fields.append(("payload", pa.binary()))
+        kinds += ", payload binary"
+    arrow = pa.schema(fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path_, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = data.as_py()
-                rows = []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data, rows = data.as_py(), []
                 for at, after, body in candidates(data):
-                    row = {"path": path_, "at": at, "after": after}
-                    if whole:
-                        h = _headers(data[at : body - 4])
-                        row |= {k: h.get(name) for k, name in HEADERS.items()} | {"payload": data[body : after - 4]}
-                    rows.append(row)
+                    h = _headers(data[at : body - 4])
+                    own = data[body : after - 4]
+                    rows.append({"path": name, "at": at, "after": after, "size": len(own), "sha256": hashlib.sha256(own).hexdigest()} | {k: h.get(x) for k, x in HEADERS.items()} | ({"payload": own} if payload else {}))
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    fields = [("path", pa.string()), ("at", pa.int64()), ("after", pa.int64())]
-    kinds = "path string, at long, after long"
-    if whole:
-        fields += [(k, pa.string()) for k in HEADERS] + [("payload", pa.binary())]
-        kinds += "".join(f", {k} string" for k in HEADERS) + ", payload binary"
-    arrow = pa.schema(fields)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kinds)
 
 
@@ -110,25 +112,28 @@ def boundary_chain(links: DataFrame) -> DataFrame:
     return state.where("on").select("path", "at")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, at, record_type, page_id, url, payload_digest, refers_to, payload) of every true record.
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """(path, at, record_type, page_id, url, payload_digest, refers_to, size, sha256[, payload]) of every true record.
 
-    ``payload`` is null in a revisit, whose response holds it.  Ids come back as strings, empty
-    ones as null.
+    ``size`` and ``sha256`` are of the bytes that the record holds, and null with ``payload``
+    in a revisit, whose response holds them.  Ids come back as strings, empty ones as null.
     """
-    chain = boundary_chain(_scan(spark, path, whole=False)).select(F.col("path").alias("p"), F.col("at").alias("a"))
-    found = _scan(spark, path, whole=True)
+    found = keep(_scan(spark, path, payload), "records")
+    chain = boundary_chain(found.select("path", "at", "after")).select(F.col("path").alias("p"), F.col("at").alias("a"))
     found = found.join(chain, (F.col("path") == F.col("p")) & (F.col("at") == F.col("a")), "left_semi")
 
     def ident(c: str) -> F.Column:
         return F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit(""))
 
-    return found.select("path", "at", "record_type", ident("page_id").alias("page_id"), "url", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), ident("refers_to").alias("refers_to"), F.when(F.col("record_type") != "revisit", F.col("payload")).alias("payload"))
+    def held(c: str) -> F.Column:
+        return F.when(F.col("record_type") != "revisit", F.col(c)).alias(c)
+
+    return found.select("path", "at", "record_type", ident("page_id").alias("page_id"), "url", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), ident("refers_to").alias("refers_to"), held("size"), held("sha256"), *([held("payload")] if payload else []))
 
 
 def digest_of_archives(records: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to); the two payload columns are of the full payload, taken from the response in the case of a revisit."""
-    own = records.select(F.col("page_id").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("payload_digest").alias("stated"))
+    own = records.select(F.col("page_id").cast("long").alias("page_id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), F.col("size").alias("payload_bytes"), F.col("sha256").alias("payload_digest"), F.col("payload_digest").alias("stated"))
     full = own.where("record_type = 'response' and payload_bytes is not null").groupBy(F.col("page_id").alias("r"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("b"))
     joined = own.join(full, F.col("refers_to").eqNullSafe(F.col("r")) & (F.col("stated") == F.col("d")) & (F.col("record_type") == "revisit"), "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "b").alias("payload_bytes"), F.coalesce("payload_digest", "d").alias("payload_digest"), "record_type", "refers_to")
