@@ -91,31 +91,38 @@ def _votes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shingles(run: list[bytes], how: SimHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of texts side by side, the text of each, and their number per text."""
+    piece = Piece(run, lower=True)
+    words = piece.words()
+    keep_ = words.inside.copy()
+    keep_[1:] |= words.inside[:-1]
+    raw = np.where(words.inside, piece.data, np.uint8(32))[keep_].tobytes()
+    end = np.cumsum(words.stop - words.start + 1) - 1
+    begin = end - (words.stop - words.start)
+    n = np.where(words.count > 0, np.maximum(1, words.count - how.shingle + 1), 0)
+    text = np.repeat(np.arange(len(run)), n)
+    head = np.arange(n.sum()) - (np.cumsum(n) - n)[text] + words.first[text]
+    tail = np.minimum(head + how.shingle, words.first[text + 1]) - 1
+    return xxh64(raw, begin[head], end[tail], how.seed), text, n
+
+
+def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    got = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        bits = 2 * _votes(h, (np.cumsum(n) - n)[some]) > n[some, None]
+        got[some] = (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1)
+    return got
+
+
 def fingerprints(texts: list[bytes | None], how: SimHash) -> np.ndarray:
     """64-bit fingerprint of each text; zero for a text without words."""
-    out = []
+    out = [np.zeros(0, np.uint64)]
     for _, run in pieces(texts):
-        piece = Piece(run, lower=True)
-        words = piece.words()
-        keep_ = words.inside.copy()
-        keep_[1:] |= words.inside[:-1]
-        raw = np.where(words.inside, piece.data, np.uint8(32))[keep_].tobytes()
-        size = words.stop - words.start
-        end = np.cumsum(size + 1) - 1
-        begin = end - size
-        n = np.where(words.count > 0, np.maximum(1, words.count - how.shingle + 1), 0)
-        first = np.cumsum(n) - n
-        text = np.repeat(np.arange(len(run)), n)
-        head = np.arange(n.sum()) - first[text] + words.first[text]
-        tail = np.minimum(head + how.shingle, words.first[text + 1]) - 1
-        h = xxh64(raw, begin[head], end[tail], how.seed)
-        got = np.zeros(len(run), np.uint64)
-        some = np.flatnonzero(n)
-        if len(some):
-            bits = 2 * _votes(h, first[some]) > n[some, None]
-            got[some] = (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1)
-        out.append(got)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        h, _, n = _shingles(run, how)
+        out.append(_majority(h, n))
+    return np.concatenate(out)
 
 
 def _pivot_table(fp: np.ndarray, pivots: int) -> np.ndarray:
@@ -200,8 +207,146 @@ def simhash_components(docs: DataFrame, how: SimHash | None = None, id_col: str
     return all_.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, how: SimHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one of the least id, all columns unchanged."""
-    found = simhash_components(docs, how, id_col, text_col)
+@dataclass(frozen=True)
+class Similar:
+    """Links by the similarity of shingle sets instead of by differing bits.
+
+    Fingerprints of texts that share four fifths of their shingles differ in ten bits and
+    more, too many for the pigeonhole principle to find pairs.  So pairs meet through bands of
+    least shingle hashes; the pivot table and the bits then discard those beyond ``how.radius``
+    and a sketch of ``bins`` least hashes decides.  Its estimate has a deviation of
+    sqrt(s(1 - s) / bins), so ``slack`` below ``similarity`` is let through.
+    """
+
+    how: SimHash = SimHash(shingle=5, radius=24)
+    similarity: float = 0.8
+    slack: float = 0.02
+    bins: int = 512
+    bands: int = 20
+    rows: int = 4
+    #: Larger buckets are searched with sketches at hand instead of listing their pairs.
+    bucket: int = 32
+
+
+def sketches(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, sketch, band keys) of each text.
+
+    A shingle's hash falls into one of ``bins``; the sketch has a byte of the least hash of each
+    bin, 0 if the bin is empty.  Bands take ``rows`` bins each, an empty one borrowing from the
+    next that is not (Shrivastava and Li 2014).
+    """
+    fp, sketch, bands = [np.zeros(0, np.uint64)], [np.zeros((0, s.bins), np.uint8)], [np.zeros((0, s.bands), np.uint64)]
+    for _, run in pieces(texts):
+        h, text, n = _shingles(run, s.how)
+        fp.append(_majority(h, n))
+        x = mix(h)
+        least = np.full(len(run) * s.bins, U((1 << 64) - 1))
+        np.minimum.at(least, text * s.bins + ((x >> U(32)) % U(s.bins)).astype(np.int64), mix(x))
+        least = least.reshape(len(run), s.bins)
+        empty = least == U((1 << 64) - 1)
+        sketch.append(np.where(empty, 0, least % U(255) + U(1)).astype(np.uint8))
+        place = np.where(empty, 2 * s.bins, np.arange(s.bins))
+        after = np.minimum.accumulate(np.concatenate([place, place + s.bins], axis=1)[:, ::-1], axis=1)[:, ::-1][:, : s.bins]
+        gap = (after - np.arange(s.bins)).astype(np.uint64)
+        full = mix(np.take_along_axis(least, after % s.bins, axis=1) + gap * U(0x9E3779B97F4A7C15))
+        key = np.zeros((len(run), s.bands), np.uint64)
+        for r in range(s.rows):
+            key = mix(key * U(31) + full[:, r * s.bands : (r + 1) * s.bands])
+        bands.append(mix(key + np.arange(s.bands, dtype=np.uint64)))
+    return np.concatenate(fp), np.concatenate(sketch), np.concatenate(bands)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity of rows of sketches; two without a shingle are alike."""
+    some = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=-1))
+    none = ~((a > 0) | (b > 0)).any(axis=-1)
+    return np.where(none, 1.0, ((a == b) & (a > 0)).sum(axis=-1) / some)
+
+
+def _bucket_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, how: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of each small bucket that pivots and bits don't discard."""
+    order = np.argsort(key, kind="stable")
+    key, fp, rep = key[order], fp[order], rep[order]
+    table = _pivot_table(fp, how.pivots)
+    a, b, d = [rep[:0]], [rep[:0]], 1
+    while d < len(key) and len(i := np.flatnonzero(key[:-d] == key[d:])):
+        i = i[_near(fp, table, i, i + d, how.radius)]
+        a.append(np.minimum(rep[i], rep[i + d]))
+        b.append(np.maximum(rep[i], rep[i + d]))
+        d += 1
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _grow(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketch: np.ndarray, s: Similar) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the links within each key; pairs are not listed."""
+    table = _pivot_table(fp, s.how.pivots)
+    a, b = [], []
+    for k in np.unique(key):
+        waiting = np.flatnonzero(key == k)
+        while len(waiting) > 1:
+            todo, waiting = [int(waiting[0])], waiting[1:]
+            while todo and len(waiting):
+                x = todo.pop()
+                hit = _near(fp, table, np.full(len(waiting), x), waiting, s.how.radius)
+                hit = hit[estimate(sketch[x][None], sketch[waiting[hit]]) >= s.similarity - s.slack]
+                found = waiting[hit]
+                a += [int(rep[x])] * len(found)
+                b += rep[found].tolist()
+                todo.extend(found.tolist())
+                waiting = np.delete(waiting, hit)
+    return a, b
+
+
+def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) for each row of ``docs`` with integer ids, by ``Similar``; odd rows as in ``simhash_components``."""
+    s = s or Similar()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, sketch, bands = sketches(as_bytes(b.column(1)), s)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), s.bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "fp", "sketch", "keys"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if got:
+            key, fp, rep = (np.concatenate(x) for x in zip(*got, strict=True))
+            a, b = _bucket_pairs(key, fp.view(np.uint64), rep, s.how)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, s.bins) for i in (2, 3))
+            yes = pa.array(estimate(x, y) >= s.similarity - s.slack)
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(yes), t.column(1).filter(yes)], ["a", "b"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy() for i in range(3)] + [b.column(3).to_pylist()] for b in batches if b.num_rows]
+        if got:
+            key, fp, rep = (np.concatenate([g[i] for g in got]) for i in range(3))
+            sketch = np.frombuffer(b"".join(x for g in got for x in g[3]), np.uint8).reshape(-1, s.bins)
+            a, b = _grow(key, fp.view(np.uint64), rep, sketch, s)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    all_ = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(measure, "id long, fp long, sketch binary, keys array<long>")
+    all_ = keep(all_.withColumn("same", F.xxhash64("fp", "sketch")), "sketches")
+    names = all_.groupBy("same").agg(F.min("id").alias("rep"))
+    reps = keep(all_.join(names, (F.col("id") == F.col("rep")) & (all_["same"] == names["same"]), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
+    rows = reps.select(F.explode("keys").alias("key"), "fp", "rep")
+    sizes = rows.groupBy("key").count().where("count > 1").select("key", (F.col("count") > s.bucket).alias("large"))
+    sizes = keep(sizes, "buckets")
+    met = rows.join(sizes, "key")
+    plain = reps.select("rep", "sketch")
+    few = met.where("not large").select("key", "fp", "rep").repartition("key").mapInArrow(pairs, "a long, b long").distinct()
+    few = few.join(plain.withColumnsRenamed({"rep": "a", "sketch": "x"}), "a").join(plain.withColumnsRenamed({"rep": "b", "sketch": "y"}), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    many = met.where("large").select("key", "fp", "rep").join(plain, "rep").select("key", "fp", "rep", "sketch").repartition("key").mapInArrow(grow, "a long, b long")
+    linked = components(few.union(many))
+    named = names.join(linked, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return all_.select("id", "same").join(named, "same").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of similar texts, the one of the least id, all columns unchanged."""
+    found = similar_components(docs, s, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
