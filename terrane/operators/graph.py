@@ -45,7 +45,7 @@ def loop_distance(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 4)
         seen = seen.union(front)
         if hops % checkpoint_every == 0:
             seen, front = cut(seen), cut(front)
-    return nodes.join(seen, "id", "left").select("id", F.greatest(F.col("hops") - 1, F.lit(0)).alias("distance"))
+    return nodes.join(seen, "id", "left").select("id", F.when(F.col("hops").isNotNull(), F.greatest(F.col("hops") - 1, F.lit(0))).alias("distance"))
 
 
 def resolved_ancestor(submaps: DataFrame, optimised: DataFrame, limit: int = 64) -> DataFrame:
