@@ -220,7 +220,7 @@ class Similar:
 
     how: SimHash = SimHash(shingle=5, radius=24)
     similarity: float = 0.8
-    slack: float = 0.02
+    slack: float = 0.03
     bins: int = 512
     bands: int = 20
     rows: int = 4
@@ -250,8 +250,9 @@ def sketches(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndar
         gap = (after - np.arange(s.bins)).astype(np.uint64)
         full = mix(np.take_along_axis(least, after % s.bins, axis=1) + gap * U(0x9E3779B97F4A7C15))
         key = np.zeros((len(run), s.bands), np.uint64)
+        spread = np.arange(s.bands * s.rows) * s.bins // (s.bands * s.rows)  # far apart, so that few borrow the same
         for r in range(s.rows):
-            key = mix(key * U(31) + full[:, r * s.bands : (r + 1) * s.bands])
+            key = mix(key * U(31) + full[:, spread[r :: s.rows]])
         bands.append(mix(key + np.arange(s.bands, dtype=np.uint64)))
     return np.concatenate(fp), np.concatenate(sketch), np.concatenate(bands)
 
