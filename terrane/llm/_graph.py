@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import keep
+from terrane.llm._spark import forget, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = nearest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         near = nearest(large)
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).distinct()
-        e = keep(small, "edges")
+        last, e = e, keep(small, "edges")
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import keep, partitions
+from terrane.llm._spark import forget, keep, partitions
 from terrane.llm._text import as_bytes
 
 ANCHORS = "key long, ctx long, doc long, at int, lo int, hi int"
@@ -139,9 +139,14 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
         place += [F.min("at").alias("at0"), F.max("at").alias("at1")]
     elsewhere = "doc0 <> doc1" if shape.earlier else "doc0 <> doc1 or at0 <> at1"
     keys = anchors.groupBy("key").agg((F.min("ctx") != F.max("ctx")).alias("multi"), *place).where(elsewhere).select("key", "multi")
+    # a table of its own, so that the join may split the rows of a hot key
+    keys = keep(keys, "keys")
     hits = keep(anchors.join(keys, "key"), "hits")
+    forget(anchors, keys)
     classes = hits.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-    known = keep(hits.join(classes, ["key", "ctx"]), "classes")
+    classes = keep(classes, "classes")
+    known = keep(hits.join(classes, ["key", "ctx"]), "known")
+    forget(hits, classes)
     if shape.earlier:
         settled, open_ = F.col("doc") > F.col("first.doc"), F.col("doc") == F.col("first.doc")
     else:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import keep
+from terrane.llm._spark import forget, keep
 
 _MAGIC = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)(?=\r\n)")
@@ -108,7 +108,8 @@ def boundary_chain(links: DataFrame) -> DataFrame:
         marked = state.where("on and jump is not null").select(F.col("path").alias("q"), F.col("jump").alias("j")).distinct()
         step = state.join(far, (F.col("path") == F.col("p")) & (F.col("jump") == F.col("a")), "left")
         step = step.join(marked, (F.col("path") == F.col("q")) & (F.col("at") == F.col("j")), "left")
-        state = keep(step.select("path", "at", F.col("far").alias("jump"), (F.col("on") | F.col("j").isNotNull()).alias("on")), "chain")
+        last, state = state, keep(step.select("path", "at", F.col("far").alias("jump"), (F.col("on") | F.col("j").isNotNull()).alias("on")), "chain")
+        forget(last)
     return state.where("on").select("path", "at")
 
 
