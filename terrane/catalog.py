@@ -602,3 +602,92 @@ def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "points_v").select(F.col("scan_id").cast("string").alias("topic"), F.col("scan_id").alias("stamp_ticks"), "point_id", "x", "y", "z", "r", "g", "b")
     back = clouds.points_of_messages(clouds.messages_of_points(p, "map"))
     return back.groupBy(F.col("stamp_ticks").alias("scan_id")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("r")).cast("long") * 0).alias("zero"), F.min("x").alias("low"), F.max("y").alias("high"))
+
+
+# constraints, gates and reports
+
+
+@query(f"{_S}, c as (select submap_id as source_id, parent_id as target_id, cx from submaps_v) select row_number() over (order by source_id, target_id) as place, source_id, target_id from c")
+def sorted_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constraints numbered by source, then target: positions by partition counts, without one task for all rows."""
+    c = view(spark, sf_dir, "submaps_v").select(F.col("submap_id").alias("source_id"), F.col("parent_id").alias("target_id"))
+    part = F.floor(F.col("source_id") / 1000).cast("long")
+    size = c.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = size.alias("a").join(size.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    rn = F.row_number().over(Window.partitionBy("part").orderBy("source_id", "target_id")).cast("long")
+    return c.withColumn("part", part).withColumn("rn", rn).join(before, "part").select((F.col("rn") + F.col("before")).alias("place"), "source_id", "target_id")
+
+
+@query(f"{_Q} select session_id, max(t_ticks) as t_ticks, arg_max(event_id, t_ticks) as event_id from poses_v group by session_id")
+def latest_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "poses_v")
+    return p.groupBy("session_id").agg(F.max("t_ticks").alias("t_ticks"), F.max_by("event_id", "t_ticks").alias("event_id"))
+
+
+@query(f"{_S} select submap_id from submaps_v except select parent_id from submaps_v")
+def unoptimised_submaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "submaps_v")
+    return s.select("submap_id").exceptAll(s.select("parent_id").distinct()).distinct()
+
+
+@query("select event_type, count(*) as n, cast(sum(cast(floor(value * 1e6 + 0.5) as bigint)) as bigint) / 1e6 / count(*) as mean_ms, 1000 / (cast(sum(cast(floor(value * 1e6 + 0.5) as bigint)) as bigint) / 1e6 / count(*)) as hz from events group by event_type")
+def stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean duration and rate of each stage of a run, events standing for a table of measurements."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), g.exact_mean("value").alias("mean_ms")).withColumn("hz", 1000 / F.col("mean_ms"))
+
+
+@query(f"{_S}, e as (select submap_id as a, parent_id as b from submaps_v where submap_id <> parent_id), u as (select a, b from e union select b, a from e), p as (select submap_id as a, submap_id // 2 as b from submaps_v union all select submap_id, submap_id // 3 from submaps_v) select p.a, p.b, p.a = p.b or u.a is not null as adjacent from p left join u on p.a = u.a and p.b = u.b")
+def adjacency_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = view(spark, sf_dir, "submaps_v")
+    pairs = s.select(F.col("submap_id").alias("a"), F.floor(F.col("submap_id") / 2).cast("long").alias("b")).union(s.select("submap_id", F.floor(F.col("submap_id") / 3).cast("long")))
+    return graph.is_adjacent(pairs, _tree(s))
+
+
+@query(f"{_P} select scan_id, bool_and(r is not null) as ready from points_v group by scan_id")
+def scans_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "points_v").withColumn("nx", F.col("r"))
+    return crop.scans_ready(p, "PointToPlane")
+
+
+@query(f"{_Q} select event_id, case when t_ticks % 3 = 0 then 'accepted' when tx >= 5 then 'accepted' else 'rejected' end as status from poses_v")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "poses_v")
+    return p.select("event_id", F.when(F.col("t_ticks") % 3 == 0, crop.quality_status("tx", 5.0, ignore=True)).otherwise(crop.quality_status("tx", 5.0)).alias("status"))
+
+
+_MID = 638396640071795750
+
+
+@query(f"{_Q}, m as (select event_id, case when t_ticks between {_MID} and {_MID + 10**13} then tx + cos(yaw) * 2 - sin(yaw) * 1 else tx end as px, case when t_ticks between {_MID} and {_MID + 10**13} then ty + sin(yaw) * 2 + cos(yaw) * 1 else ty end as py from poses_v) select event_id, {_sql4('px', 'py')} from m")
+def moved_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "poses_v").withColumn("pose", g.planar_pose("tx", "ty", "tz", "yaw"))
+    got = crop.move_in_interval(p, g.pose(2.0, 1.0, 0.0), _MID, _MID + 10**13)
+    return got.select("event_id", F.col("pose.tx").alias("px"), F.col("pose.ty").alias("py")).select("event_id", *_e4("px", "py"))
+
+
+@query(f"{_Q}, m as (select event_id, tx - (cos(yaw - yaw / 2) * dx - sin(yaw - yaw / 2) * dy) as px, ty - (sin(yaw - yaw / 2) * dx + cos(yaw - yaw / 2) * dy) as py from poses_v) select event_id, {_sql4('px', 'py')} from m")
+def map_to_odometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correction from an odometry pose (dx, dy, half the heading) to the map pose."""
+    p = view(spark, sf_dir, "poses_v")
+    c = graph.map_to_odometry(g.planar_pose("tx", "ty", "tz", "yaw"), g.planar_pose("dx", "dy", 0.0, F.col("yaw") / 2))
+    return p.select("event_id", c.alias("c")).select("event_id", F.col("c.tx").alias("px"), F.col("c.ty").alias("py")).select("event_id", *_e4("px", "py"))
+
+
+@query(
+    f"{_P}, k as (select scan_id // 10 as submap_id, {_KEY4}, x from points_v), d as (select submap_id, vx, vy, vz, count(*) as n, {_mean('x', 'x')} from k group by all) select d.*, [{_COLORS}][submap_id % 11 + 3].r as r from d"
+)
+def colored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Down-sampled map, coloured by submap."""
+    p = view(spark, sf_dir, "points_v").withColumn("submap_id", F.floor(F.col("scan_id") / 10).cast("long"))
+    return voxel.downsample(p, 4.0, by=("submap_id",)).select("submap_id", "vx", "vy", "vz", "n", "x", g.palette_color("submap_id")["r"].alias("r"))
+
+
+@query(
+    f"{_Q}, w as (select event_id, row_number() over o as rn, tx - lag(tx, 20) over o as mx, ty - lag(ty, 20) over o as my from poses_v window o as (partition by session_id order by t_ticks)) select event_id, {_m('sqrt(mx * mx + my * my)')} as moved, abs(mx) < 1.0 as still from w where rn > 20"
+)
+def chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each pose lies from the one twenty rows before."""
+    w = Window.partitionBy("session_id").orderBy("t_ticks")
+    p = view(spark, sf_dir, "poses_v").withColumns({"mx": F.col("tx") - F.lag("tx", 20).over(w), "my": F.col("ty") - F.lag("ty", 20).over(w)}).where("mx is not null")
+    return p.select("event_id", g.micro(F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my"))).alias("moved"), g.is_close("mx", 0.0, 1.0).alias("still"))
