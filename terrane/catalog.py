@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane.config import Cropping
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, trajectory, voxel
+from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, scans, trajectory, voxel
 from terrane.plans.views import duck, view
 from terrane.sources import clouds
 
@@ -691,3 +692,30 @@ def chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("t_ticks")
     p = view(spark, sf_dir, "poses_v").withColumns({"mx": F.col("tx") - F.lag("tx", 20).over(w), "my": F.col("ty") - F.lag("ty", 20).over(w)}).where("mx is not null")
     return p.select("event_id", g.micro(F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my"))).alias("moved"), g.is_close("mx", 0.0, 1.0).alias("still"))
+
+
+@query(
+    f"{_P}, d as (select scan_id, {_KEY2}, count(*) as n, {_MEANS} from points_v where {_R} between 2 and 30 group by all), m as (select *, (cast(vx as bigint) * 73856093 + cast(vy as bigint) * 19349663 + cast(vz as bigint) * 83492791 + scan_id * 7919) % 1000003 as h from d) select scan_id, vx, vy, vz, n, x, y, z from m where ((h + 1000003) % 1000003) * 7919 % 1000 < 300"
+)
+def preprocess_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.preprocess(view(spark, sf_dir, "points_v"), Cropping("MinMaxRadius", min_radius=2.0, max_radius=30.0), 2.0, 0.3)
+
+
+@query(
+    f"{_P}, f as (select scan_id, {_R} <= 20 as is_merge, {_R} between 2 and 8 as is_match from points_v) select scan_id, count(*) filter (is_match) as n_match, count(*) filter (is_merge) as n_merge from f group by scan_id"
+)
+def merge_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "points_v")
+    flagged = scans.merge_and_match(p, Cropping(max_radius=20.0), Cropping("MinMaxRadius", min_radius=2.0, max_radius=8.0))
+    return flagged.groupBy("scan_id").agg(F.count_if("is_match").alias("n_match"), F.count_if("is_merge").alias("n_merge"))
+
+
+@query(f"{_P}, c as (select count(*) filter (not ({_R} <= 15)) as far, count(*) filter (not (r <= 0.5)) as red from points_v) select 'far' as rule, far as broken from c union all select 'red', red from c")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.validate(view(spark, sf_dir, "points_v"), {"far": crop.crop_predicate("MaxRadius", radius=15.0), "red": F.col("r") <= 0.5})
+
+
+@query(f"{_Q} select event_id, t_ticks as stamp, 'map' as frame_id, tx as x, ty as y from poses_v")
+def published_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scans.pose_record("t_ticks", "map", "range_sensor", g.planar_pose("tx", "ty", "tz", "yaw"))
+    return view(spark, sf_dir, "poses_v").select("event_id", r.alias("r")).select("event_id", "r.stamp", "r.frame_id", "r.translation.x", "r.translation.y")
