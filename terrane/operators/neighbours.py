@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import micro, voxel_key
+from terrane.plans.lineage import cut
 
 CELL = ("cell_x", "cell_y", "cell_z")
 
@@ -63,10 +64,11 @@ def nearest(source: DataFrame, target: DataFrame, radius: float, on: Sequence[st
     """
     left, found = source, None
     for k in range(rounds):
-        got = correspondences(left, target, radius * 2**k, on).select(*on, "source_id", "target_id", "d2")
+        got = cut(correspondences(left, target, radius * 2**k, on).select(*on, "source_id", "target_id", "d2"))
         found = got if found is None else found.unionByName(got)
-        if k + 1 < rounds:
-            left = left.join(got.select(*on, F.col("source_id").alias("point_id")), [*on, "point_id"], "left_anti")
+        left = cut(left.join(got.select(*on, F.col("source_id").alias("point_id")), [*on, "point_id"], "left_anti"))
+        if left.isEmpty():
+            break
     return found
 
 
