@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -133,17 +133,24 @@ OCCUPANCY_VOXEL_FACTOR = 2.5
 SKIPPED_SCANS = 5
 
 
-def _sensor(kind: str = "MinMaxRadius", low: float = 2.0, high: float = 30.0, voxel: float = 0.1, ratio: float = 0.3, min_z: float = -10.0, max_z: float = 10.0) -> Mapping:
-    scan = ScanProcessing(ratio, voxel, 1, Cropping(kind, min_z, max_z, low, high))
-    icp = Registration("Generalized", max_distance=1.0)
-    return Mapping(odometry=scan, odometry_registration=icp, mapper=replace(scan), mapper_registration=icp, map_voxel=voxel, submaps=Submaps(overlap_scans=10))
+_WIDE = Consistency(30.0, 30.0, 30.0, 80.0, 80.0, 40.0)
 
 
+def _sensor(odometry: tuple, mapper: tuple, map_voxel: float, truncation: float = 0.1, every: int = 10, fitness: float = 0.7, gap: int = 2, size: float = 20.0, distances: tuple[float, float] = (1.0, 0.8), low: float = 2.0, deskew: bool = False) -> Mapping:
+    """(voxel size, sampling ratio, outer radius) of the scans for odometry and for the map, and what else a sensor changes."""
+    scans = [ScanProcessing(ratio, voxel, 1, Cropping("MinMaxRadius", min_radius=low, max_radius=high)) for voxel, ratio, high in (odometry, mapper)]
+    icp = [Registration("Generalized", max_distance=d) for d in distances]
+    place = PlaceRecognition(min_matches=40, min_fitness=fitness, min_gap=gap, consistency=_WIDE)
+    return Mapping(odometry=scans[0], odometry_registration=icp[0], mapper=scans[1], mapper_registration=icp[1], map_voxel=map_voxel, carving=Carving(truncation=truncation, every=every), submaps=Submaps(radius=size, overlap_scans=10), place_recognition=place, motion=MotionCompensation(enabled=deskew))
+
+
+#: Fixed values of the sensor presets.
 PRESETS = {
     "default": Mapping(),
-    "spinning_16": _sensor(ratio=1.0),
-    "spinning_64": _sensor(high=50.0, voxel=0.2),
-    "spinning_128": _sensor(voxel=0.1),
-    "short_range_64": _sensor(low=0.5, high=20.0),
-    "depth_camera": _sensor("Cylinder", low=0.0, high=4.0, voxel=0.05, ratio=1.0, min_z=-2.0, max_z=3.0),
+    "spinning_16": _sensor((0.05, 1.0, 30.0), (0.08, 0.25, 30.0), 0.1),
+    "spinning_64": _sensor((0.2, 0.3, 30.0), (0.3, 0.25, 30.0), 0.3, truncation=0.5, every=20, fitness=0.8, gap=5),
+    "spinning_128": _sensor((0.15, 0.5, 30.0), (0.2, 0.5, 30.0), 0.25, truncation=0.45),
+    "short_range_64": _sensor((0.05, 0.9, 30.0), (0.1, 0.4, 25.0), 0.1),
+    "spinning_16_deskewed": _sensor((0.05, 1.0, 40.0), (0.08, 0.25, 40.0), 0.1, deskew=True),
+    "depth_camera": _sensor((0.02, 0.6, 2.0), (0.03, 0.6, 2.0), 0.03, truncation=0.45, every=1_000_000_000, size=3.0, distances=(0.2, 0.1), low=0.0),
 }

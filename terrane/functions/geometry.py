@@ -16,10 +16,10 @@ POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 TICKS_PER_SECOND = 10_000_000
 #: Ticks of 100 ns from 0001-01-01 to 1970-01-01.
 UNIX_TICKS = 621_355_968_000_000_000
-#: Fixed colours, by place: black, white, then those that submaps cycle through.
+#: White, black, gray, red, green, blue, yellow, orange, purple, chartreuse, teal, pink, magenta.
 PALETTE = (
-    (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.5, 0.5, 0.5), (1.0, 1.0, 0.0),
-    (1.0, 0.5, 0.0), (0.5, 0.0, 1.0), (0.0, 1.0, 1.0), (1.0, 0.0, 1.0), (0.0, 0.5, 0.5), (0.5, 0.25, 0.0),
+    (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (0.5, 0.5, 0.5), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 0.0),
+    (1.0, 0.5, 0.0), (0.5, 0.0, 1.0), (0.5, 1.0, 0.0), (0.0, 1.0, 1.0), (1.0, 0.0, 0.5), (0.78, 0.0, 0.9),
 )
 
 
