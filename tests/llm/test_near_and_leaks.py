@@ -1,5 +1,6 @@
 import hashlib
 import random
+from math import comb
 
 import numpy as np
 import xxhash
@@ -91,6 +92,31 @@ def test_similar_texts_are_linked(spark):
     assert {r.doc_id for r in keep_one(df).collect()} == set(got.values())
 
 
+def test_repeated_words_do_not_part_similar_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(12):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(404)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + ["="] * 600))]
+    got = dict(similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: i // 2 * 2 for i in range(24)}
+
+
+def test_radius_discards_no_similar_pair():
+    def differs(both, a, b):
+        """Chance that a bit of two sets differs that share ``both`` shingles and have ``a`` and ``b`` of their own."""
+        c, x, y = (np.array([comb(n, k) for k in range(n + 1)]) / 2.0**n for n in (both, a, b))
+        out = 0.0
+        for k, v in enumerate(c):
+            one = sum(p for i, p in enumerate(x) if 2 * (k + i) > both + a)
+            two = sum(p for i, p in enumerate(y) if 2 * (k + i) > both + b)
+            out += v * (one * (1 - two) + two * (1 - one))
+        return out
+
+    p = max(differs(c, a, b) for c in range(4, 61) for a in range(c // 4 + 1) for b in range(a, c // 4 + 1 - a))
+    assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(Similar().how.radius + 1, 65)) < 1e-8
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(7, None, 1), (5, "", 1), (None, "", 1), (9, "a b c d e f", 1), (9, "a b c d e f", 1)], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash_components(df).collect()), key=str)
