@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).distinct()
         last, e = e, keep(small, "edges")
         forget(last)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum("b")).first()
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.col("b").cast("decimal(20,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         before = now

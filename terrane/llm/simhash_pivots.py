@@ -18,11 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._graph import components
-from terrane.llm._spark import keep
+from terrane.llm._spark import forget, keep
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces
 
 # XXH64 primes: fixed values of the hash's specification.
@@ -225,32 +225,43 @@ class Similar:
     least shingle hashes; the pivot table and the bits then discard those beyond ``how.radius``.
     Each distinct shingle votes once, so repeats move no bit: a bit of two sets that share four
     fifths differs with a chance of 0.1875 at most (four shingles and five), and more than 32 of
-    64 do in less than one pair of a hundred million.  After that
-    and a sketch of ``bins`` least hashes decides.  Its estimate has a deviation of
-    sqrt(s(1 - s) / bins), so ``slack`` below ``similarity`` is let through.
+    64 do in less than one pair of a hundred million.  A sketch of ``bins`` least hashes, whose
+    estimate has a deviation of sqrt(s(1 - s) / bins), passes candidates from ``candidate`` on,
+    and the distinct shingles of a candidate pair decide.
     """
 
     how: SimHash = SimHash(shingle=5, radius=32)
     similarity: float = 0.8
-    slack: float = 0.03
+    candidate: float = 0.7
     bins: int = 512
     bands: int = 20
     rows: int = 4
-    #: Larger buckets are searched with sketches at hand instead of listing their pairs.
+    #: Larger buckets are searched in blocks, in turns, instead of listing their pairs.
     bucket: int = 32
+    block: int = 256
 
 
-def sketches(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, sketch, band keys) of each text.
+def _set_hash(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash of each set of shingles, from all of them."""
+    got = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        got[some] = np.add.reduceat(mix(h + U(1)), (np.cumsum(n) - n)[some])
+    return mix(got + n.astype(np.uint64))
+
+
+def measures(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, hash of the set of shingles, sketch, band keys) of each text.
 
     A shingle's hash falls into one of ``bins``; the sketch has a byte of the least hash of each
     bin, 0 if the bin is empty.  Bands take ``rows`` bins each, an empty one borrowing from the
     next that is not (Shrivastava and Li 2014).
     """
-    fp, sketch, bands = [np.zeros(0, np.uint64)], [np.zeros((0, s.bins), np.uint8)], [np.zeros((0, s.bands), np.uint64)]
+    fp, same, sketch, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, s.bins), np.uint8)], [np.zeros((0, s.bands), np.uint64)]
     for _, run in pieces(texts):
         h, text, n = _distinct(*_shingles(run, s.how))
         fp.append(_majority(h, n))
+        same.append(_set_hash(h, n))
         x = mix(h)
         least = np.full(len(run) * s.bins, U((1 << 64) - 1))
         np.minimum.at(least, text * s.bins + ((x >> U(32)) % U(s.bins)).astype(np.int64), mix(x))
@@ -266,7 +277,13 @@ def sketches(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndar
         for r in range(s.rows):
             key = mix(key * U(31) + full[:, spread[r :: s.rows]])
         bands.append(mix(key + np.arange(s.bands, dtype=np.uint64)))
-    return np.concatenate(fp), np.concatenate(sketch), np.concatenate(bands)
+    return np.concatenate(fp), np.concatenate(same), np.concatenate(sketch), np.concatenate(bands)
+
+
+def sketches(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, sketch, band keys) of each text."""
+    fp, _, sketch, bands = measures(texts, s)
+    return fp, sketch, bands
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,72 +307,193 @@ def _bucket_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, how: SimHash
     return np.concatenate(a), np.concatenate(b)
 
 
-def _grow(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, sketch: np.ndarray, s: Similar) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the links within each key; pairs are not listed."""
+def _grow(label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, s: Similar) -> tuple[list[int], list[int]]:
+    """Places of a spanning forest of the likely links between labels; pairs are not listed."""
     table = _pivot_table(fp, s.how.pivots)
     a, b = [], []
-    for k in np.unique(key):
-        waiting = np.flatnonzero(key == k)
-        while len(waiting) > 1:
-            todo, waiting = [int(waiting[0])], waiting[1:]
-            while todo and len(waiting):
-                x = todo.pop()
-                hit = _near(fp, table, np.full(len(waiting), x), waiting, s.how.radius)
-                hit = hit[estimate(sketch[x][None], sketch[waiting[hit]]) >= s.similarity - s.slack]
-                found = waiting[hit]
-                a += [int(rep[x])] * len(found)
-                b += rep[found].tolist()
-                todo.extend(found.tolist())
-                waiting = np.delete(waiting, hit)
+    waiting = np.arange(len(fp))
+    while len(waiting) > 1:
+        todo, waiting = [int(waiting[0])], waiting[1:]
+        while todo and len(waiting):
+            x = todo.pop()
+            same = label[waiting] == label[x]
+            hit = _near(fp, table, np.full(len(waiting), x), waiting, s.how.radius)
+            hit = hit[~same[hit]]
+            hit = hit[estimate(sketch[x][None], sketch[waiting[hit]]) >= s.similarity]
+            a += [x] * len(hit)
+            b += waiting[hit].tolist()
+            reached = same
+            reached[hit] = True
+            todo.extend(waiting[reached].tolist())
+            waiting = waiting[~reached]
     return a, b
 
 
+def _best(left: np.ndarray, label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, s: Similar, most: int) -> tuple[list[int], list[int], bool]:
+    """Places of the ``most`` likeliest candidates of another label for each of ``left``, and whether there are more."""
+    table = _pivot_table(fp, s.how.pivots)
+    a, b, more = [], [], False
+    for x in left.tolist():
+        other = np.flatnonzero(label != label[x])
+        other = other[_near(fp, table, np.full(len(other), x), other, s.how.radius)]
+        alike = estimate(sketch[x][None], sketch[other])
+        other, alike = other[alike >= s.candidate], alike[alike >= s.candidate]
+        more |= len(other) > most
+        other = other[np.argsort(-alike, kind="stable")[:most]]
+        a += [x] * len(other)
+        b += other.tolist()
+    return a, b, more
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Rows with equal values in the first ``by`` columns; they come sorted by these."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(i).to_numpy() for i in range(by)])
+        cut = (np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()
+        if kept and any(kept[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(by)):
+            yield pa.Table.from_batches(kept)
+            kept = []
+        for low, high in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            if low:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(low, high - low))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _groups(members: DataFrame, turn: int, s: Similar) -> DataFrame:
+    """(key, i, j, node, label, seek, full): groups of at most twice ``s.block`` members of each bucket (key, node, label).
+
+    In the first turn a bucket falls into blocks; in the next ones a member of each label stands
+    for it while these are too many for a block.  In the end (``full``) all pairs of different
+    labels share a group: those outside the most frequent label (``seek``) meet everyone.
+    """
+    per = members.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("root"))
+    per = keep(per, "labels")
+    size = per.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("major")).where("kinds > 1")
+    few = F.col("n") <= s.block
+    roots = (~few) & (F.lit(turn == 1) | (F.lit(1 < turn < 4) & (F.col("kinds") > s.block)))
+    full = F.lit(turn > 0) & ~roots
+    size = keep(size.withColumns({"roots": roots, "full": full, "few": few}), "sizes")
+    hashed = F.xxhash64("node", F.lit(turn + 1))
+
+    def block(n: Column) -> Column:
+        return F.pmod(hashed, F.ceil(n / s.block)).cast("long")
+
+    m = members.join(size, "key")
+    alone = block(F.when(F.col("few"), F.lit(1)).otherwise(F.col("n")))
+    whole = m.where("not roots and (few or not full)").select("key", alone.alias("i"), alone.alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
+    stand = per.join(size.where("roots"), "key").select("key", F.col("root").alias("node"), "label", "kinds", "full")
+    stand = stand.select("key", block(F.col("kinds")).alias("i"), block(F.col("kinds")).alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
+    rest = F.col("n") - F.col("most")
+    large = m.where("full and not few")
+    seek = large.where("label <> major").select("key", block(rest).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / s.block).cast("long") - 1)).alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
+    meet = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(rest / s.block).cast("long") - 1)).alias("i"), block(F.col("n")).alias("j"), "node", "label", F.lit(False).alias("seek"), "full")
+    return whole.union(stand).union(seek).union(meet)
+
+
 def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for each row of ``docs`` with integer ids, by ``Similar``; odd rows as in ``simhash_components``."""
     s = s or Similar()
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, sketch, bands = sketches(as_bytes(b.column(1)), s)
+            fp, same, sketch, bands = measures(as_bytes(b.column(1)), s)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), s.bands).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "fp", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "node", "fp", "sketch", "keys"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if got:
-            key, fp, rep = (np.concatenate(x) for x in zip(*got, strict=True))
-            a, b = _bucket_pairs(key, fp.view(np.uint64), rep, s.how)
+            key, fp, node = (np.concatenate(x) for x in zip(*got, strict=True))
+            a, b = _bucket_pairs(key, fp.view(np.uint64), node, s.how)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, s.bins) for i in (2, 3))
-            yes = pa.array(estimate(x, y) >= s.similarity - s.slack)
+            yes = pa.array(estimate(x, y) >= s.candidate)
             yield pa.RecordBatch.from_arrays([t.column(0).filter(yes), t.column(1).filter(yes)], ["a", "b"])
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(3)] + [b.column(3).to_pylist()] for b in batches if b.num_rows]
-        if got:
-            key, fp, rep = (np.concatenate([g[i] for g in got]) for i in range(3))
-            sketch = np.frombuffer(b"".join(x for g in got for x in g[3]), np.uint8).reshape(-1, s.bins)
-            a, b = _grow(key, fp.view(np.uint64), rep, sketch, s)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    all_ = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(measure, "id long, fp long, sketch binary, keys array<long>")
-    all_ = keep(all_.withColumn("same", F.xxhash64("fp", "sketch")), "sketches")
-    names = all_.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = keep(all_.join(names, (F.col("id") == F.col("rep")) & (all_["same"] == names["same"]), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
-    rows = reps.select(F.explode("keys").alias("key"), "fp", "rep")
+    def propose(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in _runs(batches, 3):
+                node, label, fp = (t.column(i).to_numpy() for i in (3, 4, 7))
+                sketch = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, s.bins)
+                more = True
+                if t.column(6)[0].as_py():
+                    seek = np.flatnonzero(t.column(5).to_numpy())
+                    a, b, more = _best(seek, label, fp.view(np.uint64), sketch, s, 8**turn if turn < 4 else 2 * len(node))
+                else:
+                    a, b = _grow(label, fp.view(np.uint64), sketch, s)
+                x, y = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
+                key = t.column(0)[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(a) + [key] * more, pa.int64()), pa.array([*np.minimum(x, y).tolist(), *[None] * more], pa.int64()), pa.array([*np.maximum(x, y).tolist(), *[None] * more], pa.int64())], ["key", "a", "b"])
+
+        return run
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, run in pieces(as_bytes(batch.column(0))):
+                h, text, n = _distinct(*_shingles(run, s.how))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_hash(h, n).view(np.int64)), lists], ["node", "hashes"])
+
+    all_ = keep(d.mapInArrow(measure, "id long, node long, fp long, sketch binary, keys array<long>"), "sketches")
+    names = all_.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"))
+    own = all_.join(names, (F.col("id") == F.col("rep")) & (all_["node"] == names["node"]), "left_semi").dropDuplicates(["node"])
+    reps = keep(own.select("node", F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
+    plain = reps.select("node", "fp", "sketch")
+
+    def similar(found: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that share ``similarity`` of their distinct shingles."""
+        found = keep(found, "candidates")
+        both = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        want = keep(both.join(reps.select("node", "rep"), "node"), "wanted")
+        texts = d.join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
+        sets = keep(texts.mapInArrow(hashes, "node long, hashes array<long>").join(want, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+        shared = F.size(F.array_intersect("x", "y"))
+        met = found.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("of"))
+        out = keep(met.where(F.col("n") / F.col("of") >= s.similarity).select("a", "b"), "links")
+        forget(found, want, sets)
+        return out
+
+    rows = reps.select(F.explode("keys").alias("key"), "node")
     sizes = rows.groupBy("key").count().where("count > 1").select("key", (F.col("count") > s.bucket).alias("large"))
     sizes = keep(sizes, "buckets")
-    met = rows.join(sizes, "key")
-    plain = reps.select("rep", "sketch")
-    few = met.where("not large").select("key", "fp", "rep").repartition("key").mapInArrow(pairs, "a long, b long").distinct()
-    few = few.join(plain.withColumnsRenamed({"rep": "a", "sketch": "x"}), "a").join(plain.withColumnsRenamed({"rep": "b", "sketch": "y"}), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
-    many = met.where("large").select("key", "fp", "rep").join(plain, "rep").select("key", "fp", "rep", "sketch").repartition("key").mapInArrow(grow, "a long, b long")
-    linked = components(few.union(many))
-    named = names.join(linked, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return all_.select("id", "same").join(named, "same").select(F.col("id").alias(id_col), "component_id")
+    small = reps.select(F.explode("keys").alias("key"), "fp", "node").join(sizes.where("not large").select("key"), "key")
+    few = small.repartition("key").mapInArrow(pairs, "a long, b long").distinct()
+    few = few.join(plain.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(plain.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    links = similar(few.select("a", "b", "x", "y").mapInArrow(pass_, "a long, b long"))
+    linked = components(links)
+    left = sizes.where("large").select("key")
+    met = keep(rows.join(left, "key"), "large")
+    tried = None
+    turn = 0
+    while not left.isEmpty():
+        members = keep(met.join(left, "key", "left_semi").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "members")
+        groups = _groups(members, turn, s).join(plain, "node").select("key", "i", "j", "node", "label", "seek", "full", "fp", "sketch")
+        found = keep(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(propose(turn), "key long, a long, b long"), "proposed")
+        forget(members)
+        fresh = found.where("a is not null").select("a", "b").distinct()
+        if tried is not None:
+            fresh = fresh.join(tried, ["a", "b"], "left_anti")
+        fresh = keep(fresh, "tried")
+        links = links.union(similar(fresh))
+        tried = fresh if tried is None else tried.union(fresh)
+        linked = components(links)
+        left = keep(found.where("a is null").select("key").distinct(), "unsettled")
+        turn += 1
+    ids = names.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = keep(ids.join(least, "component").select("node", "component_id"), "named")
+    return all_.select("id", "node").join(named, "node", "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from math import comb
 import numpy as np
 import xxhash
 
-from terrane.llm.simhash_pivots import SimHash, Similar, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
+from terrane.llm.simhash_pivots import SimHash, Similar, _groups, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
 from terrane.llm.winnowing import Winnow, contamination, keep_clean
 
 
@@ -117,6 +117,53 @@ def test_radius_discards_no_similar_pair():
     assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(Similar().how.radius + 1, 65)) < 1e-8
 
 
+def edited(rng, w, k):
+    """A copy with a run of k words changed: 4 + k of its shingles are others."""
+    at = rng.randrange(10, len(w) - k - 10)
+    return w[:at] + [f"n{rng.randrange(10**9)}" for _ in range(k)] + w[at + k :]
+
+
+def test_links_are_decided_by_the_shingles(spark):
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for i in range(60):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(304)]  # 300 shingles
+        k = (28, 29, 30, 31)[i % 4]  # similarity 0.807, 0.802, 0.796, 0.791
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited(rng, w, k)))]
+        pairs.append(k <= 29)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(similar_components(df).collect())
+    assert got == {j: 2 * i if near else j for i, near in enumerate(pairs) for j in (2 * i, 2 * i + 1)}
+
+
+def test_blocks_of_a_large_bucket_connect_what_pairs_connect(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+    heads = [base] + [edited(rng, base, 12) for _ in range(4)]
+    texts = [" ".join(edited(rng, rng.choice(heads), rng.choice((1, 2, 4)))) for _ in range(150)]
+    sets = [set(shingles(t, 5)) for t in texts]
+    want = closure(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(similar_components(df, Similar(bucket=4, block=8)).collect())
+    assert 1 < len(set(want)) < 150 and got == dict(enumerate(want))
+
+
+def test_groups_are_bounded_and_whole(spark):
+    s = Similar(block=10)
+    members = spark.createDataFrame([(1, n, 0 if n < 460 else n) for n in range(500)], "key long, node long, label long")
+    for turn in (0, 1, 4):
+        got = _groups(members, turn, s).collect()
+        size = {}
+        for r in got:
+            size[r.i, r.j] = size.get((r.i, r.j), 0) + 1
+        assert max(size.values()) <= 60
+    met = {}
+    for r in got:
+        met.setdefault((r.i, r.j), ([], []))[not r.seek].append(r.node)
+    pairs = {(a, b) for seek, all_ in met.values() for a in seek for b in all_}
+    assert pairs >= {(a, b) for a in range(460, 500) for b in range(500)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(7, None, 1), (5, "", 1), (None, "", 1), (9, "a b c d e f", 1), (9, "a b c d e f", 1)], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash_components(df).collect()), key=str)
