@@ -214,9 +214,9 @@ def _shares(key: np.ndarray, limit: int) -> Iterator[np.ndarray]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, text, spans) for every row of ``docs``; a text has at most a few spans for each window of it."""
+    """All columns of ``docs`` and ``spans`` for every row; a text has at most a few spans for each window of it."""
     per = spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(per.hint("shuffle_hash"), F.col("id") == F.col("doc"), "left").select("id", "text", "spans")
+    return docs.join(per.hint("shuffle_hash"), F.col("id") == F.col("doc"), "left").select(*(docs[c] for c in docs.columns), "spans")
 
 
 def covered(n: int, spans: list[dict] | None) -> np.ndarray:

@@ -398,6 +398,11 @@ def _groups(members: DataFrame, turn: int, s: Similar) -> DataFrame:
 
 def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for each row of ``docs`` with integer ids, by ``Similar``; odd rows as in ``simhash_components``."""
+    return _similar(docs, s, id_col, text_col).select(F.col("id").alias(id_col), "component_id")
+
+
+def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, component_id) for each row."""
     s = s or Similar()
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -405,7 +410,7 @@ def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str =
         for b in batches:
             fp, same, sketch, bands = measures(as_bytes(b.column(1)), s)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), s.bands).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "node", "fp", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "text_hash", "node", "fp", "sketch", "keys"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
@@ -444,7 +449,8 @@ def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_hash(h, n).view(np.int64)), lists], ["node", "hashes"])
 
-    all_ = keep(d.mapInArrow(measure, "id long, node long, fp long, sketch binary, keys array<long>"), "sketches")
+    hashed = d.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    all_ = keep(hashed.mapInArrow(measure, "id long, text_hash long, node long, fp long, sketch binary, keys array<long>"), "sketches")
     names = all_.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     own = all_.join(names, (F.col("id") == F.col("rep")) & (all_["node"] == names["node"]), "left_semi").dropDuplicates(["node"])
     reps = keep(own.select("node", F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
@@ -493,11 +499,20 @@ def similar_components(docs: DataFrame, s: Similar | None = None, id_col: str =
     ids = names.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = keep(ids.join(least, "component").select("node", "component_id"), "named")
-    return all_.select("id", "node").join(named, "node", "left").select(F.col("id").alias(id_col), "component_id")
+    return all_.select("id", "text_hash", "node").join(named, "node", "left").select("id", "text_hash", "component_id")
 
 
 def keep_one(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of similar texts, the one of the least id, all columns unchanged."""
-    found = similar_components(docs, s, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component of similar texts, one of the least id, all columns unchanged.
+
+    Rows that share an id are told apart by their text; rows of a null id all stay.
+    """
+    found = keep(_similar(docs, s, id_col, text_col), "components")
+    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    left = docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+    twice = found.where(F.col("id") == F.col("component_id")).groupBy("id").count().where("count > 1").select(F.col("id").alias("__twice"))
+    twice = keep(twice, "repeated")
+    if twice.isEmpty():
+        return left
+    met = F.col(id_col) == F.col("__twice")  # what is left of such an id lies in one component
+    return left.join(twice, met, "left_anti").union(left.join(twice, met, "left_semi").dropDuplicates([id_col]))

@@ -99,17 +99,23 @@ def repeated_bytes(docs: DataFrame, how: Suffixes | None = None, id_col: str = "
     return _marked(docs, how, id_col, text_col).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
-def remaining_text(docs: DataFrame, how: Suffixes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, n_removed): the texts without repeated bytes; what is left of a cut character goes too."""
+def remaining_text(docs: DataFrame, how: Suffixes | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, text, n_removed): the texts without repeated bytes; what is left of a cut character goes too.
+
+    With ``carry``, the other columns follow as the struct ``row``.
+    """
     how = how or Suffixes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n = [], []
-            for text, spans in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, spans in zip(as_bytes(b.column(1)), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 gone = covered(len(text or b""), spans)
                 n.append(int(gone.sum()))
                 kept.append(None if text is None else np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if spans else text.decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64())], ["id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n, pa.int64()), *b.columns[2:-1]], ["id", "text", "n_removed", *(["row"] if carry else [])])
 
-    return _marked(docs, how, id_col, text_col).mapInArrow(run, "id long, text string, n_removed long").withColumnsRenamed({"id": id_col, "text": text_col})
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []))
+    row = f", row {d.schema['row'].dataType.simpleString()}" if carry else ""
+    marked = with_spans(d, repeated_spans(_anchors(d.select("id", "text"), how), d.select("id", "text"), how.shape, _contexts))
+    return marked.mapInArrow(run, f"id long, text string, n_removed long{row}").withColumnsRenamed({"id": id_col, "text": text_col})

@@ -47,6 +47,21 @@ def test_each_stage_does_what_it_is_for(spark, tmp_path):
     assert whole == {i: list(r.ids) for i, r in tokens.items()}
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(prose(rng, 120)) for _ in range(5))
+    passage = " ".join(prose(rng, 120))
+    kind = "doc_id long, text string, n_chars long"
+    df = spark.createDataFrame([(1, a, 0), (3, b, 0), (3, b, 0), (5, c, 0), (5, a, 0), (None, d, 0), (None, e, 0)], kind)
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (3, b), (5, c), (0, d), (0, e)])
+    df = spark.createDataFrame([(1, a, 0), (1, a, 0), (2, b + " " + passage, 0), (3, passage + " " + c, 0), (None, d, 0)], kind)
+    got = corpus_pipeline.repeated_passages(spark, df, "").collect()
+    assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3]
+    assert all(r.text == {None: d, 1: a}.get(r.doc_id, r.text) and r.n_chars == len(r.text) for r in got)
+    assert not any(passage[30:-30] in r.text for r in got)
+
+
 def test_empty_documents(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
