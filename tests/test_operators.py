@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrane import catalog
 from terrane.functions import geometry as g
 from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, trajectory, voxel
 
@@ -164,3 +165,12 @@ def test_loops_close_between_moved_copies(spark):
     assert got.status == "accepted"
     want = spark.range(1).select(move.alias("p")).first().p
     assert list(got.pose) == pytest.approx(list(want), abs=1e-3)
+
+
+def test_pose_graph_solves_every_node(spark, tmp_path):
+    rows = [(i, i % 25, float(i % 7) * 100) for i in range(250)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = catalog.QUERIES["pose_graph"](spark, str(tmp_path)).collect()
+    assert sorted((r.graph_id, r.node_id) for r in got) == [(g, n) for g in range(5) for n in range(50)]
+    first = {r.graph_id: r.tx for r in got if r.node_id == 0}
+    assert all(abs(r.tx - first[r.graph_id] - r.node_id) < 1e-3 and abs(r.ty) < 1e-3 for r in got)
