@@ -76,6 +76,7 @@ class PlaceRecognition:
     feature_radius: float = 2.5
     feature_knn: int = 100
     normal_knn: int = 10
+    ransac_hypotheses: int = 1_000_000
     ransac_probability: float = 0.99
     ransac_distance: float = 0.75
     ransac_edge: float = 0.5

@@ -59,7 +59,7 @@ def fpfh(points: DataFrame, radius: float, k: int, on: Sequence[str] = ("cloud_i
     return raw.select(*on, "point_id", F.concat(*map(norm, parts)).alias("fpfh"))
 
 
-def ransac(matches: DataFrame, distance: float, edge: float = 0.5, hypotheses: int = 4096, confidence: float = 0.99, seed: int = 7) -> DataFrame:
+def ransac(matches: DataFrame, distance: float, edge: float = 0.5, hypotheses: int = 1_000_000, confidence: float = 0.99, seed: int = 7) -> DataFrame:
     """Rigid pose of each pair from point matches: (pair_id, pose, n_inliers, n_matches).
 
     ``matches``: (pair_id, sx, sy, sz, tx, ty, tz).  Three matches make a hypothesis if the

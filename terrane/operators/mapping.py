@@ -155,6 +155,7 @@ def submap_features(clouds: DataFrame, voxel_size: float, normal_radius: float,
 class LoopSettings:
     ransac_distance: float = 0.75
     ransac_edge: float = 0.5
+    ransac_hypotheses: int = 1_000_000
     least_matches: int = 25
     overlap_voxel: float = 1.0
     overlap_points: int = 1
@@ -175,7 +176,7 @@ def close_loops(candidates: DataFrame, features: DataFrame, s: LoopSettings | No
     src = xyz.select(F.col("cloud_id").alias("source"), F.col("point_id").alias("a"), *(F.col(c).alias(f"s{c}") for c in "xyz"))
     tgt = xyz.select(F.col("cloud_id").alias("target"), F.col("point_id").alias("b"), *(F.col(c).alias(f"t{c}") for c in "xyz"))
     matches = m.join(src, ["source", "a"]).join(tgt, ["target", "b"]).select(pair, *(f"s{c}" for c in "xyz"), *(f"t{c}" for c in "xyz"))
-    coarse = cut(ransac(matches, s.ransac_distance, s.ransac_edge))
+    coarse = cut(ransac(matches, s.ransac_distance, s.ransac_edge, s.ransac_hypotheses))
     reasons = consistency_reasons(F.col("pose"), **limits)
     good = coarse.where((F.col("n_inliers") >= s.least_matches) & (F.size(reasons) == 0)).select("pair_id", "pose")
     keyed = candidates.select("source", "target", pair)
@@ -221,7 +222,7 @@ def correct(points: DataFrame, poses: DataFrame, submaps: DataFrame, nodes: Data
     return apply_corrections(points, corrections), moved_poses, corrections
 
 
-def map_in_blocks(scans: DataFrame, odometry: DataFrame, block: int, kind: str, radius: float, size: float, least_fitness: float = 0.7, blocks: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def map_in_blocks(scans: DataFrame, odometry: DataFrame, block: int, kind: str, radius: float, size: float, least_fitness: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Refine scans against the growing map, ``block`` scans of every session at a time: (poses, map).
 
     ``scans``: (session_id, k, point_id, x, y, z, ...), k counting from 0; ``odometry``:
@@ -231,7 +232,7 @@ def map_in_blocks(scans: DataFrame, odometry: DataFrame, block: int, kind: str,
     """
     last = scans.agg(F.max("k")).first()[0]
     poses = map_ = None
-    for start in range(0, min((last or 0) + 1, block * blocks), block):
+    for start in range(0, (last or 0) + 1, block):
         now = scans.where(F.col("k").between(start, start + block - 1)).withColumn("pair_id", F.concat_ws("/", "session_id", "k"))
         guess = odometry.where(F.col("k").between(start, start + block - 1)).withColumn("pair_id", F.concat_ws("/", "session_id", "k"))
         if map_ is None:

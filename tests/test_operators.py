@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane import catalog
+from terrane.config import PlaceRecognition
 from terrane.functions import geometry as g
 from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, trajectory, voxel
 
@@ -174,3 +176,18 @@ def test_pose_graph_solves_every_node(spark, tmp_path):
     assert sorted((r.graph_id, r.node_id) for r in got) == [(g, n) for g in range(5) for n in range(50)]
     first = {r.graph_id: r.tx for r in got if r.node_id == 0}
     assert all(abs(r.tx - first[r.graph_id] - r.node_id) < 1e-3 and abs(r.ty) < 1e-3 for r in got)
+
+
+def test_ransac_default_finds_few_true_matches():
+    rng = np.random.default_rng(9)
+    tries = inspect.signature(features.ransac).parameters["hypotheses"].default
+    assert tries == mapping.LoopSettings().ransac_hypotheses == PlaceRecognition().ransac_hypotheses
+    for seed in range(6):
+        p, q = rng.uniform(-10, 10, (2, 600, 3))
+        q[:30] = p[:30] + [1.0, 2.0, 0.5]
+        pose, n = features.best_pose(p, q, 0.05, 0.5, tries, 0.99, seed)
+        assert n >= 30 and np.allclose(pose[:3, 3], [1.0, 2.0, 0.5], atol=0.05)
+
+
+def test_map_in_blocks_has_no_limit_of_blocks():
+    assert "blocks" not in inspect.signature(mapping.map_in_blocks).parameters
