@@ -1,18 +1,19 @@
 """Repeated windows, found from anchors that equal windows share.
 
 A *symbol* is a byte or a word.  An anchor is a place in a text with a key such that any two
-equal windows of ``window`` symbols hold anchors of one key at the same offset, between
+equal windows of the shortest size hold anchors of one key at the same offset, between
 ``least`` and ``most`` symbols from the window's start.  So windows need comparing only
 between anchors of one key, and only through the symbols around the anchor (its context).
 
 1. Keys of one occurrence are dropped; they are most of them.
-2. Occurrences of one key and one context agree in all their windows: settled by counting.
-3. Where a key has several contexts, one of each is fetched and the contexts are compared by
-   backward extension (``extend``).  A key with more contexts than fit a task is compared by
-   counting the hashes of its windows instead.
-
-``earlier``: a window counts only if it also begins in a text of a smaller id.  Otherwise it
-counts if it begins anywhere else.
+2. Equal contexts of one key (a class) are counted and then stand for each other, so that what
+   is compared are distinct contexts.
+3. Where a key has several classes, one member of each is fetched and they are compared by
+   interval expansion (``extend``).  A key of more than ``task_contexts`` is compared by Spark
+   rounds instead, which no single task bears (``_by_ranges``); both give the same.
+
+Texts are told apart by their row, that is by id and text, never by the id alone.  Rows equal
+in both hold the same anchors at the same places, and each is elsewhere to the other.
 """
 
 from __future__ import annotations
@@ -22,67 +23,95 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._spark import forget, keep, partitions
-from terrane.llm._text import as_bytes
+from terrane.llm._text import U, as_bytes, mix
 
-ANCHORS = "key long, ctx long, doc long, at int, lo int, hi int"
+ANCHORS = "key long, ctx long, doc long, hash long, at int, lo int, hi int"
+SPANS = "doc long, hash long, lo int, hi int, kind int"
+#: Contexts that are laid out in memory at once.
+_CHUNK = 20_000
 
 
 def _as_they_are(texts: list[bytes]) -> list[bytes]:
     return texts
 
 
+@dataclass(frozen=True)
+class Window:
+    """Windows of ``size`` symbols count that also begin at "any" other place, in another "row", or in a text of an "earlier" id."""
+
+    size: int
+    elsewhere: str = "any"
+
+
 @dataclass(frozen=True)
 class Shape:
-    window: int
+    windows: tuple[Window, ...]
     least: int
     most: int
     width: int  # bytes of a symbol
-    earlier: bool
     #: Turns stretches of text into the bytes of their symbols.
     symbols: Callable[[list[bytes]], list[bytes]] = _as_they_are
     #: Contexts of one key that a single task compares.
-    task_contexts: int = 50_000
+    task_contexts: int = 1_000
 
     @property
     def right(self) -> int:
-        return self.window - self.least
+        return max(w.size for w in self.windows) - self.least
+
+
+def _rows(parts: list[bytes], size: int, width: int) -> np.ndarray:
+    """Byte strings as rows of symbols, filled up with zeros."""
+    rows = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), np.uint8).reshape(len(parts), size)
+    return rows if width == 1 else rows.view(np.uint64)
 
 
-def _rows(parts: list[bytes], size: int) -> np.ndarray:
-    """Byte strings as rows of a matrix, filled up with zeros."""
-    return np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), np.uint8).reshape(len(parts), size)
+def common_prefixes(key: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Symbols that each sorted row shares with the one above it; -1 where the key differs.
 
+    Breadth first, by increasing value: all intervals of rows that share a prefix are extended
+    by one symbol before any gets the next.  Where an interval splits, the length so far is the
+    common prefix there.  What has not split at the full width needs no further look.
+    """
+    shared = np.full(len(key), -1, np.int64)
+    live = np.flatnonzero(key[1:] == key[:-1]) + 1
+    shared[live] = follow.shape[1]
+    for length, symbol in enumerate(np.ascontiguousarray(follow.T)):
+        if not len(live):
+            break
+        same = symbol[live] == symbol[live - 1]
+        shared[live[~same]] = length
+        live = live[same]
+    return shared
 
-def extend(shape: Shape, key: np.ndarray, doc: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and the greatest offset of its repeated windows (greatest -1: none).
+
+def extend(shape: Shape, key: np.ndarray, doc: np.ndarray, row: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """[window kind, context]: the least and the greatest offset of its repeated windows (greatest -1: none).
 
     The contexts, sorted by key and by what follows the anchor, are the part of a suffix array
-    that begins at anchors; the symbol before each row is its Burrows-Wheeler symbol.  An
-    interval of rows is extended backwards symbol by symbol, all intervals of one length
-    before those of the next.  With ``d`` symbols before the anchor shared, rows that also
-    share ``window - d`` symbols after it hold the same window.  Lengths beyond the window are
-    never looked at, and intervals of one row are dropped.
+    that begins at anchors; the symbol before each row is its Burrows-Wheeler symbol.  The
+    common prefixes come by increasing value (``common_prefixes``).  Then an interval of rows is
+    extended backwards symbol by symbol, all intervals of one length before those of the next.
+    With ``d`` symbols before the anchor shared, rows that also share ``size - d`` symbols
+    after it hold the same window.  Lengths beyond the window are never looked at, and
+    intervals of one row are dropped.
     """
     n, w = len(key), shape.width
-    low, high = np.full(n, shape.window, np.int64), np.full(n, -1, np.int64)
+    low, high = np.full((len(shape.windows), n), 1 << 40, np.int64), np.full((len(shape.windows), n), -1, np.int64)
     size = shape.right * w
-    follow = _rows(right, size)
+    follow = _rows(right, size, 1)
     head = key.astype(">i8").view(np.uint8).reshape(n, 8)
     order = np.argsort(np.concatenate([head, follow], axis=1).view(f"S{size + 8}").ravel(), kind="stable")
-    key, doc, follow = key[order], doc[order], follow[order]
+    key, doc, row = key[order], doc[order], row[order]
+    follow = follow[order] if w == 1 else np.ascontiguousarray(follow[order]).view(np.uint64)
     length = np.fromiter(map(len, right), np.int64, n)[order] // w
     before = np.fromiter(map(len, left), np.int64, n)[order] // w
-    differ = follow[1:] != follow[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), size) // w
-    shared[key[1:] != key[:-1]] = -1
-    del differ, follow
-    back = _rows([x[::-1] for x in left], shape.most * w)[order]
-    back = back if w == 1 else np.ascontiguousarray(back).view(np.uint64)
+    shared = common_prefixes(key, follow)
+    del follow
+    back = _rows([x[::-1] for x in left], shape.most * w, w)[order]
     rows = np.arange(n)
     group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
     for d in range(shape.most + 1):
@@ -102,127 +131,218 @@ def extend(shape: Shape, key: np.ndarray, doc: np.ndarray, left: list[bytes], ri
             break
         if d < shape.least:
             continue
-        need = shape.window - d
-        part = np.concatenate([[0], np.cumsum(shared < need)])[rows]
-        whole = length[rows] >= need
-        r, g, p = rows[whole], group[whole], part[whole]
-        if not len(r):
-            continue
-        first = np.flatnonzero((np.diff(g, prepend=-1) != 0) | (np.diff(p, prepend=-1) != 0))
-        run = np.diff(np.append(first, len(r)))
-        hit = np.repeat(np.minimum.reduceat(doc[r], first), run) < doc[r] if shape.earlier else np.repeat(run, run) > 1
-        found = order[r[hit]]
-        low[found] = np.minimum(low[found], d)
-        high[found] = d
+        for k, window in enumerate(shape.windows):
+            need = window.size - d
+            part = np.cumsum(shared < need)[rows]
+            whole = length[rows] >= need
+            r, g, p = rows[whole], group[whole], part[whole]
+            if not len(r):
+                continue
+            first = np.flatnonzero((np.diff(g, prepend=-1) != 0) | (np.diff(p, prepend=-1) != 0))
+            run = np.diff(np.append(first, len(r)))
+            if window.elsewhere == "earlier":
+                hit = np.repeat(np.minimum.reduceat(doc[r], first), run) < doc[r]
+            elif window.elsewhere == "row":
+                hit = np.repeat(np.minimum.reduceat(row[r], first) != np.maximum.reduceat(row[r], first), run)
+            else:
+                hit = np.repeat(run, run) > 1
+            found = order[r[hit]]
+            low[k, found] = np.minimum(low[k, found], d)
+            high[k, found] = d
     return low, high
 
 
-def _window_hashes(shape: Shape, left: bytes, right: bytes) -> Iterator[tuple[int, int, int]]:
+def _first_and_last() -> list[Column]:
+    place = F.struct("doc", "hash", "at")
+    return [F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")]
+
+
+def _twice(elsewhere: str) -> Column:
+    """Whether a group of occurrences holds two that are elsewhere to each other."""
+    if elsewhere == "any":
+        return F.col("n") > 1
+    if elsewhere == "row":
+        return ~F.struct("first.doc", "first.hash").eqNullSafe(F.struct("last.doc", "last.hash"))
+    return F.col("first.doc") < F.col("last.doc")
+
+
+def _settled(elsewhere: str) -> Column:
+    """Whether an occurrence repeats one of its group."""
+    return F.col("doc") > F.col("first.doc") if elsewhere == "earlier" else _twice(elsewhere)
+
+
+def _by_kind(shape: Shape, of: Callable[[Window], Column]) -> Column:
+    out = F.lit(None)
+    for k, window in enumerate(shape.windows):
+        out = F.when(F.col("kind") == k, of(window)).otherwise(out)
+    return out
+
+
+def _is_first() -> Column:
+    return F.struct("doc", "hash", "at").eqNullSafe(F.struct("first.doc", "first.hash", "first.at"))
+
+
+def _parts(n: int) -> Column:
+    """The range d1 to d2 in n parts of equal size, the last shorter, as rows ``x``."""
+    step = F.ceil((F.col("d2") - F.col("d1") + 1) / n).cast("int")
+    return F.explode(F.transform(F.sequence(F.col("d1"), F.col("d2"), step), lambda d: F.struct(d.alias("d1"), F.least(d + step - 1, F.col("d2")).alias("d2"))))
+
+
+def _by_ranges(contexts: DataFrame, shape: Shape) -> DataFrame:
+    """Spans (``SPANS``) of the contexts (key, doc, hash, at, sure, l, r), by Spark rounds that split ranges of offsets.
+
+    All windows of a context that begin ``d1`` to ``d2`` symbols before the anchor share a core
+    and lie in a whole.  A core that no other context has ends the range; a whole that is found
+    elsewhere settles it; any other range is split.  Of contexts with equal wholes one goes on
+    to be met by others.  Cores and wholes are counted by hash (128 bits), combined before the
+    shuffle, so that no task meets all contexts of a key.
+    """
     w = shape.width
-    both, at = left + right, len(left) // w
-    for d in range(shape.least, min(shape.most, at) + 1):
-        a = (at - d) * w
-        if a + shape.window * w <= len(both):
-            h = xxhash.xxh3_128_digest(both[a : a + shape.window * w])
-            yield d, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+    a, b = F.floor(F.length("l") / w).cast("int"), F.floor(F.length("r") / w).cast("int")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(x.size).alias("size"), F.col("sure").bitwiseAND(1 << k).cast("boolean").alias("done")) for k, x in enumerate(shape.windows))))
+    own = ["key", "doc", "hash", "at", "l", "r", "kind", "size", "done"]
+    start = contexts.select(*own[:6], kinds.alias("x")).select(*own[:6], "x.*", F.lit(shape.least).alias("d1"), F.lit(shape.most).alias("d2"))
+    state = start.withColumn("x", _parts(8)).select(*own, "x.*")
+    valid = (F.greatest("d1", F.col("size") - b) <= F.least("d2", a)) & (b >= F.col("size") - F.col("d2"))
+    same = ["key", "kind", "d1", "d2", "h1", "h2"]
+
+    def around(before: Column, after: Column) -> Column:
+        return F.concat(F.substring("l", F.length("l") - before * w + 1, before * w), F.substring("r", F.lit(1), after * w))
+
+    found = []
+    while True:
+        core = around(F.col("d1"), F.col("size") - F.col("d2"))
+        whole = F.when((a >= F.col("d2")) & (b >= F.col("size") - F.col("d1")), around(F.col("d2"), F.col("size") - F.col("d1")))
+        hashes = {"c1": F.xxhash64(core), "c2": F.xxhash64(F.lit(1), core), "w1": F.when(whole.isNotNull(), F.xxhash64(F.lit(2), whole)), "w2": F.xxhash64(F.lit(3), whole)}
+        state = keep(state.where(valid).withColumns(hashes), "ranges")
+        if found:
+            forget(*before)
+        if state.isEmpty():
+            break
+        place = ["key", "kind", "d1", "d2", "doc", "hash", "at"]
+        both = state.select(*place, F.col("c1").alias("h1"), F.col("c2").alias("h2")).union(state.where("w1 is not null").select(*place, "w1", "w2"))
+        groups = keep(both.groupBy(*same).agg(*_first_and_last()).where(_by_kind(shape, lambda x: _twice(x.elsewhere))), "shared")
+        cores = groups.select(*same[:4], F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+        wholes = groups.select(*same[:4], F.col("h1").alias("w1"), F.col("h2").alias("w2"), "n", "first", "last")
+        met = state.join(cores, [*same[:4], "c1", "c2"]).join(wholes, [*same[:4], "w1", "w2"], "left")
+        met = met.withColumn("settled", F.coalesce(_by_kind(shape, lambda x: _settled(x.elsewhere)), F.lit(False)))
+        found.append(keep(met.where("settled and not done").select("doc", "hash", (F.col("at") - F.col("d2")).alias("lo"), (F.col("at") - F.col("d1") + F.col("size")).alias("hi"), "kind"), "spans"))
+        stay = met.where((F.col("d1") < F.col("d2")) & (~F.col("settled") | _is_first()))
+        before = (state, groups)
+        state = stay.withColumn("done", F.col("done") | F.col("settled")).withColumn("x", _parts(4)).select(*own, "x.*")
+    forget(state)
+    out = contexts.sparkSession.createDataFrame([], SPANS)
+    for x in found:
+        out = out.union(x)
+    return out
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Runs of whole keys, about ``rows`` rows each; the batches come sorted by key, their first column."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(kept)
+            key = t.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield t.slice(0, cut)
+                kept, n = t.slice(cut).to_batches(), len(t) - cut
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: Callable[[bytes, list[tuple[int, int, int]]], list[tuple[bytes, bytes]]]) -> DataFrame:
-    """(doc, lo, hi): stretches of symbols that repeated windows cover; they may overlap.
+    """(doc, hash, lo, hi, kind): stretches of symbols that repeated windows cover; they may overlap.
 
-    ``docs`` is (id, text) and ``context`` cuts what stands before and after
-    anchors (at, lo, hi) out of a text.
+    ``docs`` is (id, text); ``hash`` is ``xxhash64`` of the text, ``kind`` the place in
+    ``shape.windows``.  ``context`` cuts what stands before and after anchors (at, lo, hi) out
+    of a text.
     """
     anchors = keep(anchors, "anchors")
-    place = [F.min("doc").alias("doc0"), F.max("doc").alias("doc1")]
-    if not shape.earlier:
-        place += [F.min("at").alias("at0"), F.max("at").alias("at1")]
-    elsewhere = "doc0 <> doc1" if shape.earlier else "doc0 <> doc1 or at0 <> at1"
-    keys = anchors.groupBy("key").agg((F.min("ctx") != F.max("ctx")).alias("multi"), *place).where(elsewhere).select("key", "multi")
+    often = F.min("doc") < F.max("doc") if all(x.elsewhere == "earlier" for x in shape.windows) else F.count("*") > 1
+    texts = F.min("hash") != F.max("hash") if any(x.elsewhere == "row" for x in shape.windows) else F.lit(True)
+    keys = anchors.groupBy("key").agg((F.min("ctx") != F.max("ctx")).alias("multi"), often.alias("often"), texts.alias("texts")).where("often").select("key", "multi", "texts")
     # a table of its own, so that the join may split the rows of a hot key
     keys = keep(keys, "keys")
     hits = keep(anchors.join(keys, "key"), "hits")
     forget(anchors, keys)
-    classes = hits.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
-    classes = keep(classes, "classes")
+    classes = keep(hits.groupBy("key", "ctx").agg(*_first_and_last()), "classes")
     known = keep(hits.join(classes, ["key", "ctx"]), "known")
     forget(hits, classes)
-    if shape.earlier:
-        settled, open_ = F.col("doc") > F.col("first.doc"), F.col("doc") == F.col("first.doc")
-    else:
-        settled, open_ = F.col("first") != F.col("last"), (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))
-    sure = known.where(settled & (F.col("hi") - F.col("lo") >= shape.window)).select("doc", "lo", "hi")
-    ask = known.where(F.col("multi") & open_).select("key", "doc", "at", "lo", "hi", settled.alias("sure"))
+    sure, mask, open_ = [], F.lit(0), _is_first()
+    for k, x in enumerate(shape.windows):
+        yes = _settled(x.elsewhere)
+        sure.append(known.where(yes & (F.col("hi") - F.col("lo") >= x.size)).select("doc", "hash", "lo", "hi", F.lit(k).alias("kind")))
+        mask = mask + F.when(yes, 1 << k).otherwise(0)
+        # the least of a class stands for it; one that nothing settles yet asks for itself, if other rows could
+        open_ = open_ | (~yes & F.col("texts") if x.elsewhere == "row" else ~yes)
+    ask = known.where(F.col("multi") & open_).select("key", "doc", "hash", "at", "lo", "hi", mask.alias("sure"))
     wide = keep(ask.groupBy("key").count().where(F.col("count") > shape.task_contexts).select("key", F.lit(True).alias("wide")), "wide")
     none_wide = wide.isEmpty()
-    ask = ask.join(wide, "key", "left").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "sure", "wide")).alias("want"))
+    ask = ask.join(wide, "key", "left").groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "sure", "wide")).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
         for b in batches:
-            doc, out = b.column(0).to_pylist(), []
-            for i, (text, want) in enumerate(zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True)):
+            doc, hash_, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for i, (text, want) in enumerate(zip(as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True)):
                 found = context(text or b"", [(x["at"], x["lo"], x["hi"]) for x in want])
-                out += [(x["key"], doc[i], x["at"], x["sure"], bool(x["wide"]), *y) for x, y in zip(want, found, strict=True)]
+                out += [(x["key"], doc[i], hash_[i], x["at"], x["sure"], bool(x["wide"]), *y) for x, y in zip(want, found, strict=True)]
             for k in range(0, len(out), 20_000):
                 columns = list(zip(*out[k : k + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["key", "doc", "at", "sure", "wide", "l", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *kinds), strict=True)], ["key", "doc", "hash", "at", "sure", "wide", "l", "r"])
 
-    fetched = docs.join(ask.hint("shuffle_hash"), F.col("id") == F.col("doc")).select("doc", "text", "want").mapInArrow(cut, "key long, doc long, at int, sure boolean, wide boolean, l binary, r binary")
+    d = docs.select("id", "text", F.xxhash64("text").alias("own"))
+    fetched = d.join(ask.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("hash"))).select("doc", "hash", "text", "want").mapInArrow(cut, "key long, doc long, hash long, at int, sure int, wide boolean, l binary, r binary")
     if not none_wide:
         fetched = keep(fetched, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        key, doc, at, sure = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        left, right = ([x for p in parts for x in p[i]] for i in (4, 5))
-        for i in _shares(key, shape.task_contexts):
-            low, high = extend(shape, key[i], doc[i], shape.symbols([left[k] for k in i]), shape.symbols([right[k] for k in i]))
-            yes = (high >= 0) & ~sure[i].astype(bool)
-            lo = at[i][yes] - high[yes]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[i][yes]), pa.array(lo.astype(np.int32)), pa.array((at[i][yes] - low[yes] + shape.window).astype(np.int32))], ["doc", "lo", "hi"])
-
-    near = fetched.where("not wide").select("key", "doc", "at", "sure", "l", "r").repartition(partitions(docs.sparkSession) * 2, "key").mapInArrow(compare, "doc long, lo int, hi int")
+        for t in _whole_keys(batches, _CHUNK):
+            t = t.combine_chunks()
+            key, hash_, at, sure = (t.column(i).to_numpy() for i in (0, 2, 3, 4))
+            doc = t.column(1).fill_null(0).to_numpy()
+            row = mix(doc.view(U) + t.column(1).is_null().to_numpy().astype(U)) ^ hash_.view(U)
+            low, high = extend(shape, key, doc, row, shape.symbols(t.column(5).to_pylist()), shape.symbols(t.column(6).to_pylist()))
+            for k, window in enumerate(shape.windows):
+                yes = np.flatnonzero((high[k] >= 0) & (sure >> k & 1 == 0))
+                lo, hi = at[yes] - high[k, yes], at[yes] - low[k, yes] + window.size
+                got = t.select([1, 2]).take(pa.array(yes)).combine_chunks().to_batches()
+                if got:
+                    yield pa.RecordBatch.from_arrays([*got[0].columns, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(yes), k, np.int32))], ["doc", "hash", "lo", "hi", "kind"])
+
+    spans = fetched.where("not wide").select("key", "doc", "hash", "at", "sure", "l", "r").repartition(partitions(docs.sparkSession) * 2, "key").sortWithinPartitions("key").mapInArrow(compare, SPANS)
+    for x in sure:
+        spans = spans.union(x)
     if none_wide:
-        return sure.union(near)
+        return spans
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def as_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, at, sure, left, right = (c.to_pylist() for c in b.columns)
-            out = [(h1, h2, i, j - d, k) for i, j, k, x, y in zip(doc, at, sure, shape.symbols(left), shape.symbols(right), strict=True) for d, h1, h2 in _window_hashes(shape, x, y)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["h1", "h2", "doc", "at", "sure"])
-
-    windows = fetched.where("wide").select("doc", "at", "sure", "l", "r").mapInArrow(hashes, "h1 long, h2 long, doc long, at int, sure boolean").distinct()
-    counted = windows.groupBy("h1", "h2").agg(*([F.min("doc").alias("doc0")] if shape.earlier else [*place, F.max("sure").alias("any")]))
-    counted = counted if shape.earlier else counted.where(f"any or {elsewhere}").select("h1", "h2")
-    far = windows.join(counted, ["h1", "h2"])
-    far = (far.where("doc > doc0") if shape.earlier else far.where("not sure")).select("doc", F.col("at").alias("lo"), (F.col("at") + shape.window).alias("hi"))
-    return sure.union(near).union(far)
-
-
-def _shares(key: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Indexes in runs of whole keys, about ``limit`` rows each."""
-    order = np.argsort(key, kind="stable")
-    edge = np.append(np.flatnonzero(np.diff(key[order], prepend=key[order][:1] - 1)), len(key))
-    a = 0
-    for b, c in zip(edge[1:], np.append(edge[2:], len(key) + limit + 1), strict=True):
-        if c - a > limit or b == len(key):
-            yield order[a:b]
-            a = b
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(shape.symbols(b.column(i).to_pylist()), pa.binary()) for i in (5, 6))], b.schema.names)
+
+    far = fetched.where("wide").select("key", "doc", "hash", "at", "sure", "l", "r")
+    return spans.union(_by_ranges(far.mapInArrow(as_symbols, far.schema), shape))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``spans`` for every row; a text has at most a few spans for each window of it."""
-    per = spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(per.hint("shuffle_hash"), F.col("id") == F.col("doc"), "left").select(*(docs[c] for c in docs.columns), "spans")
+    per = spans.groupBy("doc", "hash").agg(F.collect_set(F.struct("lo", "hi", "kind")).alias("spans"))
+    d = docs.withColumn("__own", F.xxhash64("text"))
+    return d.join(per.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("__own") == F.col("hash")), "left").select(*(d[c] for c in docs.columns), "spans")
 
 
-def covered(n: int, spans: list[dict] | None) -> np.ndarray:
-    """Which of n symbols lie in a span."""
+def covered(n: int, spans: list[dict] | None, kind: int = 0) -> np.ndarray:
+    """Which of n symbols lie in a span of the kind."""
     edge = np.zeros(n + 1, np.int64)
     for s in spans or ():
-        edge[min(n, s["lo"])] += 1
-        edge[min(n, s["hi"])] -= 1
+        if s["kind"] == kind:
+            edge[min(n, s["lo"])] += 1
+            edge[min(n, s["hi"])] -= 1
     return np.cumsum(edge[:-1]) > 0

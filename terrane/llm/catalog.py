@@ -112,8 +112,13 @@ closes as (select k, i as z, row_number() over (partition by k order by i) as r
 span as (select k, r, a, z from opens join closes using (k, r)),
 gap as (select k, r, coalesce(lag(z) over (partition by k order by r), 1) as f, a as u from span union all select k, max(r) + 1, max(z), 9223372036854775807 from span group by k),
 kept as (select k, string_agg(substr(t, 2 * f - 1, 2 * (least(u, n + 1) - f)), '' order by r) as t from gap join d using (k) group by k),
-total as (select k, sum(z - a) as n_removed, count(*) as n_spans from span group by k)
-select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.t, d.t))) as kept_sha256 from d left join total using (k) left join kept using (k)
+total as (select k, sum(z - a) as n_removed, count(*) as n_spans from span group by k),
+y as (select k, w, t, unnest(range(1, n - 248)) as i from (select k, t, n, dense_rank() over (order by doc_id, t) as w from d) where n >= 250),
+passage as (select k, w, i, md5_number(substr(t, 2 * i - 1, 500)) as h from y),
+shared as (select h from passage group by h having min(w) <> max(w)),
+held as (select k, i, lead(i) over (partition by k order by i) as j from passage semi join shared using (h)),
+spread as (select k, sum(least(250, coalesce(j - i, 250))) as n_passage_bytes from held group by k)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.t, d.t))) as kept_sha256, cast(coalesce(n_passage_bytes, 0) as bigint) as n_passage_bytes from d left join total using (k) left join kept using (k) left join spread using (k)
 """
 
 ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC}

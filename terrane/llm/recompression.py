@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._repeats import ANCHORS, Shape, covered, repeated_spans, with_spans
+from terrane.llm._repeats import ANCHORS, Shape, Window, covered, repeated_spans, with_spans
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces, prefix, sliding_argmin, spans
 
 _NONE = U((1 << 64) - 1)
@@ -47,7 +47,7 @@ class Recompression:
 
     @property
     def shape(self) -> Shape:
-        return Shape(self.window, self.edge, self.edge + self.inner - 1, 8, earlier=True, symbols=_hashes_of)
+        return Shape((Window(self.window, "earlier"),), self.edge, self.edge + self.inner - 1, 8, symbols=_hashes_of)
 
 
 def name_symbols(h: np.ndarray, text: np.ndarray, how: Recompression) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +115,10 @@ def _anchors(docs: DataFrame, how: Recompression) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, key, ctx, *place in anchors(as_bytes(b.column(1)), how):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), b.column(0).take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in place)], ["key", "ctx", "doc", "at", "lo", "hi"])
+                own = pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), b.column(0).take(own), b.column(2).take(own), *(pa.array(x.astype(np.int32)) for x in place)], ["key", "ctx", "doc", "hash", "at", "lo", "hi"])
 
-    return docs.where("id is not null").mapInArrow(run, ANCHORS)
+    return docs.where("id is not null").select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ANCHORS)
 
 
 def _contexts(text: bytes, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
@@ -130,8 +131,9 @@ def repeated_words(docs: DataFrame, how: Recompression | None = None, id_col: st
     """(id, n_words, n_removed, kept_sha256, kept_text) for each row of ``docs``.
 
     Words are compared by 64-bit hashes.  Null and empty texts have no words.  Rows that share
-    an id count as one text; a text of a null id is left whole and ignored; other columns are
-    not read; an empty table gives an empty one.
+    an id each keep their own spans and remove nothing from each other; a null id is smaller
+    than none, so its text is left whole and ignored; other columns are not read; an empty
+    table gives an empty one.
     """
     how = how or Recompression()
 

@@ -81,16 +81,35 @@ def test_words(docs):
     assert got == words_by_brute_force({d: t.encode() for d, t in texts.items()}, 50)
 
 
-@pytest.mark.parametrize("module, how", [(suffix_dedup, Suffixes()), (recompression, Recompression())])
+def test_passages_of_other_rows(docs):
+    """Bytes in strings of 250 bytes that a row of another id or text holds."""
+    texts, df = docs
+    held = {}
+    for d, t in texts.items():
+        b = t.encode()
+        for i in range(len(b) - 249):
+            held.setdefault(b[i : i + 250], set()).add(d)
+    want = {}
+    for d, t in texts.items():
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 249):
+            if len(held[b[i : i + 250]]) > 1:
+                gone[i : i + 250] = b"\1" * 250
+        want[d] = sum(gone)
+    assert {r.doc_id: r.n_passage_bytes for r in repeated_bytes(df).collect()} == want
+
+
+@pytest.mark.parametrize("module, how", [(suffix_dedup, Suffixes(passage=250)), (recompression, Recompression())])
 def test_hot_keys_give_the_same(docs, module, how):
-    """Keys of more contexts than a task takes are compared by window hashes."""
+    """Keys of more contexts than a task takes are compared by rounds that split ranges of offsets."""
     _, df = docs
     d = df.select(F.col("doc_id").alias("id"), "text")
     found = []
     for limit in (50_000, 1):
         shape: Shape = replace(how.shape, task_contexts=limit)
         spans = repeated_spans(module._anchors(d, how), d, shape, module._contexts)
-        found.append({(r.doc, i) for r in spans.collect() for i in range(r.lo, r.hi)})
+        found.append({(r.doc, r.kind, i) for r in spans.collect() for i in range(r.lo, r.hi)})
     assert found[0] == found[1] and found[0]
 
 
@@ -107,7 +126,23 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 0, "a"), (2, "", 0, "a"), (None, long, 0, "a"), (3, long, 0, "a"), (4, long + " end", 0, "a"), (5, "twice", 0, "a"), (5, "twice", 0, "a")], "doc_id long, text string, key int, id string")
     b = {(r.doc_id, r.n_removed) for r in repeated_bytes(df).collect()}
     n = len(long.encode())
-    assert b == {(1, 0), (2, 0), (None, 0), (3, n), (4, n), (5, 0)}
+    assert b == {(1, 0), (2, 0), (None, n), (3, n), (4, n), (5, 0)}
     w = {(r.doc_id, r.n_removed) for r in repeated_words(df).collect()}
     assert w == {(1, 0), (2, 0), (None, 0), (3, 0), (4, 30000), (5, 0)}
     assert repeated_bytes(df.limit(0)).collect() == [] and repeated_words(df.limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows are told apart by id and text: none takes another's spans, and copies under one id or none repeat each other."""
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)) for _ in range(5))
+    rows = [(1, a), (2, a + " " + b), (2, c), (3, d), (3, d), (None, e), (None, e + " end"), (None, b[:100]), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    texts = {k: (t or "").encode() for k, (_, t) in enumerate(rows)}
+    want = bytes_by_brute_force(texts, 400)
+    got = repeated_bytes(df).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((str(rows[k][0]), *v) for k, v in want.items())
+    left = sorted((str(r.doc_id), r.text) for r in remaining_text(df).collect())
+    assert ("2", c) in left and left.count(("3", "")) == 2 and len(left) == len(rows)
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in repeated_words(df).collect()}
+    assert got == {(1, 100, 0), (2, 200, 100), (2, 100, 0), (3, 100, 0), (None, 100, 0), (None, 101, 0), (None, len(b[:100].split()), 0), (4, 0, 0)}
