@@ -113,12 +113,12 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist() if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else [None if x is None else str(x).encode() for x in column.to_pylist()]
 
 
-def pieces(texts: list[bytes | None], limit: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, texts) in runs of about ``limit`` bytes; null counts as empty."""
+def pieces(texts: list[bytes | None], limit: int = PIECE, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, texts) in runs of about ``limit`` bytes, and of ``most`` texts at most; null counts as empty."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
         t = t or b""
-        if run and size + len(t) > limit:
+        if run and (size + len(t) > limit or len(run) == most):
             yield first, run
             first, run, size = i, [], 0
         run.append(t)

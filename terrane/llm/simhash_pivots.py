@@ -255,10 +255,11 @@ def measures(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndar
 
     A shingle's hash falls into one of ``bins``; the sketch has a byte of the least hash of each
     bin, 0 if the bin is empty.  Bands take ``rows`` bins each, an empty one borrowing from the
-    next that is not (Shrivastava and Li 2014).
+    next that is not (Shrivastava and Li 2014).  Texts are taken 512 at a time, since the
+    sketches of very short ones outgrow their text.
     """
     fp, same, sketch, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, s.bins), np.uint8)], [np.zeros((0, s.bands), np.uint64)]
-    for _, run in pieces(texts):
+    for _, run in pieces(texts, most=512):
         h, text, n = _distinct(*_shingles(run, s.how))
         fp.append(_majority(h, n))
         same.append(_set_hash(h, n))
