@@ -32,8 +32,10 @@ _FENCE = 0xFF  # not a byte of UTF-8
 _NEVER = np.int64(1) << 40
 #: Bytes of distinct words that are indexed at once.
 _BLOCK = 1 << 20
-#: Words of more bytes are relaxed one by one.
+#: Words of more bytes are laid out apart from shorter ones, since a batch takes a step for each byte of its longest.
 _LONG = 400
+#: Words of still more bytes are merged pair by pair, which gives the same.
+_GIANT = 20_000
 NORMAL, BYTE = 1, 6
 
 
@@ -109,6 +111,8 @@ class Model:
     pair: np.ndarray
     pair_rank: np.ndarray
     white_rank: dict[bytes, float]
+    word_rank: dict[bytes, float]
+    number: dict[bytes, int]
     width: int
 
     @staticmethod
@@ -152,7 +156,7 @@ class Model:
         code = np.array(sorted(pair), np.int64)
         pad = lambda fill: np.array([text[i] + fill * (width - len(text[i])) for i in use], f"S{width}")
         eight = lambda fill: np.array([int.from_bytes((text[i] + fill * 8)[:8], "big") for i in use], np.uint64)
-        return Model(text, byte_id, number[b" "], ids, pad(b""), eight(b"\x00"), eight(b"\xff"), pad(b"\xff"), np.array([len(t) for t in text]), rank, left, right, code, np.array([pair[c] for c in code.tolist()], np.int64), white, width)
+        return Model(text, byte_id, number[b" "], ids, pad(b""), eight(b"\x00"), eight(b"\xff"), pad(b"\xff"), np.array([len(t) for t in text]), rank, left, right, code, np.array([pair[c] for c in code.tolist()], np.int64), white, rank_of, number, width)
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of pieces a and b gives just these two.
@@ -180,8 +184,12 @@ class Model:
         return good
 
     def white(self, n: int) -> list[int]:
-        number = {t: i for i, t in enumerate(self.text) if t in self.white_rank} | {b" ": self.blank}
-        return [number[t] for t in merge([b" "] * n, self.white_rank)[0]]
+        return [self.number[t] for t in merge([b" "] * n, self.white_rank)[0]]
+
+    def giant(self, word: bytes) -> list[int]:
+        """Tokens of one word, by merging its pairs from a heap."""
+        found = (([self.number[t]] if t in self.number else self.byte_id[list(t)].tolist()) for t in merge([c.encode("utf-8", "surrogatepass") for c in word.decode("utf-8", "surrogatepass")], self.word_rank)[0])
+        return [x for t in found for x in t]
 
 
 def _suffix_order(lane: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,27 +328,40 @@ class Encoder:
     def _distinct(self, found: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of the distinct units (key, blanks, word): (all tokens, tokens of each, order of the units)."""
         m = self.m
-        plain = [i for i, (_, r, w) in enumerate(found) if r == 1 and 0 < len(w) <= _LONG]
-        odd = sorted(set(range(len(found))) - set(plain))
-        tokens, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        size, run = 0, []
-        for i in [*plain, -1]:
-            if run and (i < 0 or size > _BLOCK):
-                t, c = encode_words(m, run)
-                tokens.append(t)
-                count.append(c)
-                size, run = 0, []
-            if i >= 0:
-                run.append(b" " + found[i][2])
-                size += len(run[-1])
-        for i in odd:
-            _, r, w = found[i]
-            got = encode_words(m, [b" " + w])[0].tolist() if w else [m.blank]
-            if r > 1:
-                got = m.white(r) + got[1:] if got[0] == m.blank else m.white(r - 1) + got
-            tokens.append(np.array(got, np.int32))
-            count.append(np.array([len(got)]))
-        return np.concatenate(tokens), np.concatenate(count), np.array(plain + odd, np.int64)
+        size = np.array([len(w) for _, _, w in found], np.int64)
+        tokens, count, order = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def add(ids: list[int], t: np.ndarray, c: np.ndarray) -> None:
+            runs = np.array([found[i][1] for i in ids], np.int64)
+            for k in np.flatnonzero(runs > 1).tolist() if len(runs) else ():
+                swap[ids[k]] = runs[k]
+            tokens.append(t)
+            count.append(c)
+            order.append(np.array(ids, np.int64))
+
+        swap: dict[int, int] = {}
+        for some in (np.flatnonzero((size > 0) & (size <= _LONG)), np.flatnonzero((size > _LONG) & (size <= _GIANT))):
+            ids = some[np.argsort(size[some], kind="stable")].tolist() if len(some) and size[some[-1]] > _LONG else some.tolist()
+            at = np.cumsum(size[ids] + 2) // _BLOCK if ids else np.zeros(0, np.int64)
+            for block in np.unique(at).tolist():
+                own = [ids[k] for k in np.flatnonzero(at == block).tolist()]
+                add(own, *encode_words(m, [b" " + found[i][2] for i in own]))
+        for i in np.flatnonzero((size == 0) | (size > _GIANT)).tolist():
+            got = m.giant(b" " + found[i][2]) if size[i] else [m.blank]
+            add([i], np.array(got, np.int32), np.array([len(got)]))
+        return self._more_blanks(np.concatenate(tokens), np.concatenate(count), np.concatenate(order), swap)
+
+    def _more_blanks(self, tokens: np.ndarray, count: np.ndarray, order: np.ndarray, swap: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units that begin with several blanks: these are merged apart from the word, whose encoding has one of them."""
+        if not swap:
+            return tokens, count, order
+        m, parts, count = self.m, np.split(tokens, np.cumsum(count)[:-1]), count.copy()
+        white = {r: m.white(r) for r in {*swap.values(), *(r - 1 for r in swap.values())}}
+        for k in np.flatnonzero(np.isin(order, np.fromiter(swap, np.int64))).tolist():
+            got, r = parts[k], swap[int(order[k])]
+            parts[k] = np.array(white[r] + got[1:].tolist() if got[0] == m.blank else white[r - 1] + got.tolist(), np.int32)
+            count[k] = len(parts[k])
+        return np.concatenate(parts), count, order
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The text of each list of token ids."""

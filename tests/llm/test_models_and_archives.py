@@ -65,6 +65,9 @@ def test_pieces_equal_the_library(spark):
     raw = [t.encode() for t in texts]
     got = coder.encode(raw)
     assert [x.tolist() for x in got] == lib.encode(texts)
+    long = ["".join(rng.choice("abcdeilnorstué0f") for _ in range(n)) for n in (399, 401, 3000, 25000)]
+    code = "\n".join(" " * (i % 37) + rng.choice(["if x:", "return", "y = 1"]) + " " * (i % 5) for i in range(2000))
+    assert [x.tolist() for x in coder.encode([t.encode() for t in [*long, code]])] == lib.encode([*long, code])
     assert coder.decode(got) == raw
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "a ▁b", 3), (4, "so it goes " * 3000, 4), (4, "so it goes " * 3000, 4)], "doc_id long, text string, ids int")
     rows = {r.doc_id: (r.n_tokens, r.exact) for r in round_trip(df).collect()}
