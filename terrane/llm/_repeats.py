@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import forget, keep, partitions
+from terrane.llm._spark import forget, keep, partitions, whole_keys
 from terrane.llm._text import U, as_bytes, mix
 
 ANCHORS = "key long, ctx long, doc long, hash long, at int, lo int, hi int"
@@ -237,26 +237,6 @@ def _by_ranges(contexts: DataFrame, shape: Shape) -> DataFrame:
     return out
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Runs of whole keys, about ``rows`` rows each; the batches come sorted by key, their first column."""
-    kept: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        kept.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            t = pa.Table.from_batches(kept)
-            key = t.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield t.slice(0, cut)
-                kept, n = t.slice(cut).to_batches(), len(t) - cut
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: Callable[[bytes, list[tuple[int, int, int]]], list[tuple[bytes, bytes]]]) -> DataFrame:
     """(doc, hash, lo, hi, kind): stretches of symbols that repeated windows cover; they may overlap.
 
@@ -304,7 +284,7 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
         fetched = keep(fetched, "contexts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_keys(batches, _CHUNK):
+        for t in whole_keys(batches, _CHUNK):
             t = t.combine_chunks()
             key, hash_, at, sure = (t.column(i).to_numpy() for i in (0, 2, 3, 4))
             doc = t.column(1).fill_null(0).to_numpy()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,3 +44,23 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Runs of whole keys, about ``rows`` rows each; the batches come sorted by key, their first column."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(kept)
+            key = t.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut:
+                yield t.slice(0, cut)
+                kept, n = t.slice(cut).to_batches(), len(t) - cut
+    if kept:
+        yield pa.Table.from_batches(kept)

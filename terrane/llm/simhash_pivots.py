@@ -22,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._graph import components
-from terrane.llm._spark import forget, keep
+from terrane.llm._spark import forget, keep, whole_keys
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces
 
 # XXH64 primes: fixed values of the hash's specification.
 P1, P2, P3, P4, P5 = (U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
+#: Bytes of text whose sketches or shingles are laid out at once.
+_BYTES = 512 << 10
+
 #: First bit and width of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
@@ -195,9 +198,8 @@ def simhash_components(docs: DataFrame, how: SimHash | None = None, id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if got:
-            key, fp, rep = (np.concatenate(x) for x in zip(*got, strict=True))
+        for t in whole_keys(batches, 50_000):
+            key, fp, rep = (c.to_numpy() for c in t.columns)
             a, b = bucket_edges(key, fp.view(np.uint64), rep, how)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -211,7 +213,7 @@ def simhash_components(docs: DataFrame, how: SimHash | None = None, id_col: str
             v = v * (1 << BLOCKS[c][1]) + blocks[c]
         keys.append(v)
     buckets = reps.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    linked = components(buckets.repartition("key").mapInArrow(edges, "a long, b long"))
+    linked = components(buckets.repartition("key").sortWithinPartitions("key").mapInArrow(edges, "a long, b long"))
     named = reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return all_.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -259,7 +261,7 @@ def measures(texts: list[bytes | None], s: Similar) -> tuple[np.ndarray, np.ndar
     sketches of very short ones outgrow their text.
     """
     fp, same, sketch, bands = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, s.bins), np.uint8)], [np.zeros((0, s.bands), np.uint64)]
-    for _, run in pieces(texts, most=512):
+    for _, run in pieces(texts, limit=_BYTES, most=512):
         h, text, n = _distinct(*_shingles(run, s.how))
         fp.append(_majority(h, n))
         same.append(_set_hash(h, n))
@@ -370,14 +372,14 @@ def _groups(members: DataFrame, turn: int, s: Similar) -> DataFrame:
     """(key, i, j, node, label, seek, full): groups of at most twice ``s.block`` members of each bucket (key, node, label).
 
     In the first turn a bucket falls into blocks; in the next ones a member of each label stands
-    for it while these are too many for a block.  In the end (``full``) all pairs of different
+    for it while these are too many for a block.  After that (``full``) all pairs of different
     labels share a group: those outside the most frequent label (``seek``) meet everyone.
     """
     per = members.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("root"))
     per = keep(per, "labels")
     size = per.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("major")).where("kinds > 1")
     few = F.col("n") <= s.block
-    roots = (~few) & (F.lit(turn == 1) | (F.lit(1 < turn < 4) & (F.col("kinds") > s.block)))
+    roots = (~few) & F.lit(0 < turn < 4) & (F.col("kinds") > s.block)
     full = F.lit(turn > 0) & ~roots
     size = keep(size.withColumns({"roots": roots, "full": full, "few": few}), "sizes")
     hashed = F.xxhash64("node", F.lit(turn + 1))
@@ -414,9 +416,8 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "text_hash", "node", "fp", "sketch", "keys"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if got:
-            key, fp, node = (np.concatenate(x) for x in zip(*got, strict=True))
+        for t in whole_keys(batches, 50_000):
+            key, fp, node = (c.to_numpy() for c in t.columns)
             a, b = _bucket_pairs(key, fp.view(np.uint64), node, s.how)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -434,7 +435,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
                 more = True
                 if t.column(6)[0].as_py():
                     seek = np.flatnonzero(t.column(5).to_numpy())
-                    a, b, more = _best(seek, label, fp.view(np.uint64), sketch, s, 8**turn if turn < 4 else 2 * len(node))
+                    a, b, more = _best(seek, label, fp.view(np.uint64), sketch, s, 64 if turn < 2 else 2 * len(node))
                 else:
                     a, b = _grow(label, fp.view(np.uint64), sketch, s)
                 x, y = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
@@ -445,7 +446,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, run in pieces(as_bytes(batch.column(0))):
+            for _, run in pieces(as_bytes(batch.column(0)), limit=_BYTES):
                 h, text, n = _distinct(*_shingles(run, s.how))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_set_hash(h, n).view(np.int64)), lists], ["node", "hashes"])
@@ -457,47 +458,56 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     reps = keep(own.select("node", F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
     plain = reps.select("node", "fp", "sketch")
 
+    rows = reps.select(F.explode("keys").alias("key"), "node")
+    sizes = rows.groupBy("key").count().where("count > 1").select("key", (F.col("count") > s.bucket).alias("large"))
+    sizes = keep(sizes, "buckets")
+    met = keep(rows.join(sizes, "key"), "members")
+    forget(sizes)
+    # the shingles of every text that meets another, once for all turns
+    want = keep(met.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
+    texts = d.join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
+    sets = keep(texts.mapInArrow(hashes, "node long, hashes array<long>").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    forget(want)
+
     def similar(found: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that share ``similarity`` of their distinct shingles."""
-        found = keep(found, "candidates")
-        both = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-        want = keep(both.join(reps.select("node", "rep"), "node"), "wanted")
-        texts = d.join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
-        sets = keep(texts.mapInArrow(hashes, "node long, hashes array<long>").join(want, "node", "left_semi").dropDuplicates(["node"]), "shingles")
         x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
         shared = F.size(F.array_intersect("x", "y"))
-        met = found.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("of"))
-        out = keep(met.where(F.col("n") / F.col("of") >= s.similarity).select("a", "b"), "links")
-        forget(found, want, sets)
-        return out
-
-    rows = reps.select(F.explode("keys").alias("key"), "node")
-    sizes = rows.groupBy("key").count().where("count > 1").select("key", (F.col("count") > s.bucket).alias("large"))
-    sizes = keep(sizes, "buckets")
-    small = reps.select(F.explode("keys").alias("key"), "fp", "node").join(sizes.where("not large").select("key"), "key")
-    few = small.repartition("key").mapInArrow(pairs, "a long, b long").distinct()
-    few = few.join(plain.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(plain.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    links = similar(few.select("a", "b", "x", "y").mapInArrow(pass_, "a long, b long"))
-    linked = components(links)
-    left = sizes.where("large").select("key")
-    met = keep(rows.join(left, "key"), "large")
+        both = found.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("of"))
+        return keep(both.where(F.col("n") / F.col("of") >= s.similarity).select("a", "b"), "links")
+
+    small = met.where("not large").join(plain, "node").select("key", "fp", "node")
+    few = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "pairs")
+    likely = few.join(plain.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(plain.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    likely = keep(likely.select("a", "b", "x", "y").mapInArrow(pass_, "a long, b long"), "candidates")
+    links = similar(likely)
+    labels = keep(components(links).select("node", F.col("component").alias("label")), "labels")
+    forget(few, likely, links)
+    large = keep(met.where("large").select("key", "node"), "large")
+    left = keep(large.select("key").distinct(), "unsettled")
+    forget(met)
     tried = None
     turn = 0
     while not left.isEmpty():
-        members = keep(met.join(left, "key", "left_semi").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "members")
+        members = keep(large.join(left, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
         groups = _groups(members, turn, s).join(plain, "node").select("key", "i", "j", "node", "label", "seek", "full", "fp", "sketch")
         found = keep(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(propose(turn), "key long, a long, b long"), "proposed")
-        forget(members)
         fresh = found.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
         fresh = keep(fresh, "tried")
-        links = links.union(similar(fresh))
-        tried = fresh if tried is None else tried.union(fresh)
-        linked = components(links)
-        left = keep(found.where("a is null").select("key").distinct(), "unsettled")
+        links = similar(fresh)
+        # links tie labels; what they tie gets one label
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        tied = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+        known = labels.join(tied.withColumnRenamed("node", "tie"), F.col("label") == F.col("tie"), "left").select("node", F.coalesce("component", "label").alias("label"))
+        now = keep(known.union(tied.select("node", F.col("component").alias("label"))).distinct(), "labels")
+        last, rest = left, keep(found.where("a is null").select("key").distinct(), "unsettled")
+        forget(members, found, links, labels, last)
+        labels, left = now, rest
+        tried = fresh if tried is None else keep(tried.union(fresh), "tried")
         turn += 1
-    ids = names.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = names.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = keep(ids.join(least, "component").select("node", "component_id"), "named")
     return all_.select("id", "text_hash", "node").join(named, "node", "left").select("id", "text_hash", "component_id")
