@@ -296,29 +296,29 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(none, 1.0, ((a == b) & (a > 0)).sum(axis=-1) / some)
 
 
-def _bucket_pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, how: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of each small bucket that pivots and bits don't discard."""
+def _bucket_pairs(key: np.ndarray, fp: np.ndarray, how: SimHash) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of each small bucket that pivots and bits don't discard."""
     order = np.argsort(key, kind="stable")
-    key, fp, rep = key[order], fp[order], rep[order]
+    key, fp = key[order], fp[order]
     table = _pivot_table(fp, how.pivots)
-    a, b, d = [rep[:0]], [rep[:0]], 1
+    a, b, d = [order[:0]], [order[:0]], 1
     while d < len(key) and len(i := np.flatnonzero(key[:-d] == key[d:])):
         i = i[_near(fp, table, i, i + d, how.radius)]
-        a.append(np.minimum(rep[i], rep[i + d]))
-        b.append(np.maximum(rep[i], rep[i + d]))
+        a.append(order[i])
+        b.append(order[i + d])
         d += 1
     return np.concatenate(a), np.concatenate(b)
 
 
 def _grow(label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, s: Similar) -> tuple[list[int], list[int]]:
-    """Places of a spanning forest of the likely links between labels; pairs are not listed."""
+    """Places of a spanning forest of the likely links between labels; pairs are not listed, and the same members give the same forest."""
     table = _pivot_table(fp, s.how.pivots)
     a, b = [], []
     waiting = np.arange(len(fp))
     while len(waiting) > 1:
         todo, waiting = [int(waiting[0])], waiting[1:]
         while todo and len(waiting):
-            x = todo.pop()
+            x = todo.pop(0)
             same = label[waiting] == label[x]
             hit = _near(fp, table, np.full(len(waiting), x), waiting, s.how.radius)
             hit = hit[~same[hit]]
@@ -384,8 +384,12 @@ def _groups(members: DataFrame, turn: int, s: Similar) -> DataFrame:
     size = keep(size.withColumns({"roots": roots, "full": full, "few": few}), "sizes")
     hashed = F.xxhash64("node", F.lit(turn + 1))
 
+    def blocks(n: Column) -> Column:
+        """A power of two, so that buckets of like sizes put the same members together and name the same pairs."""
+        return F.pow(F.lit(2.0), F.ceil(F.log2(F.ceil(n / s.block)))).cast("long")
+
     def block(n: Column) -> Column:
-        return F.pmod(hashed, F.ceil(n / s.block)).cast("long")
+        return F.pmod(hashed, blocks(n)).cast("long")
 
     m = members.join(size, "key")
     alone = block(F.when(F.col("few"), F.lit(1)).otherwise(F.col("n")))
@@ -394,8 +398,8 @@ def _groups(members: DataFrame, turn: int, s: Similar) -> DataFrame:
     stand = stand.select("key", block(F.col("kinds")).alias("i"), block(F.col("kinds")).alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
     rest = F.col("n") - F.col("most")
     large = m.where("full and not few")
-    seek = large.where("label <> major").select("key", block(rest).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / s.block).cast("long") - 1)).alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
-    meet = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(rest / s.block).cast("long") - 1)).alias("i"), block(F.col("n")).alias("j"), "node", "label", F.lit(False).alias("seek"), "full")
+    seek = large.where("label <> major").select("key", block(rest).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("n")) - 1)).alias("j"), "node", "label", F.lit(True).alias("seek"), "full")
+    meet = large.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks(rest) - 1)).alias("i"), block(F.col("n")).alias("j"), "node", "label", F.lit(False).alias("seek"), "full")
     return whole.union(stand).union(seek).union(meet)
 
 
@@ -416,20 +420,18 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(same.view(np.int64)), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists], ["id", "text_hash", "node", "fp", "sketch", "keys"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_keys(batches, 50_000):
-            key, fp, node = (c.to_numpy() for c in t.columns)
-            a, b = _bucket_pairs(key, fp.view(np.uint64), node, s.how)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint8).reshape(-1, s.bins) for i in (2, 3))
-            yes = pa.array(estimate(x, y) >= s.candidate)
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(yes), t.column(1).filter(yes)], ["a", "b"])
+        for t in whole_keys(batches, 10_000):
+            key, fp, node = (t.column(i).to_numpy() for i in range(3))
+            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint8).reshape(-1, s.bins)
+            i, j = _bucket_pairs(key, fp.view(np.uint64), s.how)
+            yes = np.concatenate([np.zeros(0, bool), *(estimate(sketch[i[k : k + 4096]], sketch[j[k : k + 4096]]) >= s.candidate for k in range(0, len(i), 4096))])
+            a, b = node[i[yes]], node[j[yes]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def propose(turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _runs(batches, 3):
+                t = t.sort_by("node")
                 node, label, fp = (t.column(i).to_numpy() for i in (3, 4, 7))
                 sketch = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, s.bins)
                 more = True
@@ -476,13 +478,11 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
         both = found.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("of"))
         return keep(both.where(F.col("n") / F.col("of") >= s.similarity).select("a", "b"), "links")
 
-    small = met.where("not large").join(plain, "node").select("key", "fp", "node")
-    few = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "pairs")
-    likely = few.join(plain.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(plain.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    likely = keep(likely.select("a", "b", "x", "y").mapInArrow(pass_, "a long, b long"), "candidates")
+    small = met.where("not large").join(plain, "node").select("key", "fp", "node", "sketch")
+    likely = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "candidates")
     links = similar(likely)
     labels = keep(components(links).select("node", F.col("component").alias("label")), "labels")
-    forget(few, likely, links)
+    forget(likely, links)
     large = keep(met.where("large").select("key", "node"), "large")
     left = keep(large.select("key").distinct(), "unsettled")
     forget(met)
