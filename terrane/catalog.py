@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.config import Cropping
@@ -76,7 +76,7 @@ def color_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "points_v").filter(crop.color_in_range(0.1, 0.8) & crop.is_finite()).select("scan_id", "point_id")
 
 
-@query(f"{_P} select scan_id, point_id from points_v p where {_R} <= 20 and not exists (select 1 from points_v q where q.scan_id = p.scan_id and q.point_id = p.point_id and q.r > 0.5)")
+@query(f"{_P} select p.scan_id, p.point_id from (select * from points_v where {_R} <= 20) p anti join (select scan_id, point_id from points_v where r > 0.5) q using (scan_id, point_id)")
 def select_and_drop_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "points_v")
     kept = crop.keep_ids(p, crop.ids_within(p, "MaxRadius", radius=20.0))
@@ -150,12 +150,12 @@ def smaller_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_P}, s as (select cast(unnest(range(-2, 3)) as integer) as k), p as (select scan_id, point_id, x, y, z, {_KEY2} from points_v where r > 0.7) "
+    f"{_P}, s as (select cast(unnest(range(-2, 3)) as integer) as k), p as (select scan_id, point_id, x, y, z, {_KEY2} from points_v) "
     "select scan_id, point_id, vx + i.k as nx, vy + j.k as ny, vz + k.k as nz from p, s i, s j, s k where (i.k = 0 and j.k = 0 and k.k = 0) or "
     "((vx + i.k) * 2.0 + 1.0 - x) * ((vx + i.k) * 2.0 + 1.0 - x) + ((vy + j.k) * 2.0 + 1.0 - y) * ((vy + j.k) * 2.0 + 1.0 - y) + ((vz + k.k) * 2.0 + 1.0 - z) * ((vz + k.k) * 2.0 + 1.0 - z) <= 6.25"
 )
 def voxel_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "points_v").where("r > 0.7")
+    p = view(spark, sf_dir, "points_v")
     return p.select("scan_id", "point_id", F.explode(g.voxels_around("x", "y", "z", 2.5, 2.0)).alias("v")).select("scan_id", "point_id", F.col("v.vx").alias("nx"), F.col("v.vy").alias("ny"), F.col("v.vz").alias("nz"))
 
 
@@ -216,16 +216,16 @@ def transform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moved(spark, sf_dir).select("scan_id", "point_id", *_e4("mx", "my", "mz"))
 
 
+_FACE = [f"cast(floor({_m('m' + c)} / 2e6) as integer) as v{c}" for c in "xyz"]
+
+
 @query(
-    f"{_MOVE}, m as (select scan_id, point_id, {_MOVED} from points_v join scan_poses_v using (scan_id)), c as (select scan_id // 10 as submap_id, {_v('mx', 2.0)} as vx, {_v('my', 2.0)} as vy, {_v('mz', 2.0)} as vz from m where abs(mx / 2.0 - round(mx / 2.0)) > 1e-6 and abs(my / 2.0 - round(my / 2.0)) > 1e-6 and abs(mz / 2.0 - round(mz / 2.0)) > 1e-6) select submap_id, vx, vy, vz, count(*) as n from c group by all"
+    f"{_MOVE}, m as (select scan_id, point_id, {_MOVED} from points_v join scan_poses_v using (scan_id)), c as (select scan_id // 10 as submap_id, {', '.join(_FACE)} from m) select submap_id, vx, vy, vz, count(*) as n from c group by all"
 )
 def assembled_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voxels of all scans moved to the map, by submap; points on a voxel face are left to neither side."""
-    m = _moved(spark, sf_dir)
-    for c in ("mx", "my", "mz"):
-        m = m.where(F.abs(F.col(c) / 2.0 - F.round(F.col(c) / 2.0)) > 1e-6)
-    key = g.voxel_key("mx", "my", "mz", 2.0)
-    return m.groupBy(F.floor(F.col("scan_id") / 10).cast("long").alias("submap_id"), *(k.alias(n) for k, n in zip(key, ("vx", "vy", "vz"), strict=True))).agg(F.count("*").alias("n"))
+    """Voxels of all scans moved to the map, by submap; coordinates count in whole millionths, so a point on a face belongs to the voxel above it."""
+    key = [F.floor(g.micro(f"m{c}") / 2e6).cast("int").alias(f"v{c}") for c in "xyz"]
+    return _moved(spark, sf_dir).groupBy(F.floor(F.col("scan_id") / 10).cast("long").alias("submap_id"), *key).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -274,9 +274,11 @@ def time_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", "t_ticks", g.ticks_to_unix_nanos("t_ticks").alias("unix_nanos"), g.is_valid_time("t_ticks").alias("valid"), F.col("t_ticks").cast("string").alias("text"), since.alias("since"))
 
 
-@query(f"{_Q} select event_id, printf('t:[%d, %d, %d]', {_m('tx')}, {_m('ty')}, {_m('tz')}) as text from poses_v")
+@query(
+    f"{_Q} select event_id, printf('t:[%f, %f, %f] ; q:[%f, %f, %f, %f] ; rpy (deg):[%f, %f, %f]', tx, ty, tz, cast(0 as double), cast(0 as double), sin(yaw / 2), cos(yaw / 2), cast(0 as double), cast(0 as double), degrees(yaw)) as text from poses_v"
+)
 def pose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "poses_v").select("event_id", F.format_string("t:[%d, %d, %d]", *(g.micro(c) for c in ("tx", "ty", "tz"))).alias("text"))
+    return view(spark, sf_dir, "poses_v").select("event_id", g.pose_text(g.planar_pose("tx", "ty", "tz", "yaw")).alias("text"))
 
 
 @query(f"{_Q} select session_id, event_id, lag(event_id) over w as previous from poses_v window w as (partition by session_id order by t_ticks, event_id) qualify previous is not null")
@@ -295,7 +297,7 @@ def planar_odometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{_Q}, h as (select *, coalesce(sum(dyaw) over (partition by session_id order by t_ticks rows between unbounded preceding and 1 preceding), 0) as heading from poses_v), p as (select session_id, t_ticks, sum(cos(heading) * dx - sin(heading) * dy) over w as px, sum(sin(heading) * dx + cos(heading) * dy) over w as py from h window w as (partition by session_id order by t_ticks rows unbounded preceding)) select session_id, t_ticks, {_sql4('px', 'py')} from p"
 )
 def pose_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same trajectories as general pose products, in segments of 32 rows."""
+    """The same trajectories as general pose products, in segments of 32 rows so that small sessions have several."""
     p = view(spark, sf_dir, "poses_v").select("session_id", "t_ticks", g.planar_pose("dx", "dy", 0.0, "dyaw").alias("pose"))
     got = trajectory.pose_product(p, segment=32)
     return got.select("session_id", "t_ticks", F.col("product.tx").alias("px"), F.col("product.ty").alias("py")).select("session_id", "t_ticks", *_e4("px", "py"))
@@ -356,14 +358,14 @@ def keyscan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_Q}, q as (select session_id, t_ticks + 30000000 as t, event_id from poses_v where event_id % 4 = 0), "
+    f"{_Q}, q as (select session_id, t_ticks + 30000000 as t, event_id from poses_v), "
     "j as (select q.session_id, q.t, q.event_id, a.t_ticks as ta, a.tx as ax, a.ty as ay, b.t_ticks as tb, b.tx as bx, b.ty as b_y from q asof left join poses_v a on q.session_id = a.session_id and q.t >= a.t_ticks asof left join poses_v b on q.session_id = b.session_id and q.t <= b.t_ticks), "
     "f as (select *, ((t - ta) / 1e7) / ((tb - ta) / 1e7 + 1e-6) as f from j), r as (select event_id, case when ta = t then ax when tb is null then ax else ax + f * (bx - ax) end as px, case when ta = t then ay when tb is null then ay else ay + f * (b_y - ay) end as py, ta = t or tb is not null as covered from f) "
     f"select event_id, {_sql4('px', 'py')}, covered from r"
 )
 def pose_asof_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "poses_v")
-    q = p.where("event_id % 4 = 0").select("session_id", (F.col("t_ticks") + 30_000_000).alias("t_ticks"), "event_id")
+    q = p.select("session_id", (F.col("t_ticks") + 30_000_000).alias("t_ticks"), "event_id")
     got = trajectory.as_of(p.withColumn("pose", g.planar_pose("tx", "ty", "tz", "yaw")), q)
     return got.select("event_id", F.col("pose.tx").alias("px"), F.col("pose.ty").alias("py"), "covered").select("event_id", *_e4("px", "py"), "covered")
 
@@ -432,13 +434,15 @@ def info_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{duck('features_v')}, e as (select a.vec_id as a, b.vec_id as b, list_sum(list_transform(range(1, 34), lambda i: power({_m('a.f[i]')} - {_m('b.f[i]')}, 2))) as d2 from features_v a, features_v b where a.label = 0 and b.label = 1), "
-    "x as (select a, arg_min(b, (d2, b)) as b, min(d2) as d2 from e group by a), y as (select b, arg_min(a, (d2, a)) as a from e group by b) select x.a, x.b, cast(x.d2 as bigint) as d2 from x join y on x.a = y.a and x.b = y.b"
+    f"{duck('features_v')}, c as (select label, lead(label) over (order by label) as other from (select distinct label from features_v)), e as (select a.label as source, a.vec_id as a, b.vec_id as b, list_sum(list_transform(range(1, 34), lambda i: power({_m('a.f[i]')} - {_m('b.f[i]')}, 2))) as d2 from c join features_v a on a.label = c.label join features_v b on b.label = c.other), "
+    "x as (select source, a, arg_min(b, (d2, b)) as b, min(d2) as d2 from e group by source, a), y as (select source, b, arg_min(a, (d2, a)) as a from e group by source, b) select x.source, x.a, x.b, cast(x.d2 as bigint) as d2 from x join y on x.source = y.source and x.a = y.a and x.b = y.b"
 )
 def feature_mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual matches of every cloud with the next."""
     f = view(spark, sf_dir, "features_v").withColumnRenamed("label", "cloud_id")
-    pairs = f.where("cloud_id = 0").select(F.col("cloud_id").alias("source"), F.lit(1).alias("target")).distinct()
-    return neighbours.mutual_matches(f, pairs).select("a", "b", "d2")
+    clouds_ = f.select("cloud_id").distinct()
+    pairs = clouds_.select(F.col("cloud_id").alias("source"), F.lead("cloud_id").over(Window.orderBy("cloud_id")).alias("target")).where("target is not null")
+    return neighbours.mutual_matches(f, pairs).select("source", "a", "b", "d2")
 
 
 @query()
@@ -596,13 +600,13 @@ def submap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_P} select scan_id, count(*) as n, sum(cast(255 * r as bigint) * 0) as zero, min(cast(cast(x as float) as double)) as low, max(cast(cast(y as float) as double)) as high from points_v group by scan_id"
+    f"{_P} select scan_id, count(*) as n, sum(cast(floor(255 * r) as bigint)) as red, sum(cast(floor(255 * b) as bigint)) as blue, min(cast(cast(x as float) as double)) as low, max(cast(cast(y as float) as double)) as high from points_v group by scan_id"
 )
 def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans packed into cloud messages and unpacked again."""
     p = view(spark, sf_dir, "points_v").select(F.col("scan_id").cast("string").alias("topic"), F.col("scan_id").alias("stamp_ticks"), "point_id", "x", "y", "z", "r", "g", "b")
     back = clouds.points_of_messages(clouds.messages_of_points(p, "map"))
-    return back.groupBy(F.col("stamp_ticks").alias("scan_id")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("r")).cast("long") * 0).alias("zero"), F.min("x").alias("low"), F.max("y").alias("high"))
+    return back.groupBy(F.col("stamp_ticks").alias("scan_id")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("r") * 255).cast("long")).alias("red"), F.sum(F.round(F.col("b") * 255).cast("long")).alias("blue"), F.min("x").alias("low"), F.max("y").alias("high"))
 
 
 # constraints, gates and reports
@@ -612,11 +616,19 @@ def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constraints numbered by source, then target: positions by partition counts, without one task for all rows."""
     c = view(spark, sf_dir, "submaps_v").select(F.col("submap_id").alias("source_id"), F.col("parent_id").alias("target_id"))
-    part = F.floor(F.col("source_id") / 1000).cast("long")
-    size = c.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = size.alias("a").join(size.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    rn = F.row_number().over(Window.partitionBy("part").orderBy("source_id", "target_id")).cast("long")
-    return c.withColumn("part", part).withColumn("rn", rn).join(before, "part").select((F.col("rn") + F.col("before")).alias("place"), "source_id", "target_id")
+    # three digits of the id at a time: only counts of whole thousands of thousands share a task
+    parts = c.withColumn("low", F.floor(F.col("source_id") / 1000).cast("long")).withColumn("mid", F.floor(F.col("low") / 1000).cast("long")).withColumn("top", F.floor(F.col("mid") / 1000).cast("long"))
+    before = parts.groupBy("top", "mid", "low").agg(F.count("*").alias("n"))
+
+    def ahead(by: list[str], order: str, n: str) -> Column:
+        return F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    mids = before.groupBy("top", "mid").agg(F.sum("n").alias("nm"))
+    tops = mids.groupBy("top").agg(F.sum("nm").alias("nt")).withColumn("bt", ahead([], "top", "nt")).select("top", "bt")
+    mids = mids.withColumn("bm", ahead(["top"], "mid", "nm")).select("top", "mid", "bm")
+    before = before.withColumn("bl", ahead(["top", "mid"], "low", "n")).join(mids, ["top", "mid"]).join(tops, "top").select("low", (F.col("bl") + F.col("bm") + F.col("bt")).alias("before"))
+    rn = F.row_number().over(Window.partitionBy("low").orderBy("source_id", "target_id")).cast("long")
+    return parts.withColumn("rn", rn).join(before, "low").select((F.col("rn") + F.col("before")).alias("place"), "source_id", "target_id")
 
 
 @query(f"{_Q} select session_id, max(t_ticks) as t_ticks, arg_max(event_id, t_ticks) as event_id from poses_v group by session_id")

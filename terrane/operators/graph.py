@@ -65,14 +65,14 @@ def resolved_ancestor(submaps: DataFrame, optimised: DataFrame, limit: int = 64)
     raise ValueError("the parent chain has a cycle")
 
 
-def nearest_submap(poses: DataFrame, submaps: DataFrame, radius: float = 16.0, rounds: int = 8) -> DataFrame:
+def nearest_submap(poses: DataFrame, submaps: DataFrame, radius: float = 16.0) -> DataFrame:
     """The submap of the least distance from each pose (ties: the least id): (pose_id, submap_id, d2).
 
     A grid join that doubles its reach for poses without a submap so far.
     """
     p = poses.select(F.col("pose_id").alias("point_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
     s = submaps.select(F.col("submap_id").alias("point_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    return nearest(p, s, radius, (), rounds).select(F.col("source_id").alias("pose_id"), F.col("target_id").alias("submap_id"), "d2")
+    return nearest(p, s, radius).select(F.col("source_id").alias("pose_id"), F.col("target_id").alias("submap_id"), "d2")
 
 
 def loop_candidates(submaps: DataFrame, edges: DataFrame, radius: float, size: float, active: Column | None = None, distances: DataFrame | None = None, least_distance: int = 0) -> DataFrame:

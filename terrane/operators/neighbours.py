@@ -1,13 +1,13 @@
 """Nearest-neighbour joins on a grid.
 
-The smaller side is put into its own and the 26 cells around; an equal cell then brings
+The source side is put into its own and the 26 cells around; an equal cell then brings
 together all pairs within the cell size, and the exact distance decides.  Ties go to the
 least id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -56,20 +56,26 @@ def correspondences(source: DataFrame, target: DataFrame, radius: float, on: Seq
     return best.select(*on, "source_id", "m.*")
 
 
-def nearest(source: DataFrame, target: DataFrame, radius: float, on: Sequence[str] = (), rounds: int = 8) -> DataFrame:
+def nearest(source: DataFrame, target: DataFrame, radius: float, on: Sequence[str] = ()) -> DataFrame:
     """The nearest target of each source point at any distance: (source_id, target_id, d2).
 
-    Points without a neighbour in reach try again with twice the radius; what is left after
-    the last round has no target in its group within ``radius * 2 ** (rounds - 1)``.
+    Points without a neighbour in reach try again with twice the radius, until none is left.
+    Points without a place (a null or not a number), and those of a group without a target,
+    have no neighbour.
     """
-    left, found = source, None
-    for k in range(rounds):
-        got = cut(correspondences(left, target, radius * 2**k, on).select(*on, "source_id", "target_id", "d2"))
-        found = got if found is None else found.unionByName(got)
+    placed = F.lit(True)
+    for c in "xyz":
+        placed &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    target = target.where(placed)
+    left = source.where(placed)
+    left = cut(left.join(target.select(*on).distinct(), [*on], "left_semi") if on else left)
+    found, reach = None, radius
+    while not left.isEmpty() and (on or not target.isEmpty()):
+        got = cut(correspondences(left, target, reach, on).select(*on, "source_id", "target_id", "d2"))
+        found = got if found is None else cut(found.unionByName(got))
         left = cut(left.join(got.select(*on, F.col("source_id").alias("point_id")), [*on, "point_id"], "left_anti"))
-        if left.isEmpty():
-            break
-    return found
+        reach *= 2
+    return found if found is not None else correspondences(left, target, radius, on).select(*on, "source_id", "target_id", "d2")
 
 
 def k_nearest(points: DataFrame, radius: float, k: int, on: Sequence[str] = ("cloud_id",)) -> DataFrame:
@@ -79,37 +85,40 @@ def k_nearest(points: DataFrame, radius: float, k: int, on: Sequence[str] = ("cl
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def mutual_matches(features: DataFrame, pairs: DataFrame) -> DataFrame:
+def mutual_matches(features: DataFrame, pairs: DataFrame, block: int = 512) -> DataFrame:
     """(source, target, a, b, d2): feature vectors of two clouds that are each other's nearest.
 
-    ``features`` is (cloud_id, vec_id, f), ``pairs`` (source, target).  A cloud holds a few
-    thousand features after down-sampling; a task compares two clouds in blocks and gives
-    back matches only.  ``d2`` is exact, in square millionths; ties go to the least id.
+    ``features`` is (cloud_id, vec_id, f), ``pairs`` (source, target).  Clouds are dealt into
+    blocks; a task meets one block of either cloud and gives back the nearest of each vector
+    there, and the least over all blocks is the nearest.  ``d2`` is exact, in square
+    millionths; ties go to the least id.
     """
-    clouds = features.groupBy("cloud_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.transform("f", micro).alias("f")))).alias("v"))
-    both = pairs.join(clouds.withColumnsRenamed({"cloud_id": "source", "v": "va"}), "source").join(clouds.withColumnsRenamed({"cloud_id": "target", "v": "vb"}), "target").select("source", "target", "va", "vb")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for source, target, va, vb in zip(t["source"], t["target"], t["va"], t["vb"], strict=True):
-                fa, fb = (np.array([x["f"] for x in v], np.int64) for v in (va, vb))
-                ia, ib = (np.array([x["vec_id"] for x in v]) for v in (va, vb))
-                forth = np.empty(len(fa), np.int64)
-                best = np.full(len(fb), np.iinfo(np.int64).max)
-                back = np.zeros(len(fb), np.int64)
-                d_forth = np.empty(len(fa), np.int64)
-                for i, f in enumerate(fa):
-                    d = ((fb - f) ** 2).sum(axis=1)
-                    forth[i] = d.argmin()
-                    d_forth[i] = d[forth[i]]
-                    less = d < best
-                    best[less], back[less] = d[less], i
-                ok = np.flatnonzero(back[forth] == np.arange(len(fa)))
-                yield pd.DataFrame({"source": source, "target": target, "a": ia[ok], "b": ib[forth[ok]], "d2": d_forth[ok]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    many = features.groupBy("cloud_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = features.select("cloud_id", "vec_id", F.transform("f", micro).alias("f")).join(many, "cloud_id").withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
+
+    def side(name: str, other: str, own: str, met: str) -> DataFrame:
+        s = pairs.join(dealt.withColumnRenamed("cloud_id", name), name).join(many.select(F.col("cloud_id").alias(other), F.col("blocks").alias("far")), other)
+        return s.select("source", "target", F.col("own").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far") - 1)).alias(met), "vec_id", "f")
+
+    key = ["source", "target", "i", "j"]
+    left, right = side("source", "target", "i", "j"), side("target", "source", "j", "i").select(*(F.col(c).alias(f"t_{c}") for c in (*key, "vec_id", "f")))
+
+    def meet(va: pd.DataFrame, vb: pd.DataFrame) -> pd.DataFrame:
+        if va.empty or vb.empty:
+            return pd.DataFrame({"source": [], "target": [], "forth": [], "a": [], "b": [], "d2": []})
+        va, vb = va.sort_values("vec_id"), vb.sort_values("t_vec_id")
+        fa, fb = np.stack(va["f"].to_numpy()), np.stack(vb["t_f"].to_numpy())
+        d = np.concatenate([((fa[k : k + 64, None] - fb[None]) ** 2).sum(axis=2) for k in range(0, len(fa), 64)])
+        ia, ib, to, fro = va["vec_id"].to_numpy(), vb["t_vec_id"].to_numpy(), d.argmin(axis=1), d.argmin(axis=0)
+        return pd.DataFrame({"source": va["source"].iloc[0], "target": va["target"].iloc[0], "forth": np.arange(len(fa) + len(fb)) < len(fa), "a": np.append(ia, ia[fro]), "b": np.append(ib[to], ib), "d2": np.append(d.min(axis=1), d.min(axis=0))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
     vec = features.schema["vec_id"].dataType.simpleString()
-    return both.mapInPandas(run, f"source {kinds['source']}, target {kinds['target']}, a {vec}, b {vec}, d2 long")
+    best = left.groupBy(*key).cogroup(right.groupBy(*(f"t_{c}" for c in key))).applyInPandas(meet, f"source {kinds['source']}, target {kinds['target']}, forth boolean, a {vec}, b {vec}, d2 long")
+    pair = ["source", "target"]
+    forth = best.where("forth").groupBy(*pair, "a").agg(F.min(F.struct("d2", "b")).alias("m")).select(*pair, "a", "m.b", "m.d2")
+    back = best.where("not forth").groupBy(*pair, "b").agg(F.min(F.struct("d2", "a")).alias("m")).select(*pair, "b", "m.a")
+    return forth.join(back, [*pair, "a", "b"]).select(*pair, "a", "b", "d2")
 
 
 def information_matrix(pairs: DataFrame, on: Sequence[str] = ("pair_id",), point: Sequence[str] = ("t_x", "t_y", "t_z")) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,27 +115,38 @@ def pose_product(steps: DataFrame, segment: int = 1024) -> DataFrame:
     """Running product of general motions (``pose``) per session in time order, as ``product``.
 
     Two levels: products within segments of rows, then of the segment totals, then both are
-    composed; no task holds more than a segment or a session's totals.
+    composed.  A task streams through its segments or sessions in order and holds one batch.
     """
     rn = F.row_number().over(Window.partitionBy(BY).orderBy(TIME))
-    s = steps.withColumn("segment", F.floor((rn - 1) / segment))
-
-    def fold(by: list[str], order: str):
-        def run(t: pd.DataFrame) -> pd.DataFrame:
-            t = t.sort_values(order, kind="stable")
-            total, out = (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), []
-            for p in t["pose"]:
-                total = multiply(total, tuple(p[n] for n in _NAMES))
-                out.append(dict(zip(_NAMES, total, strict=True)))
-            return t[[*by, order]].assign(product=out)
+    s = steps.withColumn("segment", F.floor((rn - 1) / segment)).select(BY, "segment", TIME, *(F.col("pose")[n].alias(n) for n in _NAMES))
+
+    def fold(by: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, total = None, None
+            for t in frames:
+                if t.empty:
+                    continue
+                codes = np.stack([pd.factorize(t.iloc[:, i], use_na_sentinel=False)[0] for i in range(by)])
+                new = np.ones(len(t), bool)
+                new[1:] = (codes[:, 1:] != codes[:, :-1]).any(axis=0)
+                p = t[list(_NAMES)].to_numpy(np.float64).copy()
+                if key == tuple(t.iloc[0, :by]):
+                    p[0] = multiply(total[None], p[:1])[0]
+                place = np.arange(len(t)) - np.maximum.accumulate(np.where(new, np.arange(len(t)), 0))
+                step = 1
+                while step <= place.max():
+                    i = np.flatnonzero(place >= step)
+                    p[i] = multiply(p[i - step], p[i])
+                    step *= 2
+                key, total = tuple(t.iloc[-1, :by]), p[-1]
+                yield t.assign(**{n: p[:, k] for k, n in enumerate(_NAMES)})
 
         return run
 
-    kinds = {f.name: f.dataType.simpleString() for f in s.schema}
-    pose = "struct<tx:double,ty:double,tz:double,qx:double,qy:double,qz:double,qw:double>"
-    inner = s.groupBy(BY, "segment").applyInPandas(fold([BY, "segment"], TIME), f"{BY} {kinds[BY]}, segment long, {TIME} long, product {pose}")
-    totals = inner.groupBy(BY, "segment").agg(F.max_by("product", TIME).alias("pose"))
-    outer = totals.groupBy(BY).applyInPandas(fold([BY], "segment"), f"{BY} {kinds[BY]}, segment long, product {pose}").select(BY, (F.col("segment") + 1).alias("segment"), F.col("product").alias("before"))
+    product = F.struct(*_NAMES).alias("product")
+    inner = s.repartition(BY, "segment").sortWithinPartitions(BY, "segment", TIME).mapInPandas(fold(2), s.schema).select(BY, "segment", TIME, product)
+    totals = inner.groupBy(BY, "segment").agg(F.max_by("product", TIME).alias("p")).select(BY, "segment", *(F.col("p")[n].alias(n) for n in _NAMES))
+    outer = totals.repartition(BY).sortWithinPartitions(BY, "segment").mapInPandas(fold(1), totals.schema).select(BY, (F.col("segment") + 1).alias("segment"), F.struct(*_NAMES).alias("before"))
     done = inner.join(outer, [BY, "segment"], "left")
     return done.select(BY, TIME, F.when(F.col("before").isNull(), F.col("product")).otherwise(pose_mul(F.col("before"), F.col("product"))).alias("product"))
 
@@ -140,17 +154,17 @@ def pose_product(steps: DataFrame, segment: int = 1024) -> DataFrame:
 _NAMES = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
 
-def multiply(a: tuple, b: tuple) -> tuple:
-    """Product of two poses as tuples, the quaternion brought back to length one."""
-    ax, ay, az, aw = a[3:]
-    vx, vy, vz = b[:3]
-    # v + 2w(u x v) + 2u x (u x v)
-    cx, cy, cz = ay * vz - az * vy, az * vx - ax * vz, ax * vy - ay * vx
-    place = (a[0] + vx + 2 * (aw * cx + ay * cz - az * cy), a[1] + vy + 2 * (aw * cy + az * cx - ax * cz), a[2] + vz + 2 * (aw * cz + ax * cy - ay * cx))
-    bx, by, bz, bw = b[3:]
-    q = (aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz)
-    n = sum(c * c for c in q) ** 0.5
-    return (*place, *(c / n for c in q))
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the poses in the rows of a and b, quaternions brought back to length one."""
+    out = np.empty_like(b)
+    u, w, v = a[:, 3:6], a[:, 6:7], b[:, :3]
+    turn = np.cross(u, v)
+    out[:, :3] = a[:, :3] + v + 2 * (w * turn + np.cross(u, turn))
+    x, s = b[:, 3:6], b[:, 6:7]
+    out[:, 3:6] = w * x + s * u + np.cross(u, x)
+    out[:, 6:7] = w * s - (u * x).sum(axis=1, keepdims=True)
+    out[:, 3:] /= np.sqrt((out[:, 3:] ** 2).sum(axis=1, keepdims=True))
+    return out
 
 
 def key_scans(poses: DataFrame, least: float) -> DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows as a reliable checkpoint in the shared folder that the cluster names; a temporary one only where none is set."""
+    """The rows as a reliable checkpoint in the shared folder that the cluster names; a temporary one only on a local master that names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-"))
+        where = context.getConf().get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="terrane-"))
     return df.checkpoint()

@@ -191,3 +191,29 @@ def test_ransac_default_finds_few_true_matches():
 
 def test_map_in_blocks_has_no_limit_of_blocks():
     assert "blocks" not in inspect.signature(mapping.map_in_blocks).parameters
+
+
+def test_nearest_has_no_farthest_reach(spark):
+    """A point thousands of reaches away is found; one without a place, or without a target in its group, has no neighbour."""
+    kind = "pair_id long, point_id long, x double, y double, z double"
+    a = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 9000.0, 0.0, 0.0), (1, 3, None, 0.0, 0.0), (1, 4, float("nan"), 0.0, 0.0), (2, 5, 0.0, 0.0, 0.0)], kind)
+    b = spark.createDataFrame([(1, 7, 0.5, 0.0, 0.0), (1, 8, 1.0, 0.0, 0.0)], kind)
+    assert {(r.source_id, r.target_id) for r in neighbours.nearest(a, b, 0.2, ["pair_id"]).collect()} == {(1, 7), (2, 8)}
+    assert neighbours.nearest(a, b.limit(0), 0.2, ["pair_id"]).collect() == []
+
+
+def test_mutual_matches_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i % 3, i, [round(rng.uniform(-1, 1), 2) for _ in range(4)]) for i in range(90)]
+    f = spark.createDataFrame(rows, "cloud_id long, vec_id long, f array<double>")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 9)], "source long, target long")
+    d = lambda x, y: sum(round((p - q) * 1e6) ** 2 for p, q in zip(x, y, strict=True))
+    want = set()
+    for s, t in ((0, 1), (1, 2)):
+        va, vb = ([(i, v) for c, i, v in rows if c == k] for k in (s, t))
+        for i, v in va:
+            j, w = min(vb, key=lambda x: (d(v, x[1]), x[0]))
+            if min(va, key=lambda x: (d(w, x[1]), x[0]))[0] == i:
+                want.add((s, t, i, j, d(v, w)))
+    for block in (7, 512):
+        assert {tuple(r) for r in neighbours.mutual_matches(f, pairs, block).collect()} == want
