@@ -32,7 +32,7 @@ from terrane.llm._text import U, as_bytes, mix
 ANCHORS = "key long, ctx long, doc long, hash long, at int, lo int, hi int"
 SPANS = "doc long, hash long, lo int, hi int, kind int"
 #: Contexts that are laid out in memory at once.
-_CHUNK = 20_000
+_CHUNK = 8_000
 
 
 def _as_they_are(texts: list[bytes]) -> list[bytes]:
@@ -56,7 +56,7 @@ class Shape:
     #: Turns stretches of text into the bytes of their symbols.
     symbols: Callable[[list[bytes]], list[bytes]] = _as_they_are
     #: Contexts of one key that a single task compares.
-    task_contexts: int = 1_000
+    task_contexts: int = 20_000
 
     @property
     def right(self) -> int:
@@ -269,7 +269,7 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        for b in batches:
+        for b in (x.slice(k, 1000) for x in batches for k in range(0, x.num_rows, 1000)):
             doc, hash_, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for i, (text, want) in enumerate(zip(as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True)):
                 found = context(text or b"", [(x["at"], x["lo"], x["hi"]) for x in want])

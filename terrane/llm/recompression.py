@@ -81,7 +81,7 @@ def name_symbols(h: np.ndarray, text: np.ndarray, how: Recompression) -> tuple[n
 def anchors(texts: list[bytes | None], how: Recompression) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, key, ctx, at, lo, hi) arrays of the thinned symbols, in words."""
     shape = how.shape
-    for first, run in pieces(texts):
+    for first, run in pieces(texts, limit=512 << 10):
         words = Piece(run).words()
         h = words.hashes()
         if len(h) < how.window:

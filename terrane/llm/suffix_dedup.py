@@ -46,7 +46,7 @@ class Suffixes:
 def anchors(texts: list[bytes | None], how: Suffixes) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, key, ctx, at, lo, hi) arrays of the anchors."""
     reach = how.least - how.gram
-    for first, run in pieces(texts):
+    for first, run in pieces(texts, limit=512 << 10):
         piece = Piece(run)
         g = grams(prefix(BYTE_VALUE[piece.data]), how.gram)
         best = sliding_argmin(g, reach + 1)
