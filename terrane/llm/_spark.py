@@ -8,8 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bitmaps that ``may_hold`` sends, 32,768 bits (4 KB) each: 4 MB however large the tables are.
+_BITMAPS = 1024
 
 _own: dict[str, str] = {}
 
@@ -38,6 +41,24 @@ def forget(*kept: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def may_hold(df: DataFrame, value: Column, of: DataFrame) -> DataFrame:
+    """``df`` with a column ``__may``: false only where ``value``, a long, surely isn't in the one column of ``of``.
+
+    Rows without the mark need no exchange to be told apart; the others are left to an exact
+    join.  The bits have a fixed number, so a very large ``of`` marks more rows in vain.
+    """
+
+    def slot(v: Column) -> Column:
+        return F.pmod(F.xxhash64(v), F.lit(_BITMAPS * 32768)) + 1
+
+    at = of.select(slot(F.col(of.columns[0])).alias("__slot")).distinct()
+    bits = at.groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits"))
+    marked = df.withColumn("__slot", slot(value)).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(F.broadcast(bits), "__bucket", "left")
+    place = F.bitmap_bit_position("__slot")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn("__may", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__slot", "__bucket", "__bits")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

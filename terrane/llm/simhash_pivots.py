@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._graph import components
-from terrane.llm._spark import forget, keep, whole_keys
+from terrane.llm._spark import forget, keep, may_hold, whole_keys
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces
 
 # XXH64 primes: fixed values of the hash's specification.
@@ -467,7 +467,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     forget(sizes)
     # the shingles of every text that meets another, once for all turns
     want = keep(met.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
-    texts = d.join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
+    texts = may_hold(d, F.col("id"), want.select("rep")).where("__may").join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
     sets = keep(texts.mapInArrow(hashes, "node long, hashes array<long>").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     forget(want)
 
@@ -520,7 +520,10 @@ def keep_one(docs: DataFrame, s: Similar | None = None, id_col: str = "doc_id",
     """
     found = keep(_similar(docs, s, id_col, text_col), "components")
     gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    left = docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+    # rows that surely stay don't move with their texts
+    marked = may_hold(docs, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)), gone.select(F.xxhash64("__gone", "__hash")))
+    met = (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__hash"))
+    left = marked.where("not __may").union(marked.where("__may").join(gone, met, "left_anti")).drop("__may")
     twice = found.where(F.col("id") == F.col("component_id")).groupBy("id").count().where("count > 1").select(F.col("id").alias("__twice"))
     twice = keep(twice, "repeated")
     if twice.isEmpty():

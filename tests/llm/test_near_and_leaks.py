@@ -4,7 +4,9 @@ from math import comb
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from terrane.llm._spark import may_hold
 from terrane.llm.simhash_pivots import SimHash, Similar, _groups, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
 from terrane.llm.winnowing import Winnow, contamination, keep_clean
 
@@ -164,6 +166,17 @@ def test_groups_are_bounded_and_whole(spark):
     assert pairs >= {(a, b) for a in range(460, 500) for b in range(500)}
 
 
+def test_marks_miss_no_row(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") > 0, F.col("id")).alias("a.b"), F.lit("x").alias("key"))
+    held = spark.range(0, 60_000, 7).select("id")
+    marked = may_hold(rows, F.col("`a.b`"), held)
+    assert marked.columns == ["a.b", "key", "__may"]
+    wrong = {r["__may"]: r["count"] for r in marked.where("coalesce(`a.b` % 7, 1) <> 0").groupBy("__may").count().collect()}
+    assert marked.count() == 60_000 and wrong.get(True, 0) < 60
+    assert marked.where("`a.b` % 7 = 0 and not __may").isEmpty()
+    assert may_hold(rows, F.col("`a.b`"), held.limit(0)).where("__may").isEmpty()
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(7, None, 1), (5, "", 1), (None, "", 1), (9, "a b c d e f", 1), (9, "a b c d e f", 1)], "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash_components(df).collect()), key=str)
