@@ -12,9 +12,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,7 @@ _BLOCK = frozenset(
 )
 #: What an opening tag closes when it is open within the nearest container.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+_PARAGRAPH = frozenset({"p"})
 _FENCE = frozenset("ul ol dl table div section article main body aside nav header footer form blockquote td th".split())
 _SKIP_ELEMENT = frozenset("nav footer aside form header menu button label legend dialog fieldset head".split())
 _GOOD_ELEMENT = frozenset("article main".split())
@@ -54,107 +56,153 @@ class Costs:
     good_name: float = 1.5
     boilerplate_element: float = -9.0
     bad_name: float = -7.0
-    adjacency: float = 0.8
-    proximity: float = 0.6
+    #: Next to what a few words weigh, so that the cut decides where no element or name tells.
+    adjacency: float = 3.0
+    proximity: float = 2.0
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
     tag: str
     linked: int
+    #: The element, the one around it, and how many are open.
+    ident: int
+    parent: int
+    depth: int
+    #: Elements between this block and the one before it in the tree.
+    apart: int
     odds: float = 0.0
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
-    tag: str
-    ident: int
-    bad_element: bool
-    bad_name: bool
-    good: bool
-    good_name: bool
-
+    """An open element and what it inherits, so that nothing looks through the whole stack."""
 
-@dataclass
-class _Reader:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
-    linked: int = 0
-    links: int = 0
-
-
-def _score(text: str, linked: int, o: list[_Open], tag: str, c: Costs) -> float:
+    tag: str
+    block: _Open | None = None  # the nearest block element, perhaps itself
+    ident: int = 0
+    parent: int = 0
+    depth: int = 0
+    article: bool = False
+    bad_element: bool = False
+    own_header: bool = False
+    bad_name: bool = False
+    good_name: bool = False
+
+    def inner(self, tag: str, ident: int, hidden: bool, names: set[str]) -> _Open:
+        x = _Open(tag, self.block, self.ident, self.parent, self.depth, self.article, self.bad_element or hidden, self.own_header, self.bad_name, self.good_name or bool(names & _GOOD_NAME))
+        x.bad_name |= bool(names & _BAD_NAME) and tag not in ("body", "html")
+        if tag in _BLOCK:
+            x.block, x.ident, x.parent, x.depth = x, ident, self.ident, self.depth + 1
+        if tag == "header" and self.article:
+            x.own_header = True  # the article's own headline, unless another article begins in it
+        elif tag in _SKIP_ELEMENT:
+            x.bad_element = True
+        if tag in _GOOD_ELEMENT:
+            x.bad_element |= x.own_header
+            x.article, x.own_header = True, False
+        return x
+
+
+class _Stack:
+    """Open elements, with the places of each tag."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("")]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> _Open:
+        return self.open[-1]
+
+    def push(self, x: _Open) -> None:
+        self.places.setdefault(x.tag, []).append(len(self.open))
+        self.open.append(x)
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def end(self, tag: str) -> None:
+        """Close ``tag`` and what is open in it; inline elements don't reach beyond a container."""
+        at = self.last((tag,))
+        if at and (tag in _BLOCK or at > self.last(_FENCE)):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """Close what ``tag`` closes by beginning, within the nearest container."""
+        close = _CLOSES.get(tag, _PARAGRAPH)
+        fence = self.last(_FENCE - close)
+        found = [at[k] for t in close if (at := self.places.get(t)) and (k := bisect_right(at, fence)) < len(at)]
+        if found:
+            self.cut(min(found))
+
+    @property
+    def in_link(self) -> bool:
+        return bool(self.places.get("a"))
+
+
+def _score(text: str, linked: int, o: _Open, tag: str, c: Costs) -> float:
     n = text.count(" ") + 1
     s = c.bias + c.per_log_word * math.log2(1 + n) + c.link_share * min(1.0, linked / max(1, len(text)))
     s += c.paragraph * (tag in ("p", "pre", "blockquote")) + c.heading * (tag[:1] == "h" and tag[1:].isdigit()) + c.list_item * (tag in ("li", "td", "option"))
-    article = max((i for i, x in enumerate(o) if x.good), default=-1)
-    # a header inside an article is its own headline; one outside is the page's
-    bad = any(x.bad_element and not (x.tag == "header" and i > article >= 0) for i, x in enumerate(o))
-    s += c.in_article * (article >= 0) + c.good_name * any(x.good_name for x in o)
-    return s + c.boilerplate_element * bad + c.bad_name * any(x.bad_name for x in o)
+    s += c.in_article * o.article + c.good_name * o.good_name
+    return s + c.boilerplate_element * o.bad_element + c.bad_name * o.bad_name
 
 
 def read_blocks(page: str, costs: Costs) -> list[Block]:
-    """Text blocks in page order, each with its element path and log-odds of being content."""
-    r = _Reader()
-    counter = 0
+    """Text blocks in page order, each with its place in the element tree and log-odds of being content."""
+    blocks: list[Block] = []
+    stack = _Stack()
+    parts: list[str] = []
+    linked = counter = low = before = 0  # low: least depth since the last block, which was ``before`` deep
 
     def flush() -> None:
-        if r.text:
-            text = " ".join(html.unescape("".join(r.text)).split())
+        nonlocal linked, low, before
+        if parts:
+            text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                at = next((x for x in reversed(r.stack) if x.tag in _BLOCK), None)
-                tag = at.tag if at else ""
-                r.blocks.append(Block(text, tuple(x.ident for x in r.stack if x.tag in _BLOCK), tag, r.linked, _score(text, r.linked, r.stack, tag, costs)))
-        r.text, r.linked = [], 0
+                o = stack.top
+                tag = o.block.tag if o.block else ""
+                low = min(low, o.depth)
+                blocks.append(Block(text, tag, linked, o.ident, o.parent, o.depth, before + o.depth - 2 * low, _score(text, linked, o, tag, costs)))
+                low = before = o.depth
+            parts.clear()
+        linked = 0
 
     at = 0
     for m in _tokens(page):
         if m.start() > at:
             piece = page[at : m.start()]
-            r.text.append(piece)
-            if r.links:
-                r.linked += len(piece.strip())
+            parts.append(piece)
+            if stack.in_link:
+                linked += len(piece.strip())
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if m[1]:
-            if tag in _BLOCK:
-                flush()
-            for i in range(len(r.stack) - 1, -1, -1):
-                if r.stack[i].tag == tag:
-                    r.links -= sum(x.tag == "a" for x in r.stack[i:])
-                    del r.stack[i:]
-                    break
-                if tag not in _BLOCK and r.stack[i].tag in _FENCE:
-                    break
-            continue
         if tag == "br":
-            r.text.append(" ")
+            parts.append(" ")
         if tag in _BLOCK:
             flush()
-            close = _CLOSES.get(tag, {"p"})
-            for i in range(len(r.stack) - 1, -1, -1):
-                if r.stack[i].tag in close:
-                    r.links -= sum(x.tag == "a" for x in r.stack[i:])
-                    del r.stack[i:]
-                elif r.stack[i].tag in _FENCE:
-                    break
-        if tag in _VOID or (m[3] or "").endswith("/"):
+        if m[1]:
+            stack.end(tag)
+        elif tag in _BLOCK:
+            stack.make_room(tag)
+        low = min(low, stack.top.depth)
+        if m[1] or tag in _VOID or (m[3] or "").endswith("/"):
             continue
         counter += 1
         names = {w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())} if m[3] else set()
-        hidden = bool(m[3]) and bool(_HIDDEN.search(m[3]))
-        r.stack.append(_Open(tag, counter, tag in _SKIP_ELEMENT or hidden, bool(names & _BAD_NAME) and tag not in ("body", "html"), tag in _GOOD_ELEMENT, bool(names & _GOOD_NAME)))
-        r.links += tag == "a"
+        stack.push(stack.top.inner(tag, counter, bool(m[3]) and bool(_HIDDEN.search(m[3])), names))
     if at < len(page):
-        r.text.append(page[at:])
+        parts.append(page[at:])
     flush()
-    return r.blocks
+    return blocks
 
 
 def _tokens(page: str) -> Iterator[re.Match]:
@@ -213,7 +261,7 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
 
 
 def _max_flow(nodes: list[int], odds: list[float], near: list[list[tuple[int, float]]], label: list) -> list[bool]:
-    """Shortest augmenting paths; what the source still reaches is its side of the cut."""
+    """Flow along shortest paths, all of one length in a phase; what the source still reaches is its side of the cut."""
     place = {v: k for k, v in enumerate(nodes)}
     s, t = len(nodes), len(nodes) + 1
     cap: list[dict[int, float]] = [{} for _ in range(len(nodes) + 2)]
@@ -226,45 +274,52 @@ def _max_flow(nodes: list[int], odds: list[float], near: list[list[tuple[int, fl
             if label[u] is None:
                 cap[k][place[u]] = cap[k].get(place[u], 0.0) + c
     while True:
-        back = {s: s}
+        level = {s: 0}
         queue = deque([s])
-        while queue and t not in back:
+        while queue:
             v = queue.popleft()
             for u, c in cap[v].items():
-                if c > 1e-9 and u not in back:
-                    back[u] = v
+                if c > 1e-9 and u not in level:
+                    level[u] = level[v] + 1
                     queue.append(u)
-        if t not in back:
-            return [k in back for k in range(len(nodes))]
-        path, v = [], t
-        while v != s:
-            path.append((back[v], v))
-            v = back[v]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
-
-
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+        if t not in level:
+            return [k in level for k in range(len(nodes))]
+        ahead = {v: iter([u for u in cap[v] if level.get(u) == level[v] + 1]) for v in level}
+        path, now = [s], next(ahead[s], None)
+        while now is not None or len(path) > 1:
+            if now is None:  # a dead end: go back and try what comes next
+                path.pop()
+            elif cap[path[-1]][now] > 1e-9:
+                path.append(now)
+                if now == t:
+                    steps = list(zip(path, path[1:], strict=False))
+                    flow = min(cap[a][b] for a, b in steps)
+                    for a, b in steps:
+                        cap[a][b] -= flow
+                        cap[b][a] = cap[b].get(a, 0.0) + flow
+                    full = next(k for k, (a, b) in enumerate(steps) if cap[a][b] <= 1e-9)
+                    del path[full + 1 :]
+            now = next(ahead[path[-1]], None)
+
+
+def ties(blocks: list[Block], costs: Costs) -> list[tuple[int, int, float]]:
+    """Smoothness edges: to the next block, and to the next one under the same element, weaker with distance."""
+    edges, last = [], {}
+    for i, b in enumerate(blocks):
+        if i:
+            edges.append((i - 1, i, costs.adjacency / (1 + b.apart)))
+        if (j := last.get(b.parent)) is not None:
+            a = blocks[j]
+            apart = 0 if a.ident == b.ident else a.depth + b.depth - 2 * max(0, min(a.depth, b.depth) - (a.depth == b.depth))
+            edges.append((j, i, costs.proximity / (1 + apart)))
+        last[b.parent] = i
+    return edges
 
 
 def extract(page: str | None, costs: Costs) -> str:
     blocks = read_blocks(page or "", costs)
-    edges, last = [], {}
-    for i, b in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, costs.adjacency / (1 + _distance(blocks[i - 1].path, b.path))))
-        if (j := last.get(b.path[:-1])) is not None:
-            edges.append((j, i, costs.proximity / (1 + _distance(blocks[j].path, b.path))))
-        last[b.path[:-1]] = i
-    return "\n".join(b.text for b, content in zip(blocks, min_cut([b.odds for b in blocks], edges), strict=True) if content)
+    content = min_cut([b.odds for b in blocks], ties(blocks, costs))
+    return "\n".join(b.text for b, yes in zip(blocks, content, strict=True) if yes)
 
 
 def main_text(pages: DataFrame, costs: Costs | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

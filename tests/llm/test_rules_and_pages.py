@@ -1,9 +1,10 @@
 import random
+import time
 
 import zstandard
 
 from terrane.llm.compression_bands import Bands, compression_bands, keep_good, measure
-from terrane.llm.main_text import Costs, extract, main_text, min_cut
+from terrane.llm.main_text import Costs, extract, main_text, min_cut, read_blocks, ties
 
 ODD = "doc_id long, text string, n_words string, kept int"
 
@@ -82,6 +83,36 @@ def test_cut_is_the_cheapest_labelling():
         assert abs(cost(min_cut(odds, edges)) - best) < 1e-6
 
 
+def test_cut_decides_where_no_element_or_name_tells():
+    """Pages of plain divisions: short lines between long ones are text, long links between short ones are menu."""
+    rng = random.Random(3)
+    costs, wrong = Costs(), {"cut": 0, "sign": 0}
+
+    def words(n):
+        return " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+
+    for _ in range(100):
+        menus = [[f"<div><a href=x>m {words(rng.randint(1, 3))}</a></div>" if rng.random() < 0.8 else f"<div>m {words(rng.randint(5, 9))}</div>" for _ in range(8)] for _ in range(2)]
+        body = [f"<div>t {words(1 if rng.random() < 0.25 else rng.randint(15, 60))}</div>" for _ in range(10)]
+        blocks = read_blocks("<body>" + "".join(f"<div>{''.join(x)}</div>" for x in (menus[0], body, menus[1])), costs)
+        for name, content in (("cut", min_cut([b.odds for b in blocks], ties(blocks, costs))), ("sign", [b.odds > 0 for b in blocks])):
+            wrong[name] += sum(yes != b.text.startswith("t") for b, yes in zip(blocks, content, strict=True))
+    assert wrong["sign"] > 200 and wrong["cut"] < wrong["sign"] / 3, wrong
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.process_time()
+    assert extract("<div>" * 16_000 + "x" + "</div>" * 16_000, Costs()) in ("", "x")
+    assert extract("<article>" + "<div><p>word</p>" * 8_000, Costs()) == "\n".join(["word"] * 8_000)
+    assert extract("<b><div>" + "<i>" * 8_000 + "</b></section>" * 8_000, Costs()) == ""
+    assert time.process_time() - start < 10
+
+
+def test_distances_follow_the_tree():
+    blocks = read_blocks("<div>a<p>b<p>c</div><ul><li>d<li>e", Costs())
+    assert [(b.text, b.depth, b.apart) for b in blocks[1:]] == [("b", 2, 1), ("c", 2, 2), ("d", 2, 4), ("e", 2, 2)]
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, PAGE, "x")], "page_id long, url string, html string, text string")
     rows = main_text(df).collect()
