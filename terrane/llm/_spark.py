@@ -36,9 +36,14 @@ def forget(*kept: DataFrame) -> None:
     """Delete tables that ``keep`` wrote, once nothing reads them any more."""
     for df in kept:
         if files := df.inputFiles():
-            context = df.sparkSession.sparkContext
-            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def may_hold(df: DataFrame, value: Column, of: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm._spark import shared_folder, table
+from terrane.llm._spark import delete, shared_folder, table
 from terrane.llm.compression_bands import compression_bands
 from terrane.llm.language_model import score_texts
 from terrane.llm.longest_match import token_counts
@@ -59,7 +59,9 @@ def op9_piece_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    return digest_of_archives(read_warc(spark, path, payload=False))
+    records = read_warc(spark, path, payload=False)
+    delete(spark, path)  # what it read is kept
+    return digest_of_archives(records)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -24,18 +24,29 @@ from terrane.llm._spark import forget, keep
 _MAGIC = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)(?=\r\n)")
 _END = "\r\n\r\n"
+#: Payload bytes that a batch of records read back holds, about.
+_HELD = 16 << 20
 HEADERS = {"record_type": "WARC-Type", "page_id": "WARC-Record-ID", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100, records_per_file: int = 1000, small_rows: int = 200_000, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100, records_per_file: int = 1000, file_bytes: int = 64 << 20, small_rows: int = 200_000, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write ``pages`` as WARC 1.1 files under ``path``, ``records_per_file`` records in each at most.
 
+    Larger payloads go into files of fewer records, so that no file holds more than
+    ``file_bytes`` of payload, but one payload that is larger by itself.
     Null html is an empty payload and a null url leaves its header out.  A null id is written
     as an empty one and is never the least unless all ids of equal payloads are null, which
     then are all responses, as are repeated rows of the least id.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
+    at_most = [records_per_file]
+    while at_most[-1] > 1:
+        at_most.append(max(1, at_most[-1] // 16))
+    kind = F.lit(len(at_most) - 1)
+    for k in reversed(range(len(at_most) - 1)):
+        kind = F.when(F.col("size") <= file_bytes // at_most[k], k).otherwise(kind)
+    kinds = sorted(r[0] for r in p.select(kind.alias("kind")).distinct().collect()) or [0]
     first = p.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     first = keep(first, "repeated")
     few = first.limit(small_rows + 1).count() <= small_rows
@@ -56,7 +67,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.col("again")), header("Content-Type", F.lit("text/html; charset=utf-8")), header("Content-Length", size),
         F.lit(_END), F.when(F.col("again"), "").otherwise(F.col("payload")),
     )
-    p.select(record.alias("value")).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+    for n, k in enumerate(kinds):
+        rows = p if len(kinds) == 1 else p.where(kind == k)
+        rows.select(record.alias("value")).write.mode("append" if n else "errorifexists").option("lineSep", _END).option("maxRecordsPerFile", at_most[k]).text(path)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -88,11 +101,15 @@ def _scan(spark: SparkSession, path: str, payload: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data, rows = data.as_py(), []
+                data, rows, held = data.as_py(), [], 0
                 for at, after, body in candidates(data):
                     h = _headers(data[at : body - 4])
                     own = data[body : after - 4]
                     rows.append({"path": name, "at": at, "after": after, "size": len(own), "sha256": hashlib.sha256(own).hexdigest()} | {k: h.get(x) for k, x in HEADERS.items()} | ({"payload": own} if payload else {}))
+                    held += len(own) if payload else 0
+                    if held > _HELD or len(rows) == 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kinds)

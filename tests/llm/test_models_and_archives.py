@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import sentencepiece
+from pyspark.sql import functions as F
 
 from terrane.llm.elias_fano import EliasFano
 from terrane.llm.language_model import LanguageModel, score_texts, train
@@ -99,5 +100,10 @@ def test_archives_come_back(spark, tmp_path):
         assert sorted(got, key=str) == sorted(want, key=str)
     full = {r.page_id: r.payload for r in read_warc(spark, f"{tmp_path}/w0").collect()}
     assert full["102"] == (fake * 3 + "x" * 50).encode() and "999" not in full
+    # larger payloads lie in files of fewer records
+    write_warc(df, f"{tmp_path}/bound", records_per_file=20, file_bytes=4_000)
+    assert sorted((tuple(r) for r in digest_of_archives(read_warc(spark, f"{tmp_path}/bound", payload=False)).collect()), key=str) == sorted(want, key=str)
+    held = read_warc(spark, f"{tmp_path}/bound").groupBy("path").agg(F.sum("size").alias("size"), F.count("size").alias("n")).collect()
+    assert all((r["size"] or 0) <= 4_000 or r["n"] == 1 for r in held) and len(held) > 5
     write_warc(df.limit(0), f"{tmp_path}/none")
     assert read_warc(spark, f"{tmp_path}/none").collect() == []
