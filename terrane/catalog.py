@@ -452,21 +452,21 @@ def normals_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # carving
 
-_RAYS = f"{_P}, r as (select scan_id // 10 as submap_id, scan_id * 100000 + point_id as ray_id, x, y, z, {_R} as len from points_v where point_id <= 40 and {_R} > 0), st as (select *, unnest(range(0, cast(ceil(greatest(1.5, least(len - 0.1, 20.0)) / 1.5) as bigint))) as k from r), v as (select distinct submap_id, ray_id, x / len as dx, y / len as dy, z / len as dz, cast(floor((x / len) * (k * 1.5) / 1.5) as integer) as vx, cast(floor((y / len) * (k * 1.5) / 1.5) as integer) as vy, cast(floor((z / len) * (k * 1.5) / 1.5) as integer) as vz from st)"
+_RAYS = f"{_P}, r as (select scan_id // 10 as submap_id, scan_id * 100000 + point_id as ray_id, x, y, z, {_R} as len from points_v where {_R} > 0), st as (select *, unnest(range(0, cast(ceil(greatest(1.5, least(len - 0.1, 20.0)) / 1.5) as bigint))) as k from r), v as (select distinct submap_id, ray_id, x / len as dx, y / len as dy, z / len as dz, cast(floor((x / len) * (k * 1.5) / 1.5) as integer) as vx, cast(floor((y / len) * (k * 1.5) / 1.5) as integer) as vy, cast(floor((z / len) * (k * 1.5) / 1.5) as integer) as vz from st)"
 
 
 def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Rays from the origin to the first points of each scan, and the other points as a map with outward normals."""
+    """Rays from the origin to all points of each scan, and all points of its submap as a map with outward normals."""
     p = view(spark, sf_dir, "points_v").withColumns({"submap_id": F.floor(F.col("scan_id") / 10).cast("long"), "ray_id": F.col("scan_id") * 100000 + F.col("point_id")})
     zero = F.lit(0.0)
-    rays = p.where("point_id <= 40").select("submap_id", "ray_id", "x", "y", "z", zero.alias("sx"), zero.alias("sy"), zero.alias("sz"))
+    rays = p.select("submap_id", "ray_id", "x", "y", "z", zero.alias("sx"), zero.alias("sy"), zero.alias("sz"))
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    rest = p.where("point_id > 40").where(r > 0).select("submap_id", F.col("ray_id").alias("point_id"), "x", "y", "z", *((F.col(c) / r).alias(f"n{c}") for c in "xyz"))
+    rest = p.where(r > 0).select("submap_id", F.col("ray_id").alias("point_id"), "x", "y", "z", *((F.col(c) / r).alias(f"n{c}") for c in "xyz"))
     return rays, rest
 
 
 @query(
-    f"{_RAYS}, m as (select scan_id // 10 as submap_id, scan_id * 100000 + point_id as point_id, x / {_R} as nx, y / {_R} as ny, z / {_R} as nz, {_v('x', 1.5)} as vx, {_v('y', 1.5)} as vy, {_v('z', 1.5)} as vz from points_v where point_id > 40 and {_R} > 0) select distinct submap_id, point_id from m join v using (submap_id, vx, vy, vz) where abs(dx * nx + dy * ny + dz * nz) > 0.9"
+    f"{_RAYS}, m as (select scan_id // 10 as submap_id, scan_id * 100000 + point_id as point_id, x / {_R} as nx, y / {_R} as ny, z / {_R} as nz, {_v('x', 1.5)} as vx, {_v('y', 1.5)} as vy, {_v('z', 1.5)} as vz from points_v where {_R} > 0) select distinct submap_id, point_id from m join v using (submap_id, vx, vy, vz) where abs(dx * nx + dy * ny + dz * nz) > 0.9"
 )
 def ray_carve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays, rest = _scene(spark, sf_dir)
@@ -474,10 +474,12 @@ def ray_carve_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_P}, r as (select scan_id // 10 as submap_id, x, y, z, {_R} as len from points_v where point_id <= 40 and {_R} > 0), st as (select *, unnest(range(0, cast(ceil(greatest(2.0, least(len - 0.1, 20.0)) / 2.0) as bigint))) as k from r), "
-    f"p as (select submap_id, (x / len) * (k * 2.0) as px, (y / len) * (k * 2.0) as py, (z / len) * (k * 2.0) as pz from st), s as (select cast(unnest(range(-2, 3)) as integer) as k), q as (select *, {_v('px', 0.8)} as vx, {_v('py', 0.8)} as vy, {_v('pz', 0.8)} as vz from p), "
-    "n as (select distinct submap_id, vx + i.k as vx, vy + j.k as vy, vz + k.k as vz from q, s i, s j, s k where (i.k = 0 and j.k = 0 and k.k = 0) or power((vx + i.k) * 0.8 + 0.4 - px, 2) + power((vy + j.k) * 0.8 + 0.4 - py, 2) + power((vz + k.k) * 0.8 + 0.4 - pz, 2) <= 1.0), "
-    f"o as (select distinct scan_id // 10 as submap_id, {_v('x', 0.8)} as vx, {_v('y', 0.8)} as vy, {_v('z', 0.8)} as vz from points_v where point_id > 40 and {_R} > 0) select o.* from o semi join n using (submap_id, vx, vy, vz)"
+    f"{_P}, r as (select scan_id // 10 as submap_id, x, y, z, {_R} as len from points_v where {_R} > 0), st as (select *, unnest(range(0, cast(ceil(greatest(2.0, least(len - 0.1, 20.0)) / 2.0) as bigint))) as k from r), "
+    f"p as (select submap_id, (x / len) * (k * 2.0) as px, (y / len) * (k * 2.0) as py, (z / len) * (k * 2.0) as pz from st), "
+    f"o as (select distinct scan_id // 10 as submap_id, {_v('x', 0.8)} as vx, {_v('y', 0.8)} as vy, {_v('z', 0.8)} as vz from points_v where {_R} > 0), s as (select cast(unnest(range(-1, 2)) as integer) as k), "
+    f"c as (select o.*, {_v('(vx * 0.8 + 0.4)', 1.0)} + i.k as hx, {_v('(vy * 0.8 + 0.4)', 1.0)} + j.k as hy, {_v('(vz * 0.8 + 0.4)', 1.0)} + k.k as hz from o, s i, s j, s k) "
+    f"select distinct c.submap_id, vx, vy, vz from c join (select *, {_v('px', 1.0)} as hx, {_v('py', 1.0)} as hy, {_v('pz', 1.0)} as hz from p) q using (submap_id, hx, hy, hz) "
+    f"where power(vx * 0.8 + 0.4 - px, 2) + power(vy * 0.8 + 0.4 - py, 2) + power(vz * 0.8 + 0.4 - pz, 2) <= 1.0 or (vx = {_v('px', 0.8)} and vy = {_v('py', 0.8)} and vz = {_v('pz', 0.8)})"
 )
 def ray_carve_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays, rest = _scene(spark, sf_dir)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.geometry import voxel_key, voxels_around
+from terrane.functions.geometry import voxel_key
 from terrane.operators.voxel import VOXEL, drop_voxels, with_voxel
 
 
@@ -29,21 +31,34 @@ def carved_points(scans: DataFrame, map_points: DataFrame, size: float, longest:
     """Ids of map points in voxels that a ray passes, unless the ray runs along their surface.
 
     A map point counts only if the ray meets it at |direction . normal| above ``least_dot``;
-    map points carry nx, ny, nz.  A ray visits each voxel once.
+    map points carry nx, ny, nz.  A ray visits each voxel once.  Points look for one such ray:
+    no pairs of points and rays are made.
     """
     steps = ray_steps(scans, size, longest, truncation)
     key = voxel_key("px", "py", "pz", size)
-    seen = steps.select(*on, "ray_id", "dx", "dy", "dz", *(k.alias(v) for k, v in zip(key, VOXEL, strict=True))).distinct()
-    hit = with_voxel(map_points, size).join(seen, [*on, *VOXEL])
+    seen = steps.select(*(F.col(c).alias(f"s_{c}") for c in on), "dx", "dy", "dz", *(k.alias(f"s_{v}") for k, v in zip(key, VOXEL, strict=True)))
+    same = reduce(and_, (F.col(c) == F.col(f"s_{c}") for c in [*on, *VOXEL]))
     dot = F.abs(F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz"))
-    return hit.where(dot > least_dot).select(*on, "point_id").distinct()
+    return with_voxel(map_points, size).join(seen, same & (dot > least_dot), "left_semi").select(*on, "point_id").distinct()
 
 
 def carved_voxels(scans: DataFrame, occupied: DataFrame, size: float, longest: float, truncation: float, radius: float, on: Sequence[str] = ("submap_id",)) -> DataFrame:
-    """Occupied voxels within ``radius`` of a ray, which advances by twice that."""
+    """Occupied voxels within ``radius`` of a ray, which advances by twice that.
+
+    The voxels look for a step in the 27 cells around them; steps, which are many more, stay one row each.
+    """
+    reach = max(radius, size)  # a step within a voxel is near its centre
     steps = ray_steps(scans, 2 * radius, longest, truncation)
-    near = steps.select(*on, F.explode(voxels_around("px", "py", "pz", radius, size)).alias("v")).select(*on, "v.*").distinct()
-    return occupied.join(near, [*on, *VOXEL], "left_semi").select(*on, *VOXEL)
+    cell = voxel_key("px", "py", "pz", reach)
+    steps = steps.select(*(F.col(c).alias(f"s_{c}") for c in on), "px", "py", "pz", *(k.alias(f"s_{c}") for k, c in zip(cell, "xyz", strict=True)))
+    o = occupied.select(*on, *VOXEL).withColumns({f"c{c}": F.col(v) * F.lit(size) + F.lit(size / 2) for c, v in zip("xyz", VOXEL, strict=True)})
+    home = dict(zip("xyz", voxel_key("cx", "cy", "cz", reach), strict=True))
+    for c, k in home.items():
+        o = o.withColumn(f"h{c}", F.explode(F.array(*(k + d for d in (-1, 0, 1)))))
+    meet = reduce(and_, (F.col(a) == F.col(b) for a, b in [*((c, f"s_{c}") for c in on), *((f"h{c}", f"s_{c}") for c in "xyz")]))
+    away = reduce(add, ((F.col(f"c{c}") - F.col(f"p{c}")) * (F.col(f"c{c}") - F.col(f"p{c}")) for c in "xyz"))
+    own = reduce(and_, (k == F.col(v) for k, v in zip(voxel_key("px", "py", "pz", size), VOXEL, strict=True)))
+    return o.join(steps, meet & ((away <= radius * radius) | own), "left_semi").select(*on, *VOXEL).distinct()
 
 
 def carve(map_points: DataFrame, scans: DataFrame, size: float, longest: float, truncation: float, least_dot: float, on: Sequence[str] = ("submap_id",)) -> DataFrame:
