@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrane.llm._spark import delete, shared_folder, table
 from terrane.llm.compression_bands import compression_bands
+from terrane.llm.hadamard_clusters import centroid_clusters
 from terrane.llm.language_model import score_texts
 from terrane.llm.longest_match import token_counts
 from terrane.llm.main_text import main_text
@@ -64,8 +65,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_of_archives(records)
 
 
+def op13_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op4_elias_fano, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc)
+    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op4_elias_fano, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc, op13_hadamard_clusters)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -123,4 +128,27 @@ spread as (select k, sum(least(250, coalesce(j - i, 250))) as n_passage_bytes fr
 select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.t, d.t))) as kept_sha256, cast(coalesce(n_passage_bytes, 0) as bigint) as n_passage_bytes from d left join total using (k) left join kept using (k) left join spread using (k)
 """
 
-ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC}
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """The clustering with every distance computed, one block of common tables for each round."""
+    near = "arg_min(c, {{'d': d, 'c': c}}) as c, min(d) as d from (select k, c, cast(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, c{0}) group by k"
+    parts = [
+        "v as materialized (select row_number() over () as k, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings where len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64 and len(embedding) = 64)",
+        f"c0 as materialized (select cast(row_number() over (order by h) - 1 as int) as c, v as w from (select sha256('2:' || vec_id) as h, v from v order by h limit {k}))",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} as materialized (select k, {near.format(i)})",
+            f"m{i} as materialized (select c, list((s - ((s % n) + n) % n) // n order by j) as w from (select c, j, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, 65)) as j from a{i} join v using (k)) group by c, j) group by c)",
+            f"c{i + 1} as materialized (select c, coalesce(m{i}.w, c{i}.w) as w from c{i} left join m{i} using (c))",
+        ]
+    last = f"a as materialized (select k, {near.format(rounds)})"
+    return f"""
+with {", ".join([*parts, last])}
+select vec_id, c as cluster, d as distance, cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(w, ',')) as centroid_sha256
+from a join v using (k) join c{rounds} using (c)
+"""
+
+
+ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC, "op13_hadamard_clusters": _clusters()}
