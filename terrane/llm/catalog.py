@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.llm._spark import delete, shared_folder, table
 from terrane.llm.compression_bands import compression_bands
@@ -13,7 +14,9 @@ from terrane.llm.hadamard_clusters import centroid_clusters
 from terrane.llm.language_model import score_texts
 from terrane.llm.longest_match import token_counts
 from terrane.llm.main_text import main_text
+from terrane.llm.merkle_manifest import manifest, tampered_text
 from terrane.llm.piece_matching import round_trip
+from terrane.llm.pruned_graph import nearest
 from terrane.llm.recompression import repeated_words
 from terrane.llm.simhash_pivots import simhash_components
 from terrane.llm.suffix_dedup import repeated_bytes
@@ -65,12 +68,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_of_archives(records)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest(table(spark, sf_dir, "documents"), now=tampered_text(F.col("doc_id"), F.col("text")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op4_elias_fano, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc, op13_hadamard_clusters)
+    f.__name__: f for f in (op1_compression_bands, op2_main_text, op3_suffix_dedup, op4_elias_fano, op5_simhash_pivots, op6_winnowing, op7_recompression, op8_longest_match, op9_piece_matching, op10_warc, op11_merkle_manifest, op12_pruned_graph, op13_hadamard_clusters)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,6 +142,51 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 
 
 
+def _merkle(arity: int = 3) -> str:
+    """The trees level by level, siblings by level, and the fold of a leaf as a recursion over its levels."""
+    fields = lambda text: " || ".join(f"case when {x} is null then '-' else cast(octet_length(encode(cast({x} as varchar))) as varchar) || ':' || cast({x} as varchar) end" for x in ("doc_id", "source", "lang", "n_chars", text))
+    # CRC-32 is not a function of DuckDB: its remainder by 2 comes from a bitwise recursion over the digits
+    crc = "list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(x) + 1), lambda i: ord(substr(x, i::int, 1))::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::bigint[]), lambda v, w: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end))"
+    return f"""
+with recursive d as materialized (select row_number() over () as k, doc_id, source, lang, n_chars, text, cast(doc_id as varchar) as x from documents),
+t as materialized (select k, doc_id, source, sha256({fields('text')}) as leaf, case when doc_id is not null and xor({crc}, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as now, lang, n_chars from d),
+l as materialized (select k, doc_id, source, leaf, sha256({fields('now')}) as later, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as n from t),
+up as (
+    select 0 as lev, source, idx, n, leaf as h from l
+    union all
+    select lev + 1, source, idx // {arity}, (n + {arity - 1}) // {arity}, sha256(string_agg(h, '' order by idx)) from up where n > 1 group by lev, source, idx // {arity}, n
+),
+sub as materialized (select source, lev as height, h as subroot, row_number() over (order by encode(source) nulls first) - 1 as idx, count(*) over () as n from up where n = 1),
+top as (
+    select 0 as lev, idx, n, subroot as h from sub
+    union all
+    select lev + 1, idx // {arity}, (n + {arity - 1}) // {arity}, sha256(string_agg(h, '' order by idx)) from top where n > 1 group by lev, idx // {arity}, n
+),
+root as materialized (select h as root, lev as height from top where n = 1),
+near as materialized (
+    select u.lev, u.source, u.idx, coalesce(string_agg(v.h, '' order by v.idx) filter (where v.idx < u.idx), '') as b, coalesce(string_agg(v.h, '' order by v.idx) filter (where v.idx > u.idx), '') as a
+    from up u join up v on u.lev = v.lev and u.source is not distinct from v.source and u.idx // {arity} = v.idx // {arity} where u.n > 1 group by u.lev, u.source, u.idx
+),
+near_top as materialized (
+    select u.lev, u.idx, coalesce(string_agg(v.h, '' order by v.idx) filter (where v.idx < u.idx), '') as b, coalesce(string_agg(v.h, '' order by v.idx) filter (where v.idx > u.idx), '') as a
+    from top u join top v on u.lev = v.lev and u.idx // {arity} = v.idx // {arity} where u.n > 1 group by u.lev, u.idx
+),
+step as materialized (
+    select l.k, near.lev, b, a from l join near on near.source is not distinct from l.source and near.idx = l.idx // cast(pow({arity}, near.lev) as bigint)
+    union all
+    select l.k, sub.height + near_top.lev, b, a from l join sub on l.source is not distinct from sub.source join near_top on near_top.idx = sub.idx // cast(pow({arity}, near_top.lev) as bigint)
+),
+fold as (
+    select k, 0 as lev, later as h from l
+    union all
+    select f.k, f.lev + 1, sha256(s.b || f.h || s.a) from fold f join step s on s.k = f.k and s.lev = f.lev
+),
+proof as (select k, string_agg(b || a, '' order by lev) as p from step group by k)
+select l.doc_id, leaf, subroot, root, sha256(coalesce(p, '')) as proof_sha256, h as folded_root, h = root as verified
+from l join sub on l.source is not distinct from sub.source cross join root join (select k, arg_max(h, lev) as h from fold group by k) f on f.k = l.k left join proof on proof.k = l.k
+"""
+
+
 def _clusters(k: int = 40, rounds: int = 5) -> str:
     """The clustering with every distance computed, one block of common tables for each round."""
     near = "arg_min(c, {{'d': d, 'c': c}}) as c, min(d) as d from (select k, c, cast(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d from v, c{0}) group by k"
@@ -151,4 +208,4 @@ from a join v using (k) join c{rounds} using (c)
 """
 
 
-ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC, "op13_hadamard_clusters": _clusters()}
+ORACLE: dict[str, str] = {"op3_suffix_dedup": _REPEATED_BYTES, "op7_recompression": _REPEATED_WORDS, "op6_winnowing": _WINDOWS, "op10_warc": _WARC, "op11_merkle_manifest": _merkle(), "op13_hadamard_clusters": _clusters()}
