@@ -10,7 +10,7 @@ what the beams hold is measured again in double precision.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,7 +75,7 @@ def build_index(rows: DataFrame, spec: Graph = Graph()) -> DataFrame:
     sizes = classes.groupBy(F.size("v").alias("size")).agg(F.ceil(F.count(F.lit(1)) / spec.shard).cast("int").alias("shards"))
     dealt = classes.withColumn("size", F.size("v")).join(sizes, "size").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
     shape = f"shard int, shards int, size int, node int, v {kind}, ids array<long>, edges array<int>, entry boolean"
-    index = keep(dealt.select("shard", "shards", "size", "v", "ids").groupBy("size", "shard").applyInArrow(_Build(spec), shape), "graph")
+    index = keep(dealt.select("shard", "shards", "size", "v", "ids").groupBy("size", "shard").applyInArrow(_graph(spec), shape), "graph")
     forget(classes)
     return index
 
@@ -89,7 +89,7 @@ def search(index: DataFrame, asked: DataFrame, spec: Graph = Graph()) -> DataFra
     queries = sized.join(blocks, "size").join(sizes, "size").select("size", "v", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     graphs = index.join(blocks, "size").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "shards")
     key = ["size", "shard", "block"]
-    met = queries.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInArrow(_Search(spec), f"v {kind}, shard int, hits {_HIT}")
+    met = queries.groupBy(*key).cogroup(graphs.groupBy(*key)).applyInArrow(_found(spec), f"v {kind}, shard int, hits {_HIT}")
     least = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, spec.k + 1)
     parts = met.groupBy("v", (F.col("shard") % spec.salts).alias("salt")).agg(least.alias("hits"))
     return parts.groupBy("v").agg(least.alias("hits"))
@@ -216,45 +216,45 @@ def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
 
-class _Build:
-    def __init__(self, spec: Graph) -> None:
-        self.spec = spec
+def _graph(spec: Graph) -> Callable[[pa.Table], pa.Table]:
+    """The graph over the nodes of one shard."""
 
-    def __call__(self, nodes: pa.Table) -> pa.Table:
+    def graph(nodes: pa.Table) -> pa.Table:
         nodes = nodes.take(pa.array(np.argsort([x[0] for x in nodes.column("ids").to_pylist()], kind="stable")))
-        edges, entry = build_graph(_matrix(nodes.column("v"), nodes.column("size")[0].as_py()).astype(np.float32), self.spec)
+        edges, entry = build_graph(_matrix(nodes.column("v"), nodes.column("size")[0].as_py()).astype(np.float32), spec)
         n = len(nodes)
         there = edges >= 0
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(there.sum(1))).astype(np.int32)), pa.array(edges[there]))
         return pa.table({"shard": nodes.column("shard"), "shards": nodes.column("shards"), "size": nodes.column("size"), "node": np.arange(n, dtype=np.int32), "v": nodes.column("v"), "ids": nodes.column("ids"), "edges": lists, "entry": np.arange(n) == entry})
 
-
-class _Search:
-    """The block's queries through the shard's graph; distances of what the beams hold are computed again in double precision."""
-
-    def __init__(self, spec: Graph) -> None:
-        self.spec = spec
-
-    def __call__(self, queries: pa.Table, graph: pa.Table) -> pa.Table:
-        return pa.table({"v": queries.column("v"), "shard": queries.column("shard"), "hits": pa.array(list(self.hits(queries, graph)), pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
-
-    def hits(self, queries: pa.Table, graph: pa.Table) -> Iterator[list[dict]]:
-        if not len(graph) or not len(queries):
-            yield from ([] for _ in range(len(queries)))
-            return
-        size = graph.column("size")[0].as_py()
-        graph = graph.sort_by("node")
-        x, q = _matrix(graph.column("v"), size), _matrix(queries.column("v"), size)
-        ids, entry = graph.column("ids").to_pylist(), int(np.flatnonzero(graph.column("entry").to_numpy())[0])
-        edges = np.full((len(x), self.spec.edges), -1, np.int32)
-        lists = graph.column("edges").combine_chunks()
-        length = lists.value_lengths().to_numpy()
-        edges[np.arange(self.spec.edges) < length[:, None]] = lists.flatten().to_numpy()
-        small = x.astype(np.float32)
-        for at in range(0, len(q), 256):
-            part = q[at : at + 256]
-            nodes, _ = beam_search(small, edges, entry, part.astype(np.float32), max(self.spec.width, self.spec.k + 1))
-            score = np.sqrt(((x[nodes] - part[:, None]) ** 2).sum(2))
-            for row, far in zip(nodes.tolist(), score.tolist(), strict=True):
-                found = sorted((s, i) for n, s in zip(row, far, strict=True) if n >= 0 for i in ids[n])
-                yield [{"score": s, "vec_id": i} for s, i in found[: self.spec.k + 1]]
+    return graph
+
+
+def _found(spec: Graph) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What the block's queries find in the shard's graph."""
+
+    def found(queries: pa.Table, graph: pa.Table) -> pa.Table:
+        hits = list(_hits(queries, graph, spec)) if len(graph) and len(queries) else [[]] * len(queries)
+        return pa.table({"v": queries.column("v"), "shard": queries.column("shard"), "hits": pa.array(hits, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))})
+
+    return found
+
+
+def _hits(queries: pa.Table, graph: pa.Table, spec: Graph) -> Iterator[list[dict]]:
+    """For each query the nearest nodes of its beam, measured again in double precision."""
+    size = graph.column("size")[0].as_py()
+    graph = graph.sort_by("node")
+    x, q = _matrix(graph.column("v"), size), _matrix(queries.column("v"), size)
+    ids, entry = graph.column("ids").to_pylist(), int(np.flatnonzero(graph.column("entry").to_numpy())[0])
+    edges = np.full((len(x), spec.edges), -1, np.int32)
+    lists = graph.column("edges").combine_chunks()
+    length = lists.value_lengths().to_numpy()
+    edges[np.arange(spec.edges) < length[:, None]] = lists.flatten().to_numpy()
+    small = x.astype(np.float32)
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        nodes, _ = beam_search(small, edges, entry, part.astype(np.float32), max(spec.width, spec.k + 1))
+        score = np.sqrt(((x[nodes] - part[:, None]) ** 2).sum(2))
+        for row, far in zip(nodes.tolist(), score.tolist(), strict=True):
+            found = sorted((s, i) for n, s in zip(row, far, strict=True) if n >= 0 for i in ids[n])
+            yield [{"score": s, "vec_id": i} for s, i in found[: spec.k + 1]]
