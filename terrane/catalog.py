@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from terrane.config import Cropping
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, scans, trajectory, voxel
+from terrane.operators import carving, crop, features, graph, mapping, neighbours, posegraph, registration, scans, trajectory, voxel
+from terrane.plans.lineage import shared_folder
 from terrane.plans.views import duck, view
 from terrane.sources import clouds
+from terrane.streaming.mapper import Mapping, SessionMapper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -564,6 +567,42 @@ def icp_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("pair_id", "n_source", "n_corr", "fitness", "inlier_rmse", "pose.tx", "pose.ty", "pose.tz", "pose.qz", "pose.qw")
 
 
+_SEEN = "cast(round({0} * 1000) as bigint)"
+
+
+def _session_scans(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Each scan's points as a world of their own, seen from ``n`` poses on a path that depends on the scan."""
+    k = F.col("t_ticks") - 1
+    true = g.planar_pose(k * 0.2, k * (F.col("session_id") % 3) * 0.1, F.lit(0.0), k * 0.004)
+    p = view(spark, sf_dir, "points_v").withColumn("t_ticks", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("session_id", F.col("scan_id").cast("long")).withColumn("pose", true)
+    seen = p.withColumns(dict(zip("xyz", g.pose_apply(g.pose_inv(F.col("pose")), "x", "y", "z"), strict=True)))
+    return seen.select("session_id", F.col("t_ticks").cast("long").alias("t_ticks"), "point_id", "x", "y", "z")
+
+
+def _true_path(n: int, first: int) -> str:
+    path = f"p as (select distinct cast(l_suppkey as bigint) as session_id, t - 1 as k from lineitem, unnest(range({first}, {n + 1})) as r(t))"
+    return f"with {path} select session_id, k + 1 as t_ticks, k * 200 as tx, k * (session_id % 3) * 100 as ty, {_SEEN.format('sin(k * 0.002)')} as qz from p"
+
+
+def _thousandths(pose: str) -> list[Column]:
+    return [F.round(F.col(f"{pose}.{c}") * 1000).cast("long").alias(c) for c in ("tx", "ty", "qz")]
+
+
+@query(_true_path(3, 2))
+def odometry_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan-to-scan odometry of every session; SQL has the path on which the scans were taken, in thousandths."""
+    _, path = registration.odometry(_session_scans(spark, sf_dir, 3), "PointToPoint", 0.6)
+    return path.select("session_id", "t_ticks", *_thousandths("product"))
+
+
+@query(_true_path(3, 1))
+def mapped_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans registered to each session's growing tiled map, one after the other; SQL has the true path, in thousandths."""
+    mapper = SessionMapper(spark, f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}", Mapping(radius=0.6, reach=60.0, voxel=0.05, tile=20.0))
+    mapper(_session_scans(spark, sf_dir, 3), 0)
+    return mapper.poses().where("status <> 'rejected'").select("session_id", "t_ticks", *_thousandths("pose"))
+
+
 @query()
 def fpfh(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "vec_points_v")
@@ -588,7 +627,7 @@ def pose_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = s.select("graph_id", "node_id", g.planar_pose(F.col("node_id") + F.col("d") * 0.01, 0.0, 0.0, 0.0).alias("pose"))
     step = s.where("node_id > 0").select("graph_id", F.col("node_id").alias("source_id"), (F.col("node_id") - 1).alias("target_id"), g.planar_pose(1.0, 0.0, 0.0, 0.0).alias("pose"), F.lit(1.0).alias("weight"), F.lit(False).alias("uncertain"))
     loop = s.where("node_id >= 5").select("graph_id", F.col("node_id").alias("source_id"), (F.col("node_id") - 5).alias("target_id"), g.planar_pose(5.0, 0.0, 0.0, 0.0).alias("pose"), F.lit(2.0).alias("weight"), F.lit(True).alias("uncertain"))
-    return graph.optimise(nodes, step.union(loop)).select("graph_id", "node_id", *_solved())
+    return posegraph.solve(nodes, step.union(loop)).select("graph_id", "node_id", *_solved())
 
 
 def _solved() -> list:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import pose, pose_mul
+from terrane.operators import posegraph
 from terrane.operators.carving import carve, carve_dense
 from terrane.operators.crop import color_in_range, consistency_reasons, crop_predicate
 from terrane.operators.features import fpfh, ransac
-from terrane.operators.graph import apply_corrections, optimise, resolved_ancestor
+from terrane.operators.graph import apply_corrections, resolved_ancestor
 from terrane.operators.neighbours import correspondences, information_matrix, mutual_matches, normals
 from terrane.operators.registration import moved, register
 from terrane.operators.voxel import dense_state, downsample, downsample_within, overlap, overlapping_points, with_voxel
@@ -215,7 +216,7 @@ def odometry_constraints(submaps: DataFrame, clouds: DataFrame, size: float, rad
 
 def correct(points: DataFrame, poses: DataFrame, submaps: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Optimise the pose graph and apply it: (points, poses, corrections), orphans moved as their nearest corrected ancestor."""
-    solved = optimise(nodes, edges).select(F.col("node_id").alias("ancestor"), "pose")
+    solved = posegraph.solve(nodes, edges).select(F.col("node_id").alias("ancestor"), "pose")
     up = resolved_ancestor(submaps, nodes.select(F.col("node_id").alias("submap_id")))
     corrections = cut(up.join(solved, "ancestor").select("submap_id", "pose"))
     moved_poses = poses.join(corrections.withColumnRenamed("pose", "__c"), "submap_id", "left").withColumn("pose", F.when(F.col("__c").isNull(), F.col("pose")).otherwise(pose_mul(F.col("__c"), F.col("pose")))).drop("__c")

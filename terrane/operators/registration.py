@@ -7,17 +7,17 @@ converged leave the next iteration's joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.geometry import pose, pose_apply, pose_mul
+from terrane.functions.geometry import POSE, pose, pose_apply
 from terrane.operators.graph import _POSE, matrix_pose, step_matrix
-from terrane.operators.neighbours import CELL, in_cells, in_near_cells, correspondences
-from terrane.operators.trajectory import consecutive, pose_product
+from terrane.operators.neighbours import CELL, correspondences, in_cells, in_near_cells, square_distance
+from terrane.operators.trajectory import consecutive, multiply, pose_product
 from terrane.plans.lineage import cut
 
 _REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray]]] = {}
@@ -103,35 +103,62 @@ def evaluate(source: DataFrame, target: DataFrame, poses: DataFrame, radius: flo
 
 
 def register(source: DataFrame, target: DataFrame, kind: str, radius: float, start: DataFrame | None = None, rounds: int = 50, settle: float = 1e-6) -> DataFrame:
-    """Pose of each pair that lays source on target: (pair_id, pose, n_source, n_corr, fitness, inlier_rmse).
+    """Pose of each pair that lays source on target: (pair_id, pose, n_source, n_corr, fitness, inlier_rmse, settled).
 
     Points are (pair_id, point_id, x, y, z), with nx, ny, nz where the kind needs them.  Pairs
     start from ``start`` (pair_id, pose) or rest; one stops when its pose moves less than
-    ``settle``.
+    ``settle``, and is not ``settled`` if it still moved more in the last round.
+
+    The target is put into cells once, each point into those of its neighbours as well, and
+    stays; in a round the source alone is moved and dealt to its own cells.
     """
     if kind not in _REGISTRATIONS:
         raise ValueError(f"unknown registration {kind!r}; known: {', '.join(sorted(_REGISTRATIONS))}")
     sums, solve = _REGISTRATIONS[kind]
     rest = pose(0.0, 0.0, 0.0).alias("pose")
-    poses = cut((start if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)))
+    poses = cut((start.select("pair_id", "pose") if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)))
+    names = [c for c in target.columns if c != "pair_id"]
+    near = cut(in_near_cells(target.select("pair_id", *(F.col(c).alias(f"t_{c}") for c in names)), ("t_x", "t_y", "t_z"), radius))
+    source = cut(source)
+    laid = _laid(source.columns)
+    distance = square_distance(("s_x", "s_y", "s_z"), ("t_x", "t_y", "t_z"))
+    of_pair = [F.count("*").alias("k"), *(c.alias(f"m{i}") for i, c in enumerate(sums()))]
+    best = F.min(F.struct("d2", *(f"t_{c}" for c in ("point_id", *(n for n in names if n != "point_id"))), *(f"s_{c}" for c in source.columns if c not in ("pair_id", "point_id"))))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            m = t.drop(columns="pair_id").to_numpy(float)
-            motion = solve(m) if len(m) else np.zeros((0, 4, 4))
-            size = np.abs(motion - np.eye(4)).max(axis=(1, 2)) if len(m) else np.zeros(0)
-            yield pd.DataFrame({"pair_id": t["pair_id"], "motion": [matrix_pose(x) for x in motion], "size": size})
-
-    kind_of = source.schema["pair_id"].dataType.simpleString()
+            known = t["k"].to_numpy() >= 6
+            m = t.loc[known, [c for c in t.columns if c[0] == "m" and c[1:].isdigit()]].to_numpy(float)
+            motion = np.tile(np.eye(4), (len(t), 1, 1))
+            if len(m):
+                motion[known] = solve(m)
+            old = np.array([[p[n] for n in POSE] for p in t["pose"]]).reshape(-1, 7)
+            new = multiply(np.array([[*matrix_pose(x).values()] for x in motion]).reshape(-1, 7), old)
+            size = np.abs(motion - np.eye(4)).max(axis=(1, 2)) if len(t) else np.zeros(0)
+            yield pd.DataFrame({"pair_id": t["pair_id"], "pose": [dict(zip(POSE, map(float, p), strict=True)) for p in new], "open": size > settle})
+
+    shape = f"pair_id {source.schema['pair_id'].dataType.simpleString()}, pose {_POSE}, open boolean"
     for _ in range(rounds):
         live = poses.where("open")
         if live.isEmpty():
             break
-        pairs = correspondences(moved(source, live), target, radius)
-        named = [c.alias(f"m{i}") for i, c in enumerate(sums())]
-        motion = pairs.groupBy("pair_id").agg(F.count("*").alias("k"), *named).where("k >= 6").drop("k").mapInPandas(step, f"pair_id {kind_of}, motion {_POSE}, size double")
-        poses = cut(poses.join(motion, "pair_id", "left").select("pair_id", F.when(F.col("motion").isNull(), F.col("pose")).otherwise(pose_mul(F.col("motion"), F.col("pose"))).alias("pose"), F.coalesce(F.col("size") > settle, F.lit(False)).alias("open")))
-    return evaluate(source, target, poses.select("pair_id", "pose"), radius)
+        cells = in_cells(source.join(live.select("pair_id", "pose"), "pair_id").select("pair_id", *laid), ("s_x", "s_y", "s_z"), radius)
+        pairs = cells.join(near, ["pair_id", *CELL]).withColumn("d2", distance).where(F.col("d2") <= radius * radius)
+        matched = pairs.groupBy("pair_id", "source_id").agg(best.alias("b")).select("pair_id", "b.*")
+        asked = live.join(matched.groupBy("pair_id").agg(*of_pair), "pair_id", "left").na.fill(0)
+        moved_on = asked.mapInPandas(step, shape)
+        poses = cut(moved_on.unionByName(poses.where("not open")), poses)
+    got = evaluate(source, target, poses.select("pair_id", "pose"), radius)
+    return got.join(poses.select("pair_id", (~F.col("open")).alias("settled")), "pair_id")
+
+
+def _laid(names: Sequence[str]) -> list[Column]:
+    """Columns of a source point laid by its pair's pose: source_id, s_x, s_y, s_z and the rest."""
+    new = dict(zip("xyz", pose_apply(F.col("pose"), "x", "y", "z"), strict=True))
+    if "nx" in names:
+        turn = F.struct(*(F.lit(0.0).alias(t) for t in POSE[:3]), *(F.col(f"pose.{q}").alias(q) for q in POSE[3:]))
+        new |= dict(zip(("nx", "ny", "nz"), pose_apply(turn, "nx", "ny", "nz"), strict=True))
+    return [F.col("point_id").alias("source_id"), *(new.get(c, F.col(c)).alias(f"s_{c}") for c in names if c not in ("pair_id", "point_id"))]
 
 
 def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float = 0.1, rounds: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,22 @@ def test_rpy_comes_back(poses):
 def test_product_equals_plain_python(poses):
     rows = [tuple(r.p) for r in poses.orderBy("id").collect()]
     got = poses.where("id = 0").select(g.pose_mul(F.col("p"), g.pose(*rows[1])).alias("m")).first().m
-    assert tuple(got) == pytest.approx(multiply(rows[0], rows[1]), abs=1e-12)
+    # an independent product: by the Hamilton product of quaternions as complex pairs, and by 4x4 matrices
+    (ax, ay, az, aw), (bx, by, bz, bw) = rows[0][3:], rows[1][3:]
+    a, b, c, d = complex(aw, ax), complex(ay, az), complex(bw, bx), complex(by, bz)
+    one, two = a * c - b * d.conjugate(), a * d + b * c.conjugate()
+    want = (_four(rows[0]) @ _four(rows[1]))[:3, 3].tolist() + [one.imag, two.real, two.imag, one.real]
+    assert tuple(got) == pytest.approx(want, abs=1e-12)
+    assert multiply(np.array([rows[0]]), np.array([rows[1]]))[0].tolist() == pytest.approx(want, abs=1e-12)
+
+
+def _four(p):
+    x, y, z, w = p[3:]
+    u, s = np.array([x, y, z]), np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    m = np.eye(4)
+    m[:3, :3] = (w * w - u @ u) * np.eye(3) + 2 * np.outer(u, u) + 2 * w * s
+    m[:3, 3] = p[:3]
+    return m
 
 
 def test_matrix_gives_the_pose_back(spark, poses):

@@ -189,10 +189,6 @@ def test_ransac_default_finds_few_true_matches():
         assert n >= 30 and np.allclose(pose[:3, 3], [1.0, 2.0, 0.5], atol=0.05)
 
 
-def test_map_in_blocks_has_no_limit_of_blocks():
-    assert "blocks" not in inspect.signature(mapping.map_in_blocks).parameters
-
-
 def test_nearest_has_no_farthest_reach(spark):
     """A point thousands of reaches away is found; one without a place, or without a target in its group, has no neighbour."""
     kind = "pair_id long, point_id long, x double, y double, z double"
