@@ -265,13 +265,17 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
     ask = known.where(F.col("multi") & open_).select("key", "doc", "hash", "at", "lo", "hi", mask.alias("sure"))
     wide = keep(ask.groupBy("key").count().where(F.col("count") > shape.task_contexts).select("key", F.lit(True).alias("wide")), "wide")
     none_wide = wide.isEmpty()
-    ask = ask.join(wide, "key", "left").groupBy("doc", "hash").agg(F.collect_list(F.struct("key", "at", "lo", "hi", "sure", "wide")).alias("want"))
+    ask = ask.join(wide, "key", "left").groupBy("doc", "hash").agg(F.collect_set(F.struct("key", "at", "lo", "hi", "sure", "wide")).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int | None, int]] = set()  # rows equal in id and text meet here, and one answers for all
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
         for b in (x.slice(k, 1000) for x in batches for k in range(0, x.num_rows, 1000)):
             doc, hash_, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for i, (text, want) in enumerate(zip(as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True)):
+                if (doc[i], hash_[i]) in done:
+                    continue
+                done.add((doc[i], hash_[i]))
                 found = context(text or b"", [(x["at"], x["lo"], x["hi"]) for x in want])
                 out += [(x["key"], doc[i], hash_[i], x["at"], x["sure"], bool(x["wide"]), *y) for x, y in zip(want, found, strict=True)]
             for k in range(0, len(out), 20_000):

@@ -8,13 +8,14 @@ Shared fingerprints are joined and the hits extended word by word to whole windo
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._text import LETTER_WORD, Piece, Words, as_bytes, grams, mix, pieces, prefix, sliding_argmin
@@ -24,8 +25,8 @@ from terrane.llm._text import LETTER_WORD, Piece, Words, as_bytes, grams, mix, p
 class Winnow:
     window: int = 10
     gram: int = 5
-    #: Benchmarks of at most so many bytes go to every task; larger ones are joined by shuffle.
-    small_bytes: int = 64 << 20
+    #: Benchmarks of at most so many bytes go to every task, whose index takes some seventy times that; larger ones are joined by shuffle.
+    small_bytes: int = 4 << 20
 
 
 def _selected(h: np.ndarray, words: Words, how: Winnow) -> np.ndarray:
@@ -179,15 +180,45 @@ def _grams_with_context(texts: DataFrame, how: Winnow) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, at long, gram long, around array<long>")
 
 
-def _by_join(docs: DataFrame, bench: DataFrame, how: Winnow, id_col: str, text_col: str) -> DataFrame:
-    """The same for benchmarks too large to send: fingerprints meet in a shuffled join.
+def _row(id_col: str, text_col: str) -> Column:
+    """What tells a row of ``docs`` from others: its id and its text, either of which may be null."""
+    known = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in (id_col, text_col)]
+    return F.sha2(F.concat(known[0], F.lit("\n"), known[1]), 256)
 
-    Items shorter than the window are cut out of the benchmark and must fit ``small_bytes``.
-    """
+
+def _short_hits(docs: DataFrame, short: DataFrame, how: Winnow) -> DataFrame | None:
+    """(id, item, lo, hi): where items shorter than the window stand, sent in blocks of ``small_bytes`` however many those are."""
+    blocks = -(-_bytes(short) // how.small_bytes)
+    found = None
+    for k in range(blocks):
+        sent = _send(short.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k))
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            index = Index([x for x, _ in sent.value], [t for _, t in sent.value], how)
+            for b in batches:
+                out = []
+                for row, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                    words = Piece([text or b""], lower=True).words(LETTER_WORD)
+                    h, own = words.hashes(), words.of(0)
+                    for size, table in index.windows.items():
+                        g = grams(prefix(h), size)
+                        for s in np.flatnonzero(_member(index.keys[size], g)).tolist():
+                            same = b" ".join(own[s : s + size])
+                            out += [(row, index.ids[i], s, s + size) for i, x in table[int(g[s])] if x == same]
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["id", "item", "lo", "hi"])
+
+        part = docs.mapInArrow(run, "id string, item string, lo long, hi long")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _by_join(docs: DataFrame, bench: DataFrame, how: Winnow, id_col: str, text_col: str) -> DataFrame:
+    """The same for benchmarks too large to send: fingerprints meet in a shuffled join, rows told apart by id and text."""
     bench = bench.withColumn("n", F.size(F.array_remove(F.split(F.lower("words"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")))
-    short = bench.where(F.col("n") < how.window)
     reach = how.window - how.gram
-    d = _grams_with_context(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), how).withColumnsRenamed({"at": "d_at", "around": "d"})
+    keyed = docs.select(_row(id_col, text_col).alias("id"), F.col(text_col).alias("t"))
+    d = _grams_with_context(keyed, how).withColumnsRenamed({"at": "d_at", "around": "d"})
     i = _grams_with_context(bench.where(F.col("n") >= how.window).select(F.col("item").alias("id"), F.col("words").alias("t")), how).select(F.col("id").alias("item"), "gram", F.col("around").alias("i"))
     agree = F.zip_with("d", "i", lambda x, y: (x == y) & (x != 0))
     left = F.coalesce(F.array_position(F.reverse(F.slice("same", 1, reach)), False) - 1, F.lit(reach))
@@ -195,42 +226,34 @@ def _by_join(docs: DataFrame, bench: DataFrame, how: Winnow, id_col: str, text_c
     right = F.array_position(F.slice("same", reach + 1, how.window), False) - 1
     right = F.when(right < 0, how.window).otherwise(right)
     hits = d.join(i.distinct(), "gram").withColumn("same", agree).select("id", "item", (F.col("d_at") - left).alias("lo"), (F.col("d_at") + right).alias("hi")).where(F.col("hi") - F.col("lo") >= how.window)
-    per = hits.groupBy("id").agg(F.collect_set("item").alias("long_items"), F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    short = _short_hits(keyed, bench.where(F.col("n").between(1, how.window - 1)), how)
+    if short is not None:
+        hits = hits.unionByName(short)
+    per = hits.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set(F.struct("lo", "hi")).alias("runs"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short_index = Index([x for x, _ in sent.value], [t for _, t in sent.value], how)
         for b in batches:
             out = []
             for text, items, runs in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                piece = Piece([text or b""], lower=True)
-                words = piece.words(LETTER_WORD)
-                hit = np.zeros(int(words.count[0]), bool)
-                found = set(items or ())
+                n = int(Piece([text or b""], lower=True).words(LETTER_WORD).count[0])
+                hit = np.zeros(n, bool)
                 for r in runs or ():
                     hit[r["lo"] : r["hi"]] = True
-                h = words.hashes()
-                for size, table in short_index.windows.items():
-                    g = grams(prefix(h), size)
-                    for s in np.flatnonzero(_member(short_index.keys[size], g)).tolist():
-                        own = b" ".join(words.of(0)[s : s + size])
-                        same = [k for k, x in table[int(g[s])] if x == own]
-                        if same:
-                            hit[s : s + size] = True
-                            found.update(short_index.ids[k] for k in same)
-                out.append((int(words.count[0]), int(hit.sum()), sorted(found)))
+                out.append((n, int(hit.sum()), sorted(items or ())))
             columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([len(x[2]) for x in out], pa.int64()), pa.array([_digest(x[2]) for x in out], pa.string()), pa.array([x[1] > 0 for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", *(c.split()[0] for c in SCHEMA.split(", "))])
 
-    if (size := _bytes(short)) > how.small_bytes:
-        raise ValueError(f"items of fewer than {how.window} words take {size} bytes; raise small_bytes above that")
-    sent = _send(short)
-    both = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("t")).join(per, F.col("id0").eqNullSafe(F.col("id")), "left").select("id0", "t", "long_items", "runs")
+    both = docs.select(F.col(id_col).alias("id0"), F.col(text_col).alias("t"), _row(id_col, text_col).alias("own")).join(per, F.col("own") == F.col("id"), "left").select("id0", "t", "items", "runs")
     return both.mapInArrow(merge, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Winnow | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns unchanged."""
+    """The rows of ``docs`` without a hit, all columns unchanged, whatever their names.
+
+    Null and empty texts have no hit and stay.  Each row is judged by its own text: rows that
+    share an id or have none don't share their hits, equal rows stay or go together.
+    """
     how = how or Winnow()
     bench = _items(benchmark, "item_id", "text")
     if _bytes(bench) <= how.small_bytes:
@@ -243,6 +266,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Winnow | None = None,
                     yield b.filter(pa.array(np.concatenate([scan(texts, index, how)[1] == 0 for _, texts in pieces(as_bytes(b.column(at)))])))
 
         return docs.mapInArrow(run, docs.schema)
-    bad = contamination(docs, benchmark, how, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
-
+    name = f"bad_{uuid.uuid4().hex}"
+    told = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
+    bad = contamination(told, benchmark, how, "row", "t").where("contaminated").select(F.col("row").alias(name)).distinct()
+    return docs.join(bad, _row(id_col, text_col) == F.col(name), "left_anti")

@@ -216,9 +216,22 @@ def test_contamination_equals_brute_force_both_ways(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = leaks(texts, items)
-    for how in (Winnow(), Winnow(small_bytes=1400)):
+    for how in (Winnow(), Winnow(small_bytes=1400), Winnow(small_bytes=300)):
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in contamination(df, bench, how).collect()}
         assert got == want, how
         assert {r.doc_id for r in keep_clean(df, bench, how).collect()} == {d for d, v in want.items() if not v[-1]}
     assert contamination(df.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in contamination(df, bench.limit(0)).collect())
+
+
+def test_leaks_of_rows_that_share_an_id_or_have_none(spark):
+    """One result on both paths: each row has its own hits, and clean rows stay beside bad ones of their id."""
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"so {item} it goes"), (1, "clean words " * 30), (None, item), (None, "nothing here"), (None, None), (2, ""), (1, f"so {item} it goes"), (3, "a short one")]
+    df = spark.createDataFrame([(*r, "kept", i) for i, r in enumerate(rows)], "doc_id long, text string, __bad string, row long")
+    bench = spark.createDataFrame([("x", item), ("y", "a short one")], "item_id string, text string")
+    hits = [12, 0, 12, 0, 0, 0, 12, 3]
+    for how in (Winnow(), Winnow(small_bytes=100)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit) for r in contamination(df, bench, how).collect())
+        assert got == sorted((d is None, d or 0, len((t or "").split()), h) for (d, t), h in zip(rows, hits, strict=True)), how
+        assert sorted(r.row for r in keep_clean(df, bench, how).collect()) == [i for i, h in enumerate(hits) if not h], how

@@ -146,3 +146,19 @@ def test_rows_that_share_an_id(spark):
     assert ("2", c) in left and left.count(("3", "")) == 2 and len(left) == len(rows)
     got = {(r.doc_id, r.n_words, r.n_removed) for r in repeated_words(df).collect()}
     assert got == {(1, 100, 0), (2, 200, 100), (2, 100, 0), (3, 100, 0), (None, 100, 0), (None, 101, 0), (None, len(b[:100].split()), 0), (4, 0, 0)}
+
+
+def test_many_rows_equal_in_id_and_text(spark):
+    """Equal rows are asked for once; each gets the result of a text among copies of its own and one near copy."""
+    rng = random.Random(9)
+    w = [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(500)]
+    text, near = " ".join(w), " ".join([*w[:250], "other", *w[251:]])
+    rows = [(7, text)] * 300 + [(9, near), (None, text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in repeated_bytes(df).collect()}
+    whole = len(text.encode())
+    assert {x for x in got if x[0] != 9} == {(7, whole, whole), (None, whole, whole)}
+    parts = [len(" ".join(w[:250]).encode()) + 1, len(" ".join(w[251:]).encode()) + 1]
+    assert {x for x in got if x[0] == 9} == {(9, len(near.encode()), sum(p for p in parts if p >= 400))}
+    words = {(r.doc_id, r.n_words, r.n_removed) for r in repeated_words(df).collect()}
+    assert {x[1:] for x in words if x[0] == 9} == {(500, 499)}
