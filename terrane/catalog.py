@@ -406,6 +406,12 @@ def hybrid_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.k_nearest(view(spark, sf_dir, "vec_points_v"), 0.15, 5).select("cloud_id", "source_id", "target_id", "d2", "rank")
 
 
+@query(f"{_N}, n as (select s.cloud_id, s.point_id as source_id, t.point_id as target_id, {_D2} as d2, row_number() over (partition by s.cloud_id, s.point_id order by {_D2}, t.point_id) as rank from vec_points_v s join vec_points_v t on s.cloud_id = t.cloud_id) select * from n where rank <= 8")
+def pure_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight nearest at any distance."""
+    return neighbours.k_nearest_any(view(spark, sf_dir, "vec_points_v"), 8, 0.1).select("cloud_id", "source_id", "target_id", "d2", "rank")
+
+
 @query(
     f"{_N}, c as (select cloud_id, lead(cloud_id) over (order by cloud_id) as other from (select distinct cloud_id from vec_points_v)), n as (select c.cloud_id as pair_id, s.point_id as source_id, t.point_id as target_id, {_D2} as d2 from c join vec_points_v s on s.cloud_id = c.cloud_id join vec_points_v t on t.cloud_id = c.other) select pair_id, source_id, arg_min(target_id, (d2, target_id)) as target_id, min(d2) as d2 from n group by pair_id, source_id"
 )

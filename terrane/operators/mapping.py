@@ -27,6 +27,10 @@ class Segmenter:
     Decision per scan, first match wins: forced: create; too few scans in the active submap:
     keep; nearest centre not within the radius: create; nearest is active: keep; nearest is
     adjacent and overlaps enough: switch; active centre out of the radius: create; else keep.
+
+    The overlap is the share of the scan's points in coarse cells that the nearest submap
+    occupies.  Of each submap the occupied cells are kept; scans that are replayed into a
+    submap count there too.
     """
 
     radius: float = 20.0
@@ -40,18 +44,28 @@ class Segmenter:
     finished: set = field(default_factory=set)
     edges: set = field(default_factory=set)
     recent: list = field(default_factory=list)
+    occupied: list = field(default_factory=list)
+    parents: list = field(default_factory=list)
 
     def center(self, k: int) -> tuple:
         n, *s = self.sums[k]
         return tuple(v / n for v in s) if k in self.finished and n else self.origins[k]
 
-    def step(self, scan: int, place: tuple, centroid: tuple, points: int, overlap_with: dict | None = None, forced: bool = False) -> tuple[int, int, list[int]]:
-        """(submap that takes the scan, submap active afterwards, scans that the latter gets again)."""
-        self.recent = [*self.recent, scan][-self.replay :]
+    def overlap(self, k: int, cells: dict[int, int]) -> float:
+        """Share of a scan's points, given by cell, that lie in occupied cells of a submap."""
+        return sum(n for c, n in cells.items() if c in self.occupied[k]) / max(1, sum(cells.values()))
+
+    def step(self, scan: int, place: tuple, centroid: tuple, points: int, cells: dict[int, int] | None = None, forced: bool = False) -> tuple[int, int, list[int]]:
+        """(submap that takes the scan, submap active afterwards, scans that the latter gets again).
+
+        ``cells`` are the scan's points by coarse cell of the map; without them every overlap
+        is taken as sufficient.
+        """
+        self.recent = [*self.recent, (scan, frozenset(cells or ()))][-self.replay :]
         if self.active < 0:
             self._create(place)
         before = self.active
-        target = self._choose(place, overlap_with or {}, forced)
+        target = self._choose(place, cells, forced)
         if target is None:
             self._create(place)
         else:
@@ -59,20 +73,24 @@ class Segmenter:
         n, *s = self.sums[before]
         self.sums[before] = [n + points, *(a + points * c for a, c in zip(s, centroid, strict=True))]
         self.scans += 1
+        self.occupied[before] |= set(cells or ())
         if self.active == before:
             return before, before, []
         self.finished.add(before)
         self.edges.add((min(before, self.active), max(before, self.active)))
         self.scans = 0
         again, self.recent = self.recent, []
-        return before, self.active, again
+        for _, own in again:
+            self.occupied[self.active] |= own
+        return before, self.active, [scan for scan, _ in again]
 
     def _create(self, place: tuple) -> None:
         self.origins.append(place)
         self.sums.append([0, 0.0, 0.0, 0.0])
+        self.occupied.append(set())
         self.active = len(self.origins) - 1
 
-    def _choose(self, place: tuple, overlap_with: dict, forced: bool) -> int | None:
+    def _choose(self, place: tuple, cells: dict[int, int] | None, forced: bool) -> int | None:
         def far(k: int) -> float:
             return sum((a - b) ** 2 for a, b in zip(place, self.center(k), strict=True)) ** 0.5
 
@@ -85,7 +103,7 @@ class Segmenter:
             return None
         if nearest == self.active:
             return self.active
-        if (min(nearest, self.active), max(nearest, self.active)) in self.edges and overlap_with.get(nearest, 1.0) > self.least_overlap:
+        if (min(nearest, self.active), max(nearest, self.active)) in self.edges and (cells is None or self.overlap(nearest, cells) > self.least_overlap):
             return nearest
         return None if far(self.active) > self.radius else self.active
 
@@ -93,24 +111,35 @@ class Segmenter:
 SEGMENTS = "session_id long, t_ticks long, event_id long, submap_id long, active_after long, parent_id long, replayed array<long>"
 
 
+def scan_cells(points: DataFrame, size: float) -> DataFrame:
+    """(session_id, event_id, cells, counts): each scan's points, in the map frame, by coarse cell."""
+    per = with_voxel(points, size).groupBy("session_id", "event_id", F.xxhash64("vx", "vy", "vz").alias("cell")).agg(F.count("*").alias("n"))
+    both = F.sort_array(F.collect_list(F.struct("cell", "n")))
+    return per.groupBy("session_id", "event_id").agg(both.alias("b")).select("session_id", "event_id", F.col("b.cell").alias("cells"), F.col("b.n").alias("counts"))
+
+
+def take_scans(s: Segmenter, session: int, scans: pd.DataFrame) -> pd.DataFrame:
+    """The rows of ``SEGMENTS`` for one session's next scans, which are taken in the order of time; ``s`` moves on."""
+    out = []
+    for r in scans.sort_values(["t_ticks", "event_id"], kind="stable").itertuples(index=False):
+        known, before = len(s.origins), s.active
+        cells = dict(zip(r.cells, r.counts, strict=True)) if getattr(r, "cells", None) is not None else None
+        into, after, again = s.step(int(r.event_id), (r.tx, r.ty, r.tz), (r.cx, r.cy, r.cz), int(r.n), cells)
+        s.parents += [max(before, 0)] * (len(s.origins) - known)
+        out.append((session, r.t_ticks, r.event_id, into, after, s.parents[into], again))
+    return pd.DataFrame(out, columns=["session_id", "t_ticks", "event_id", "submap_id", "active_after", "parent_id", "replayed"])
+
+
 def segment_submaps(scans: DataFrame, **settings: float) -> DataFrame:
-    """The submap of each scan: ``scans`` is (session_id, t_ticks, event_id, tx, ty, tz, cx, cy, cz, n), one row a scan.
+    """The submap of each scan: ``scans`` is (session_id, t_ticks, event_id, tx, ty, tz, cx, cy, cz, n[, cells, counts]), one row a scan.
 
-    One small row per scan and session; sessions run in parallel.  Overlap with a revisited
-    submap is taken as sufficient; where it is known it belongs to ``Segmenter.step``.
+    ``cells`` and ``counts`` come from ``scan_cells``; without them, or where they are null,
+    overlap with a revisited submap is taken as sufficient.  One small row per scan and
+    session; sessions run in parallel.
     """
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["t_ticks", "event_id"], kind="stable")
-        s, parent, out = Segmenter(**settings), {}, []
-        for r in t.itertuples(index=False):
-            known = len(s.origins)
-            before = s.active
-            into, after, again = s.step(int(r.event_id), (r.tx, r.ty, r.tz), (r.cx, r.cy, r.cz), int(r.n))
-            for k in range(known, len(s.origins)):
-                parent[k] = max(before, 0)
-            out.append((r.session_id, r.t_ticks, r.event_id, into, after, parent[into], again))
-        return pd.DataFrame(out, columns=["session_id", "t_ticks", "event_id", "submap_id", "active_after", "parent_id", "replayed"])
+        return take_scans(Segmenter(**settings), t["session_id"].iloc[0], t)
 
     return scans.groupBy("session_id").applyInPandas(run, SEGMENTS)
 
@@ -214,9 +243,9 @@ def odometry_constraints(submaps: DataFrame, clouds: DataFrame, size: float, rad
     return pairs.join(information_matrix(near), "pair_id", "left").withColumn("pose", pose(0.0, 0.0, 0.0))
 
 
-def correct(points: DataFrame, poses: DataFrame, submaps: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def correct(points: DataFrame, poses: DataFrame, submaps: DataFrame, nodes: DataFrame, edges: DataFrame, preference: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Optimise the pose graph and apply it: (points, poses, corrections), orphans moved as their nearest corrected ancestor."""
-    solved = posegraph.solve(nodes, edges).select(F.col("node_id").alias("ancestor"), "pose")
+    solved = posegraph.solve(nodes, edges, preference=preference).select(F.col("node_id").alias("ancestor"), "pose")
     up = resolved_ancestor(submaps, nodes.select(F.col("node_id").alias("submap_id")))
     corrections = cut(up.join(solved, "ancestor").select("submap_id", "pose"))
     moved_poses = poses.join(corrections.withColumnRenamed("pose", "__c"), "submap_id", "left").withColumn("pose", F.when(F.col("__c").isNull(), F.col("pose")).otherwise(pose_mul(F.col("__c"), F.col("pose")))).drop("__c")

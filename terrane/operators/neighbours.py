@@ -85,6 +85,33 @@ def k_nearest(points: DataFrame, radius: float, k: int, on: Sequence[str] = ("cl
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def k_nearest_any(points: DataFrame, k: int, reach: float, on: Sequence[str] = ("cloud_id",)) -> DataFrame:
+    """The k nearest points of each point's cloud at any distance, itself included, nearest first, ties to the least id.
+
+    Rings: whoever has k neighbours within the reach is done, since nothing beyond it can be
+    nearer.  The others look again with twice the reach; a point whose reach spans its whole
+    cloud is done with fewer.  Points without a place take no part.
+    """
+    placed = F.lit(True)
+    for c in "xyz":
+        placed &= F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    points = cut(points.where(placed).select(*on, "point_id", "x", "y", "z"))
+    span = F.sqrt(sum(((F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in "yz"), (F.max("x") - F.min("x")) * (F.max("x") - F.min("x"))))
+    spans = cut(points.groupBy(*on).agg(span.alias("span")))
+    w = Window.partitionBy(*on, "source_id").orderBy("d2", "target_id")
+    left, found = points, None
+    while True:
+        pairs = radius_pairs(left, points, reach, on).select(*on, "source_id", "target_id", "d2")
+        ranked = pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+        ranked = cut(ranked.withColumn("full", F.max("rank").over(Window.partitionBy(*on, "source_id")) == k))
+        done = ranked.join(spans, [*on]).where(F.col("full") | (F.col("span") * 1.000001 <= reach)).drop("full", "span")
+        found = cut(done) if found is None else cut(found.unionByName(done), found)
+        left = cut(left.join(done.select(*on, F.col("source_id").alias("point_id")).distinct(), [*on, "point_id"], "left_anti"))
+        if left.isEmpty():
+            return found
+        reach *= 2
+
+
 def mutual_matches(features: DataFrame, pairs: DataFrame, block: int = 512) -> DataFrame:
     """(source, target, a, b, d2): feature vectors of two clouds that are each other's nearest.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrane.operators.mapping import SEGMENTS, Segmenter, take_scans
 from terrane.operators.voxel import dense_state, merge_states
 
 
@@ -56,6 +58,22 @@ def count_batches(scans: DataFrame, n: int, skip: int = 5) -> DataFrame:
     return narrow.groupBy("session_id").applyInPandasWithState(run, "session_id long, batch long, stamp long, items array<long>", "seen long, done long, ids array<long>, stamps array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def segment_submaps(scans: DataFrame, **settings: float) -> DataFrame:
+    """The submap of each scan as it comes, the rows of ``mapping.segment_submaps`` for any split of the input.
+
+    The state of a session is its segmenter: submaps' origins and centres, occupied cells, edges
+    and the ring of last scans.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = pickle.loads(state.get[0]) if state.exists else Segmenter(**settings)
+        out = take_scans(s, key[0], pd.concat(list(frames)))
+        state.update((pickle.dumps(s),))
+        yield out
+
+    return scans.groupBy("session_id").applyInPandasWithState(run, SEGMENTS, "segmenter binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def emit_once(poses: DataFrame) -> DataFrame:
     """A pose only if its time differs from those already given out for its session."""
     timed = poses.withColumn("ts", F.timestamp_micros(F.floor((F.col("t_ticks") - 621_355_968_000_000_000) / 10).cast("long")))

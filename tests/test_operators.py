@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from terrane import catalog
 from terrane.config import PlaceRecognition
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, features, graph, mapping, neighbours, registration, trajectory, voxel
+from terrane.operators import carving, closing, crop, features, graph, mapping, neighbours, posegraph, registration, trajectory, voxel
 
 EDGES = [(0, 1), (0, 4), (4, 5), (3, 4), (1, 3), (2, 1), (2, 6), (6, 7), (3, 7), (4, 9), (3, 8), (8, 11), (12, 11), (12, 10), (7, 10)]
 
@@ -213,3 +213,83 @@ def test_mutual_matches_in_blocks(spark):
                 want.add((s, t, i, j, d(v, w)))
     for block in (7, 512):
         assert {tuple(r) for r in neighbours.mutual_matches(f, pairs, block).collect()} == want
+
+
+def test_overlap_decides_whether_a_submap_is_taken_up_again(spark):
+    """There and back: the way back enters the first submap only if the scan lies in cells that it occupies."""
+
+    def walk(here):
+        s = mapping.Segmenter(radius=3.0, least_scans=2, least_overlap=0.4, replay=1)
+        out = []
+        for k, x in enumerate([0.0, 1.0, 2.0, 3.5, 4.5, 5.5, 4.0, 2.0, 0.5, 0.2, 0.1]):
+            cells = {round(x): 6, round(x) + 100 * (k if not here and k > 6 else 0): 4} if here or k <= 6 else {1000 + k: 10}
+            out.append(s.step(k, (x, 0.0, 0.0), (x, 0.0, 0.0), 10, cells))
+        return s, [after for _, after, _ in out]
+
+    s, taken = walk(True)
+    assert taken[-1] == 0 and max(taken) == 1 and s.overlap(0, {0: 1, 77: 1}) == 0.5
+    s, taken = walk(False)
+    assert taken[-1] != 0 and len(s.origins) >= 2  # no switch: kept, or a new one beyond the radius
+
+
+def test_neighbours_at_any_distance(spark):
+    rng = random.Random(4)
+    rows = [(c, i, *(rng.gauss(0, 1) * (1 if i % 9 else 60) for _ in range(3))) for c in (1, 2) for i in range(40)] + [(3, i, 0.0, 0.0, 0.0) for i in range(3)] + [(4, 0, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
+    got = {(r.cloud_id, r.source_id, r["rank"]): r.target_id for r in neighbours.k_nearest_any(df, 4, 0.5).collect()}
+    want = {}
+    for c, i, *p in rows[:-1]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), j) for d, j, *q in rows if d == c)[:4]
+        want |= {(c, i, k + 1): j for k, (_, j) in enumerate(near)}
+    assert got == want
+
+
+def test_closures_feed_back_until_none_is_left(spark):
+    """A ring of submaps that drifted: landmarks seen twice close it, and it ends nearer to the truth."""
+    n, rng = 10, np.random.default_rng(3)
+    turn = 2 * np.pi * np.arange(n) / n
+    true = np.stack([12 * np.cos(turn), 12 * np.sin(turn), np.zeros(n), np.zeros(n), np.zeros(n), np.sin(turn / 2), np.cos(turn / 2)], axis=1)
+    drift = np.repeat([[0.0, 0, 0, 0, 0, 0, 1]], n, axis=0)
+    for k in range(1, n):
+        drift[k : k + 1] = posegraph.multiply(drift[k - 1 : k], posegraph.steps(np.array([[0, 0, 0.01, 0.05, -0.03, 0.02]])))
+    marks = rng.uniform(-2, 2, (n, 25, 3)) + true[:, None, :3]
+    points = []
+    for k in range(n):
+        seen = [(m, i) for m in {k, (k - 1) % n, (k + 1) % n} for i in range(25)]
+        for m, i in seen:
+            here = posegraph.turns(drift[k : k + 1, 3:])[0] @ marks[m, i] + drift[k, :3]
+            points.append((k, m * 100 + i, *map(float, here)))
+    clouds = spark.createDataFrame(points, "submap_id long, point_id long, x double, y double, z double")
+    submaps = spark.createDataFrame([(k, max(0, k - 1)) for k in range(n)] + [(77, n - 1)], "submap_id long, parent_id long")
+    pose = "struct<tx:double,ty:double,tz:double,qx:double,qy:double,qz:double,qw:double>"
+    poses = spark.createDataFrame([(k, tuple(map(float, posegraph.multiply(drift[k : k + 1], true[k : k + 1])[0]))) for k in range(n)] + [(77, tuple(map(float, posegraph.multiply(drift[-1:], true[-1:])[0])))], f"submap_id long, pose {pose}")
+    odometry = spark.createDataFrame([(k - 1, k, (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0), 1.0) for k in range(1, n)], f"source_id long, target_id long, pose {pose}, weight double")
+    asked = []
+
+    def find(candidates, now):
+        """Rigid motions between landmarks that both clouds of a candidate hold."""
+        rows, out = now.collect(), []
+        where = {}
+        for r in rows:
+            where.setdefault(r.submap_id, {})[r.point_id] = (r.x, r.y, r.z)
+        for c in candidates.collect():
+            both = sorted(where[c.a].keys() & where[c.b].keys())
+            if len(both) >= 10:
+                p, q = (np.array([where[s][m] for m in both]) for s in (c.b, c.a))
+                u, _, vt = np.linalg.svd((p - p.mean(0)).T @ (q - q.mean(0)))
+                r = vt.T @ np.diag([1, 1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
+                m = np.eye(4)
+                m[:3, :3], m[:3, 3] = r, q.mean(0) - r @ p.mean(0)
+                out.append((c.b, c.a, tuple(graph.matrix_pose(m).values()), 5.0))
+        asked.append(len(out))
+        return spark.createDataFrame(out, f"source_id long, target_id long, pose {pose}, weight double")
+
+    got, trajectory_, closures = closing.close_and_correct(submaps, clouds, poses, odometry, find, radius=9.0, size=9.0, preference=50.0)
+    assert asked[0] >= 1 and asked[-1] == 0 and closures.count() >= 1
+
+    def error(frame):
+        return max(math.dist((r.pose.tx, r.pose.ty, r.pose.tz), true[min(r.submap_id, n - 1), :3]) for r in frame.collect())
+
+    assert error(trajectory_) < error(poses) / 2
+    head = {r.submap_id: r.pose for r in trajectory_.collect()}
+    assert tuple(head[77]) == pytest.approx(tuple(head[n - 1]))  # an orphan follows its ancestor

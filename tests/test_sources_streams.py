@@ -100,3 +100,64 @@ def test_dense_map_grows_batch_by_batch(spark, tmp_path):
 def test_presets():
     for p in PRESETS.values():
         assert p.search_radius > 0 and p.odometry.cropping.arguments() is not None
+
+
+def test_pcd_sink_commits_whole_jobs_only(spark, tmp_path):
+    from terrane.sources import pcd
+
+    points = spark.createDataFrame([(s, i, i * 0.5, -1.0 * s, 2.0) for s in (1, 2, 3) for i in range(20)], "submap_id long, point_id long, x double, y double, z double")
+    out = tmp_path / "out"
+    pcd.save_submaps(points, str(out), "submap")
+    assert sorted(p.name for p in out.iterdir()) == ["submap_1.pcd", "submap_2.pcd", "submap_3.pcd"]
+    back = clouds.read_pcd(spark, f"file://{out}/*.pcd")
+    got = sorted((r.path.rsplit("_", 1)[1], r.point_id, r.x, r.y, r.z) for r in back.collect())
+    assert got == sorted((f"{r.submap_id}.pcd", r.point_id, r.x, r.y, r.z) for r in points.collect())
+    pcd.save_submaps(points.where("submap_id = 2"), str(out), "submap")  # written anew: others go
+    assert [p.name for p in out.iterdir()] == ["submap_2.pcd"]
+    pcd.save_pcd(points.where("submap_id = 3").withColumn("file", F.lit("more.pcd")), str(out), "file")
+    assert sorted(p.name for p in out.iterdir()) == ["more.pcd", "submap_2.pcd"]
+
+    fails = F.when(F.col("submap_id") == 3, F.raise_error(F.lit("lost"))).otherwise(F.col("x"))
+    with pytest.raises(Exception, match="lost"):
+        pcd.save_submaps(points.withColumn("x", fails).repartition(3, "submap_id"), str(out), "submap")
+    assert sorted(p.name for p in out.iterdir()) == ["more.pcd", "submap_2.pcd"]
+
+    pcd.save_at_end(pcd.AtEnd(map=False, submaps=True), str(tmp_path / "end"), points, points, points)
+    assert sorted(str(p.relative_to(tmp_path)) for p in (tmp_path / "end").rglob("*.pcd")) == [f"end/submaps/submap_{k}.pcd" for k in (1, 2, 3)]
+
+
+def test_live_scans_come_once_in_bounded_batches_across_restarts(spark, tmp_path):
+    from terrane.sources import pcd
+
+    pcd.register_formats(spark)
+    scans, sizes = tmp_path / "scans", []
+    scans.mkdir()
+
+    def arrive(ticks):
+        for t in ticks:
+            (scans / f"7_{t:04d}.pcd").write_bytes(clouds.encode_pcd({c: np.arange(3.0) + t for c in "xyz"}))
+
+    def run():
+        live = spark.readStream.format("pcd_scans").option("path", str(scans)).option("position", str(tmp_path / "position")).option("filesPerBatch", 2).load()
+        def take(batch, number):
+            batch = batch.persist()
+            sizes.append(batch.select("t_ticks").distinct().count())
+            batch.write.mode("overwrite").parquet(f"{tmp_path}/taken/batch={number}")
+
+        q = live.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="0 seconds").start()
+        return q
+
+    def wait(q, n):
+        for _ in range(200):
+            if sum(sizes) >= n:
+                break
+            q.awaitTermination(0.2)
+        q.stop()
+
+    arrive(range(1, 6))
+    wait(run(), 5)
+    arrive(range(6, 10))
+    wait(run(), 9)
+    rows = [(r.session_id, r.t_ticks, r.point_id, r.x) for r in spark.read.parquet(f"{tmp_path}/taken").collect()]
+    assert sorted(rows) == [(7, t, k, float(t + k)) for t in range(1, 10) for k in range(3)]
+    assert max(sizes) <= 4 and sizes[0] <= 2
