@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.config import Cropping
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, features, graph, mapping, neighbours, posegraph, registration, scans, trajectory, voxel
+from terrane.operators import carving, crop, features, graph, mapping, neighbours, ordering, posegraph, registration, scans, trajectory, voxel
 from terrane.plans.lineage import shared_folder
 from terrane.plans.views import duck, view
 from terrane.sources import clouds
@@ -661,21 +661,63 @@ def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_S}, c as (select submap_id as source_id, parent_id as target_id, cx from submaps_v) select row_number() over (order by source_id, target_id) as place, source_id, target_id from c")
 def sorted_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints numbered by source, then target: positions by partition counts, without one task for all rows."""
+    """Constraints numbered by source, then target, without one task for all rows."""
     c = view(spark, sf_dir, "submaps_v").select(F.col("submap_id").alias("source_id"), F.col("parent_id").alias("target_id"))
-    # three digits of the id at a time: only counts of whole thousands of thousands share a task
-    parts = c.withColumn("low", F.floor(F.col("source_id") / 1000).cast("long")).withColumn("mid", F.floor(F.col("low") / 1000).cast("long")).withColumn("top", F.floor(F.col("mid") / 1000).cast("long"))
-    before = parts.groupBy("top", "mid", "low").agg(F.count("*").alias("n"))
-
-    def ahead(by: list[str], order: str, n: str) -> Column:
-        return F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    mids = before.groupBy("top", "mid").agg(F.sum("n").alias("nm"))
-    tops = mids.groupBy("top").agg(F.sum("nm").alias("nt")).withColumn("bt", ahead([], "top", "nt")).select("top", "bt")
-    mids = mids.withColumn("bm", ahead(["top"], "mid", "nm")).select("top", "mid", "bm")
-    before = before.withColumn("bl", ahead(["top", "mid"], "low", "n")).join(mids, ["top", "mid"]).join(tops, "top").select("low", (F.col("bl") + F.col("bm") + F.col("bt")).alias("before"))
-    rn = F.row_number().over(Window.partitionBy("low").orderBy("source_id", "target_id")).cast("long")
-    return parts.withColumn("rn", rn).join(before, "low").select((F.col("rn") + F.col("before")).alias("place"), "source_id", "target_id")
+    return ordering.placed(c, [], ["source_id", "target_id"]).select((F.col("place") + 1).alias("place"), "source_id", "target_id")
+
+
+@query(f"{_S}, u as (select submap_id from submaps_v except select parent_id from submaps_v) select submap_id, row_number() over (order by submap_id) - 1 as place from u")
+def sorted_unoptimised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submaps that nothing hangs on, in the order of their ids."""
+    s = view(spark, sf_dir, "submaps_v")
+    return ordering.placed(s.select("submap_id").exceptAll(s.select("parent_id").distinct()).distinct(), [], ["submap_id"])
+
+
+_CLOSURES = "c as (select session_id, event_id as source_id, lag(event_id) over (partition by session_id order by t_ticks) as target_id, t_ticks from poses_v)"
+
+
+@query(f"{_Q}, {_CLOSURES} select session_id, max(t_ticks) as t_ticks, arg_max(source_id, t_ticks) as source_id, arg_max(target_id, t_ticks) as target_id from c where target_id is not null group by session_id")
+def latest_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest constraint of each session, each pose tied to the one before it."""
+    tied = trajectory.consecutive(view(spark, sf_dir, "poses_v"), item="event_id")
+    newest = F.max_by(F.struct("t_ticks", F.col("event_id").alias("source_id"), F.col("previous").alias("target_id")), "t_ticks")
+    return tied.groupBy("session_id").agg(newest.alias("c")).select("session_id", "c.*")
+
+
+_T = "cast(round(({}) * 10000) as bigint)"
+
+
+@query(
+    f"{_Q}, o as (select session_id, tx, ty, yaw, row_number() over (partition by session_id order by t_ticks desc) - 1 as b, case when event_id % 2 = 0 then 0.3 else 0.1 end as cx, case when event_id % 2 = 0 then 0.02 else 0.01 end as cr from poses_v), "
+    "m as (select *, cx + cos(cr) * tx - sin(cr) * ty as mx, sin(cr) * tx + cos(cr) * ty as my, cr + yaw as mr from o), "
+    "p as (select f.session_id, f.mx as fx, f.my as fy, f.mr as fr, n.mx as nx, n.my as ny, cos(f.yaw) * (n.tx - f.tx) + sin(f.yaw) * (n.ty - f.ty) as rx, cos(f.yaw) * (n.ty - f.ty) - sin(f.yaw) * (n.tx - f.tx) as ry from m f join m n on f.session_id = n.session_id and f.b = 60 and n.b = 20), "
+    "e as (select *, fx + cos(fr) * rx - sin(fr) * ry as ex, fy + sin(fr) * rx + cos(fr) * ry as ey from p) "
+    f"select session_id, {_T.format('nx')} as x, {_T.format('ny')} as y, {_T.format('ex')} as ex, {_T.format('ey')} as ey, {_T.format('sqrt((ex - nx) * (ex - nx) + (ey - ny) * (ey - ny))')} as distance from e"
+)
+def chain_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odometry against map between 60 and 20 poses back; the map's poses are corrected in one of two ways."""
+    p = view(spark, sf_dir, "poses_v")
+    even = F.col("event_id") % 2 == 0
+    odometry = p.select("session_id", "t_ticks", g.planar_pose("tx", "ty", "tz", "yaw").alias("pose"))
+    corrected = g.pose_mul(g.planar_pose(F.when(even, 0.3).otherwise(0.1), F.lit(0.0), F.lit(0.0), F.when(even, 0.02).otherwise(0.01)), g.planar_pose("tx", "ty", "tz", "yaw"))
+    d = trajectory.chain_difference(odometry, p.select("session_id", "t_ticks", corrected.alias("pose")))
+    tenth = lambda c, n: F.round(F.col(c) * 10000).cast("long").alias(n)
+    return d.select("session_id", tenth("reached.tx", "x"), tenth("reached.ty", "y"), tenth("estimated.tx", "ex"), tenth("estimated.ty", "ey"), tenth("distance", "distance"))
+
+
+_RPY = "select scan_id, point_id, x, y, z, cos(x / 30) as cr, sin(x / 30) as sr, cos(y / 40) as cp, sin(y / 40) as sp, cos(z / 5) as cy, sin(z / 5) as sy from points_v"
+
+
+@query(
+    f"{_P}, a as ({_RPY}) select scan_id, point_id, {_T.format('cy * cp * y + (cy * sp * sr - sy * cr) * z + (cy * sp * cr + sy * sr) * x + x')} as tx, "
+    f"{_T.format('sy * cp * y + (sy * sp * sr + cy * cr) * z + (sy * sp * cr - cy * sr) * x + y')} as ty, {_T.format('cp * sr * z - sp * y + cp * cr * x + z')} as tz from a"
+)
+def turned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (y, z, x) moved by poses that turn about all three axes; SQL has the matrix of roll, pitch and yaw."""
+    pose = g.pose_rpy("x", "y", "z", F.col("x") / 30, F.col("y") / 40, F.col("z") / 5)
+    p = view(spark, sf_dir, "points_v").withColumn("pose", pose)
+    new = g.pose_apply(F.col("pose"), "y", "z", "x")
+    return p.select("scan_id", "point_id", *(F.round(c * 10000).cast("long").alias(n) for n, c in zip(("tx", "ty", "tz"), new, strict=True)))
 
 
 @query(f"{_Q} select session_id, max(t_ticks) as t_ticks, arg_max(event_id, t_ticks) as event_id from poses_v group by session_id")

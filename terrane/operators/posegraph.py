@@ -28,19 +28,12 @@ from pyspark.sql import functions as F
 
 from terrane.functions.geometry import POSE, pose, pose_inv
 from terrane.operators.ordering import placed, running
-from terrane.operators.trajectory import multiply, pose_product
+from terrane.operators.trajectory import inverses, multiply, pose_product, turns
 from terrane.plans.lineage import cut
 
 _POSE = "struct<" + ",".join(f"{n}:double" for n in POSE) + ">"
 
 
-def turns(q: np.ndarray) -> np.ndarray:
-    """Rotation matrices of unit quaternions (x, y, z, w)."""
-    x, y, z, w = q.T
-    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
-    return np.moveaxis(np.array(rows), -1, 0).reshape(-1, 3, 3)
-
-
 def crosses(v: np.ndarray) -> np.ndarray:
     """Matrices that take the cross product with each vector from the left."""
     out = np.zeros((len(v), 3, 3))
@@ -48,13 +41,6 @@ def crosses(v: np.ndarray) -> np.ndarray:
     return out - out.transpose(0, 2, 1)
 
 
-def inverses(p: np.ndarray) -> np.ndarray:
-    """The poses in the rows of p, undone."""
-    out = np.concatenate([np.zeros((len(p), 3)), -p[:, 3:6], p[:, 6:]], axis=1)
-    out[:, :3] = -(turns(out[:, 3:]) @ p[:, :3, None])[:, :, 0]
-    return out
-
-
 def linearised(source: np.ndarray, target: np.ndarray, measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Residuals (rows of six: turn, then shift) of edges, and their derivatives by the difference of the ends' steps."""
     off = multiply(inverses(measured), multiply(inverses(target), source))

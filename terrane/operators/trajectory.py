@@ -167,6 +167,47 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def turns(q: np.ndarray) -> np.ndarray:
+    """Rotation matrices of unit quaternions (x, y, z, w)."""
+    x, y, z, w = q.T
+    rows = [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
+    return np.moveaxis(np.array(rows), -1, 0).reshape(-1, 3, 3)
+
+
+def inverses(p: np.ndarray) -> np.ndarray:
+    """The poses in the rows of p, undone."""
+    out = np.concatenate([np.zeros((len(p), 3)), -p[:, 3:6], p[:, 6:]], axis=1)
+    out[:, :3] = -(turns(out[:, 3:]) @ p[:, :3, None])[:, :, 0]
+    return out
+
+
+def chain_difference(odometry: DataFrame, maps: DataFrame, far: int = 60, near: int = 20) -> DataFrame:
+    """(session_id, reached, estimated, distance): whether odometry tells the motion that the map tells.
+
+    Both trajectories (session_id, t_ticks, pose) are read ``far`` and ``near`` poses back from
+    their ends.  ``reached`` is the map's nearer pose, ``estimated`` its farther one moved on by
+    the odometry in between.  Sessions with too few poses in either have no row.
+    """
+    ends = None
+    for name, poses in (("odometry", odometry), ("map", maps)):
+        back = F.row_number().over(Window.partitionBy(BY).orderBy(F.col(TIME).desc())) - 1
+        rows = poses.select(BY, "pose", back.alias("back")).where(F.col("back").isin(far, near))
+        pair = rows.groupBy(BY).agg(*(F.max(F.when(F.col("back") == n, F.col("pose"))).alias(f"{name}_{k}") for k, n in (("far", far), ("near", near))))
+        pair = pair.where(F.col(f"{name}_far").isNotNull() & F.col(f"{name}_near").isNotNull())
+        ends = pair if ends is None else ends.join(pair, BY)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            p = {c: np.array([[x[n] for n in _NAMES] for x in t[c]], float).reshape(-1, 7) for c in t.columns if c != BY}
+            motion = multiply(inverses(p["odometry_far"]), p["odometry_near"])
+            estimated = multiply(p["map_far"], motion)
+            away = np.linalg.norm(estimated[:, :3] - p["map_near"][:, :3], axis=1)
+            yield pd.DataFrame({BY: t[BY], "reached": t["map_near"], "estimated": [dict(zip(_NAMES, map(float, x), strict=True)) for x in estimated], "distance": away})
+
+    pose = ends.schema["map_near"].dataType.simpleString()
+    return ends.mapInPandas(run, f"{BY} {dict(ends.dtypes)[BY]}, reached {pose}, estimated {pose}, distance double")
+
+
 def key_scans(poses: DataFrame, least: float) -> DataFrame:
     """Scans that moved at least ``least`` from the last one kept; the first of a session is kept."""
     narrow = poses.select(BY, TIME, "event_id", "tx", "ty", "tz")

@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 
 from terrane.functions.geometry import POSE, pose
 from terrane.operators.neighbours import normals
-from terrane.operators.posegraph import inverses
 from terrane.operators.registration import moved, register
 from terrane.operators.tiles import patches, tiled
-from terrane.operators.trajectory import multiply, pose_product
+from terrane.operators.trajectory import inverses, multiply, pose_product
 from terrane.operators.voxel import merge_states
 from terrane.plans.lineage import cut, forget
 

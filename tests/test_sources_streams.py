@@ -161,3 +161,60 @@ def test_live_scans_come_once_in_bounded_batches_across_restarts(spark, tmp_path
     rows = [(r.session_id, r.t_ticks, r.point_id, r.x) for r in spark.read.parquet(f"{tmp_path}/taken").collect()]
     assert sorted(rows) == [(7, t, k, float(t + k)) for t in range(1, 10) for k in range(3)]
     assert max(sizes) <= 4 and sizes[0] <= 2
+
+
+def test_poses_once_and_resets_and_segments_as_in_batch(spark, tmp_path):
+    rows = [(s, 100 * k + s, float((k * (3 + s)) % 17)) for s in (1, 2) for k in range(30) for _ in range(1 + k % 2)]
+    df = spark.createDataFrame(rows, "session_id long, t_ticks long, x double")
+    resets = spark.createDataFrame([(1, 700), (1, 701), (2, 1500)], "session_id long, t_ticks long")
+    for k in range(3):
+        here = (F.col("t_ticks") >= k * 1000) & (F.col("t_ticks") < (k + 1) * 1000)
+        df.where(here).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        resets.where(here).coalesce(1).write.mode("append").parquet(f"{tmp_path}/resets")
+    live = lambda n, schema: streams.read_stream(spark, f"{tmp_path}/{n}", schema)
+    streams.replay(streams.emit_once(live("in", "session_id long, t_ticks long, x double")), f"{tmp_path}/once", f"{tmp_path}/c1")
+    once = sorted((r.session_id, r.t_ticks) for r in spark.read.parquet(f"{tmp_path}/once").collect())
+    assert once == sorted({(s, t) for s, t, _ in rows})
+    split = streams.split_at_resets_live(live("in", "session_id long, t_ticks long, x double"), live("resets", "session_id long, t_ticks long"))
+    streams.replay(split, f"{tmp_path}/split", f"{tmp_path}/c2")
+    want = streams.split_at_resets(df, resets).select("session_id", "t_ticks", "x", "segment")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/split").collect())) == sorted(map(tuple, want.collect()))
+    assert {r.segment for r in want.collect()} == {0, 1, 2}
+
+
+def walk(spark):
+    """There and back along a line, with the cells that each scan lies in."""
+    x = [0, 1, 2, 4, 5, 6, 8, 9, 6, 4, 2, 1, 0, 0, 0]
+    rows = [(s, 100 * k, k, float(v * s), 0.0, 0.0, float(v * s), 0.0, 0.0, 10, [v], [10]) for s in (1, 2) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "session_id long, t_ticks long, event_id long, tx double, ty double, tz double, cx double, cy double, cz double, n int, cells array<long>, counts array<long>")
+
+
+def test_segments_and_the_chain_of_events(spark, tmp_path):
+    """Segments as in batch; events taken once though stages run again; the end of a session forces its last submap."""
+    from terrane.operators import mapping
+
+    df = walk(spark)
+    for k in range(3):
+        df.where((F.col("t_ticks") >= k * 500) & (F.col("t_ticks") < (k + 1) * 500)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    settings = {"radius": 3.0, "least_scans": 2, "replay": 2}
+    live = streams.segment_submaps(streams.read_stream(spark, f"{tmp_path}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)), **settings)
+    streams.replay(live, f"{tmp_path}/segments", f"{tmp_path}/c")
+    segments = spark.read.parquet(f"{tmp_path}/segments").cache()
+    key = lambda r: (r.session_id, r.t_ticks, r.event_id, r.submap_id, r.active_after, r.parent_id, tuple(r.replayed))
+    assert sorted(map(key, segments.collect())) == sorted(map(key, mapping.segment_submaps(df, **settings).collect()))
+
+    work, seen = streams.WorkTable(spark, f"file://{tmp_path}/work", streams.FINISHED), {}
+    stage = streams.chain(work, "closures", lambda events, number: seen.setdefault(number, []).append(sorted(map(tuple, events.collect()))))
+    events = streams.finished_submaps(segments)
+    work.put(events.where("t_ticks < 700"), 0)
+    stage(None, 0)
+    work.put(events.where("t_ticks >= 700"), 1)
+    stage(None, 0)  # killed and run again: the same events, not the new ones
+    work.put(streams.flushed_submaps(segments, spark.createDataFrame([(1,)], "session_id long")), 2)
+    stage(None, 1)
+    stage(None, 1)
+    stage(None, 2)
+    assert seen[0][0] == seen[0][1] and seen[1][0] == seen[1][1] and 2 not in seen
+    taken = seen[0][0] + seen[1][0]
+    last = max((r for r in segments.collect() if r.session_id == 1), key=lambda r: r.t_ticks)
+    assert sorted(taken) == sorted([*map(tuple, events.collect()), (1, last.active_after, last.t_ticks, True)])
