@@ -18,7 +18,7 @@ from terrane.functions.geometry import POSE, pose, pose_apply
 from terrane.operators.graph import _POSE, matrix_pose, step_matrix
 from terrane.operators.neighbours import CELL, correspondences, in_cells, in_near_cells, square_distance
 from terrane.operators.trajectory import consecutive, multiply, pose_product
-from terrane.plans.lineage import cut
+from terrane.plans.lineage import cut, forget
 
 _REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray]]] = {}
 
@@ -138,18 +138,27 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
             yield pd.DataFrame({"pair_id": t["pair_id"], "pose": [dict(zip(POSE, map(float, p), strict=True)) for p in new], "open": size > settle})
 
     shape = f"pair_id {source.schema['pair_id'].dataType.simpleString()}, pose {_POSE}, open boolean"
+
+    def met(of: DataFrame) -> DataFrame:
+        """Source points laid by the poses, with the target points in reach."""
+        cells = in_cells(source.join(of.select("pair_id", "pose"), "pair_id").select("pair_id", *laid), ("s_x", "s_y", "s_z"), radius)
+        return cells.join(near, ["pair_id", *CELL]).withColumn("d2", distance).where(F.col("d2") <= radius * radius)
+
     for _ in range(rounds):
         live = poses.where("open")
         if live.isEmpty():
             break
-        cells = in_cells(source.join(live.select("pair_id", "pose"), "pair_id").select("pair_id", *laid), ("s_x", "s_y", "s_z"), radius)
-        pairs = cells.join(near, ["pair_id", *CELL]).withColumn("d2", distance).where(F.col("d2") <= radius * radius)
-        matched = pairs.groupBy("pair_id", "source_id").agg(best.alias("b")).select("pair_id", "b.*")
+        matched = met(live).groupBy("pair_id", "source_id").agg(best.alias("b")).select("pair_id", "b.*")
         asked = live.join(matched.groupBy("pair_id").agg(*of_pair), "pair_id", "left").na.fill(0)
         moved_on = asked.mapInPandas(step, shape)
         poses = cut(moved_on.unionByName(poses.where("not open")), poses)
-    got = evaluate(source, target, poses.select("pair_id", "pose"), radius)
-    return got.join(poses.select("pair_id", (~F.col("open")).alias("settled")), "pair_id")
+    hits = met(poses).groupBy("pair_id", "source_id").agg(F.min("d2").alias("d2"))
+    hits = hits.groupBy("pair_id").agg(F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse"))
+    got = poses.join(source.groupBy("pair_id").agg(F.count("*").alias("n_source")), "pair_id", "left").join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0)))
+    got = cut(got.select("pair_id", "pose", "n_source", "n_corr", (F.col("n_corr") / F.col("n_source")).alias("fitness"), "inlier_rmse", (~F.col("open")).alias("settled")))
+    for spent in (near, source, poses):
+        forget(spent)
+    return got
 
 
 def _laid(names: Sequence[str]) -> list[Column]:
