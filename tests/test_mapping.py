@@ -115,3 +115,55 @@ def test_sessions_give_the_same_map_for_any_split_and_replay(spark, tmp_path):
         assert p[:3] == pytest.approx(((t - 1) * 0.15, (t - 1) * session * 0.05, 0.0), abs=1e-3)
     rows = [sorted(map(tuple, m.map().collect())) for m in (whole, split)]
     assert rows[0] == rows[1]
+
+
+def test_scans_find_their_place_in_a_frozen_map_and_in_one_that_grows(spark):
+    """Localisation in a given map, and ``map_in_blocks`` with blocks of one scan."""
+    from terrane.operators import mapping, registration
+
+    rng = random.Random(11)
+    world = spark.createDataFrame([(i, *(rng.uniform(-8, 8) for _ in range(3))) for i in range(150)], "point_id long, x double, y double, z double").cache()
+    true = {"a": (0.2, -0.1, 0.05, 0.02), "b": (-0.1, 0.3, 0.0, -0.03)}
+    poses = spark.createDataFrame([(k, *p) for k, p in true.items()], "pair_id string, x0 double, y0 double, z0 double, yaw double").select("pair_id", g.planar_pose("x0", "y0", "z0", "yaw").alias("pose"))
+    seen = world.crossJoin(poses)
+    seen = seen.withColumns(dict(zip("xyz", g.pose_apply(g.pose_inv(F.col("pose")), "x", "y", "z"), strict=True))).drop("pose").cache()
+    rest = poses.select("pair_id", g.pose(0.0, 0.0, 0.0).alias("pose"))
+    for r in registration.localise(seen, world, rest, "PointToPoint", 0.8, rounds=12).collect():
+        assert (r.pose.tx, r.pose.ty, r.pose.tz, 2 * math.asin(r.pose.qz)) == pytest.approx(true[r.pair_id], abs=1e-6)
+        assert r.fitness == 1.0 and r.settled
+
+    scans = world.select(F.lit(1).alias("session_id"), F.lit(0).alias("k"), "point_id", "x", "y", "z").unionByName(seen.where("pair_id = 'a'").select(F.lit(1).alias("session_id"), F.lit(1).alias("k"), "point_id", "x", "y", "z"))
+    guess = spark.createDataFrame([(1, 0), (1, 1)], "session_id int, k int").withColumn("pose", g.pose(0.0, 0.0, 0.0))
+    found, grown = mapping.map_in_blocks(scans, guess, 1, "PointToPoint", 0.8, 0.05)
+    got = {r.k: r.pose for r in found.collect()}
+    assert (got[0].tx, got[0].ty) == (0.0, 0.0) and (got[1].tx, got[1].ty, got[1].tz) == pytest.approx(true["a"][:3], abs=1e-4)
+    assert 150 <= grown.count() <= 170
+
+
+def test_submap_clouds_and_dense_maps_are_voxel_sums_of_placed_scans(spark):
+    from terrane.operators import mapping
+
+    rng = random.Random(13)
+    rows = [(s, f"{s}{k}", i, *(rng.uniform(-3, 3) for _ in range(3)), *(rng.random() for _ in range(3))) for s in (1, 2) for k in range(2) for i in range(40)]
+    points = spark.createDataFrame(rows, "submap_id long, pair_id string, point_id long, x double, y double, z double, r double, g double, b double")
+    shift = {"10": 0.0, "11": 0.5, "20": -1.0, "21": 2.0}
+    poses = spark.createDataFrame(list(shift.items()), "pair_id string, x0 double").select("pair_id", g.pose("x0", 0.0, 0.0).alias("pose"))
+    want, dense = {}, {}
+    for s, pair, _, x, y, z, *rgb in rows:
+        x += shift[pair]
+        cell = (s, *(math.floor(v / 1.5) for v in (x, y, z)))
+        center = shift[f"{s}1"]
+        if math.dist((x, y, z), (center, 0, 0)) <= 3.0:
+            want.setdefault(cell, []).append((x, y, z))
+        if math.sqrt((x - shift[pair]) ** 2 + y * y + z * z) <= 2.5 and all(0.2 <= c <= 0.9 for c in rgb):
+            dense.setdefault(cell, []).append(rgb)
+    built = mapping.build_submaps(points.drop("r", "g", "b"), poses, 1.5, 3.0).where("own = -1").collect()
+    got = {(r.submap_id, r.vx, r.vy, r.vz): (r.x, r.y, r.z) for r in built}
+    assert got.keys() == want.keys()
+    for k, p in got.items():
+        assert p == pytest.approx(tuple(sum(c) / len(want[k]) for c in zip(*want[k], strict=True)), abs=1e-5)
+    colored = mapping.dense_map(points, poses, 1.5, "MaxRadius", (0.2, 0.9), radius=2.5).collect()
+    assert {(r.submap_id, r.vx, r.vy, r.vz): r.n for r in colored} == {k: len(v) for k, v in dense.items()}
+    for r in colored:
+        own = dense[r.submap_id, r.vx, r.vy, r.vz]
+        assert r.sr / 1e6 == pytest.approx(sum(c[0] for c in own), abs=1e-4)
