@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.config import Cropping
 from terrane.functions import geometry as g
-from terrane.operators import carving, crop, features, graph, mapping, neighbours, ordering, posegraph, registration, scans, trajectory, voxel
+from terrane.operators import carving, closing, crop, features, graph, mapping, neighbours, ordering, posegraph, registration, scans, trajectory, voxel
 from terrane.plans.lineage import shared_folder
 from terrane.plans.views import duck, view
 from terrane.sources import clouds
@@ -636,6 +636,43 @@ def pose_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posegraph.solve(nodes, step.union(loop)).select("graph_id", "node_id", *_solved())
 
 
+_T = "cast(round(({}) * 10000) as bigint)"
+_STEPS = "s as (select session_id, row_number() over (partition by session_id order by t_ticks) - 1 as r, dx, dy, dyaw from poses_v), h as (select session_id, r, dx, dy, coalesce(sum(dyaw) over (partition by session_id order by r rows between unbounded preceding and 1 preceding), 0) as h from s where r > 0)"
+
+
+@query(
+    f"{_Q}, {_STEPS} select session_id as graph_id, 0 as node_id, 0 as x, 0 as y from s where r = 0 union all select session_id, r, {_T.format('sum(cos(h) * dx - sin(h) * dy) over w')}, {_T.format('sum(sin(h) * dx + cos(h) * dy) over w')} from h window w as (partition by session_id order by r)"
+)
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each session's pose graph, chained along its odometry constraints from smaller to larger ids; graphs of one pose have none."""
+    p = view(spark, sf_dir, "poses_v").withColumn("r", F.row_number().over(Window.partitionBy("session_id").orderBy("t_ticks")).cast("long") - 1)
+    motion = g.planar_pose("dx", "dy", F.lit(0.0), "dyaw")
+    constraints = p.where("r > 0").select(F.col("session_id").alias("graph_id"), (F.col("r") - 1).alias("source_id"), F.col("r").alias("target_id"), g.pose_inv(motion).alias("pose"))
+    nodes, _ = posegraph.build(constraints, constraints.limit(0))
+    alone = p.groupBy("session_id").agg(F.max("r").alias("last")).where("last = 0").select(F.col("session_id").alias("graph_id"), F.lit(0).cast("long").alias("node_id"), g.pose(0.0, 0.0, 0.0).alias("pose"))
+    return nodes.unionByName(alone).select("graph_id", "node_id", *(F.round(F.col(f"pose.t{c}") * 10000).cast("long").alias(c) for c in "xy"))
+
+
+@query(
+    f"{_S}, k as (select a.submap_id as source_id, b.submap_id as target_id from submaps_v a join submaps_v b on a.submap_id > b.submap_id + 1 and abs(a.cx - b.cx) < 2 and abs(a.cy - b.cy) < 2), "
+    "e as (select submap_id as a, parent_id as b from submaps_v union select source_id, target_id from k), "
+    "l as (select a as id, b as other from e where a <> b union select b, a from e where a <> b) "
+    "select s.submap_id as id, count(distinct other) as degree, s.submap_id in (select source_id from k union select target_id from k) as is_lc from submaps_v s left join l on l.id = s.submap_id group by s.submap_id"
+)
+def closure_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submaps after closures between close ones were recorded: neighbours and marks."""
+    s = view(spark, sf_dir, "submaps_v")
+    cell = [F.floor(F.col(c) / 2).alias(f"k{c}") for c in ("cx", "cy")]
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / 2) - 1, F.floor(F.col(c) / 2) + 1))
+    a = s.select(F.col("submap_id").alias("source_id"), F.col("cx").alias("ax"), F.col("cy").alias("ay")).withColumn("kcx", around("ax")).withColumn("kcy", around("ay"))
+    b = s.select(F.col("submap_id").alias("target_id"), "cx", "cy", *cell)
+    close = (F.abs(F.col("ax") - F.col("cx")) < 2) & (F.abs(F.col("ay") - F.col("cy")) < 2) & (F.col("source_id") > F.col("target_id") + 1)
+    accepted = a.join(b, ["kcx", "kcy"]).where(close).select("source_id", "target_id")
+    nodes, edges = closing.record_closures(s.select(F.col("submap_id").alias("id"), F.lit(False).alias("is_lc")), s.select(F.col("submap_id").alias("src"), F.col("parent_id").alias("dst")), accepted)
+    degrees = graph.undirected(edges).groupBy("src").agg(F.count("*").alias("degree"))
+    return nodes.join(degrees, nodes.id == degrees.src, "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), "is_lc")
+
+
 def _solved() -> list:
     return [F.round(F.col(f"pose.{c}"), 4).alias(c) for c in ("tx", "ty", "tz")]
 
@@ -684,9 +721,6 @@ def latest_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tied.groupBy("session_id").agg(newest.alias("c")).select("session_id", "c.*")
 
 
-_T = "cast(round(({}) * 10000) as bigint)"
-
-
 @query(
     f"{_Q}, o as (select session_id, tx, ty, yaw, row_number() over (partition by session_id order by t_ticks desc) - 1 as b, case when event_id % 2 = 0 then 0.3 else 0.1 end as cx, case when event_id % 2 = 0 then 0.02 else 0.01 end as cr from poses_v), "
     "m as (select *, cx + cos(cr) * tx - sin(cr) * ty as mx, sin(cr) * tx + cos(cr) * ty as my, cr + yaw as mr from o), "
