@@ -32,6 +32,8 @@ _FENCE = 0xFF  # not a byte of UTF-8
 _NEVER = np.int64(1) << 40
 #: Bytes of distinct words that are indexed at once.
 _BLOCK = 1 << 20
+#: Bytes of texts that share the encodings of their distinct words.
+_LOT = 6 << 20
 #: Words of more bytes are laid out apart from shorter ones, since a batch takes a step for each byte of its longest.
 _LONG = 400
 #: Words of still more bytes are merged pair by pair, which gives the same.
@@ -383,10 +385,11 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(sent.value)
         for b in batches:
-            ids = coder.encode(as_bytes(b.column(1)))
-            n = np.array([len(x) for x in ids], np.int64)
-            offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], ["id", "n_tokens", "ids"])
+            for first, texts in pieces(as_bytes(b.column(1)), _LOT):
+                ids = coder.encode(texts)
+                n = np.array([len(x) for x in ids], np.int64)
+                offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], ["id", "n_tokens", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
 
