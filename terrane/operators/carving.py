@@ -13,6 +13,10 @@ from terrane.functions.geometry import voxel_key
 from terrane.operators.voxel import VOXEL, drop_voxels, with_voxel
 
 
+#: Parts into which the rays that begin in one voxel are dealt.
+_PARTS = 32
+
+
 def ray_steps(scans: DataFrame, step: float, longest: float, truncation: float) -> DataFrame:
     """Points along each ray from the sensor (sx, sy, sz) to (x, y, z), a step apart, with the ray's direction.
 
@@ -32,23 +36,32 @@ def carved_points(scans: DataFrame, map_points: DataFrame, size: float, longest:
 
     A map point counts only if the ray meets it at |direction . normal| above ``least_dot``;
     map points carry nx, ny, nz.  A ray visits each voxel once.  Points look for one such ray:
-    no pairs of points and rays are made.
+    no pairs of points and rays are made.  All rays of a scan begin in the sensor's own voxel:
+    there they are dealt into ``_PARTS`` parts, and the points of such voxels look into each.
     """
     steps = ray_steps(scans, size, longest, truncation)
-    key = voxel_key("px", "py", "pz", size)
-    seen = steps.select(*(F.col(c).alias(f"s_{c}") for c in on), "dx", "dy", "dz", *(k.alias(f"s_{v}") for k, v in zip(key, VOXEL, strict=True)))
-    same = reduce(and_, (F.col(c) == F.col(f"s_{c}") for c in [*on, *VOXEL]))
+    key, home = voxel_key("px", "py", "pz", size), voxel_key("sx", "sy", "sz", size)
+    begins = reduce(and_, (a == b for a, b in zip(key, home, strict=True)))
+    part = F.when(begins, F.pmod(F.xxhash64("dx", "dy", "dz"), F.lit(_PARTS)).cast("int")).otherwise(-1)
+    seen = steps.select(*(F.col(c).alias(f"s_{c}") for c in on), "dx", "dy", "dz", *(k.alias(f"s_{v}") for k, v in zip(key, VOXEL, strict=True)), part.alias("s_part"))
+    sensors = scans.select(*on, *(k.alias(v) for k, v in zip(home, VOXEL, strict=True))).distinct().withColumn("sensor", F.lit(True))
+    points = with_voxel(map_points, size).select(*on, "point_id", "nx", "ny", "nz", *VOXEL).join(sensors, [*on, *VOXEL], "left")
+    points = points.withColumn("part", F.explode(F.when(F.col("sensor"), F.sequence(F.lit(-1), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(-1)))))
+    same = reduce(and_, (F.col(c) == F.col(f"s_{c}") for c in [*on, *VOXEL, "part"]))
     dot = F.abs(F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz"))
-    return with_voxel(map_points, size).join(seen, same & (dot > least_dot), "left_semi").select(*on, "point_id").distinct()
+    return points.join(seen, same & (dot > least_dot), "left_semi").select(*on, "point_id").distinct()
 
 
 def carved_voxels(scans: DataFrame, occupied: DataFrame, size: float, longest: float, truncation: float, radius: float, on: Sequence[str] = ("submap_id",)) -> DataFrame:
     """Occupied voxels within ``radius`` of a ray, which advances by twice that.
 
-    The voxels look for a step in the 27 cells around them; steps, which are many more, stay one row each.
+    The voxels look for a step in the 27 cells around them; steps, which are many more, stay one row
+    each, but for the first steps of all rays of a scan, which are one and the same.
     """
     reach = max(radius, size)  # a step within a voxel is near its centre
     steps = ray_steps(scans, 2 * radius, longest, truncation)
+    place = [*on, "px", "py", "pz"]
+    steps = steps.where("k > 0").select(*place).unionByName(steps.where("k = 0").select(*place).distinct())
     cell = voxel_key("px", "py", "pz", reach)
     steps = steps.select(*(F.col(c).alias(f"s_{c}") for c in on), "px", "py", "pz", *(k.alias(f"s_{c}") for k, c in zip(cell, "xyz", strict=True)))
     o = occupied.select(*on, *VOXEL).withColumns({f"c{c}": F.col(v) * F.lit(size) + F.lit(size / 2) for c, v in zip("xyz", VOXEL, strict=True)})
