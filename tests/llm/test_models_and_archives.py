@@ -107,3 +107,19 @@ def test_archives_come_back(spark, tmp_path):
     assert all((r["size"] or 0) <= 4_000 or r["n"] == 1 for r in held) and len(held) > 5
     write_warc(df.limit(0), f"{tmp_path}/none")
     assert read_warc(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_encoding_in_lots_equals_all_at_once(spark):
+    """More text than one lot holds, null and empty texts and repeated rows among it, a clashing column."""
+    import numpy as np
+
+    from terrane.llm.piece_matching import _LOT, MODEL, Encoder, Model, encode
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("aeioubcdfg") for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(vocabulary, k=30_000)) for _ in range(45)] + [None, "", "same", "same"]
+    assert sum(len(t or "") for t in texts) > _LOT
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string").coalesce(1)
+    want = Encoder(Model.read(MODEL)).encode([None if t is None else t.encode() for t in texts])
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in encode(df).collect()}
+    assert got == {i: (len(w), np.asarray(w).tolist()) for i, w in enumerate(want)}
