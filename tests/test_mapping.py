@@ -96,7 +96,7 @@ def test_sessions_give_the_same_map_for_any_split_and_replay(spark, tmp_path):
     world = spark.createDataFrame([(s, i, *(rng.uniform(-9, 9) for _ in range(3))) for s in (1, 2) for i in range(90)], "session_id long, point_id long, x double, y double, z double")
     k = F.col("t_ticks") - 1
     true = g.planar_pose(k * 0.15, k * F.col("session_id") * 0.05, F.lit(0.0), k * 0.01)
-    seen = world.withColumn("t_ticks", F.explode(F.sequence(F.lit(1), F.lit(3))).cast("long")).withColumn("true", true)
+    seen = world.withColumn("t_ticks", F.explode(F.sequence(F.lit(1), F.lit(3)).cast("array<bigint>"))).withColumn("true", true)
     seen = seen.withColumns(dict(zip("xyz", g.pose_apply(g.pose_inv(F.col("true")), "x", "y", "z"), strict=True))).drop("true").cache()
     settings = Mapping(radius=0.8, reach=25.0, voxel=0.01, tile=5.0, rounds=8)
     whole, split = (SessionMapper(spark, f"file://{tmp_path}/{n}", settings) for n in ("whole", "split"))
