@@ -68,7 +68,7 @@ def resolved_ancestor(submaps: DataFrame, optimised: DataFrame, limit: int = 64)
 def nearest_submap(poses: DataFrame, submaps: DataFrame, radius: float = 16.0) -> DataFrame:
     """The submap of the least distance from each pose (ties: the least id): (pose_id, submap_id, d2).
 
-    A grid join that doubles its reach for poses without a submap so far.
+    Searched among blocks of submaps, so that it grows with the number of poses, not with how dense submaps lie.
     """
     p = poses.select(F.col("pose_id").alias("point_id"), F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z"))
     s = submaps.select(F.col("submap_id").alias("point_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))

@@ -293,3 +293,38 @@ def test_closures_feed_back_until_none_is_left(spark):
     assert error(trajectory_) < error(poses) / 2
     head = {r.submap_id: r.pose for r in trajectory_.collect()}
     assert tuple(head[77]) == pytest.approx(tuple(head[n - 1]))  # an orphan follows its ancestor
+
+
+def _dense(spark, n, seed=3):
+    """Clouds in which all points lie within each other's reach, with exact copies of places."""
+    r = np.random.default_rng(seed)
+    rows = [(c, i, *map(float, r.integers(0, 40, 3) / 100)) for c in (1, 2) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
+
+
+def _brute(source, target, k, limit=float("inf")):
+    d2 = lambda a, b: (a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3]) + (a[4] - b[4]) * (a[4] - b[4])
+    return {(a[0], a[1]): sorted((d2(a, b), b[1]) for b in target if a[0] == b[0] and d2(a, b) <= limit)[:k] for a in source}
+
+
+def test_nearest_in_dense_places_moves_blocks_not_pairs(spark):
+    """One row of points a block is moved, however many targets lie in reach."""
+    from terrane.operators import blocks
+
+    rows, df = _dense(spark, 700)
+    own = df.where("point_id % 2 = 0")
+    other = df.where("point_id % 2 = 1")
+    got = {(r.cloud_id, r.source_id): (r.d2, r.target_id) for r in neighbours.nearest(own, other, 0.2, ["cloud_id"]).collect()}
+    want = _brute([x for x in rows if x[1] % 2 == 0], [x for x in rows if x[1] % 2], 1)
+    assert got == {k: v[0] for k, v in want.items()}
+    packed = blocks.in_blocks(df, ["cloud_id"])
+    assert packed.count() <= 2 * -(-700 // 256) + 4 and packed.agg(F.sum("n")).first()[0] == 1400
+    alone = neighbours.nearest(own.drop("cloud_id").where("point_id < 9"), other.where("cloud_id = 1").drop("cloud_id"), 0.2)
+    assert alone.count() == 10
+
+
+def test_nearest_in_one_place_takes_the_least_ids(spark):
+    rows = [(1, i, 0.5, 0.5, 0.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
+    got = neighbours.k_nearest_any(df, 4, 0.1).groupBy("source_id").agg(F.sort_array(F.collect_list("target_id")).alias("t"))
+    assert got.count() == 3000 and {tuple(r.t) for r in got.collect()} == {(0, 1, 2, 3)}
