@@ -7,18 +7,24 @@ converged leave the next iteration's joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add, sub
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terrane.functions.geometry import POSE, pose, pose_apply
 from terrane.operators.graph import _POSE, matrix_pose, step_matrix
-from terrane.operators.neighbours import CELL, correspondences, in_cells, in_near_cells, square_distance
-from terrane.operators.trajectory import consecutive, multiply, pose_product
-from terrane.plans.lineage import cut, forget
+from terrane.operators.blocks import box_distances, in_blocks, values
+from terrane.operators.neighbours import CELL, correspondences, in_cells, in_near_cells
+from terrane.operators.trajectory import consecutive, multiply, pose_product, turns
+from terrane.plans.lineage import cut, delete, forget, shared_folder
 
 _REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray]]] = {}
 
@@ -109,21 +115,21 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
     start from ``start`` (pair_id, pose) or rest; one stops when its pose moves less than
     ``settle``, and is not ``settled`` if it still moved more in the last round.
 
-    The target is put into cells once, each point into those of its neighbours as well, and
-    stays; in a round the source alone is moved and dealt to its own cells.
+    Source and target are packed once: a row holds some hundred source points that lie close
+    together and the target points that they can reach until they have moved by ``radius``.  A
+    round reads these rows where they are, and moves poses and sums alone; pairs that moved
+    farther are packed again.
     """
     if kind not in _REGISTRATIONS:
         raise ValueError(f"unknown registration {kind!r}; known: {', '.join(sorted(_REGISTRATIONS))}")
     sums, solve = _REGISTRATIONS[kind]
     rest = pose(0.0, 0.0, 0.0).alias("pose")
     poses = cut((start.select("pair_id", "pose") if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)))
-    names = [c for c in target.columns if c != "pair_id"]
-    near = cut(in_near_cells(target.select("pair_id", *(F.col(c).alias(f"t_{c}") for c in names)), ("t_x", "t_y", "t_z"), radius))
     source = cut(source)
-    laid = _laid(source.columns)
-    distance = square_distance(("s_x", "s_y", "s_z"), ("t_x", "t_y", "t_z"))
+    mine, theirs = in_blocks(source, ["pair_id"], _PACKED, written=True), in_blocks(target, ["pair_id"], _PACKED)
+    packed = _reachable(mine, theirs, poses, radius)
+    columns = [c for c in source.columns if c != "pair_id"], [c for c in target.columns if c != "pair_id"]
     of_pair = [F.count("*").alias("k"), *(c.alias(f"m{i}") for i, c in enumerate(sums()))]
-    best = F.min(F.struct("d2", *(f"t_{c}" for c in ("point_id", *(n for n in names if n != "point_id"))), *(f"s_{c}" for c in source.columns if c not in ("pair_id", "point_id"))))
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -139,35 +145,141 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
 
     shape = f"pair_id {source.schema['pair_id'].dataType.simpleString()}, pose {_POSE}, open boolean"
 
-    def met(of: DataFrame) -> DataFrame:
-        """Source points laid by the poses, with the target points in reach."""
-        cells = in_cells(source.join(of.select("pair_id", "pose"), "pair_id").select("pair_id", *laid), ("s_x", "s_y", "s_z"), radius)
-        return cells.join(near, ["pair_id", *CELL]).withColumn("d2", distance).where(F.col("d2") <= radius * radius)
-
     for _ in range(rounds):
         live = poses.where("open")
         if live.isEmpty():
             break
-        matched = met(live).groupBy("pair_id", "source_id").agg(best.alias("b")).select("pair_id", "b.*")
-        asked = live.join(matched.groupBy("pair_id").agg(*of_pair), "pair_id", "left").na.fill(0)
-        moved_on = asked.mapInPandas(step, shape)
+        summed, packed = _summed(packed, live, mine, theirs, columns, radius, of_pair)
+        moved_on = live.join(summed, "pair_id", "left").na.fill(0).mapInPandas(step, shape)
         poses = cut(moved_on.unionByName(poses.where("not open")), poses)
-    hits = met(poses).groupBy("pair_id", "source_id").agg(F.min("d2").alias("d2"))
-    hits = hits.groupBy("pair_id").agg(F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse"))
-    got = poses.join(source.groupBy("pair_id").agg(F.count("*").alias("n_source")), "pair_id", "left").join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0)))
+        forget(summed)
+    hits, packed = _summed(packed, poses, mine, theirs, columns, radius, [F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse")])
+    n_source = source.groupBy("pair_id").agg(F.count("*").alias("n_source"))
+    got = poses.join(n_source, "pair_id", "left").join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0)))
     got = cut(got.select("pair_id", "pose", "n_source", "n_corr", (F.col("n_corr") / F.col("n_source")).alias("fitness"), "inlier_rmse", (~F.col("open")).alias("settled")))
-    for spent in (near, source, poses):
+    for spent in (source, mine, theirs, poses, hits):
         forget(spent)
+    _drop(packed)
     return got
 
 
-def _laid(names: Sequence[str]) -> list[Column]:
-    """Columns of a source point laid by its pair's pose: source_id, s_x, s_y, s_z and the rest."""
-    new = dict(zip("xyz", pose_apply(F.col("pose"), "x", "y", "z"), strict=True))
-    if "nx" in names:
-        turn = F.struct(*(F.lit(0.0).alias(t) for t in POSE[:3]), *(F.col(f"pose.{q}").alias(q) for q in POSE[3:]))
-        new |= dict(zip(("nx", "ny", "nz"), pose_apply(turn, "nx", "ny", "nz"), strict=True))
-    return [F.col("point_id").alias("source_id"), *(new.get(c, F.col(c)).alias(f"s_{c}") for c in names if c not in ("pair_id", "point_id"))]
+#: Points of a block of registration, and blocks of a file of packed rows.
+_PACKED, _FILE = 1024, 256
+
+
+def _reachable(mine: DataFrame, theirs: DataFrame, poses: DataFrame, radius: float) -> list[DataFrame]:
+    """Source blocks of the poses' pairs, each with the target points in reach while it moves by less than ``radius``, dealt into files by pair."""
+    spark = mine.sparkSession
+    half = F.sqrt(reduce(add, ((F.col(f"high_{c}") - F.col(f"low_{c}")) * (F.col(f"high_{c}") - F.col(f"low_{c}")) for c in "xyz"))) / 2
+    middle = pose_apply(F.col("laid"), *((F.col(f"high_{c}") + F.col(f"low_{c}")) / 2 for c in "xyz"))
+    placed = mine.join(poses.select("pair_id", F.col("pose").alias("laid")), "pair_id").withColumns({"half": half, **{f"m{c}": m for c, m in zip("xyz", middle, strict=True)}})
+    boxes = placed.select("pair_id", F.col("block").alias("s_block"), *(f(F.col(f"m{c}"), F.col("half")).alias(f"s_{e}_{c}") for c in "xyz" for e, f in (("low", sub), ("high", add))))
+    others = theirs.select("pair_id", F.col("block").alias("t_block"), *(F.col(f"{e}_{c}").alias(f"t_{e}_{c}") for c in "xyz" for e in ("low", "high")))
+    near = boxes.join(others, "pair_id").where(box_distances("s_", "t_")[0] <= 4 * radius * radius * 1.000001).select("s_block", "t_block")
+    fixed = ("pair_id", "block", "n", *(f"{e}_{c}" for e in ("low", "high") for c in "xyz"))
+    sc, tc = ([c for c in d.columns if c not in fixed] for d in (mine, theirs))
+    there = near.join(theirs.select(F.col("block").alias("t_block"), F.struct(*tc).alias("t")), "t_block").groupBy("s_block").agg(F.collect_list("t").alias("t"))
+    rows = placed.select("pair_id", "laid", F.col("block").alias("s_block"), *(F.col(c).alias(f"s_{c}") for c in sc)).join(there, "s_block", "left")
+    rows = rows.select("pair_id", "laid", *(f"s_{c}" for c in sc), *(F.flatten(F.col(f"t.{c}")).alias(f"t_{c}") for c in tc))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // _FILE))
+    name = f"packed_{uuid.uuid4().hex}"
+    rows.repartition(files, "pair_id").write.bucketBy(files, "pair_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return [spark.table(name)]
+
+
+def _drop(packed: list[DataFrame]) -> None:
+    for rows in packed:
+        folder = rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else None
+        if folder:
+            name = folder.rsplit("/", 1)[1]
+            rows.sparkSession.sql(f"drop table if exists {name}")
+            delete(rows.sparkSession, folder)
+
+
+def _summed(packed: list[DataFrame], poses: DataFrame, mine: DataFrame, theirs: DataFrame, columns: tuple[list[str], list[str]], radius: float, sums: list[Column]) -> tuple[DataFrame, list[DataFrame]]:
+    """``sums`` over each pair's source points, laid by the poses, and their nearest targets; and the packed rows, more if some pair left its reach.
+
+    A pair is read from the newest rows that hold it.
+    """
+    found, left = None, poses.select("pair_id", "pose")
+    for rows in reversed(packed):
+        got = cut(_matched(rows, left, columns, radius).groupBy("pair_id").agg(F.bool_or("astray").alias("astray"), *sums))
+        found = got if found is None else cut(found.unionByName(got), found, got)
+        left = poses.select("pair_id", "pose").join(found, "pair_id", "left_anti") if len(packed) > 1 else left
+    astray = found.where("astray").select("pair_id")
+    if not astray.isEmpty():
+        again = cut(poses.join(astray, "pair_id").select("pair_id", "pose"))
+        packed = [*packed, _reachable(mine.join(astray, "pair_id", "left_semi"), theirs.join(astray, "pair_id", "left_semi"), again, radius)[0]]
+        got = _matched(packed[-1], again, columns, radius).groupBy("pair_id").agg(F.bool_or("astray").alias("astray"), *sums)
+        found = cut(found.where("not astray").unionByName(got), found)
+        forget(again)
+    return found.drop("astray"), packed
+
+
+def _matched(packed: DataFrame, poses: DataFrame, columns: tuple[list[str], list[str]], radius: float) -> DataFrame:
+    """Source points laid by the poses with their nearest targets: (pair_id, d2, s_*, t_*, astray).
+
+    The rows stay where they are, poses go to them.  A pair that has moved too far since it
+    was packed has one row, marked ``astray``.
+    """
+    turned = [c for c in ("nx", "ny", "nz") if c in columns[0]]
+    source = [c for c in columns[0] if c != "point_id"]
+    kinds = dict(packed.dtypes)
+    shape = f"pair_id {kinds['pair_id']}, d2 double, " + ", ".join(f"{n} {kinds[n][6:-1]}" for n in (*(f"s_{c}" for c in source), *(f"t_{c}" for c in columns[1]))) + ", astray boolean"
+    names = [f.strip().split(" ", 1)[0] for f in shape.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c) for c in batch.schema.names}
+            pose_, laid = (np.stack([column[c].field(n).to_numpy(zero_copy_only=False) for n in POSE], axis=1) for c in ("pose", "laid"))
+            turn, was = turns(pose_[:, 3:]), turns(laid[:, 3:])
+            for i in range(batch.num_rows):
+                s = {c: values(column[f"s_{c}"], i) for c in source}
+                p = np.stack([s[c] for c in "xyz"], axis=1)
+                new = p @ turn[i].T + pose_[i, :3]
+                key = column["pair_id"].slice(i, 1)
+                if (((new - (p @ was[i].T + laid[i, :3])) ** 2).sum(axis=1) > radius * radius).any():
+                    yield pa.RecordBatch.from_arrays([key, *(pa.nulls(1, types[n]) for n in names[1:-1]), pa.array([True])], names=names)
+                    continue
+                if not column["t_x"][i].is_valid:
+                    continue
+                t = {c: values(column[f"t_{c}"], i) for c in columns[1]}
+                s |= dict(zip("xyz", new.T, strict=True))
+                if turned:
+                    s |= dict(zip(turned, turn[i] @ np.stack([s[c] for c in turned]), strict=True))
+                at, which, d2 = nearest_within(new, t, radius)
+                keys = pa.concat_arrays([key]).take(pa.array(np.zeros(len(at), int)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(d2), *(pa.array(s[c][at]) for c in source), *(pa.array(t[c][which]) for c in columns[1]), pa.array(np.zeros(len(at), bool))], names=names)
+
+    types = {n: to_arrow_type(packed.schema[n].dataType.elementType) for n in names[2:-1]} | {"d2": pa.float64()}
+    return packed.join(poses.select("pair_id", "pose").hint("shuffle_hash"), "pair_id").mapInArrow(run, shape)
+
+
+def nearest_within(p: np.ndarray, t: dict[str, np.ndarray], radius: float, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of p, row of t, square distance) of the nearest t of each p within the radius, ties to the least point_id.
+
+    Both are gone through in the order of x, so that a chunk of p is compared with the targets beside it only.
+    """
+    order = np.lexsort((t["point_id"], t["x"]))
+    q, ids = np.stack([t[c][order] for c in "xyz"], axis=1), t["point_id"][order]
+    own = np.argsort(p[:, 0], kind="stable")
+    out: tuple[list, list, list] = [own[:0]], [order[:0]], [p[:0, 0]]
+    for i in range(0, len(own), chunk):
+        at = own[i : i + chunk]
+        a, b = np.searchsorted(q[:, 0], [p[at[0], 0] - radius * (1 + 1e-9) - 1e-12, p[at[-1], 0] + radius * (1 + 1e-9) + 1e-12])
+        if a == b:
+            continue
+        d = [p[at, k][:, None] - q[None, a:b, k] for k in range(3)]
+        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        which, rows = d2.argmin(axis=1), np.arange(len(at))
+        best = d2[rows, which]
+        for j in np.flatnonzero((d2 == best[:, None]).sum(axis=1) > 1):
+            same = np.flatnonzero(d2[j] == best[j])
+            which[j] = same[np.argmin(ids[a:b][same])]
+        ok = best <= radius * radius
+        for o, v in zip(out, (at[ok], order[a + which[ok]], best[ok]), strict=True):
+            o.append(v)
+    return np.concatenate(out[0]), np.concatenate(out[1]), np.concatenate(out[2])
 
 
 def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float = 0.1, rounds: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -328,3 +328,16 @@ def test_nearest_in_one_place_takes_the_least_ids(spark):
     df = spark.createDataFrame(rows, "cloud_id long, point_id long, x double, y double, z double")
     got = neighbours.k_nearest_any(df, 4, 0.1).groupBy("source_id").agg(F.sort_array(F.collect_list("target_id")).alias("t"))
     assert got.count() == 3000 and {tuple(r.t) for r in got.collect()} == {(0, 1, 2, 3)}
+
+
+def test_registration_packs_again_what_moved_out_of_its_reach(spark):
+    """A pair whose way is longer than the reach of its packed rows still finds it, and rounds move no points."""
+    r = np.random.default_rng(5)
+    p = r.uniform(-5, 5, (1500, 3))
+    q = p + np.array([0.9, 0.0, 0.0])
+    df = lambda x: spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(x)], "pair_id long, point_id long, x double, y double, z double")
+    got = registration.register(df(p), df(q), "PointToPoint", 0.5, rounds=60).collect()[0]
+    assert abs(got.pose["tx"] - 0.9) < 1e-3 and got.n_corr == 1500 and got.fitness == 1.0
+    t = {"point_id": np.array([5, 3, 9]), "x": np.array([1.0, 1.0, 9.0]), "y": np.zeros(3), "z": np.zeros(3)}
+    at, which, d2 = registration.nearest_within(np.array([[1.0, 0.1, 0.0], [4.0, 0.0, 0.0]]), t, 0.5)
+    assert list(at) == [0] and t["point_id"][which[0]] == 3 and d2[0] == pytest.approx(0.01)
