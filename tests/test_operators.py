@@ -331,13 +331,20 @@ def test_nearest_in_one_place_takes_the_least_ids(spark):
 
 
 def test_registration_packs_again_what_moved_out_of_its_reach(spark):
-    """A pair whose way is longer than the reach of its packed rows still finds it, and rounds move no points."""
-    r = np.random.default_rng(5)
-    p = r.uniform(-5, 5, (1500, 3))
-    q = p + np.array([0.9, 0.0, 0.0])
-    df = lambda x: spark.createDataFrame([(1, i, *map(float, v)) for i, v in enumerate(x)], "pair_id long, point_id long, x double, y double, z double")
-    got = registration.register(df(p), df(q), "PointToPoint", 0.5, rounds=60).collect()[0]
-    assert abs(got.pose["tx"] - 0.9) < 1e-3 and got.n_corr == 1500 and got.fitness == 1.0
+    """Poses far from those that rows were packed for find their targets too, and rounds move no points."""
+    from terrane.operators.blocks import in_blocks
+
+    rows = [(k, i, float(i), 0.0, 0.0) for k in (1, 2) for i in range(40)]
+    p = spark.createDataFrame(rows, "pair_id long, point_id long, x double, y double, z double")
+    mine, theirs = (in_blocks(x, ["pair_id"], 16) for x in (p, p.withColumn("y", F.col("pair_id") * 3.0)))
+    poses = lambda far: p.select("pair_id").distinct().withColumn("pose", g.pose(F.lit(0.0), F.when(F.col("pair_id") == 2, far).otherwise(0.0), F.lit(0.0)))
+    packed = registration._reachable(mine, theirs, poses(0.0), 0.5)
+    names = ["point_id", "x", "y", "z"]
+    sums = [F.count("d2").alias("n"), F.sum("d2").alias("d2"), F.sum((F.col("s_x") == F.col("t_point_id")).cast("long")).alias("same")]
+    found, again = registration._summed(packed, poses(6.0), mine, theirs, (names, names), 0.5, sums)
+    assert [(r.pair_id, r.n, r.d2, r.same) for r in found.collect()] == [(2, 40, 0.0, 40)] and len(again) == 2
+    found, more = registration._summed(again, poses(6.0), mine, theirs, (names, names), 0.5, sums)
+    assert [(r.pair_id, r.n) for r in found.collect()] == [(2, 40)] and len(more) == 2
     t = {"point_id": np.array([5, 3, 9]), "x": np.array([1.0, 1.0, 9.0]), "y": np.zeros(3), "z": np.zeros(3)}
     at, which, d2 = registration.nearest_within(np.array([[1.0, 0.1, 0.0], [4.0, 0.0, 0.0]]), t, 0.5)
     assert list(at) == [0] and t["point_id"][which[0]] == 3 and d2[0] == pytest.approx(0.01)
