@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrane.operators.graph import _POSE, matrix_pose
 from terrane.operators.neighbours import k_nearest
 from terrane.operators.registration import _point_solve
+from terrane.plans.lineage import cut
 
 BINS = 11
 
@@ -34,7 +35,7 @@ def fpfh(points: DataFrame, radius: float, k: int, on: Sequence[str] = ("cloud_i
     Angles between the normals of a point and each neighbour fill three histograms of eleven
     bins; those of the neighbours are added, weighted by nearness.
     """
-    near = k_nearest(points, radius, k, on).where("source_id <> target_id and d2 > 0")
+    near = k_nearest(cut(points), radius, k, on).where("source_id <> target_id and d2 > 0")
     d = [F.col(f"t_{c}") - F.col(f"s_{c}") for c in "xyz"]
     length = F.sqrt(F.col("d2"))
     u = [F.col(f"s_n{c}") for c in "xyz"]
