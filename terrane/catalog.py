@@ -159,7 +159,7 @@ def smaller_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def voxel_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "points_v")
-    return p.select("scan_id", "point_id", F.explode(g.voxels_around("x", "y", "z", 2.5, 2.0)).alias("v")).select("scan_id", "point_id", F.col("v.vx").alias("nx"), F.col("v.vy").alias("ny"), F.col("v.vz").alias("nz"))
+    return voxel.neighbourhood(p, 2.5, 2.0, ("nx", "ny", "nz")).select("scan_id", "point_id", "nx", "ny", "nz")
 
 
 _KEY4 = f"{_v('x', 4.0)} as vx, {_v('y', 4.0)} as vy, {_v('z', 4.0)} as vz"

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.geometry import exact_mean, micro, voxel_key
+from terrane.functions.geometry import exact_mean, micro, voxel_center, voxel_key
 
 VOXEL = ("vx", "vy", "vz")
 XYZ = ("x", "y", "z")
@@ -50,6 +50,22 @@ def downsample_within(points: DataFrame, size: float, inside: Column) -> DataFra
     return got.select(*(c for c in got.columns if c != "rgb"), *(["rgb.r", "rgb.g", "rgb.b"] if colored else []))
 
 
+def neighbourhood(points: DataFrame, radius: float, size: float, names: Sequence[str] = VOXEL) -> DataFrame:
+    """A row for each voxel whose centre is within the radius of a point, and for its own, under ``names``.
+
+    One axis after the other: what is too far along one is not multiplied by the next, and no
+    array of voxels is built for a point.
+    """
+    reach = int(radius / size) + 1
+    out, far, own = points, F.lit(0.0), F.lit(True)
+    for c, key, name in zip(XYZ, voxel_key(*XYZ, size), names, strict=True):
+        out = out.withColumn(name, F.explode(F.array(*(key + F.lit(k) for k in range(-reach, reach + 1)))))
+        d = voxel_center(name, size) - F.col(c)
+        far, own = far + d * d, own & (F.col(name) == key)
+        out = out.where((far <= radius * radius) | own)
+    return out
+
+
 def first_per_voxel(points: DataFrame, size: float, by: Sequence[str] = ("scan_id",)) -> DataFrame:
     """The point of the least id in each voxel."""
     rest = [c for c in points.columns if c not in (*by, "point_id")]

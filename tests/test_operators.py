@@ -348,3 +348,11 @@ def test_registration_packs_again_what_moved_out_of_its_reach(spark):
     t = {"point_id": np.array([5, 3, 9]), "x": np.array([1.0, 1.0, 9.0]), "y": np.zeros(3), "z": np.zeros(3)}
     at, which, d2 = registration.nearest_within(np.array([[1.0, 0.1, 0.0], [4.0, 0.0, 0.0]]), t, 0.5)
     assert list(at) == [0] and t["point_id"][which[0]] == 3 and d2[0] == pytest.approx(0.01)
+
+
+def test_neighbourhood_has_the_voxels_around_each_point(spark):
+    p = spark.createDataFrame([(i, i * 0.37 - 3, 1.9 - i * 0.11, i * 0.05) for i in range(60)], "point_id long, x double, y double, z double")
+    for radius, size in ((2.5, 2.0), (0.3, 1.0), (1.0, 0.8)):
+        want = p.select("point_id", F.explode(g.voxels_around("x", "y", "z", radius, size)).alias("v")).select("point_id", "v.*")
+        got = voxel.neighbourhood(p, radius, size).select("point_id", *voxel.VOXEL)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
