@@ -68,12 +68,12 @@ def ransac(matches: DataFrame, distance: float, edge: float = 0.5, hypotheses: i
     within ``distance``; the one with the most inliers wins and is fitted again to these.  A
     pair has as many matches as a submap has features; each is one row, pairs run in parallel.
     """
-    per = matches.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.array("sx", "sy", "sz", "tx", "ty", "tz"))).alias("m"))
+    per = matches.groupBy("pair_id").agg(F.flatten(F.sort_array(F.collect_list(F.array("sx", "sy", "sz", "tx", "ty", "tz")))).alias("m"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             for pair, m in zip(t["pair_id"], t["m"], strict=True):
-                m = np.array([list(x) for x in m], float)
+                m = np.asarray(m, float).reshape(-1, 6)
                 pose, inliers = best_pose(m[:, :3], m[:, 3:], distance, edge, hypotheses, confidence, seed)
                 yield pd.DataFrame({"pair_id": [pair], "pose": [matrix_pose(pose)], "n_inliers": [inliers], "n_matches": [len(m)]})
 
@@ -112,6 +112,8 @@ def best_pose(p: np.ndarray, q: np.ndarray, distance: float, edge: float, hypoth
                 best, most = t, n
                 share = (n / len(p)) ** 3
                 wanted = np.log(1 - confidence) / np.log(1 - share) if share < 1 else 1
+                if most == len(p):  # no hypothesis can have more
+                    break
     if most >= 3:
         near = np.linalg.norm(p @ best[:3, :3].T + best[:3, 3] - q, axis=1) <= distance
         best = _point_solve(_moments(p[None, near], q[None, near]))[0]

@@ -356,3 +356,16 @@ def test_neighbourhood_has_the_voxels_around_each_point(spark):
         want = p.select("point_id", F.explode(g.voxels_around("x", "y", "z", radius, size)).alias("v")).select("point_id", "v.*")
         got = voxel.neighbourhood(p, radius, size).select("point_id", *voxel.VOXEL)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ransac_stops_at_a_hypothesis_that_fits_all():
+    class Counted(np.ndarray):
+        tried = 0
+
+        def __matmul__(self, other):
+            Counted.tried += 1
+            return np.asarray(self) @ other
+
+    p = np.random.default_rng(1).uniform(-1, 1, (50, 3))
+    pose, n = features.best_pose(p.view(Counted), p + 0.5, 0.01, 0.5, 1_000_000, 0.99, 7)
+    assert n == 50 and np.allclose(pose[:3, 3], 0.5) and Counted.tried <= 4
