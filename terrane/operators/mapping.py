@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -120,28 +121,49 @@ def scan_cells(points: DataFrame, size: float) -> DataFrame:
 
 def take_scans(s: Segmenter, session: int, scans: pd.DataFrame) -> pd.DataFrame:
     """The rows of ``SEGMENTS`` for one session's next scans, which are taken in the order of time; ``s`` moves on."""
+    place = {c: i for i, c in enumerate(scans.columns)}
+    rows = scans.sort_values(["t_ticks", "event_id"], kind="stable").itertuples(index=False, name=None)
+    return pd.DataFrame(taken(s, session, rows, place), columns=_COLUMNS)
+
+
+_COLUMNS = ["session_id", "t_ticks", "event_id", "submap_id", "active_after", "parent_id", "replayed"]
+
+
+def taken(s: Segmenter, session: int, rows: Iterable[tuple], place: dict[str, int]) -> list[tuple]:
+    """The same of rows in the order of time, whose columns stand at ``place``."""
+    time, event, n, with_cells = place["t_ticks"], place["event_id"], place["n"], "cells" in place
+    at, middle = ([place[f"{e}{c}"] for c in "xyz"] for e in "tc")
     out = []
-    for r in scans.sort_values(["t_ticks", "event_id"], kind="stable").itertuples(index=False):
+    for r in rows:
         known, before = len(s.origins), s.active
-        cells = dict(zip(r.cells, r.counts, strict=True)) if getattr(r, "cells", None) is not None else None
-        into, after, again = s.step(int(r.event_id), (r.tx, r.ty, r.tz), (r.cx, r.cy, r.cz), int(r.n), cells)
+        cells = dict(zip(r[place["cells"]], r[place["counts"]], strict=True)) if with_cells and r[place["cells"]] is not None else None
+        into, after, again = s.step(int(r[event]), tuple(r[i] for i in at), tuple(r[i] for i in middle), int(r[n]), cells)
         s.parents += [max(before, 0)] * (len(s.origins) - known)
-        out.append((session, r.t_ticks, r.event_id, into, after, s.parents[into], again))
-    return pd.DataFrame(out, columns=["session_id", "t_ticks", "event_id", "submap_id", "active_after", "parent_id", "replayed"])
+        out.append((session, r[time], r[event], into, after, s.parents[into], again))
+    return out
 
 
 def segment_submaps(scans: DataFrame, **settings: float) -> DataFrame:
     """The submap of each scan: ``scans`` is (session_id, t_ticks, event_id, tx, ty, tz, cx, cy, cz, n[, cells, counts]), one row a scan.
 
     ``cells`` and ``counts`` come from ``scan_cells``; without them, or where they are null,
-    overlap with a revisited submap is taken as sufficient.  One small row per scan and
-    session; sessions run in parallel.
+    overlap with a revisited submap is taken as sufficient.  One small row a scan; a task
+    streams through its sessions in order and holds the state of one.
     """
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        return take_scans(Segmenter(**settings), t["session_id"].iloc[0], t)
-
-    return scans.groupBy("session_id").applyInPandas(run, SEGMENTS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for t in batches:
+            out = []
+            for session, part in t.groupby("session_id", sort=False, dropna=False):
+                if state is None or session != now:
+                    now, state = session, Segmenter(**settings)
+                out += taken(state, session, part.itertuples(index=False, name=None), place)
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    place = {c: i for i, c in enumerate(scans.columns)}
+    parts = max(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return scans.repartition(parts, "session_id").sortWithinPartitions("session_id", "t_ticks", "event_id").mapInPandas(run, SEGMENTS)
 
 
 def build_submaps(points: DataFrame, poses: DataFrame, size: float, radius: float, carving: dict | None = None) -> DataFrame:

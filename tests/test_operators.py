@@ -369,3 +369,16 @@ def test_ransac_stops_at_a_hypothesis_that_fits_all():
     p = np.random.default_rng(1).uniform(-1, 1, (50, 3))
     pose, n = features.best_pose(p.view(Counted), p + 0.5, 0.01, 0.5, 1_000_000, 0.99, 7)
     assert n == 50 and np.allclose(pose[:3, 3], 0.5) and Counted.tried <= 4
+
+
+def test_segments_stream_through_sessions(spark):
+    """Sessions of a task follow one another without a call for each."""
+    rows = [(s, t, t, float(t % 40), 0.0, 0.0, float(t % 40), 0.0, 0.0, 1) for s in range(30) for t in range(60)]
+    df = spark.createDataFrame(rows, "session_id long, t_ticks long, event_id long, tx double, ty double, tz double, cx double, cy double, cz double, n long")
+    out = mapping.segment_submaps(df, radius=6.0, least_scans=5)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.session_id, []).append(tuple(r)[1:])
+    want = mapping.take_scans(mapping.Segmenter(radius=6.0, least_scans=5), 0, df.where("session_id = 0").toPandas())
+    assert len(got) == 30 and all(sorted(v) == sorted(tuple(x)[1:] for x in want.itertuples(index=False, name=None)) for v in got.values())
