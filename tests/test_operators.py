@@ -382,3 +382,11 @@ def test_segments_stream_through_sessions(spark):
         got.setdefault(r.session_id, []).append(tuple(r)[1:])
     want = mapping.take_scans(mapping.Segmenter(radius=6.0, least_scans=5), 0, df.where("session_id = 0").toPandas())
     assert len(got) == 30 and all(sorted(v) == sorted(tuple(x)[1:] for x in want.itertuples(index=False, name=None)) for v in got.values())
+
+
+def test_windows_of_the_point_view_get_tasks_by_its_size(spark, monkeypatch):
+    from terrane.plans import views
+
+    monkeypatch.setattr(views, "_ROWS", 500)
+    p = views.view(spark, "/root/testdata/sf0.001", "points_v")
+    assert p.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
