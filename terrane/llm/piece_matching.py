@@ -30,10 +30,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁".encode()
 _FENCE = 0xFF  # not a byte of UTF-8
 _NEVER = np.int64(1) << 40
-#: Bytes of distinct words that are indexed at once.
-_BLOCK = 1 << 20
-#: Bytes of texts that share the encodings of their distinct words.
-_LOT = 6 << 20
+#: Bytes of distinct words that are indexed at once; the index and its edges take some 300 times that.
+_BLOCK = 1 << 18
+#: Bytes of texts that share the encodings of their distinct words, and rows that are unpacked at once.
+_LOT, _ROWS = 2 << 20, 500
 #: Words of more bytes are laid out apart from shorter ones, since a batch takes a step for each byte of its longest.
 _LONG = 400
 #: Words of still more bytes are merged pair by pair, which gives the same.
@@ -384,7 +384,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(sent.value)
-        for b in batches:
+        for b in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             for first, texts in pieces(as_bytes(b.column(1)), _LOT):
                 ids = coder.encode(texts)
                 n = np.array([len(x) for x in ids], np.int64)

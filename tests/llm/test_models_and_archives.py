@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -123,3 +124,14 @@ def test_encoding_in_lots_equals_all_at_once(spark):
     want = Encoder(Model.read(MODEL)).encode([None if t is None else t.encode() for t in texts])
     got = {r.doc_id: (r.n_tokens, r.ids) for r in encode(df).collect()}
     assert got == {i: (len(w), np.asarray(w).tolist()) for i, w in enumerate(want)}
+
+
+def test_many_distinct_words_are_encoded_in_little_memory():
+    rng = random.Random(4)
+    coder = Encoder(Model.read())
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100)).encode() for _ in range(1200)]
+    tracemalloc.start()
+    coder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 << 20
