@@ -116,6 +116,39 @@ def test_graph_json_round_trip(spark):
     assert sorted(map(str, e.collect())) == sorted(map(str, edges.collect()))
 
 
+@pytest.mark.parametrize("most", [500_000, 7])
+def test_carving_moves_rays_not_steps(spark, monkeypatch, most):
+    monkeypatch.setattr(carving, "_RAYS", most)
+    monkeypatch.setattr(carving, "_HELD", most)
+    rng = random.Random(8)
+    xyz = [(s, i, *(rng.uniform(-30, 30) for _ in range(3))) for s in (1, 2) for i in range(40)]
+    rays = spark.createDataFrame([(s, 0.3, -0.2, 0.1, x, y, z) for s, _, x, y, z in xyz] + [(1, 0.3, -0.2, 0.1, 0.3, -0.2, 0.1)], "submap_id long, sx double, sy double, sz double, x double, y double, z double")
+    rest = [(rng.choice((1, 2)), i, *(rng.uniform(-6, 6) for _ in range(3)), 0.6, 0.8, 0.0) for i in range(400)] + [(1, 400, 0.4, -0.3, 0.2, 1.0, 0.0, 0.0), (3, 401, 0.4, -0.3, 0.2, 1.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rest, "submap_id long, point_id long, x double, y double, z double, nx double, ny double, nz double")
+    cell = lambda p, size: tuple(math.floor(v / size) for v in p)
+
+    def steps(step):
+        for s, _, x, y, z in xyz:
+            d = (x - 0.3, y + 0.2, z - 0.1)
+            n = math.sqrt(sum(v * v for v in d))
+            u = [v / n for v in d]
+            for k in range(math.ceil(max(step, min(n - 0.1, 20.0)) / step)):
+                yield s, u, [a + b * (k * step) for a, b in zip((0.3, -0.2, 0.1), u)]
+
+    walked = list(steps(1.5))
+    want = {(s, i) for s, i, x, y, z, *n in rest if any(s == t and cell(p, 1.5) == cell((x, y, z), 1.5) and abs(sum(a * b for a, b in zip(u, n))) > 0.5 for t, u, p in walked)}
+    got = carving.carved_points(rays, points, 1.5, 20.0, 0.1, 0.5)
+    assert len(want) > 10 and sorted((r.submap_id, r.point_id) for r in got.collect()) == sorted(want)
+    occupied = {(s, *cell((x, y, z), 0.8)) for s, _, x, y, z, *_ in rest}
+    walked = list(steps(2.0))
+    want = {(s, *v) for s, *v in occupied if any(s == t and (cell(p, 0.8) == tuple(v) or sum((c * 0.8 + 0.4 - a) ** 2 for c, a in zip(v, p)) <= 1.0) for t, _, p in walked)}
+    cells = voxel.with_voxel(points, 0.8).select("submap_id", "vx", "vy", "vz").distinct()
+    found = carving.carved_voxels(rays, cells, 0.8, 20.0, 0.1, 1.0)
+    assert len(want) > 10 and sorted(map(tuple, found.collect())) == sorted(want)
+    for df in (got, found):
+        assert "LeftSemi" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_carving_takes_what_stands_before_the_wall(spark):
     wall = [(1, k, 5.0, 0.1 * k + 0.05, 0.05, -1.0, 0.0, 0.0) for k in range(5)]
     ghost = [(1, 100 + k, 2.0, 0.04 * k + 0.02, 0.02, -1.0, 0.0, 0.0) for k in range(5)]
