@@ -13,13 +13,14 @@ over a stretch.  The forces L of the ties solve
     C_tie L_tie + sum over its stretch of C_k (sum of the forces over k) = m_tie - sum of m_k
 
 which are as many unknowns as there are ties, not nodes.  Graphs with few ties are solved in
-one go, others by preconditioned conjugate gradients in Spark rounds; both use running sums
-over the row, so no task holds a graph.
+one go, by running sums over the row.  In others, nodes are eliminated segment by segment of
+the row, in tiers of longer and longer segments; only graphs whose segments hold too many ties
+to others are left to preconditioned conjugate gradients in Spark rounds.  No task holds a graph.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,7 +95,7 @@ def solve(nodes: DataFrame, edges: DataFrame, rounds: int = 20, prune: float = 0
     uncertain edge whose residual is large against ``preference`` loses weight and is left
     out of a round below ``prune``.  The node ``reference`` stays, or the first where there is
     none.  Where neighbours in the order of ids share no certain edge, a faint one keeps them
-    as they are.  Graphs of up to ``direct`` ties are solved in one go.  An empty table of
+    as they are.  Graphs of up to ``direct`` ties are solved in one go, others by elimination.  An empty table of
     nodes gives no rows; nodes of a graph without edges keep their poses.
     """
     at = cut(placed(nodes.select("graph_id", "node_id", "pose"), ["graph_id"], ["node_id"]))
@@ -164,14 +165,31 @@ _FAINT = 1e6
 
 
 def _steps(at: DataFrame, wishes: DataFrame, fixed: DataFrame, direct: int) -> DataFrame:
-    """The nodes with their steps ``d``: those that the row asks for, and what the ties' forces add."""
-    graph = f"graph_id {dict(at.dtypes)['graph_id']}"
+    """The nodes with their steps ``d``."""
     chain = wishes.where("in_row").select("graph_id", F.col("hi").alias("place"), F.concat("m", "c").alias("w"))
     none, faint = ([0.0] * 6 + [scale * (i == j) for i in range(6) for j in range(6)] for scale in (0.0, _FAINT))
     row = at.select("graph_id", "place").join(chain, ["graph_id", "place"], "left")
     row = cut(row.withColumn("w", F.coalesce("w", F.when(F.col("place") == 0, F.lit(none)).otherwise(F.lit(faint)))))
-    sums = cut(running(row, ["graph_id"], "place", "w"))
     ties = wishes.where("not in_row").select("graph_id", "tie", "lo", "hi", "m", "c")
+    many = ties.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > direct).select("graph_id")
+    if many.isEmpty():
+        moved = _by_forces(row, ties, direct)
+    else:
+        many = cut(many)
+        edges, nodes, tiers, entangled = _tiers(ties.join(many, "graph_id", "left_semi"), row.join(many, "graph_id", "left_semi"))
+        good = cut(many.join(entangled, "graph_id", "left_anti"))
+        moved = _by_elimination(edges.join(good, "graph_id", "left_semi"), nodes.join(good, "graph_id", "left_semi"), tiers)
+        others = row.join(good, "graph_id", "left_anti")
+        if not others.isEmpty():
+            moved = moved.unionByName(_by_forces(others, ties.join(good, "graph_id", "left_anti"), direct))
+    rest = moved.join(fixed, "graph_id").where("place = fixed").select("graph_id", F.col("d").alias("rest"))
+    return at.join(moved, ["graph_id", "place"]).join(rest, "graph_id").withColumn("d", F.zip_with("d", "rest", lambda x, y: x - y)).select("graph_id", "node_id", "place", F.array(*(F.col(f"pose.{n}") for n in POSE)).alias("p"), "d")
+
+
+def _by_forces(row: DataFrame, ties: DataFrame, direct: int) -> DataFrame:
+    """(graph_id, place, d): the steps that the row asks for, and what the ties' forces add."""
+    graph = f"graph_id {dict(row.dtypes)['graph_id']}"
+    sums = cut(running(row, ["graph_id"], "place", "w"))
     for end in ("lo", "hi"):
         ties = ties.join(sums.select("graph_id", F.col("place").alias(end), F.col("w").alias(f"w_{end}")), ["graph_id", end])
     forces = _forces(cut(ties), direct)
@@ -184,9 +202,102 @@ def _steps(at: DataFrame, wishes: DataFrame, fixed: DataFrame, direct: int) -> D
             yield t[["graph_id", "place"]].assign(d=list(w[:, :6] + _times(w[:, 6:], _rows(t["l"], 6) - _rows(t["f"], 6))))
 
     grown = running(pulled.withColumn("f", F.col("l")), ["graph_id"], "place", "f").mapInPandas(grow, f"{graph}, place bigint, d {_ARRAY}")
-    moved = cut(running(cut(grown), ["graph_id"], "place", "d"))
-    rest = moved.join(fixed, "graph_id").where("place = fixed").select("graph_id", F.col("d").alias("rest"))
-    return at.join(moved, ["graph_id", "place"]).join(rest, "graph_id").withColumn("d", F.zip_with("d", "rest", lambda x, y: x - y)).select("graph_id", "node_id", "place", F.array(*(F.col(f"pose.{n}") for n in POSE)).alias("p"), "d")
+    return cut(running(cut(grown), ["graph_id"], "place", "d"))
+
+
+#: Nodes of a segment of the row that a task eliminates from at first, segments that a segment of the next tier joins, and nodes that a task takes at most.
+_NODES, _FAN, _FRONT = 64, 16, 600
+
+
+def _segment(place: str, tier: int) -> Column:
+    return F.floor(F.col(place) / (_NODES * _FAN**tier)).cast("long")
+
+
+def _tiers(ties: DataFrame, row: DataFrame) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """(edges with the tier at which one segment holds both ends, nodes with that of their last edge, number of tiers, graphs too entangled)."""
+    longest, tiers = row.agg(F.max("place")).first()[0] or 0, 1
+    while longest >= _NODES * _FAN ** (tiers - 1):
+        tiers += 1
+    tier = F.lit(tiers - 1)
+    for t in reversed(range(tiers - 1)):
+        tier = F.when(_segment("lo", t) == _segment("hi", t), t).otherwise(tier)
+    chain = row.where("place > 0").select("graph_id", (F.col("place") - 1).alias("lo"), F.col("place").alias("hi"), F.slice("w", 1, 6).alias("m"), F.slice("w", 7, 36).alias("c"))
+    edges = cut(chain.unionByName(ties.select("graph_id", "lo", "hi", "m", "c")).withColumn("tier", tier))
+    ends = edges.select("graph_id", F.col("lo").alias("place"), "tier").unionByName(edges.select("graph_id", F.col("hi").alias("place"), "tier"))
+    nodes = cut(ends.groupBy("graph_id", "place").agg(F.max("tier").alias("tier")))
+    wide = nodes.select("graph_id").limit(0)
+    for t in range(1, tiers):
+        wide = wide.unionByName(nodes.where(F.col("tier") >= t).groupBy("graph_id", _segment("place", t).alias("segment")).agg(F.count("*").alias("n")).where(F.col("n") > _FRONT).select("graph_id"))
+    return edges, nodes, tiers, wide.distinct()
+
+
+def _by_elimination(edges: DataFrame, nodes: DataFrame, tiers: int) -> DataFrame:
+    """(graph_id, place, d): the steps that meet all edges best, the first node at rest.
+
+    The row is cut into segments.  A task takes the edges within one, eliminates the nodes that no
+    other edge holds, and hands what is asked of the others on to the next tier, where a
+    segment joins ``_FAN`` of these.  Steps then come down the tiers.
+    """
+    graph = f"graph_id {dict(nodes.dtypes)['graph_id']}"
+    shape = f"{graph}, own array<bigint>, others array<bigint>, back {_ARRAY}, y {_ARRAY}, h {_ARRAY}, g {_ARRAY}"
+
+    def eliminated(rest: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(t: pd.DataFrame) -> pd.DataFrame:
+            node, edge, front = (t[t["kind"] == k] for k in ("node", "edge", "front"))
+            node = node.sort_values("lo")
+            ids, goes = node["lo"].to_numpy(np.int64), node["goes"].to_numpy(bool)
+            n = len(ids)
+            h, g = np.zeros((n, n, 6, 6)), np.zeros((n, 6))
+            for at, m, b in zip(front["others"], front["h"], front["g"], strict=True):
+                k = np.searchsorted(ids, at)
+                h[k[:, None], k[None]] += np.reshape(m, (len(k), 6, len(k), 6)).transpose(0, 2, 1, 3)
+                g[k] += np.reshape(b, (-1, 6))
+            if len(edge):
+                lo, hi = (np.searchsorted(ids, edge[e].to_numpy(np.int64)) for e in ("lo", "hi"))
+                w = np.linalg.inv(_rows(edge["c"], 36).reshape(-1, 6, 6))
+                pull = _times(w, _rows(edge["m"], 6))
+                for a, b, sign in ((hi, hi, 1.0), (lo, lo, 1.0), (hi, lo, -1.0), (lo, hi, -1.0)):
+                    np.add.at(h, (a, b), sign * w)
+                np.add.at(g, hi, pull)
+                np.add.at(g, lo, -pull)
+            if rest and ids[0] == 0:
+                h[0, 0] += np.eye(6)
+            full, asked = h.transpose(0, 2, 1, 3).reshape(6 * n, 6 * n), g.ravel()
+            i, j = ((6 * np.flatnonzero(x)[:, None] + np.arange(6)).ravel() for x in (goes, ~goes))
+            cross = full[np.ix_(i, j)]
+            back = np.linalg.solve(full[np.ix_(i, i)], np.column_stack([cross, asked[i]]))
+            left, still = full[np.ix_(j, j)] - cross.T @ back[:, :-1], asked[j] - cross.T @ back[:, -1]
+            return pd.DataFrame({"graph_id": t["graph_id"].iloc[:1].to_numpy(), "own": [ids[goes]], "others": [ids[~goes]], "back": [back[:, :-1].ravel()], "y": [back[:, -1]], "h": [left.ravel()], "g": [still]})
+
+        return run
+
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for key, own, back, y, x in zip(t["graph_id"], t["own"], t["back"], t["y"], t["x"], strict=True):
+                if len(own):
+                    d = y if x is None or not len(x) else y - np.reshape(back, (6 * len(own), -1)) @ np.concatenate(list(x))
+                    yield pd.DataFrame({"graph_id": key, "place": own, "d": list(np.reshape(d, (-1, 6)))})
+
+    fronts: list[DataFrame] = []
+    for t in range(tiers):
+        rows = nodes.where(F.col("tier") >= t).select("graph_id", _segment("place", t).alias("segment"), F.lit("node").alias("kind"), F.col("place").alias("lo"), (F.col("tier") == t).alias("goes"))
+        rows = rows.unionByName(edges.where(F.col("tier") == t).select("graph_id", _segment("lo", t).alias("segment"), F.lit("edge").alias("kind"), "lo", "hi", "m", "c"), allowMissingColumns=True)
+        if fronts:
+            front = fronts[-1].where(F.size("others") > 0).withColumn("lo", F.element_at("others", 1))
+            rows = rows.unionByName(front.select("graph_id", _segment("lo", t).alias("segment"), F.lit("front").alias("kind"), "others", "h", "g"), allowMissingColumns=True)
+        else:
+            rows = rows.withColumns({c: F.lit(None).cast("array<bigint>" if c == "others" else _ARRAY) for c in ("others", "h", "g")})
+        fronts.append(cut(rows.groupBy("graph_id", "segment").applyInPandas(eliminated(t == 0), shape).withColumn("segment", F.monotonically_increasing_id())))
+    moved = None
+    for front in reversed(fronts):
+        known = front.withColumn("x", F.lit(None).cast(f"array<{_ARRAY}>"))
+        if moved is not None:
+            asks = front.select("graph_id", "segment", F.posexplode("others").alias("nth", "place")).join(moved, ["graph_id", "place"])
+            given = asks.groupBy("segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "d"))), lambda s: s["d"]).alias("x"))
+            known = front.join(given, "segment", "left")
+        step = cut(known.select("graph_id", "own", "back", "y", "x").mapInPandas(down, f"{graph}, place bigint, d {_ARRAY}"))
+        moved = step if moved is None else cut(moved.unionByName(step))
+    return moved
 
 
 def _apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

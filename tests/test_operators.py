@@ -423,3 +423,21 @@ def test_windows_of_the_point_view_get_tasks_by_its_size(spark, monkeypatch):
     monkeypatch.setattr(views, "_ROWS", 500)
     p = views.view(spark, "/root/testdata/sf0.001", "points_v")
     assert p.rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+
+
+def test_long_graphs_are_eliminated_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(posegraph, "_NODES", 4)
+    monkeypatch.setattr(posegraph, "_FAN", 3)
+    monkeypatch.setattr(posegraph, "_by_gradients", None)
+    rng = random.Random(6)
+    nodes, edges = [], []
+    for graph in (1, 2):
+        at = [(k + rng.uniform(-0.1, 0.1), rng.uniform(-0.1, 0.1)) for k in range(40 * graph)]
+        nodes += [(graph, k, *p) for k, p in enumerate(at)]
+        pairs = [(k + 1, k) for k in range(len(at) - 1) if k != 9] + [(k + s, k) for s in (3, 5, 17) for k in range(0, len(at) - s, 2)]
+        edges += [(graph, s, t, s - t + rng.uniform(-0.02, 0.02), rng.uniform(-0.02, 0.02), 2.0, s - t > 1) for s, t in pairs]
+    n = spark.createDataFrame(nodes, "graph_id long, node_id long, x double, y double").select("graph_id", "node_id", g.planar_pose("x", "y", F.lit(0.0), F.col("y") * 0.02).alias("pose"))
+    e = spark.createDataFrame(edges, "graph_id long, source_id long, target_id long, x double, y double, weight double, uncertain boolean").select("graph_id", "source_id", "target_id", g.planar_pose("x", "y", F.lit(0.0), F.col("y") * 0.02).alias("pose"), "weight", "uncertain")
+    got, want = ({(r.graph_id, r.node_id): list(r.pose) for r in posegraph.solve(n, e, rounds=2, direct=d).collect()} for d in (0, 10_000))
+    assert len(want) == 120 and got.keys() == want.keys()
+    assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-6
