@@ -120,15 +120,33 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
     round reads these rows where they are, and moves poses and sums alone; pairs that moved
     farther are packed again.
     """
+    _known(kind)
+    source = cut(source)
+    mine, theirs = in_blocks(source, ["pair_id"], _PACKED, written=True), in_blocks(target, ["pair_id"], _PACKED)
+    n_source = cut(source.groupBy("pair_id").agg(F.count("*").alias("n_source")))
+    forget(source)
+    got = _registered(mine, theirs, n_source, kind, radius, start if start is not None else n_source.select("pair_id", pose(0.0, 0.0, 0.0).alias("pose")), rounds, settle)
+    for spent in (mine, theirs, n_source):
+        forget(spent)
+    return got
+
+
+def _known(kind: str) -> None:
     if kind not in _REGISTRATIONS:
         raise ValueError(f"unknown registration {kind!r}; known: {', '.join(sorted(_REGISTRATIONS))}")
+
+
+def _columns(blocks: DataFrame) -> list[str]:
+    """The columns that a point of packed rows has."""
+    return [c for c in blocks.columns if c not in _FIXED]
+
+
+def _registered(mine: DataFrame, theirs: DataFrame, n_source: DataFrame, kind: str, radius: float, start: DataFrame, rounds: int, settle: float = 1e-6) -> DataFrame:
+    """``register`` for points that are packed by pair already; ``n_source`` is (pair_id, n_source)."""
     sums, solve = _REGISTRATIONS[kind]
-    rest = pose(0.0, 0.0, 0.0).alias("pose")
-    poses = cut((start.select("pair_id", "pose") if start is not None else source.select("pair_id").distinct().select("pair_id", rest)).withColumn("open", F.lit(True)))
-    source = cut(source)
-    mine, theirs = in_blocks(source, ["pair_id"], _PACKED, written=True), in_blocks(target, ["pair_id"], _PACKED)
+    poses = cut(start.select("pair_id", "pose").withColumn("open", F.lit(True)))
     packed = _reachable(mine, theirs, poses, radius)
-    columns = [c for c in source.columns if c != "pair_id"], [c for c in target.columns if c != "pair_id"]
+    columns = _columns(mine), _columns(theirs)
     of_pair = [F.count("*").alias("k"), *(c.alias(f"m{i}") for i, c in enumerate(sums()))]
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +161,7 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
             size = np.abs(motion - np.eye(4)).max(axis=(1, 2)) if len(t) else np.zeros(0)
             yield pd.DataFrame({"pair_id": t["pair_id"], "pose": [dict(zip(POSE, map(float, p), strict=True)) for p in new], "open": size > settle})
 
-    shape = f"pair_id {source.schema['pair_id'].dataType.simpleString()}, pose {_POSE}, open boolean"
+    shape = f"pair_id {mine.schema['pair_id'].dataType.simpleString()}, pose {_POSE}, open boolean"
 
     for _ in range(rounds):
         live = poses.where("open")
@@ -154,10 +172,9 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
         poses = cut(moved_on.unionByName(poses.where("not open")), poses)
         forget(summed)
     hits, packed = _summed(packed, poses, mine, theirs, columns, radius, [F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse")])
-    n_source = source.groupBy("pair_id").agg(F.count("*").alias("n_source"))
     got = poses.join(n_source, "pair_id", "left").join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0)))
     got = cut(got.select("pair_id", "pose", "n_source", "n_corr", (F.col("n_corr") / F.col("n_source")).alias("fitness"), "inlier_rmse", (~F.col("open")).alias("settled")))
-    for spent in (source, mine, theirs, poses, hits):
+    for spent in (poses, hits):
         forget(spent)
     _drop(packed)
     return got
@@ -165,6 +182,8 @@ def register(source: DataFrame, target: DataFrame, kind: str, radius: float, sta
 
 #: Points of a block of registration, and blocks of a file of packed rows.
 _PACKED, _FILE = 1024, 256
+#: Columns of packed rows that aren't a point's.
+_FIXED = ("pair_id", "block", "n", *(f"{e}_{c}" for e in ("low", "high") for c in "xyz"))
 
 
 def _reachable(mine: DataFrame, theirs: DataFrame, poses: DataFrame, radius: float) -> list[DataFrame]:
@@ -175,15 +194,43 @@ def _reachable(mine: DataFrame, theirs: DataFrame, poses: DataFrame, radius: flo
     placed = mine.join(poses.select("pair_id", F.col("pose").alias("laid")), "pair_id").withColumns({"half": half, **{f"m{c}": m for c, m in zip("xyz", middle, strict=True)}})
     boxes = placed.select("pair_id", F.col("block").alias("s_block"), *(f(F.col(f"m{c}"), F.col("half")).alias(f"s_{e}_{c}") for c in "xyz" for e, f in (("low", sub), ("high", add))))
     others = theirs.select("pair_id", F.col("block").alias("t_block"), *(F.col(f"{e}_{c}").alias(f"t_{e}_{c}") for c in "xyz" for e in ("low", "high")))
-    near = boxes.join(others, "pair_id").where(box_distances("s_", "t_")[0] <= 4 * radius * radius * 1.000001).select("s_block", "t_block")
-    fixed = ("pair_id", "block", "n", *(f"{e}_{c}" for e in ("low", "high") for c in "xyz"))
-    sc, tc = ([c for c in d.columns if c not in fixed] for d in (mine, theirs))
-    there = near.join(theirs.select(F.col("block").alias("t_block"), F.struct(*tc).alias("t")), "t_block").groupBy("s_block").agg(F.collect_list("t").alias("t"))
-    rows = placed.select("pair_id", "laid", F.col("block").alias("s_block"), *(F.col(c).alias(f"s_{c}") for c in sc)).join(there, "s_block", "left")
-    rows = rows.select("pair_id", "laid", *(f"s_{c}" for c in sc), *(F.flatten(F.col(f"t.{c}")).alias(f"t_{c}") for c in tc))
+    near = cut(boxes.join(others, "pair_id").where(box_distances("s_", "t_")[0] <= 4 * radius * radius * 1.000001).select("pair_id", "s_block", "t_block"))
+    sc, tc = _columns(mine), _columns(theirs)
+    own = placed.select("pair_id", F.col("block").alias("s_block"), F.lit(0).alias("kind"), "laid", *(F.col(c).alias(f"s_{c}") for c in sc))
+    there = near.join(theirs.select(F.col("block").alias("t_block"), *(F.col(c).alias(f"t_{c}") for c in tc)), "t_block").drop("t_block").withColumn("kind", F.lit(1))
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-mine.count() // _FILE))
+    both = own.unionByName(there, allowMissingColumns=True).repartition(files, "pair_id").sortWithinPartitions("pair_id", "s_block", "kind")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, found = None, {}
+
+        def packed() -> pa.RecordBatch:
+            ends = lambda v: pa.array([0, len(v)], pa.int32())
+            flat = {c: pa.concat_arrays(v) for c, v in found.items() if v}
+            lists = [pa.ListArray.from_arrays(ends(flat[c]), flat[c]) if c in flat else pa.nulls(1, types[c]) for c in found]
+            return pa.RecordBatch.from_arrays([*(head.column(c) for c in first), *lists], names=[*first, *found])
+
+        for batch in batches:
+            begins = batch.column("kind").to_numpy() == 0
+            turns_ = np.unique(np.append(0, np.flatnonzero(begins))).tolist() if batch.num_rows else []
+            for a, b in zip(turns_, [*turns_[1:], batch.num_rows], strict=True):
+                if begins[a]:
+                    if head is not None:
+                        yield packed()
+                    head, found, a = batch.slice(a, 1), {f"t_{c}": [] for c in tc}, a + 1
+                if b > a:
+                    for c in found:
+                        found[c].append(batch.column(c).slice(a, b - a).flatten())
+        if head is not None:
+            yield packed()
+
+    first = ["pair_id", "laid", *(f"s_{c}" for c in sc)]
+    types = {f"t_{c}": to_arrow_type(theirs.schema[c].dataType) for c in tc}
+    kinds = dict(own.dtypes) | dict(there.dtypes)
+    rows = both.mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in (*first, *types)))
     name = f"packed_{uuid.uuid4().hex}"
-    rows.repartition(files, "pair_id").write.bucketBy(files, "pair_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    rows.write.bucketBy(files, "pair_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    forget(near)
     return [spark.table(name)]
 
 
@@ -287,13 +334,21 @@ def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float =
 
     ``scans``: (session_id, t_ticks, point_id, x, y, z, ...).  Every pair starts from rest, so
     all pairs are independent.  A rejected pair leaves no pose and counts as no motion.
+    Each scan is packed once, for the pair that it ends and the one that it begins.
     """
-    stamps = scans.select("session_id", "t_ticks").distinct()
+    _known(kind)
+    counts = cut(scans.groupBy("session_id", "t_ticks").agg(F.count("*").alias("n")))
+    stamps = counts.select("session_id", "t_ticks")
     pairs = consecutive(stamps.withColumn("scan_id", F.col("t_ticks"))).select("session_id", F.col("scan_id").alias("now"), F.col("previous").alias("before"), F.concat_ws("/", "session_id", "scan_id").alias("pair_id"))
-    points = [c for c in scans.columns if c not in ("session_id", "t_ticks")]
-    source = pairs.join(scans, (scans.session_id == pairs.session_id) & (F.col("t_ticks") == F.col("now"))).select("pair_id", *points)
-    target = pairs.join(scans, (scans.session_id == pairs.session_id) & (F.col("t_ticks") == F.col("before"))).select("pair_id", *points)
-    found = register(source, target, kind, radius, rounds=rounds).withColumn("accepted", F.col("fitness") > least_fitness)
+    pairs = cut(pairs)
+    by = ["session_id", "t_ticks"]
+    blocks = in_blocks(scans, by, _PACKED)
+    mine, theirs = (pairs.select("session_id", F.col(c).alias("t_ticks"), "pair_id").join(blocks, by).drop(*by) for c in ("now", "before"))
+    n_source = cut(pairs.select("pair_id", "session_id", F.col("now").alias("t_ticks")).join(counts.withColumnRenamed("n", "n_source"), by).select("pair_id", "n_source"))
+    start = n_source.select("pair_id", pose(0.0, 0.0, 0.0).alias("pose"))
+    found = _registered(mine, theirs, n_source, kind, radius, start, rounds).withColumn("accepted", F.col("fitness") > least_fitness)
+    for spent in (blocks, n_source, counts):
+        forget(spent)
     steps = pairs.join(found.where("accepted"), "pair_id").select("session_id", F.col("now").alias("t_ticks"), "pose")
     return found, pose_product(steps)
 

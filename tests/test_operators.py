@@ -441,3 +441,22 @@ def test_long_graphs_are_eliminated_in_few_rounds(spark, monkeypatch):
     got, want = ({(r.graph_id, r.node_id): list(r.pose) for r in posegraph.solve(n, e, rounds=2, direct=d).collect()} for d in (0, 10_000))
     assert len(want) == 120 and got.keys() == want.keys()
     assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k])) < 1e-6
+
+
+def test_odometry_packs_each_scan_once(spark, monkeypatch):
+    rng = random.Random(2)
+    world = [(i, rng.uniform(0, 4), rng.uniform(0, 4), rng.uniform(0, 4)) for i in range(80)]
+    rows = [(1, t, i, x - 0.02 * t, y, z) for t in range(3) for i, x, y, z in world] + [(1, 2, 99, None, 0.0, 0.0), (2, 0, 0, 0.0, 0.0, 0.0), (3, 0, 0, None, 0.0, 0.0), (3, 1, 0, 1.0, 0.0, 0.0)]
+    scans = spark.createDataFrame(rows, "session_id long, t_ticks long, point_id long, x double, y double, z double")
+    packed, in_blocks = [], registration.in_blocks
+
+    def counted(points, *more, **named):
+        packed.append(points)
+        return in_blocks(points, *more, **named)
+
+    monkeypatch.setattr(registration, "in_blocks", counted)
+    found, path = registration.odometry(scans, "PointToPoint", 0.3)
+    got = {r.pair_id: r for r in found.collect()}
+    assert len(packed) == 1 and set(got) == {"1/1", "1/2", "3/1"}
+    assert (got["1/1"].n_source, got["1/2"].n_source, got["3/1"].n_source, got["3/1"].n_corr) == (80, 81, 1, 0)
+    assert [round(r.product.tx, 4) for r in path.where("session_id = 1").orderBy("t_ticks").collect()][-1] == 0.04
