@@ -75,6 +75,10 @@ def nearest_submap(poses: DataFrame, submaps: DataFrame, radius: float = 16.0) -
     return nearest(p, s, radius).select(F.col("source_id").alias("pose_id"), F.col("target_id").alias("submap_id"), "d2")
 
 
+#: Edges that are sent to the tasks; more of them are joined.
+_SENT = 1_000_000
+
+
 def loop_candidates(submaps: DataFrame, edges: DataFrame, radius: float, size: float, active: Column | None = None, distances: DataFrame | None = None, least_distance: int = 0) -> DataFrame:
     """Pairs of submaps close in space but not in the graph: (a, b, d2), a < b.
 
@@ -85,7 +89,9 @@ def loop_candidates(submaps: DataFrame, edges: DataFrame, radius: float, size: f
     near = radius_pairs(p, p, radius).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "d2").where("a < b")
     gap = max(1, math.ceil(radius / size))
     near = near.where(F.col("b") - F.col("a") > gap)
-    both = undirected(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = undirected(edges).select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a < b")
+    if both.count() <= _SENT:
+        both = F.broadcast(both)  # the pairs, which are many more, stay where they are
     near = near.join(both, ["a", "b"], "left_anti")
     if distances is not None:
         far = distances.where(F.col("distance").isNull() | (F.col("distance") >= least_distance)).select(F.col("id").alias("a"))

@@ -460,3 +460,16 @@ def test_odometry_packs_each_scan_once(spark, monkeypatch):
     assert len(packed) == 1 and set(got) == {"1/1", "1/2", "3/1"}
     assert (got["1/1"].n_source, got["1/2"].n_source, got["3/1"].n_source, got["3/1"].n_corr) == (80, 81, 1, 0)
     assert [round(r.product.tx, 4) for r in path.where("session_id = 1").orderBy("t_ticks").collect()][-1] == 0.04
+
+
+@pytest.mark.parametrize("sent", [500_000, 10])
+def test_sources_of_a_crowded_cell_are_dealt_into_tasks(spark, monkeypatch, sent):
+    monkeypatch.setattr(neighbours, "_TARGETS", 20)
+    monkeypatch.setattr(neighbours, "_SENT", sent)
+    rng = random.Random(3)
+    xyz = [(i, rng.random(), rng.random(), rng.random()) for i in range(120)]
+    p = spark.createDataFrame(xyz, "point_id long, x double, y double, z double").coalesce(1)
+    got = neighbours.radius_pairs(p, p, 2.0)
+    assert sorted((r.source_id, r.target_id) for r in got.collect()) == [(a, b) for a in range(120) for b in range(120)]
+    if sent > 120:
+        assert got.select(F.spark_partition_id()).distinct().count() > 2
