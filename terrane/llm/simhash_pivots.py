@@ -31,6 +31,9 @@ P1, P2, P3, P4, P5 = (U(x) for x in (11400714785074694791, 14029467366897019727,
 #: Bytes of text whose sketches or shingles are laid out at once.
 _BYTES = 512 << 10
 
+#: Candidates that a member of a bucket names before what they tie is known; then it names all that are left.
+_FIRST = 4
+
 #: First bit and width of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
@@ -332,16 +335,26 @@ def _grow(label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, s: Similar) ->
     return a, b
 
 
-def _best(left: np.ndarray, label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, s: Similar, most: int) -> tuple[list[int], list[int], bool]:
-    """Places of the ``most`` likeliest candidates of another label for each of ``left``, and whether there are more."""
+def _best(seek: np.ndarray, label: np.ndarray, fp: np.ndarray, sketch: np.ndarray, keys: np.ndarray, band: int, s: Similar, most: int | None) -> tuple[list[int], list[int], bool]:
+    """Places of the ``most`` (None: all) likeliest candidates of another label for each member that seeks, and whether there are more.
+
+    Members that do not seek are those to meet; where all seek, they meet each other.  A pair
+    that shares several bands is named in the first of these (``band`` is that of this bucket)
+    and left to it in the others.
+    """
     table = _pivot_table(fp, s.how.pivots)
     a, b, more = [], [], False
-    for x in left.tolist():
-        other = np.flatnonzero(label != label[x])
+    alone = bool(seek.all())
+    for x in np.flatnonzero(seek).tolist():
+        other = np.flatnonzero((label != label[x]) & (alone | ~seek))
+        if alone and most is None:  # the other one of two that seek names the pair
+            other = other[other > x]
+        if band:
+            other = other[(keys[other, :band] != keys[x, :band]).all(axis=1)]
         other = other[_near(fp, table, np.full(len(other), x), other, s.how.radius)]
         alike = estimate(sketch[x][None], sketch[other])
         other, alike = other[alike >= s.candidate], alike[alike >= s.candidate]
-        more |= len(other) > most
+        more |= most is not None and len(other) > most
         other = other[np.argsort(-alike, kind="stable")[:most]]
         a += [x] * len(other)
         b += other.tolist()
@@ -436,8 +449,9 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
                 sketch = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(-1, s.bins)
                 more = True
                 if t.column(6)[0].as_py():
-                    seek = np.flatnonzero(t.column(5).to_numpy())
-                    a, b, more = _best(seek, label, fp.view(np.uint64), sketch, s, 64 if turn < 2 else 2 * len(node))
+                    keys = t.column(9).combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
+                    band = int(np.flatnonzero(keys[0] == t.column(0)[0].as_py())[0])
+                    a, b, more = _best(t.column(5).to_numpy(), label, fp.view(np.uint64), sketch, keys, band, s, _FIRST if turn < 2 else None)
                 else:
                     a, b = _grow(label, fp.view(np.uint64), sketch, s)
                 x, y = node[np.array(a, np.int64)], node[np.array(b, np.int64)]
@@ -473,35 +487,51 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
 
     def similar(found: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that share ``similarity`` of their distinct shingles."""
-        x, y = (sets.select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+        # only sets of these pairs are moved
+        x, y = (may_hold(sets, F.col("node"), found.select(c)).where("__may").select(F.col("node").alias(c), F.col("hashes").alias(h)) for c, h in (("a", "x"), ("b", "y")))
         shared = F.size(F.array_intersect("x", "y"))
         both = found.join(x, "a").join(y, "b").select("a", "b", shared.alias("n"), (F.size("x") + F.size("y") - shared).alias("of"))
         return keep(both.where(F.col("n") / F.col("of") >= s.similarity).select("a", "b"), "links")
 
-    small = met.where("not large").join(plain, "node").select("key", "fp", "node", "sketch")
+    def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) with the labels la and lb of both; a node without one is its own."""
+        ends = found.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        return ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+
+    def tied_by(links: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels once links tie them; what they tie gets one label."""
+        tied = components(labelled(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        known = labels.join(tied.withColumnRenamed("node", "tie"), F.col("label") == F.col("tie"), "left").select("node", F.coalesce("component", "label").alias("label"))
+        return keep(known.union(tied.select("node", F.col("component").alias("label"))).distinct(), "labels")
+
+    small = met.where("not large")
+    small = small.join(may_hold(plain, F.col("node"), small.select("node")).where("__may").drop("__may"), "node").select("key", "fp", "node", "sketch")
     likely = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "candidates")
-    links = similar(likely)
+    # a pair for each member ties most of a group; of the others only those count that still lie apart
+    first = keep(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = similar(first)
     labels = keep(components(links).select("node", F.col("component").alias("label")), "labels")
-    forget(likely, links)
+    forget(links)
+    others = labelled(likely.join(first, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
+    links = similar(keep(others, "others"))
+    last, labels = labels, tied_by(links, labels)
+    forget(likely, first, links, last)
     large = keep(met.where("large").select("key", "node"), "large")
     left = keep(large.select("key").distinct(), "unsettled")
+    mates = keep(may_hold(reps.select("node", "fp", "sketch", "keys"), F.col("node"), large.select("node")).where("__may").drop("__may"), "mates")
     forget(met)
     tried = None
     turn = 0
     while not left.isEmpty():
         members = keep(large.join(left, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
-        groups = _groups(members, turn, s).join(plain, "node").select("key", "i", "j", "node", "label", "seek", "full", "fp", "sketch")
+        groups = _groups(members, turn, s).join(mates if turn else mates.withColumn("keys", F.lit(None).cast("array<long>")), "node").select("key", "i", "j", "node", "label", "seek", "full", "fp", "sketch", F.when(F.col("full"), F.col("keys")).alias("keys"))
         found = keep(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(propose(turn), "key long, a long, b long"), "proposed")
         fresh = found.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
         fresh = keep(fresh, "tried")
         links = similar(fresh)
-        # links tie labels; what they tie gets one label
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        tied = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        known = labels.join(tied.withColumnRenamed("node", "tie"), F.col("label") == F.col("tie"), "left").select("node", F.coalesce("component", "label").alias("label"))
-        now = keep(known.union(tied.select("node", F.col("component").alias("label"))).distinct(), "labels")
+        now = tied_by(links, labels)
         last, rest = left, keep(found.where("a is null").select("key").distinct(), "unsettled")
         forget(members, found, links, labels, last)
         labels, left = now, rest

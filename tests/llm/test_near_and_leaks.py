@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from terrane.llm._spark import may_hold
-from terrane.llm.simhash_pivots import SimHash, Similar, _groups, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
+from terrane.llm.simhash_pivots import SimHash, Similar, _best, _groups, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
 from terrane.llm.winnowing import Winnow, contamination, keep_clean
 
 
@@ -235,3 +235,24 @@ def test_leaks_of_rows_that_share_an_id_or_have_none(spark):
         got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit) for r in contamination(df, bench, how).collect())
         assert got == sorted((d is None, d or 0, len((t or "").split()), h) for (d, t), h in zip(rows, hits, strict=True)), how
         assert sorted(r.row for r in keep_clean(df, bench, how).collect()) == [i for i, h in enumerate(hits) if not h], how
+
+
+def test_a_candidate_is_named_once_in_the_first_band_it_shares():
+    s = Similar()
+    fp, sketch, label = np.zeros(6, np.uint64), np.ones((6, s.bins), np.uint8), np.arange(6)
+    keys = np.arange(6 * s.bands).reshape(6, s.bands)
+    keys[:, 1] = keys[:, 5] = -1
+    keys[:3, 0] = -2
+    every = np.ones(6, bool)
+
+    def named(seek, band, most=None):
+        a, b, more = _best(seek, label, fp, sketch, keys, band, s, most)
+        return sorted(zip(a, b, strict=True)), more
+
+    pairs = {(x, y) for x in range(6) for y in range(x)}
+    first = {(1, 0), (2, 0), (2, 1)}
+    assert {(max(p), min(p)) for p in named(every, 1)[0]} == pairs - first and len(named(every, 1)[0]) == 12
+    assert named(every, 5) == ([], False)
+    assert named(every, 1, 2)[1] and len(named(every, 1, 2)[0]) == 12
+    # those to meet come on their own; members that seek side by side don't meet there
+    assert named(np.arange(6) < 2, 1)[0] == [(x, y) for x in (0, 1) for y in (3, 4, 5)]
