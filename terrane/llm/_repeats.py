@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import forget, keep, partitions, whole_keys
+from terrane.llm._spark import forget, keep, lean, partitions, whole_keys
 from terrane.llm._text import U, as_bytes, mix
 
 ANCHORS = "key long, ctx long, doc long, hash long, at int, lo int, hi int"
@@ -283,7 +283,7 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *kinds), strict=True)], ["key", "doc", "hash", "at", "sure", "wide", "l", "r"])
 
     d = docs.select("id", "text", F.xxhash64("text").alias("own"))
-    fetched = d.join(ask.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("hash"))).select("doc", "hash", "text", "want").mapInArrow(cut, "key long, doc long, hash long, at int, sure int, wide boolean, l binary, r binary")
+    fetched = d.join(ask.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("hash"))).select("doc", "hash", "text", "want").mapInArrow(lean(cut), "key long, doc long, hash long, at int, sure int, wide boolean, l binary, r binary")
     if not none_wide:
         fetched = keep(fetched, "contexts")
 
@@ -301,7 +301,7 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
                 if got:
                     yield pa.RecordBatch.from_arrays([*got[0].columns, pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(yes), k, np.int32))], ["doc", "hash", "lo", "hi", "kind"])
 
-    spans = fetched.where("not wide").select("key", "doc", "hash", "at", "sure", "l", "r").repartition(partitions(docs.sparkSession) * 2, "key").sortWithinPartitions("key").mapInArrow(compare, SPANS)
+    spans = fetched.where("not wide").select("key", "doc", "hash", "at", "sure", "l", "r").repartition(partitions(docs.sparkSession) * 2, "key").sortWithinPartitions("key").mapInArrow(lean(compare), SPANS)
     for x in sure:
         spans = spans.union(x)
     if none_wide:
@@ -312,7 +312,7 @@ def repeated_spans(anchors: DataFrame, docs: DataFrame, shape: Shape, context: C
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(shape.symbols(b.column(i).to_pylist()), pa.binary()) for i in (5, 6))], b.schema.names)
 
     far = fetched.where("wide").select("key", "doc", "hash", "at", "sure", "l", "r")
-    return spans.union(_by_ranges(far.mapInArrow(as_symbols, far.schema), shape))
+    return spans.union(_by_ranges(far.mapInArrow(lean(as_symbols), far.schema), shape))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from terrane.llm._spark import lean
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces
 
 _SYMBOL = np.zeros(256, bool)
@@ -147,4 +148,4 @@ def keep_good(docs: DataFrame, bands: Bands | None = None, text_col: str = "text
             if b.num_rows:
                 yield b.filter(pa.array(measure(as_bytes(b.column(at)), bands)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm._spark import lean
 from terrane.llm._text import BYTE_VALUE, U, as_bytes, mix, pieces, prefix, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -391,7 +392,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
                 offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))], ["id", "n_tokens", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, n_tokens long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

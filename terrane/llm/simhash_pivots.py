@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._graph import components
-from terrane.llm._spark import forget, keep, may_hold, whole_keys
+from terrane.llm._spark import forget, keep, lean, may_hold, whole_keys
 from terrane.llm._text import Piece, U, as_bytes, mix, pieces
 
 # XXH64 primes: fixed values of the hash's specification.
@@ -468,7 +468,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(_set_hash(h, n).view(np.int64)), lists], ["node", "hashes"])
 
     hashed = d.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    all_ = keep(hashed.mapInArrow(measure, "id long, text_hash long, node long, fp long, sketch binary, keys array<long>"), "sketches")
+    all_ = keep(hashed.mapInArrow(lean(measure), "id long, text_hash long, node long, fp long, sketch binary, keys array<long>"), "sketches")
     names = all_.where("id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     own = all_.join(names, (F.col("id") == F.col("rep")) & (all_["node"] == names["node"]), "left_semi").dropDuplicates(["node"])
     reps = keep(own.select("node", F.col("id").alias("rep"), "fp", "sketch", "keys"), "representatives")
@@ -482,7 +482,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     # the shingles of every text that meets another, once for all turns
     want = keep(met.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
     texts = may_hold(d, F.col("id"), want.select("rep")).where("__may").join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
-    sets = keep(texts.mapInArrow(hashes, "node long, hashes array<long>").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    sets = keep(texts.mapInArrow(lean(hashes), "node long, hashes array<long>").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     forget(want)
 
     def similar(found: DataFrame) -> DataFrame:
@@ -506,7 +506,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
 
     small = met.where("not large")
     small = small.join(may_hold(plain, F.col("node"), small.select("node")).where("__may").drop("__may"), "node").select("key", "fp", "node", "sketch")
-    likely = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct(), "candidates")
+    likely = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "a long, b long").distinct(), "candidates")
     # a pair for each member ties most of a group; of the others only those count that still lie apart
     first = keep(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = similar(first)
@@ -525,7 +525,7 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     while not left.isEmpty():
         members = keep(large.join(left, "key", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
         groups = _groups(members, turn, s).join(mates if turn else mates.withColumn("keys", F.lit(None).cast("array<long>")), "node").select("key", "i", "j", "node", "label", "seek", "full", "fp", "sketch", F.when(F.col("full"), F.col("keys")).alias("keys"))
-        found = keep(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(propose(turn), "key long, a long, b long"), "proposed")
+        found = keep(groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(propose(turn)), "key long, a long, b long"), "proposed")
         fresh = found.where("a is not null").select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm._repeats import ANCHORS, Shape, Window, covered, repeated_spans, with_spans
+from terrane.llm._spark import lean
 from terrane.llm._text import BYTE_VALUE, Piece, as_bytes, grams, pieces, prefix, sliding_argmin
 
 
@@ -75,7 +76,7 @@ def _anchors(docs: DataFrame, how: Suffixes) -> DataFrame:
                 own = pa.array(text)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), b.column(0).take(own), b.column(2).take(own), *(pa.array(x.astype(np.int32)) for x in place)], ["key", "ctx", "doc", "hash", "at", "lo", "hi"])
 
-    return docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, ANCHORS)
+    return docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(run), ANCHORS)
 
 
 def _contexts(text: bytes, want: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes]]:
@@ -132,4 +133,4 @@ def remaining_text(docs: DataFrame, how: Suffixes | None = None, id_col: str = "
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.struct(*(c for c in docs.columns if c != text_col)).alias("row")] if carry else []))
     row = f", row {d.schema['row'].dataType.simpleString()}" if carry else ""
-    return _marked(d, how).mapInArrow(run, f"id long, text string, n_removed long{row}").withColumnsRenamed({"id": id_col, "text": text_col})
+    return _marked(d, how).mapInArrow(lean(run), f"id long, text string, n_removed long{row}").withColumnsRenamed({"id": id_col, "text": text_col})

@@ -18,6 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm._spark import lean
 from terrane.llm._text import LETTER_WORD, Piece, Words, as_bytes, grams, mix, pieces, prefix, sliding_argmin
 
 
@@ -265,7 +266,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Winnow | None = None,
                 if b.num_rows:
                     yield b.filter(pa.array(np.concatenate([scan(texts, index, how)[1] == 0 for _, texts in pieces(as_bytes(b.column(at)))])))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(lean(run), docs.schema)
     name = f"bad_{uuid.uuid4().hex}"
     told = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("t"))
     bad = contamination(told, benchmark, how, "row", "t").where("contaminated").select(F.col("row").alias(name)).distinct()

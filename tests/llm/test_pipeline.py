@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from terrane.llm._spark import lean
 from terrane.llm.piece_matching import Encoder, Model
 
 _SYLLABLES = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "on", "er")]
@@ -67,3 +68,16 @@ def test_empty_documents(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_worker_gives_free_memory_back_when_a_task_ends():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20  # noqa: E731, SIM115
+
+    def run(batches):
+        texts = [b"%d" % i * 400 for i in range(100_000)]
+        last.append(texts[-1])  # holds the end of the heap
+        yield from batches
+
+    last, before = [], resident()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() < before + 100
