@@ -43,6 +43,7 @@ class SimHash:
     shingle: int = 3
     seed: int = 42
     radius: int = 3
+    #: Of use at small radii only; with 0 the bits decide alone.
     pivots: int = 16
 
 
@@ -227,15 +228,15 @@ class Similar:
 
     Fingerprints of texts that share four fifths of their shingles differ in ten bits and
     more, too many for the pigeonhole principle to find pairs.  So pairs meet through bands of
-    least shingle hashes; the pivot table and the bits then discard those beyond ``how.radius``.
-    Each distinct shingle votes once, so repeats move no bit: a bit of two sets that share four
+    least shingle hashes; the bits then discard those beyond ``how.radius``.  There is no pivot
+    table: at this radius, which loses no similar pair, it would discard none.  Each distinct shingle votes once, so repeats move no bit: a bit of two sets that share four
     fifths differs with a chance of 0.1875 at most (four shingles and five), and more than 32 of
     64 do in less than one pair of a hundred million.  A sketch of ``bins`` least hashes, whose
     estimate has a deviation of sqrt(s(1 - s) / bins), passes candidates from ``candidate`` on,
     and the distinct shingles of a candidate pair decide.
     """
 
-    how: SimHash = SimHash(shingle=5, radius=32)
+    how: SimHash = SimHash(shingle=5, radius=32, pivots=0)
     similarity: float = 0.8
     candidate: float = 0.7
     bins: int = 512
@@ -300,7 +301,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(key: np.ndarray, fp: np.ndarray, how: SimHash) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of each small bucket that pivots and bits don't discard."""
+    """Places of all pairs of each small bucket that the bits (and pivots, if ``how`` has any) don't discard."""
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     table = _pivot_table(fp, how.pivots)

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from terrane.llm._spark import may_hold
-from terrane.llm.simhash_pivots import SimHash, Similar, _best, _groups, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
+from terrane.llm.simhash_pivots import SimHash, Similar, _best, _groups, _pivot_table, bucket_edges, estimate, fingerprints, keep_one, simhash_components, similar_components, sketches
 from terrane.llm.winnowing import Winnow, contamination, keep_clean
 
 
@@ -104,6 +104,13 @@ def test_repeated_words_do_not_part_similar_texts(spark):
     assert got == {i: i // 2 * 2 for i in range(24)}
 
 
+def test_a_pivot_table_discards_most_pairs_or_is_left_out():
+    fp = np.random.default_rng(3).integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2)
+    for how in (SimHash(), Similar().how):
+        table = _pivot_table(fp, how.pivots).astype(int)
+        assert not how.pivots or (np.abs(table[:, :1000] - table[:, 1000:]).max(axis=0) > how.radius).mean() > 0.99
+
+
 def test_radius_discards_no_similar_pair():
     def differs(both, a, b):
         """Chance that a bit of two sets differs that share ``both`` shingles and have ``a`` and ``b`` of their own."""
