@@ -2,7 +2,7 @@
 
 An iteration is: move the source by the pose so far, join nearest targets on a grid, sum the
 normal equations per pair, solve 6x6 or 3x3 systems in batches, and compose.  Pairs that have
-converged leave the next iteration's joins.
+converged leave the next iteration's joins.  Pairs of small clouds iterate where they lie.
 """
 
 from __future__ import annotations
@@ -26,17 +26,20 @@ from terrane.operators.neighbours import CELL, correspondences, in_cells, in_nea
 from terrane.operators.trajectory import consecutive, multiply, pose_product, turns
 from terrane.plans.lineage import cut, delete, forget, shared_folder
 
-_REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray]]] = {}
+_REGISTRATIONS: dict[str, tuple[Callable[[], list], Callable[[np.ndarray], np.ndarray], Callable | None]] = {}
 
 
-def register_registration(name: str, sums: Callable[[], list], solve: Callable[[np.ndarray], np.ndarray]) -> None:
-    """``sums()``: aggregate columns over correspondences (p*, t_*); ``solve``: rows of them to 4x4 motions."""
-    _REGISTRATIONS[name] = sums, solve
+def register_registration(name: str, sums: Callable[[], list], solve: Callable[[np.ndarray], np.ndarray], terms: Callable | None = None) -> None:
+    """``sums()``: aggregate columns over correspondences (p*, t_*); ``solve``: rows of them to 4x4 motions.
+
+    ``terms(v)``: what is summed, of columns or arrays ``v(name)``; with it, a pair that fits one packed row needs no Spark rounds.
+    """
+    _REGISTRATIONS[name] = sums, solve, terms
 
 
-def _point_sums() -> list:
-    p, q = [F.col(f"s_{c}") for c in "xyz"], [F.col(f"t_{c}") for c in "xyz"]
-    return [F.count("*").cast("double"), *map(F.sum, p), *map(F.sum, q), *(F.sum(a * b) for a in p for b in q)]
+def _point_terms(v: Callable) -> list:
+    p, q = [v(f"s_{c}") for c in "xyz"], [v(f"t_{c}") for c in "xyz"]
+    return [p[0] * 0.0 + 1.0, *p, *q, *(a * b for a in p for b in q)]
 
 
 def _point_solve(m: np.ndarray) -> np.ndarray:
@@ -54,12 +57,12 @@ def _point_solve(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _plane_sums() -> list:
-    px, py, pz = (F.col(f"s_{c}") for c in "xyz")
-    nx, ny, nz = (F.col(f"t_n{c}") for c in "xyz")
-    r = (px - F.col("t_x")) * nx + (py - F.col("t_y")) * ny + (pz - F.col("t_z")) * nz
+def _plane_terms(v: Callable) -> list:
+    px, py, pz = (v(f"s_{c}") for c in "xyz")
+    nx, ny, nz = (v(f"t_n{c}") for c in "xyz")
+    r = (px - v("t_x")) * nx + (py - v("t_y")) * ny + (pz - v("t_z")) * nz
     j = [py * nz - pz * ny, pz * nx - px * nz, px * ny - py * nx, nx, ny, nz]
-    return [*(F.sum(j[a] * j[b]) for a in range(6) for b in range(a, 6)), *(F.sum(a * r) for a in j)]
+    return [*(j[a] * j[b] for a in range(6) for b in range(a, 6)), *(a * r for a in j)]
 
 
 def _normal_solve(m: np.ndarray) -> np.ndarray:
@@ -70,25 +73,24 @@ def _normal_solve(m: np.ndarray) -> np.ndarray:
     return np.stack([step_matrix(x) for x in d])
 
 
-def _generalised_sums(eps: float = 1e-3) -> list:
+def _generalised_terms(v: Callable, eps: float = 1e-3) -> list:
     """Both sides as discs across their normals; the inverse of the summed covariances weighs the residual."""
-    n = [F.col(f"t_n{c}") for c in "xyz"]
-    s = [F.col(f"s_n{c}") for c in "xyz"]
+    n = [v(f"t_n{c}") for c in "xyz"]
+    s = [v(f"s_n{c}") for c in "xyz"]
     c = [[(2.0 if i == j else 0.0) - (1 - eps) * (n[i] * n[j] + s[i] * s[j]) for j in range(3)] for i in range(3)]
     cof = [[c[(i + 1) % 3][(j + 1) % 3] * c[(i + 2) % 3][(j + 2) % 3] - c[(i + 1) % 3][(j + 2) % 3] * c[(i + 2) % 3][(j + 1) % 3] for j in range(3)] for i in range(3)]
     det = c[0][0] * cof[0][0] + c[0][1] * cof[0][1] + c[0][2] * cof[0][2]
     m = [[cof[j][i] / det for j in range(3)] for i in range(3)]
-    x, y, z = (F.col(f"s_{k}") for k in "xyz")
-    zero, one = F.lit(0.0), F.lit(1.0)
+    x, y, z = (v(f"s_{k}") for k in "xyz")
+    zero, one = 0.0, 1.0
     a = [[zero, z, -y, one, zero, zero], [-z, zero, x, zero, one, zero], [y, -x, zero, zero, zero, one]]
-    d = [F.col(f"s_{k}") - F.col(f"t_{k}") for k in "xyz"]
+    d = [v(f"s_{k}") - v(f"t_{k}") for k in "xyz"]
     ma = [[sum((m[i][k] * a[k][j] for k in (1, 2)), m[i][0] * a[0][j]) for j in range(6)] for i in range(3)]
-    return [*(F.sum(sum((a[k][i] * ma[k][j] for k in (1, 2)), a[0][i] * ma[0][j])) for i in range(6) for j in range(i, 6)), *(F.sum(sum((ma[k][i] * d[k] for k in (1, 2)), ma[0][i] * d[0])) for i in range(6))]
+    return [*(sum((a[k][i] * ma[k][j] for k in (1, 2)), a[0][i] * ma[0][j]) for i in range(6) for j in range(i, 6)), *(sum((ma[k][i] * d[k] for k in (1, 2)), ma[0][i] * d[0]) for i in range(6))]
 
 
-register_registration("PointToPoint", _point_sums, _point_solve)
-register_registration("PointToPlane", _plane_sums, _normal_solve)
-register_registration("Generalized", _generalised_sums, _normal_solve)
+for _name, _terms, _solve in (("PointToPoint", _point_terms, _point_solve), ("PointToPlane", _plane_terms, _normal_solve), ("Generalized", _generalised_terms, _normal_solve)):
+    register_registration(_name, lambda of=_terms: [F.sum(x) for x in of(F.col)], _solve, _terms)
 
 
 def moved(points: DataFrame, poses: DataFrame, on: str = "pair_id") -> DataFrame:
@@ -143,10 +145,13 @@ def _columns(blocks: DataFrame) -> list[str]:
 
 def _registered(mine: DataFrame, theirs: DataFrame, n_source: DataFrame, kind: str, radius: float, start: DataFrame, rounds: int, settle: float = 1e-6) -> DataFrame:
     """``register`` for points that are packed by pair already; ``n_source`` is (pair_id, n_source)."""
-    sums, solve = _REGISTRATIONS[kind]
+    sums, solve, terms = _REGISTRATIONS[kind]
     poses = cut(start.select("pair_id", "pose").withColumn("open", F.lit(True)))
     packed = _reachable(mine, theirs, poses, radius)
     columns = _columns(mine), _columns(theirs)
+    alone = _alone(packed[0], poses, mine, theirs, columns, radius, rounds, settle, solve, terms) if terms else None
+    if alone is not None:
+        poses = cut(poses.join(alone, "pair_id", "left_anti"), poses)
     of_pair = [F.count("*").alias("k"), *(c.alias(f"m{i}") for i, c in enumerate(sums()))]
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,15 +176,84 @@ def _registered(mine: DataFrame, theirs: DataFrame, n_source: DataFrame, kind: s
         moved_on = live.join(summed, "pair_id", "left").na.fill(0).mapInPandas(step, shape)
         poses = cut(moved_on.unionByName(poses.where("not open")), poses)
         forget(summed)
-    hits, packed = _summed(packed, poses, mine, theirs, columns, radius, [F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse")])
-    got = poses.join(n_source, "pair_id", "left").join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0)))
+    if alone is None or not poses.isEmpty():
+        hits, packed = _summed(packed, poses, mine, theirs, columns, radius, [F.count("*").alias("n_corr"), F.sqrt(F.avg("d2")).alias("inlier_rmse")])
+        ends = poses.join(hits, "pair_id", "left").withColumn("n_corr", F.coalesce("n_corr", F.lit(0).cast("long")))
+        ends = ends if alone is None else ends.unionByName(alone)
+    else:
+        hits, ends = None, alone
+    got = ends.join(n_source, "pair_id", "left")
     got = cut(got.select("pair_id", "pose", "n_source", "n_corr", (F.col("n_corr") / F.col("n_source")).alias("fitness"), "inlier_rmse", (~F.col("open")).alias("settled")))
-    for spent in (poses, hits):
-        forget(spent)
+    for spent in (poses, hits, alone):
+        if spent is not None:
+            forget(spent)
     _drop(packed)
     return got
 
 
+def _alone(packed: DataFrame, poses: DataFrame, mine: DataFrame, theirs: DataFrame, columns: tuple[list[str], list[str]], radius: float, rounds: int, settle: float, solve: Callable[[np.ndarray], np.ndarray], terms: Callable) -> DataFrame:
+    """Registered pairs whose source fits one packed row: (pair_id, pose, open, n_corr, inlier_rmse).
+
+    Such a row holds all that the pair's rounds need, so they follow each other where it lies.  A
+    pair that leaves the reach of its row goes on from there once it is packed again.
+    """
+    turned = [c for c in ("nx", "ny", "nz") if c in columns[0]]
+    source = [c for c in columns[0] if c != "point_id"]
+    kind = mine.schema["pair_id"].dataType.simpleString()
+    names = ["pair_id", "pose", "open", "used", "astray", "n_corr", "inlier_rmse"]
+    struct = pa.struct([(n, pa.float64()) for n in POSE])
+
+    def fit(s: dict[str, np.ndarray], t: dict[str, np.ndarray] | None, laid: np.ndarray, now: np.ndarray, open_: bool, used: int) -> tuple:
+        p = np.stack([s[c] for c in "xyz"], axis=1)
+        old = p @ turns(laid[None, 3:])[0].T + laid[:3]
+        while True:
+            turn = turns(now[None, 3:])[0]
+            new = p @ turn.T + now[:3]
+            if ((new - old) ** 2).sum(axis=1).max(initial=0.0) > radius * radius:
+                return now, open_, used, True, 0, None
+            at, which, d2 = nearest_within(new, t, radius) if t else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            if not open_ or used >= rounds:
+                return now, open_, used, False, len(at), float(np.sqrt(d2.mean())) if len(at) else None
+            motion = np.eye(4)
+            if len(at) >= 6:
+                v = {f"s_{c}": s[c][at] for c in source} | {f"t_{c}": t[c][which] for c in columns[1]} | {f"s_{c}": x[at] for c, x in zip("xyz", new.T, strict=True)}
+                if turned:
+                    v |= {f"s_{c}": x[at] for c, x in zip(turned, turn @ np.stack([s[c] for c in turned]), strict=True)}
+                motion = solve(np.array([[np.sum(x) for x in terms(v.__getitem__)]]))[0]
+            now = multiply(np.array([[*matrix_pose(motion).values()]]), now[None])[0]
+            open_, used = bool(np.abs(motion - np.eye(4)).max() > settle), used + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c) for c in batch.schema.names}
+            now, laid = (np.stack([column[c].field(n).to_numpy(zero_copy_only=False) for n in POSE], axis=1) for c in ("pose", "laid"))
+            out = []
+            for i in range(batch.num_rows):
+                s = {c: values(column[f"s_{c}"], i) for c in source}
+                t = {c: values(column[f"t_{c}"], i) for c in columns[1]} if column["t_x"][i].is_valid else None
+                out.append(fit(s, t, laid[i], now[i], column["open"][i].as_py(), column["used"][i].as_py()))
+            pose_, *rest = zip(*out, strict=True) if out else ((),) * 6
+            yield pa.RecordBatch.from_arrays([column["pair_id"], pa.array([dict(zip(POSE, map(float, x), strict=True)) for x in pose_], struct), *(pa.array(x, k) for x, k in zip(rest, (pa.bool_(), pa.int32(), pa.bool_(), pa.int64(), pa.float64()), strict=True))], names=names)
+
+    shape = f"pair_id {kind}, pose {_POSE}, open boolean, used int, astray boolean, n_corr long, inlier_rmse double"
+    rows, todo, done, again = packed, poses.withColumn("used", F.lit(0)), None, []
+    while True:
+        got = cut(rows.where("alone").drop("alone").join(todo.hint("shuffle_hash"), "pair_id").mapInArrow(run, shape))
+        ended = got.where("not astray").select("pair_id", "pose", "open", "n_corr", "inlier_rmse")
+        done = ended if done is None else done.unionByName(ended)
+        left = got.where("astray")
+        again.append(got)
+        if left.isEmpty():
+            break
+        if rows is not packed:
+            _drop([rows])
+        todo = left.select("pair_id", "pose", "open", "used")
+        rows = _reachable(mine.join(todo, "pair_id", "left_semi"), theirs.join(todo, "pair_id", "left_semi"), todo, radius)[0]
+    if rows is not packed:
+        _drop([rows])
+    return cut(done, *again) if len(again) > 1 else done
+
+
 #: Points of a block of registration, and blocks of a file of packed rows.
 _PACKED, _FILE = 1024, 256
 #: Columns of packed rows that aren't a point's.
@@ -202,32 +276,40 @@ def _reachable(mine: DataFrame, theirs: DataFrame, poses: DataFrame, radius: flo
     both = own.unionByName(there, allowMissingColumns=True).repartition(files, "pair_id").sortWithinPartitions("pair_id", "s_block", "kind")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, found = None, {}
+        head, found, last, size = None, {}, None, 0
 
-        def packed() -> pa.RecordBatch:
-            ends = lambda v: pa.array([0, len(v)], pa.int32())
+        def packed(after: object) -> pa.RecordBatch:
+            nonlocal last
+            own = head.column("pair_id")[0]
+            alone, last = own != last and own != after, own
             flat = {c: pa.concat_arrays(v) for c, v in found.items() if v}
-            lists = [pa.ListArray.from_arrays(ends(flat[c]), flat[c]) if c in flat else pa.nulls(1, types[c]) for c in found]
-            return pa.RecordBatch.from_arrays([*(head.column(c) for c in first), *lists], names=[*first, *found])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(flat[c])], pa.int32()), flat[c]) if c in flat else pa.nulls(1, types[c]) for c in found]
+            return pa.RecordBatch.from_arrays([head.column("pair_id"), head.column("laid"), *lists, pa.array([alone])], names=["pair_id", "laid", *found, "alone"])
 
         for batch in batches:
             begins = batch.column("kind").to_numpy() == 0
             turns_ = np.unique(np.append(0, np.flatnonzero(begins))).tolist() if batch.num_rows else []
             for a, b in zip(turns_, [*turns_[1:], batch.num_rows], strict=True):
                 if begins[a]:
-                    if head is not None:
-                        yield packed()
-                    head, found, a = batch.slice(a, 1), {f"t_{c}": [] for c in tc}, a + 1
+                    row, more = batch.slice(a, 1), len(batch.column(f"s_{sc[0]}")[a].values)
+                    pair = row.column("pair_id")[0]
+                    # blocks of a small cloud that the packing cut apart go to one row; a target in reach of both is there twice
+                    if head is None or pair != head.column("pair_id")[0] or size + more > _PACKED:
+                        if head is not None:
+                            yield packed(pair)
+                        head, size, found = row, 0, {f"{e}_{c}": [] for e, own in (("s", sc), ("t", tc)) for c in own}
+                    for c in sc:
+                        found[f"s_{c}"].append(row.column(f"s_{c}").flatten())
+                    size, a = size + more, a + 1
                 if b > a:
-                    for c in found:
-                        found[c].append(batch.column(c).slice(a, b - a).flatten())
+                    for c in tc:
+                        found[f"t_{c}"].append(batch.column(f"t_{c}").slice(a, b - a).flatten())
         if head is not None:
-            yield packed()
+            yield packed(None)
 
-    first = ["pair_id", "laid", *(f"s_{c}" for c in sc)]
-    types = {f"t_{c}": to_arrow_type(theirs.schema[c].dataType) for c in tc}
+    types = {f"{e}_{c}": to_arrow_type(d.schema[c].dataType) for e, d, own in (("s", mine, sc), ("t", theirs, tc)) for c in own}
     kinds = dict(own.dtypes) | dict(there.dtypes)
-    rows = both.mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in (*first, *types)))
+    rows = both.mapInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in ("pair_id", "laid", *types)) + ", alone boolean")
     name = f"packed_{uuid.uuid4().hex}"
     rows.write.bucketBy(files, "pair_id").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     forget(near)
@@ -299,7 +381,7 @@ def _matched(packed: DataFrame, poses: DataFrame, columns: tuple[list[str], list
                 yield pa.RecordBatch.from_arrays([keys, pa.array(d2), *(pa.array(s[c][at]) for c in source), *(pa.array(t[c][which]) for c in columns[1]), pa.array(np.zeros(len(at), bool))], names=names)
 
     types = {n: to_arrow_type(packed.schema[n].dataType.elementType) for n in names[2:-1]} | {"d2": pa.float64()}
-    return packed.join(poses.select("pair_id", "pose").hint("shuffle_hash"), "pair_id").mapInArrow(run, shape)
+    return packed.drop("alone").join(poses.select("pair_id", "pose").hint("shuffle_hash"), "pair_id").mapInArrow(run, shape)
 
 
 def nearest_within(p: np.ndarray, t: dict[str, np.ndarray], radius: float, chunk: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -174,10 +174,18 @@ class SessionMapper:
         known = known.select("session_id", "pair_id", "t_ticks", "odometry", "moved", F.coalesce("o", "odometry").alias("o"), "p", "i", F.coalesce("p", "begin", rest).alias("guess"), (F.col("p").isNotNull() & F.col("moved")).alias("follows"))
         known = cut(known.mapInPandas(_predicted, known.schema))
         follow = known.where("p is not null").select("session_id", "pair_id", F.col("guess").alias("pose"))
+        if follow.isEmpty():  # first scans have no map to be registered in
+            fit = self.spark.createDataFrame([], f"pair_id string, refined {_POSE}, fitness double")
+            return self._judged(known, fit)
         target = self._with_normals(patches(state, follow, s.reach, s.voxel, s.tile))
         source = points.join(now.select("session_id", "t_ticks"), ["session_id", "t_ticks"], "left_semi").select(F.concat_ws("/", "session_id", "t_ticks").alias("pair_id"), "point_id", "x", "y", "z")
         source = source.where(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")) <= s.reach).join(follow.select("pair_id"), "pair_id", "left_semi")
         fit = register(source, cut(target), s.kind, s.radius, follow.select("pair_id", "pose"), rounds=s.rounds).select("pair_id", F.col("pose").alias("refined"), "fitness")
+        return self._judged(known, fit)
+
+    def _judged(self, known: DataFrame, fit: DataFrame) -> DataFrame:
+        """Status and pose of each scan by its fit, if it has one, and whether it enters the map."""
+        s = self.s
         done = known.join(fit, "pair_id", "left")
         status = F.when(F.col("p").isNull(), "first").when(F.coalesce(F.col("fitness") >= s.refinement_fitness, F.lit(False)), "accepted").otherwise("rejected")
         done = done.withColumn("status", status).withColumn("pose", F.when(F.col("status") == "accepted", F.col("refined")).otherwise(F.col("guess")))

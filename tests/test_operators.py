@@ -493,3 +493,13 @@ def test_a_block_of_targets_goes_to_a_group_of_source_blocks_once(spark, monkeyp
         near = [j for j in np.lexsort((np.arange(len(d2)), d2)) if cloud[j] == cloud[i] and (radius is None or d2[j] <= radius * radius)][:3]
         want += [(i, n, int(j)) for n, j in enumerate(near, 1)]
     assert got == want
+
+
+def test_pairs_of_small_clouds_need_no_rounds(spark, monkeypatch):
+    """Also where the packing cuts a pair apart."""
+    rows = [(f"{p}", k, float(k % 7), float(k % 5) * 1.3, float(k % 11) * 0.7) for p in range(5) for k in range(80)]
+    target = spark.createDataFrame(rows, "pair_id string, point_id long, x double, y double, z double")
+    source = target.withColumn("x", F.col("x") - 0.1).withColumn("y", F.col("y") + 0.05)
+    monkeypatch.setattr(registration, "_summed", None)
+    got = registration.register(source, target, "PointToPoint", 0.3, rounds=10).collect()
+    assert len(got) == 5 and all(r.n_corr == 80 and r.settled and abs(r.pose.tx - 0.1) < 1e-6 and abs(r.pose.ty + 0.05) < 1e-6 for r in got)
