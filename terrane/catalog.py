@@ -580,8 +580,14 @@ def _session_scans(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Each scan's points as a world of their own, seen from ``n`` poses on a path that depends on the scan."""
     k = F.col("t_ticks") - 1
     true = g.planar_pose(k * 0.2, k * (F.col("session_id") % 3) * 0.1, F.lit(0.0), k * 0.004)
-    p = view(spark, sf_dir, "points_v").withColumn("t_ticks", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("session_id", F.col("scan_id").cast("long")).withColumn("pose", true)
-    seen = p.withColumns(dict(zip("xyz", g.pose_apply(g.pose_inv(F.col("pose")), "x", "y", "z"), strict=True)))
+    p = view(spark, sf_dir, "points_v").withColumn("t_ticks", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("session_id", F.col("scan_id").cast("long"))
+    # a column for each number of the poses: nested expressions would grow into plans that take longer than the rows
+    here = {c: F.col(f"__{c}") for c in g.POSE}
+    back = {c: -here[c] for c in ("qx", "qy", "qz")} | {"qw": here["qw"]}
+    undone = dict(zip(("tx", "ty", "tz"), g.rotate(back, [-here[c] for c in ("tx", "ty", "tz")]), strict=True)) | back
+    for at in (true, undone):
+        p = p.withColumns({f"__{c}": at[c] for c in g.POSE})
+    seen = p.withColumns(dict(zip("xyz", g.pose_apply(here, "x", "y", "z"), strict=True)))
     return seen.select("session_id", F.col("t_ticks").cast("long").alias("t_ticks"), "point_id", "x", "y", "z")
 
 

@@ -15,6 +15,7 @@ from operator import add, sub
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from terrane.functions.geometry import POSE, pose, pose_apply
 from terrane.operators.graph import _POSE, matrix_pose, step_matrix
 from terrane.operators.blocks import box_distances, in_blocks, values
+from terrane.operators.fits import fit_all, rows_of, runs, whole_groups
 from terrane.operators.neighbours import CELL, correspondences, in_cells, in_near_cells
 from terrane.operators.trajectory import consecutive, multiply, pose_product, turns
 from terrane.plans.lineage import cut, delete, forget, shared_folder
@@ -416,7 +418,8 @@ def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float =
 
     ``scans``: (session_id, t_ticks, point_id, x, y, z, ...).  Every pair starts from rest, so
     all pairs are independent.  A rejected pair leaves no pose and counts as no motion.
-    Each scan is packed once, for the pair that it ends and the one that it begins.
+    Each scan is packed once, for the pair that it ends and the one that it begins.  Sessions of
+    few points go to one task each, where their pairs are registered side by side.
     """
     _known(kind)
     counts = cut(scans.groupBy("session_id", "t_ticks").agg(F.count("*").alias("n")))
@@ -424,17 +427,76 @@ def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float =
     pairs = consecutive(stamps.withColumn("scan_id", F.col("t_ticks"))).select("session_id", F.col("scan_id").alias("now"), F.col("previous").alias("before"), F.concat_ws("/", "session_id", "scan_id").alias("pair_id"))
     pairs = cut(pairs)
     by = ["session_id", "t_ticks"]
-    blocks = in_blocks(scans, by, _PACKED)
-    mine, theirs = (pairs.select("session_id", F.col(c).alias("t_ticks"), "pair_id").join(blocks, by).drop(*by) for c in ("now", "before"))
-    n_source = cut(pairs.select("pair_id", "session_id", F.col("now").alias("t_ticks")).join(counts.withColumnRenamed("n", "n_source"), by).select("pair_id", "n_source"))
-    start = n_source.select("pair_id", pose(0.0, 0.0, 0.0).alias("pose"))
-    found = _registered(mine, theirs, n_source, kind, radius, start, rounds).withColumn("accepted", F.col("fitness") > least_fitness)
-    for spent in (blocks, n_source, counts):
-        forget(spent)
+    sizes = counts.where("session_id is not null").groupBy("session_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    total = sizes.agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.count_if(F.col("n") > _SESSION).alias("large")).first()
+    some = _REGISTRATIONS[kind][2] is _point_terms  # terms of places alone
+    once, packed = some and not total["large"], (total["most"] or 0) <= _PACKED
+    blocks = in_blocks(scans, by, _PACKED, whole=(total["n"] or 0) if packed else None)
+    blocks = cut(blocks) if packed and not once else blocks
+    found, n_source = None, None
+    if some:
+        small = sizes.where(F.col("n") <= _SESSION).select("session_id") if total["large"] else None
+        found = _in_sessions(counts, blocks, small, total["n"] or 0, kind, radius, rounds)
+    if not once:
+        rest = pairs.join(sizes.where(F.col("n") > _SESSION), "session_id", "left_semi") if some else pairs
+        mine, theirs = (rest.select("session_id", F.col(c).alias("t_ticks"), "pair_id").join(blocks, by).drop(*by) for c in ("now", "before"))
+        n_source = cut(rest.select("pair_id", "session_id", F.col("now").alias("t_ticks")).join(counts.withColumnRenamed("n", "n_source"), by).select("pair_id", "n_source"))
+        start = n_source.select("pair_id", pose(0.0, 0.0, 0.0).alias("pose"))
+        others = _registered(mine, theirs, n_source, kind, radius, start, rounds)
+        found = others if found is None else found.unionByName(others)
+    found = found.withColumn("accepted", F.col("fitness") > least_fitness)
+    for spent in (None if once and packed else blocks, n_source, counts):
+        if spent is not None:
+            forget(spent)
     steps = pairs.join(found.where("accepted"), "pair_id").select("session_id", F.col("now").alias("t_ticks"), "pose")
     return found, pose_product(steps)
 
 
+#: Points of a session whose scans are registered in one task, and points of such a task and of the arrays that it holds.
+_SESSION, _TASK, _HELD = 50_000, 200_000, 65_536
+
+
+def _in_sessions(counts: DataFrame, blocks: DataFrame, small: DataFrame | None, points: int, kind: str, radius: float, rounds: int) -> DataFrame:
+    """``_registered`` for the successive scans of sessions that fit a task each; of all sessions if ``small`` is None.
+
+    A scan goes to its session's task once.  Scans without a point that has a place are known from ``counts``.
+    """
+    _, solve, terms = _REGISTRATIONS[kind]
+    known = "session_id is not null and t_ticks is not null"
+    rows = counts.where(known).unionByName(blocks.where(known).select("session_id", "t_ticks", "point_id", "x", "y", "z"), allowMissingColumns=True)
+    rows = rows if small is None else rows.join(small, "session_id", "left_semi")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points // _TASK))
+    rows = rows.repartition(parts, "session_id").sortWithinPartitions("session_id", "t_ticks")
+    names = ["session_id", "t_ticks", "pose", "n_source", "n_corr", "inlier_rmse", "settled"]
+    struct = pa.struct([(n, pa.float64()) for n in POSE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, max(1, _HELD // _PACKED)):
+            session, time = (t.column(c).combine_chunks() for c in ("session_id", "t_ticks"))
+            begin = runs(*(c.dictionary_encode().indices.to_numpy() for c in (session, time)))
+            first = pa.array(begin[:-1])
+            session, time = session.take(first), time.take(first)
+            scan = np.repeat(np.arange(len(first)), np.diff(begin))
+            many = np.add.reduceat(pc.fill_null(t.column("n"), 0).to_numpy(), begin[:-1])
+            of = np.repeat(scan, pc.fill_null(pc.list_value_length(t.column("x")), 0).to_numpy())
+            ids, *xyz = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("point_id", "x", "y", "z"))
+            order = np.lexsort((ids, of))
+            ids, p = ids[order], np.stack([c.astype(float) for c in xyz], axis=1)[order]
+            same = session.dictionary_encode().indices.to_numpy()
+            pairs = np.flatnonzero(same[1:] == same[:-1]) + 1
+            at = np.searchsorted(of, np.arange(len(first) + 1))
+            (i, mine), (j, theirs) = (rows_of(at[k], at[k + 1]) for k in (pairs, pairs - 1))
+            rest = np.tile([0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0], (len(pairs), 1))
+            got, open_, n, rmse = fit_all(p[i], mine, p[j], theirs, ids[j], rest, radius, rounds, solve, terms)
+            poses = pa.StructArray.from_arrays([pa.array(c) for c in got.T], fields=list(struct))
+            yield pa.RecordBatch.from_arrays([session.take(pa.array(pairs)), time.take(pa.array(pairs)), poses, pa.array(many[pairs]), pa.array(n), pa.array(rmse, mask=n == 0), pa.array(~open_)], names=names)
+
+    kinds = dict(counts.dtypes)
+    shape = f"session_id {kinds['session_id']}, t_ticks {kinds['t_ticks']}, pose {_POSE}, n_source long, n_corr long, inlier_rmse double, settled boolean"
+    got = rows.mapInArrow(run, shape)
+    return cut(got.select(F.concat_ws("/", "session_id", "t_ticks").alias("pair_id"), "pose", "n_source", "n_corr", (F.col("n_corr") / F.col("n_source")).alias("fitness"), "inlier_rmse", "settled"))
+
+
 def localise(scans: DataFrame, map_points: DataFrame, guess: DataFrame, kind: str, radius: float, rounds: int = 50) -> DataFrame:
     """Pose of each scan (pair_id) in one frozen map.
 

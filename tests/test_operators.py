@@ -503,3 +503,64 @@ def test_pairs_of_small_clouds_need_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(registration, "_summed", None)
     got = registration.register(source, target, "PointToPoint", 0.3, rounds=10).collect()
     assert len(got) == 5 and all(r.n_corr == 80 and r.settled and abs(r.pose.tx - 0.1) < 1e-6 and abs(r.pose.ty + 0.05) < 1e-6 for r in got)
+
+
+def test_scans_of_small_sessions_are_registered_side_by_side(spark, monkeypatch):
+    """As in rounds, also with ties, points without a place, empty scans and large sessions among small ones."""
+    rng = random.Random(9)
+    rows = []
+    for session, size in ((1, 60), (2, 60), (3, 300)):
+        world = [tuple(rng.choice([rng.uniform(0, 4), rng.randint(0, 8) / 2]) for _ in range(3)) for _ in range(size)]
+        rows += [(session, t, i, x - 0.03 * t, y + 0.02 * t * session, z) for t in range(3) for i, (x, y, z) in enumerate(world)]
+    rows += [(1, 5, 0, None, 0.0, 0.0), (1, 6, 0, float("nan"), 0.0, 0.0), (1, 6, 1, 1.0, 1.0, 1.0), (4, 0, 0, 0.0, 0.0, 0.0), (None, 0, 0, 0.0, 0.0, 0.0), (2, None, 0, 0.0, 0.0, 0.0)]
+    scans = spark.createDataFrame(rows, "session_id long, t_ticks long, point_id long, x double, y double, z double")
+    got, rounds = [], registration._registered
+    for most, in_rounds in ((0, rounds), (400, rounds), (10_000, None)):
+        monkeypatch.setattr(registration, "_SESSION", most)
+        monkeypatch.setattr(registration, "_registered", in_rounds)
+        found, path = registration.odometry(scans, "PointToPoint", 0.3)
+        got.append(({r.pair_id: r for r in found.collect()}, {(r.session_id, r.t_ticks): r.product for r in path.collect()}))
+    (want, steps), *others = got
+    assert set(want) == {"1/1", "1/2", "1/5", "1/6", "2/1", "2/2", "3/1", "3/2"}
+    for found, path in others:
+        assert found.keys() == want.keys() and path.keys() == steps.keys()
+        for k, r in want.items():
+            assert found[k][2:5] == r[2:5] and found[k].settled == r.settled and found[k].accepted == r.accepted
+            assert (found[k].inlier_rmse is None) == (r.inlier_rmse is None) and (found[k].inlier_rmse or 0.0) == pytest.approx(r.inlier_rmse or 0.0, abs=1e-9)
+            assert tuple(found[k].pose) == pytest.approx(tuple(r.pose), abs=1e-9)
+
+
+@pytest.mark.parametrize("listed", [0, 16])
+def test_pairs_side_by_side_end_where_single_ones_do(monkeypatch, listed):
+    from terrane.operators import fits
+
+    monkeypatch.setattr(fits, "_LISTED", listed)  # 0: no targets are listed, each round searches them
+    rng = np.random.default_rng(5)
+    _, solve, terms = registration._REGISTRATIONS["PointToPoint"]
+    clouds = [rng.integers(0, 9, (n, 3)) / 2 + (0 if n % 2 else 0.1 * rng.random((n, 3))) for n in (40, 3, 55, 0, 70)]
+    moved_ = [c + (0.05 * k, -0.1, 0.02 * k) for k, c in enumerate(clouds)]
+    of = np.repeat(np.arange(5), [len(c) for c in clouds])
+    ids = np.concatenate([rng.permutation(len(c)) for c in clouds])
+    rest = np.tile([0.0, 0, 0, 0, 0, 0, 1], (5, 1))
+
+    def fit(k):
+        on = np.isin(of, k)
+        return fits.fit_all(np.concatenate(clouds)[on], np.searchsorted(k, of[on]), np.concatenate(moved_)[on], np.searchsorted(k, of[on]), ids[on], rest[k], 0.4, 20, solve, terms)
+
+    together = fit(np.arange(5))
+    for k in range(5):
+        for a, b in zip(together, fit(np.array([k])), strict=True):
+            assert a[k] == pytest.approx(b[0], abs=1e-12, nan_ok=True)
+    assert together[2].tolist()[3] == 0 and (together[2][[0, 2, 4]] > 20).all()
+    new = fits.placed(clouds[2], together[0][2:3], np.zeros(55, int))
+    order = np.argsort(ids[of == 2])
+    at, which, d2 = registration.nearest_within(new, {c: moved_[2][order, k] for k, c in enumerate("xyz")} | {"point_id": np.arange(55)}, 0.4)
+    i, j, e2 = fits._nearest(new, moved_[2][order], 0.4)
+    assert len(i) == together[2][2] and dict(zip(at.tolist(), which.tolist(), strict=True)) == dict(zip(i.tolist(), j.tolist(), strict=True)) and np.allclose(np.sort(d2), np.sort(e2))
+
+
+def test_poses_of_made_scans_stay_short_expressions(spark):
+    from terrane import catalog
+
+    scans = catalog._session_scans(spark, "/root/testdata/sf0.001", 3)
+    assert len(scans._jdf.queryExecution().analyzed().toString()) < 40_000
