@@ -140,6 +140,18 @@ def _known(kind: str) -> None:
         raise ValueError(f"unknown registration {kind!r}; known: {', '.join(sorted(_REGISTRATIONS))}")
 
 
+def by_place(kind: str) -> bool:
+    """Whether the kind needs no more of a point than its place."""
+    _known(kind)
+    return _REGISTRATIONS[kind][2] is _point_terms
+
+
+def steps_of(kind: str) -> tuple[Callable[[np.ndarray], np.ndarray], Callable | None]:
+    """What solves a round of the kind, and the terms that it sums."""
+    _known(kind)
+    return _REGISTRATIONS[kind][1:]
+
+
 def _columns(blocks: DataFrame) -> list[str]:
     """The columns that a point of packed rows has."""
     return [c for c in blocks.columns if c not in _FIXED]
@@ -429,7 +441,7 @@ def odometry(scans: DataFrame, kind: str, radius: float, least_fitness: float =
     by = ["session_id", "t_ticks"]
     sizes = counts.where("session_id is not null").groupBy("session_id").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     total = sizes.agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.count_if(F.col("n") > _SESSION).alias("large")).first()
-    some = _REGISTRATIONS[kind][2] is _point_terms  # terms of places alone
+    some = by_place(kind)
     once, packed = some and not total["large"], (total["most"] or 0) <= _PACKED
     blocks = in_blocks(scans, by, _PACKED, whole=(total["n"] or 0) if packed else None)
     blocks = cut(blocks) if packed and not once else blocks
@@ -461,7 +473,7 @@ def _in_sessions(counts: DataFrame, blocks: DataFrame, small: DataFrame | None,
 
     A scan goes to its session's task once.  Scans without a point that has a place are known from ``counts``.
     """
-    _, solve, terms = _REGISTRATIONS[kind]
+    solve, terms = steps_of(kind)
     known = "session_id is not null and t_ticks is not null"
     rows = counts.where(known).unionByName(blocks.where(known).select("session_id", "t_ticks", "point_id", "x", "y", "z"), allowMissingColumns=True)
     rows = rows if small is None else rows.join(small, "session_id", "left_semi")

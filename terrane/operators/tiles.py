@@ -17,8 +17,12 @@ def tiled(points: DataFrame, voxel: float, tile: float) -> DataFrame:
 
     A tile is a cube of whole voxels, so that its edges cut none.
     """
+    return in_tiles(dense_state(points, voxel, by=("session_id",)), voxel, tile)
+
+
+def in_tiles(state: DataFrame, voxel: float, tile: float) -> DataFrame:
+    """Voxel sums with the tile of each voxel, in the order of tiles."""
     per = max(1, round(tile / voxel))
-    state = dense_state(points, voxel, by=("session_id",))
     state = state.withColumns({t: F.floor(F.col(v) / per).cast("int") for t, v in zip(TILE, VOXEL, strict=True)})
     return state.sortWithinPartitions("session_id", *TILE)
 

@@ -4,7 +4,8 @@ A batch of scans reads what the batch before it left: the last scan, the last ac
 and the tiled map of each session.  What it leaves itself stands under its own number, so a
 batch that runs again replaces itself and changes nothing else.  Scans of one session are
 taken one after the other, those of all sessions together; any split of the input therefore
-gives the same poses and the same map.
+gives the same poses and the same map.  A session of few points takes its scans in one task
+(``following``); larger ones take them in Spark jobs, one scan of each at a time.
 """
 
 from __future__ import annotations
@@ -14,20 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.geometry import POSE, pose
+from terrane.operators.blocks import has_place
+from terrane.operators.fits import whole_groups
 from terrane.operators.neighbours import normals
-from terrane.operators.registration import moved, register
-from terrane.operators.tiles import patches, tiled
+from terrane.operators.registration import by_place, moved, register, steps_of
+from terrane.operators.tiles import in_tiles, patches, tiled
 from terrane.operators.trajectory import inverses, multiply, pose_product
-from terrane.operators.voxel import merge_states
+from terrane.operators.voxel import VOXEL, merge_states
 from terrane.plans.lineage import cut, forget
+from terrane.streaming.following import CELL, FOLLOWED, HEAD, HEADED, LAST, NEW, NUMBERED, VOXELS, follow
 
 _POSE = "struct<tx:double,ty:double,tz:double,qx:double,qy:double,qz:double,qw:double>"
 HEADS = f"session_id long, seen_ticks long, t_ticks long, odometry_now {_POSE}, odometry {_POSE}, pose {_POSE}, inserted {_POSE}"
 POSES = f"session_id long, t_ticks long, odometry {_POSE}, moved boolean, pose {_POSE}, fitness double, status string"
+#: Rows of a session (scans of the batch, last scan, map) that follow each other in one task, and rows of such a task and of the arrays that it holds.
+_SESSION, _TASK, _HELD = 50_000, 200_000, 65_536
 MAP = "session_id long, vx int, vy int, vz int, n long, sx long, sy long, sz long, tx int, ty int, tz int"
 
 
@@ -102,10 +109,66 @@ class SessionMapper:
         heads, last = self._left_before(number)
         points = batch.select("session_id", "t_ticks", "point_id", "x", "y", "z").join(heads.select("session_id", "seen_ticks"), "session_id", "left")
         points = cut(points.where(F.col("seen_ticks").isNull() | (F.col("t_ticks") > F.col("seen_ticks"))).drop("seen_ticks"))
+        base, fresh, done = self._map_before(number), None, None
+        sizes = cut(self._sizes(points, last, base))
+        total = sizes.agg(F.sum("n").alias("n"), F.count_if("fits").alias("small"), F.count_if(~F.col("fits")).alias("large")).first()
+        if total["large"]:
+            others = points.join(sizes.where("fits"), "session_id", "left_anti") if total["small"] else points
+            heads, done, fresh = self._in_turn(others, heads, last, base)
+        if total["small"]:
+            small = sizes.where("fits").select("session_id") if total["large"] or number > 0 else None
+            followed = cut(self._follow(points, self._left_before(number)[0], last, base, small, total["n"]))
+            scans, voxels = followed.where("n is null"), followed.where("n is not null")
+            at = {c: pose(*(F.col("numbers")[7 * k + i] for i in range(7))) for k, c in enumerate(NUMBERED)}
+            poses = scans.select("session_id", "t_ticks", at["odometry"].alias("odometry"), "moved", at["pose"].alias("pose"), "fitness", "status")
+            new = scans.where("last_ticks is not null").select("session_id", F.col("t_ticks").alias("seen_ticks"), F.col("last_ticks").alias("t_ticks"), at["odometry"].alias("odometry_now"), *(F.when(~F.isnan(at[c]["tx"]), at[c]).alias(n) for c, n in (("last_odometry", "odometry"), ("last_pose", "pose"), ("inserted", "inserted"))))
+            added = in_tiles(voxels.select("session_id", *(F.col(c).cast("int").alias(c) for c in VOXEL), "n", "sx", "sy", "sz"), s.voxel, s.tile)
+            done = poses if done is None else done.drop("enters").unionByName(poses)
+            fresh = added if fresh is None else fresh.unionByName(added)
+            heads = cut(heads.join(new, "session_id", "left_anti").unionByName(new))
+        self._leave(number, points, heads, last, done, fresh)
+        forget(sizes)
+
+    def _sizes(self, points: DataFrame, last: DataFrame, base: DataFrame) -> DataFrame:
+        """Sessions of the batch, with the rows that a task of the session would hold and whether it takes them."""
+        known = F.col("session_id").isNotNull() & F.col("t_ticks").isNotNull() & has_place()
+        for c in "xyz":
+            known &= F.abs(c) < self.s.voxel * 2**30
+        rows = [p.select("session_id", known.alias("known"), F.lit(new).alias("new")) for p, new in ((points, True), (last, False))]
+        rows.append(base.select("session_id", (F.col("vx").isNotNull() & F.col("sx").isNotNull()).alias("known"), F.lit(False)))
+        each = rows[0].union(rows[1]).union(rows[2]).groupBy("session_id").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"), F.bool_or("new").alias("new"))
+        fits = F.lit(by_place(self.s.kind)) & F.col("known") & (F.col("n") <= _SESSION)
+        return each.where("new").select("session_id", "n", fits.alias("fits"))
+
+    def _follow(self, points: DataFrame, heads: DataFrame, last: DataFrame, base: DataFrame, small: DataFrame | None, rows: int) -> DataFrame:
+        """Sessions that fit a task each, all their scans there; ``small`` names them if not all do."""
+        s = self.s
+        cloud = ["session_id", "t_ticks", "point_id", "x", "y", "z"]
+        start = self.start.select("session_id", F.col("pose").alias("begin")) if self.start is not None else self.spark.createDataFrame([], f"session_id long, begin {_POSE}")
+        left = heads.join(start, "session_id", "full")
+        numbers = F.array(*(F.coalesce(F.col(c)[n], F.lit(float("nan"))) for c in HEADED for n in POSE))
+        every = points.select(*cloud, F.lit(NEW).alias("kind")).unionByName(last.select(*cloud, F.lit(LAST).alias("kind")))
+        every = every.unionByName(base.select("session_id", F.lit(VOXELS).alias("kind"), F.array(*(F.col(c).cast("long") for c in CELL)).alias("cell")), allowMissingColumns=True)
+        every = every.unionByName(left.select("session_id", F.lit(HEAD).alias("kind"), numbers.alias("head")), allowMissingColumns=True)
+        # empty lists instead of null ones: Spark's writer of Arrow batches goes back to the last list that isn't null for each row
+        every = every.withColumns({"cell": F.coalesce("cell", F.array().cast("array<long>")), "head": F.coalesce("head", F.array().cast("array<double>"))})
+        every = every if small is None else every.join(small, "session_id", "left_semi")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // _TASK))
+        dealt = every.repartition(parts, "session_id").sortWithinPartitions("session_id", "kind", "t_ticks", "point_id")
+        solve, terms = steps_of(s.kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in whole_groups(batches, _HELD):
+                yield from follow(t, s, solve, terms)
+
+        return dealt.mapInArrow(run, FOLLOWED)
+
+    def _in_turn(self, points: DataFrame, heads: DataFrame, last: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Sessions of any size, a scan of each at a time: their heads, poses and what they add to the map."""
+        s, fresh, done = self.s, None, None
         in_time = Window.partitionBy("session_id").orderBy("t_ticks")  # a row for each scan of the batch
         stamps = points.select("session_id", "t_ticks").distinct().withColumns({"step": F.row_number().over(in_time) - 1, "before": F.lag("t_ticks").over(in_time)})
         stamps = cut(self._odometry(cut(stamps), points, heads, last))
-        base, fresh, done = self._map_before(number), None, None
         for step in range((stamps.agg(F.max("step")).first()[0] or 0) + 1 if not stamps.isEmpty() else 0):
             now = stamps.where(F.col("step") == step)
             found = cut(self._refine(now, points, heads, base if fresh is None else base.unionByName(fresh)))
@@ -116,7 +179,7 @@ class SessionMapper:
             added = tiled(moved(scan, enters), s.voxel, s.tile)
             fresh = cut(added) if fresh is None else cut(fresh.unionByName(added.select(fresh.columns)), fresh)
             heads = cut(self._heads_after(heads, found))
-        self._leave(number, points, heads, last, done, fresh)
+        return heads, done, fresh
 
     def _left_before(self, number: int) -> tuple[DataFrame, DataFrame]:
         """Heads and last scans of the batch before this one; none before the first."""
@@ -211,7 +274,7 @@ class SessionMapper:
         write = lambda df, name: df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={number}")
         newest = heads.select("session_id", F.col("seen_ticks").alias("t_ticks"))
         write(points.unionByName(last).join(newest, ["session_id", "t_ticks"], "left_semi"), "last")
-        write(done.drop("enters") if done is not None else self.spark.createDataFrame([], POSES), "poses")
+        write(done.select(*(c for c in done.columns if c != "enters")) if done is not None else self.spark.createDataFrame([], POSES), "poses")
         added = fresh if fresh is not None else self.spark.createDataFrame([], MAP)
         if number % self.s.compact == self.s.compact - 1:
             added = merge_states(self._map_before(number).unionByName(added), by=("session_id", "tx", "ty", "tz")).sortWithinPartitions("session_id", "tx", "ty", "tz")

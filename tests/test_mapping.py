@@ -167,3 +167,53 @@ def test_submap_clouds_and_dense_maps_are_voxel_sums_of_placed_scans(spark):
     for r in colored:
         own = dense[r.submap_id, r.vx, r.vy, r.vz]
         assert r.sr / 1e6 == pytest.approx(sum(c[0] for c in own), abs=1e-4)
+
+
+def test_sessions_that_fit_a_task_are_mapped_as_in_turn(spark, tmp_path, monkeypatch):
+    """Also batch after batch, with a start, empty scans, and one session with a point without a place."""
+    from terrane.streaming import mapper
+
+    rng = random.Random(17)
+    rows = []
+    for session in (1, 2, 3):
+        world = [tuple(rng.choice([rng.uniform(-6, 6), float(rng.randint(-6, 6))]) for _ in range(3)) for _ in range(70)]
+        rows += [(session, t, i, x - 0.1 * t, y + 0.05 * t * session, z) for t in (1, 2, 3) for i, (x, y, z) in enumerate(world)]
+    rows += [(2, 4, i, rng.uniform(20, 24), rng.uniform(-9, 9), 0.0) for i in range(20)] + [(3, 2, 99, None, 0.0, 0.0), (1, None, 0, 0.0, 0.0, 0.0), (None, 1, 0, 0.0, 0.0, 0.0)]
+    seen = spark.createDataFrame(rows, "session_id long, t_ticks long, point_id long, x double, y double, z double").cache()
+    start = spark.createDataFrame([(1, 3.0)], "session_id long, x0 double").select("session_id", g.pose("x0", 0.0, 0.0).alias("pose"))
+    settings = Mapping(radius=0.5, reach=25.0, voxel=0.25, tile=5.0, rounds=8, least_move=0.15)
+    got = []
+    for name, most in (("turns", 0), ("tasks", 50_000)):
+        monkeypatch.setattr(mapper, "_SESSION", most)
+        m = SessionMapper(spark, f"file://{tmp_path}/{name}", settings, start)
+        for number, when in enumerate(("t_ticks <= 2 or t_ticks is null", "t_ticks > 2")):
+            m(seen.where(when), number)
+        heads = spark.read.schema(mapper.HEADS).parquet(f"{m.root}/heads/batch=1").collect()
+        got.append(({(r.session_id, r.t_ticks): r for r in m.poses().collect()}, sorted(map(tuple, m.map().where("vx is not null").collect())), {r.session_id: r for r in heads}, spark.read.parquet(f"{m.root}/last/batch=1").count()))
+    (poses, map_, heads, last), (poses_, map__, heads_, last_) = got
+    assert poses.keys() == poses_.keys() and len(poses) == 10 and last == last_ and heads.keys() >= heads_.keys() - {None} and {1, 2, 3} <= heads_.keys()
+    assert {r.status for r in poses.values()} == {"first", "accepted", "rejected"}
+    for k, r in poses.items():
+        other = poses_[k]
+        assert (r.moved, r.status) == (other.moved, other.status) and (r.fitness or 0.0) == pytest.approx(other.fitness or 0.0)
+        assert tuple(r.pose) == pytest.approx(tuple(other.pose), abs=1e-9) and tuple(r.odometry) == pytest.approx(tuple(other.odometry), abs=1e-9)
+    for k in (1, 2, 3):
+        assert heads[k][1:3] == heads_[k][1:3]
+        for a, b in zip(heads[k][3:], heads_[k][3:], strict=True):
+            assert tuple(a) == pytest.approx(tuple(b), abs=1e-9)
+    assert [r[:5] for r in map_] == [r[:5] for r in map__]
+    assert max(abs(a - b) for r, q in zip(map_, map__, strict=True) for a, b in zip(r[5:], q[5:], strict=True)) <= 1
+
+
+def test_small_sessions_are_mapped_in_few_jobs(spark, tmp_path):
+    from terrane.streaming.following import spark_hash
+
+    cells = spark.range(50).selectExpr("cast(id * 7 - 90 as int) as a", "cast(-id as int) as b", "cast(id * id as int) as c")
+    want = [tuple(r) for r in cells.select("a", "b", "c", F.xxhash64("a", "b", "c")).collect()]
+    assert spark_hash(np.array([r[:3] for r in want])).tolist() == [r[3] for r in want]
+    rng = random.Random(3)
+    scans = spark.createDataFrame([(s, t, i, *(rng.uniform(-5, 5) for _ in range(3))) for s in (1, 2) for t in range(5) for i in range(30)], "session_id long, t_ticks long, point_id long, x double, y double, z double")
+    spark.sparkContext.setJobGroup("few", "few")
+    SessionMapper(spark, f"file://{tmp_path}/few", Mapping(radius=0.5, voxel=0.1))(scans, 0)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
