@@ -186,6 +186,26 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, how: SimHash)
     return (np.concatenate(a), np.concatenate(b)) if a else (rep[:0], rep[:0])
 
 
+def print_links(reps: DataFrame, how: SimHash) -> DataFrame:
+    """Links (a, b) that connect just the reps of fingerprints within the radius; ``reps`` is (fp, rep), a row for each fingerprint."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_keys(batches, 50_000):
+            key, fp, rep = (c.to_numpy() for c in t.columns)
+            a, b = bucket_edges(key, fp.view(np.uint64), rep, how)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    blocks = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1) for at, width in BLOCKS]
+    keys = []
+    for k, (x, y, z) in enumerate(combinations(range(6), 3)):
+        v = F.lit(k).cast("long")
+        for c in (x, y, z):
+            v = v * (1 << BLOCKS[c][1]) + blocks[c]
+        keys.append(v)
+    buckets = reps.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(lean(edges), "a long, b long")
+
+
 def simhash_components(docs: DataFrame, how: SimHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for each row of ``docs``; ids are integers.
 
@@ -201,35 +221,22 @@ def simhash_components(docs: DataFrame, how: SimHash | None = None, id_col: str
             fp = fingerprints(as_bytes(b.column(1)), how).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["id", "fp"])
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_keys(batches, 50_000):
-            key, fp, rep = (c.to_numpy() for c in t.columns)
-            a, b = bucket_edges(key, fp.view(np.uint64), rep, how)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
     all_ = keep(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(prints, "id long, fp long"), "simhash")
     reps = all_.groupBy("fp").agg(F.min("id").alias("rep"))
-    blocks = [F.shiftrightunsigned("fp", at).bitwiseAND((1 << width) - 1) for at, width in BLOCKS]
-    keys = []
-    for k, (x, y, z) in enumerate(combinations(range(6), 3)):
-        v = F.lit(k).cast("long")
-        for c in (x, y, z):
-            v = v * (1 << BLOCKS[c][1]) + blocks[c]
-        keys.append(v)
-    buckets = reps.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    linked = components(buckets.repartition("key").sortWithinPartitions("key").mapInArrow(edges, "a long, b long"))
+    linked = components(print_links(reps, how))
     named = reps.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return all_.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @dataclass(frozen=True)
 class Similar:
-    """Links by the similarity of shingle sets instead of by differing bits.
+    """Links by the similarity of shingle sets, of pairs that fingerprints or bands bring together.
 
-    Fingerprints of texts that share four fifths of their shingles differ in ten bits and
-    more, too many for the pigeonhole principle to find pairs.  So pairs meet through bands of
-    least shingle hashes; the bits then discard those beyond ``how.radius``.  There is no pivot
-    table: at this radius, which loses no similar pair, it would discard none.  Each distinct shingle votes once, so repeats move no bit: a bit of two sets that share four
+    Fingerprints meet as in operator 5 (``prints``): by bit blocks, pivot table and bits.  Those of
+    texts that share four fifths of their shingles differ in ten bits and more, too many for the
+    pigeonhole principle to find pairs.  So the other pairs meet through bands of
+    least shingle hashes; the bits of ``how`` then discard those beyond its radius, at which a pivot
+    table, of use for ``prints``, would discard none.  Each distinct shingle votes once, so repeats move no bit: a bit of two sets that share four
     fifths differs with a chance of 0.1875 at most (four shingles and five), and more than 32 of
     64 do in less than one pair of a hundred million.  A sketch of ``bins`` least hashes, whose
     estimate has a deviation of sqrt(s(1 - s) / bins), passes candidates from ``candidate`` on,
@@ -237,6 +244,8 @@ class Similar:
     """
 
     how: SimHash = SimHash(shingle=5, radius=32, pivots=0)
+    #: How fingerprints meet.
+    prints: SimHash = SimHash(shingle=5)
     similarity: float = 0.8
     candidate: float = 0.7
     bins: int = 512
@@ -480,8 +489,14 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     sizes = keep(sizes, "buckets")
     met = keep(rows.join(sizes, "key"), "members")
     forget(sizes)
+    # sets of one fingerprint, and fingerprints within the radius of ``prints``, whatever bands they share
+    heads = keep(reps.groupBy("fp").agg(F.min("node").alias("rep")), "fingerprints")
+    near = reps.select("fp", "node").join(heads, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).union(print_links(heads, s.prints))
+    near = keep(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")  # blocks of zeros can meet themselves
+    forget(heads)
     # the shingles of every text that meets another, once for all turns
-    want = keep(met.select("node").distinct().join(reps.select("node", "rep"), "node"), "wanted")
+    meets = met.select("node").union(near.select("a")).union(near.select("b"))
+    want = keep(meets.distinct().join(reps.select("node", "rep"), "node"), "wanted")
     texts = may_hold(d, F.col("id"), want.select("rep")).where("__may").join(want.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("text")
     sets = keep(texts.mapInArrow(lean(hashes), "node long, hashes array<long>").join(want.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
     forget(want)
@@ -508,11 +523,15 @@ def _similar(docs: DataFrame, s: Similar | None, id_col: str, text_col: str) ->
     small = met.where("not large")
     small = small.join(may_hold(plain, F.col("node"), small.select("node")).where("__may").drop("__may"), "node").select("key", "fp", "node", "sketch")
     likely = keep(small.repartition("key").sortWithinPartitions("key").mapInArrow(lean(pairs), "a long, b long").distinct(), "candidates")
+    links = similar(near)
+    labels = keep(components(links).select("node", F.col("component").alias("label")), "labels")
+    forget(near, links)
     # a pair for each member ties most of a group; of the others only those count that still lie apart
-    first = keep(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    apart = labelled(likely, labels).where("la <> lb").select("a", "b")
+    first = keep(apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = similar(first)
-    labels = keep(components(links).select("node", F.col("component").alias("label")), "labels")
-    forget(links)
+    last, labels = labels, tied_by(links, labels)
+    forget(links, last)
     others = labelled(likely.join(first, ["a", "b"], "left_anti"), labels).where("la <> lb").select("a", "b")
     links = similar(keep(others, "others"))
     last, labels = labels, tied_by(links, labels)

@@ -263,3 +263,19 @@ def test_a_candidate_is_named_once_in_the_first_band_it_shares():
     assert named(every, 1, 2)[1] and len(named(every, 1, 2)[0]) == 12
     # those to meet come on their own; members that seek side by side don't meet there
     assert named(np.arange(6) < 2, 1)[0] == [(x, y) for x in (0, 1) for y in (3, 4, 5)]
+
+
+def test_near_dedup_brings_fingerprints_together_by_pivots(spark, monkeypatch):
+    """Copies that share no band are linked through their fingerprints; their sets still decide."""
+    from terrane.llm import simhash_pivots
+
+    rng = random.Random(23)
+    text = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+    docs = spark.createDataFrame([(0, " ".join(text)), (1, " ".join([*text, "end"])), (2, " ".join(reversed(text))), (3, None), (None, " ".join(text))], "doc_id long, text string")
+    radii, join = [], simhash_pivots.print_links
+    monkeypatch.setattr(simhash_pivots, "print_links", lambda reps, how: radii.append((how.radius, how.pivots)) or join(reps, how))
+    no_bands = Similar(bands=1, rows=400)  # a band of so many rows holds no pair that differs
+    got = {r.doc_id: r.component_id for r in similar_components(docs, no_bands).collect()}
+    assert got[0] == got[1] == 0 and got[2] == 2 and got[3] == 3
+    assert sorted(r.doc_id for r in keep_one(docs, no_bands).where("doc_id is not null").collect()) == [0, 2, 3]
+    assert radii == [(3, 16)] * 2
